@@ -9,7 +9,6 @@ finished there. Every level is checkpointed.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,7 +20,7 @@ from ..spec import PrivacySpec
 from .cells import categorical_positions, feature_names
 from .ranking import at_ranks, upper_middle
 from .skew import lookup_join
-from .storage import materialise
+from .storage import materialise, partition_count, scratch_tables, stacked
 
 LOCAL_CELLS = 50_000
 
@@ -165,7 +164,8 @@ def _model_verdict(halves: DataFrame, rules: Rules) -> DataFrame:
 def _split_level(open_cells: DataFrame, rules: Rules, names: list[str]):
     """Split every open partition on its first feature with two valid halves.
 
-    Returns the children's cells and the cells of partitions without a valid split.
+    Returns the children's cells, one table per attempt, and the cells of partitions
+    without a valid split.
     """
     state = open_cells.columns
     children = []
@@ -180,7 +180,48 @@ def _split_level(open_cells: DataFrame, rules: Rules, names: list[str]):
         open_cells = halves.where("not _valid").select(*state)
         if open_cells.isEmpty():
             break
-    return reduce(DataFrame.unionAll, children), open_cells
+    return children, open_cells
+
+
+def _with_shares(cells: DataFrame, names: list[str]) -> tuple[DataFrame, float]:
+    """Add each cell's sensitive value's share, rank and next share; and the top share."""
+    counts = cells.groupBy("_s").agg(F.sum("_n").alias("_all"), F.count("*").alias("_cells"))
+    ranked = ranked_frequencies(counts, "_s", "_all")
+    top = ranked.where("rank = 0").first()
+    shares = ranked.select("_s", "q", "rank", "next_q", "_cells")
+    return lookup_join(cells, shares, ["_s"], "_cells", ["_o", *names]), top["q"] if top else 0.0
+
+
+def _level(active: DataFrame, rules: Rules, names: list[str], local_cells: int, keep):
+    """One level: ``(still active, finished, to finish locally, groups of the latter)``.
+
+    Each of the tables may be None.
+    """
+    state = active.columns
+    stats = _partition_stats(active, rules, names)
+    fate = (
+        F.when(F.col("_rows") < 2 * rules.k, "done")
+        .when(F.col("_cells") <= local_cells, "local")
+        .otherwise("split")
+    )
+    stats = materialise(stats.withColumn("_fate", fate).drop("_rows"))
+    fates = {r["_fate"]: r["n"] for r in stats.groupBy("_fate").agg(F.count("*").alias("n")).collect()}
+    tagged = lookup_join(active, stats, ["_pid"], "_cells", ["_o", "_s"])
+    width = partition_count(active)
+    done, local, following = [], None, None
+    if "done" in fates:
+        done.append(tagged.where("_fate = 'done'").select(*state))
+    if "local" in fates:
+        local = keep(tagged.where("_fate = 'local'").select(*state))
+    if "split" in fates:
+        open_cells = materialise(tagged.where("_fate = 'split'").select(*state, "_order"))
+        children, unsplit = _split_level(open_cells, rules, names)
+        done.append(unsplit.select(*state))
+        following = keep(stacked(children, width).select(*state))
+        if following.isEmpty():
+            following = None
+    finished = keep(stacked(done, width)) if done else None
+    return following, finished, local, fates.get("local", 0)
 
 
 def partition_cells(
@@ -195,51 +236,30 @@ def partition_cells(
     Partitions of at most ``local_cells`` cells are finished inside one task; 0 splits
     everything by distributed levels. A partition below 2k rows has no valid split.
     """
+    spark = cells.sparkSession
     names = feature_names(spec)
     categorical = tuple(categorical_positions(spec))
-    extra = []
-    top_q = 0.0
-    if model == "t":
-        counts = cells.groupBy("_s").agg(F.sum("_n").alias("_all"), F.count("*").alias("_cells"))
-        ranked = ranked_frequencies(counts, "_s", "_all")
-        top = ranked.where("rank = 0").first()
-        top_q = top["q"] if top else 0.0
-        shares = ranked.select("_s", "q", "rank", "next_q", "_cells")
-        cells = lookup_join(cells, shares, ["_s"], "_cells", ["_o", *names])
-        extra = ["q", "rank", "next_q"]
-    active = materialise(cells.withColumn("_pid", F.lit("")))
-    full = active.agg(*_span_columns(categorical, names)).first()
-    rules = Rules(
-        model, spec.k, spec.l, spec.p, categorical, len(names), tuple(full), top_q, values
-    )
-    state = [*names, "_s", "_n", "_o", *extra, "_pid"]
-    done, local, groups = [], [], 0
-    while True:
-        stats = _partition_stats(active, rules, names)
-        fate = (
-            F.when(F.col("_rows") < 2 * spec.k, "done")
-            .when(F.col("_cells") <= local_cells, "local")
-            .otherwise("split")
+    with scratch_tables(spark) as keep:
+        top_q = 0.0
+        if model == "t":
+            cells, top_q = _with_shares(materialise(cells), names)
+        active = materialise(cells.withColumn("_pid", F.lit("")))
+        full = active.agg(*_span_columns(categorical, names)).first()
+        rules = Rules(
+            model, spec.k, spec.l, spec.p, categorical, len(names), tuple(full), top_q, values
         )
-        stats = materialise(stats.withColumn("_fate", fate).drop("_rows"))
-        fates = {r["_fate"]: r["n"] for r in stats.groupBy("_fate").agg(F.count("*").alias("n")).collect()}
-        groups += fates.get("local", 0)
-        tagged = lookup_join(active, stats, ["_pid"], "_cells", ["_o", "_s"])
-        if "done" in fates:
-            done.append(tagged.where("_fate = 'done'").select(*state))
-        if "local" in fates:
-            local.append(tagged.where("_fate = 'local'").select(*state))
-        if "split" not in fates:
-            break
-        open_cells = materialise(tagged.where("_fate = 'split'").select(*state, "_order"))
-        children, unsplit = _split_level(open_cells, rules, names)
-        done.append(unsplit.select(*state))
-        active = materialise(children.select(*state))
-        if active.isEmpty():
-            break
-    if local:
-        done.append(_finish_locally(reduce(DataFrame.unionAll, local), rules, names, groups))
-    return materialise(reduce(DataFrame.unionAll, done).select(*names, "_s", "_n", "_o", "_pid"))
+        width = partition_count(active)
+        done, local, groups = [], [], 0
+        while active is not None:
+            with scratch_tables(spark) as keep_level:
+                active, finished, bounded, n = _level(active, rules, names, local_cells, keep_level)
+            done += [finished] if finished is not None else []
+            local += [bounded] if bounded is not None else []
+            groups += n
+        if local:
+            together = stacked(local, width)
+            done.append(materialise(_finish_locally(together, rules, names, groups)))
+        return keep(stacked(done, width).select(*names, "_s", "_n", "_o", "_pid"))
 
 
 def _finish_locally(cells: DataFrame, rules: Rules, names: list[str], groups: int) -> DataFrame:

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import threading
+import uuid
+from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,24 +28,63 @@ class Limits:
 LIMITS = Limits()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; make a folder only for a local master."""
+def scratch_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; a folder of our own only on a local master."""
     context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir():
-        return
-    if configured:
-        context.setCheckpointDir(configured)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="veilspark-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="veilspark-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+class _Scopes(threading.local):
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_scopes = _Scopes()
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Compute once into the checkpoint folder: short lineage, same rows on every read."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write once to the shared checkpoint folder and read back.
+
+    Gives a short lineage that survives lost executors, the same rows on every read,
+    true sizes for the optimizer, and column pruning for the steps that follow.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if _scopes.open:
+        _scopes.open[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession):
+    """Delete the tables materialised inside the block when it ends.
+
+    Yields a function that hands a table over to the enclosing block instead.
+    """
+    paths: list[str] = []
+    _scopes.open.append(paths)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept = paths.pop()
+        if len(_scopes.open) > 1:
+            _scopes.open[-2].append(kept)
+        return df
+
+    try:
+        yield lambda df: keep(materialise(df))
+    finally:
+        _scopes.open.pop()
+        for path in paths:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def measure(df: DataFrame, *extra) -> dict:
@@ -63,3 +106,16 @@ def small(size: dict) -> bool:
 def fits_broadcast(df: DataFrame) -> bool:
     """True if a table is proven small enough to send to every executor."""
     return small(measure(df.limit(LIMITS.broadcast_rows + 1)))
+
+
+def partition_count(df: DataFrame) -> int:
+    """Number of partitions of a materialised table."""
+    return max(1, df.rdd.getNumPartitions())
+
+
+def stacked(parts: list[DataFrame], width: int) -> DataFrame:
+    """Union of tables in at most ``width`` partitions, without a shuffle.
+
+    A plain union adds up its inputs' partitions, which would multiply level by level.
+    """
+    return reduce(DataFrame.unionAll, parts).coalesce(width)
