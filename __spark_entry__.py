@@ -14,6 +14,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import veilspark as v
 from veilspark.functions import detectors as d
 from veilspark.functions.text import fold
+from veilspark.sources.tables import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,10 +75,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A derived input, from the text both engines run."""
     for source in TABLES:
-        table(spark, sf, source).createOrReplaceTempView(source)
+        read = table(spark, sf, source)
+        (read if source in ("nation", "region") else spread(read)).createOrReplaceTempView(source)
     return spark.sql(SHARED_VIEWS[name])
 
 
@@ -88,7 +94,7 @@ def words(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return words(table(spark, sf, "documents").select("doc_id", "text"))
+    return words(texts(spark, sf))
 
 
 def benchmark_terms(spark: SparkSession, sf: str, folded: bool) -> DataFrame:
@@ -176,8 +182,7 @@ def flag_age(spark, sf):
 
 
 def flag_name_in_text(spark, sf):
-    documents = table(spark, sf, "documents").select("doc_id", "text")
-    flagged = v.with_flag(documents, "text", "hungarian first name", first_names(spark))
+    flagged = v.with_flag(texts(spark, sf), "text", "hungarian first name", first_names(spark))
     return flagged.select("doc_id", "flag")
 
 
@@ -260,7 +265,7 @@ def encode_column(column: str) -> Query:
 
 def encode_tokens(spark, sf):
     """Codes of all words in text order; returns the first and last use of each."""
-    split = table(spark, sf, "documents").select(
+    split = texts(spark, sf).select(
         "doc_id", F.posexplode(F.split("text", r"\s+")).alias("pos", "tok")
     )
     coded = v.encode_text(split.withColumn("code", F.col("tok")), "code", ["doc_id", "pos"])

@@ -61,16 +61,22 @@ def _weighted_digits(v: Column, weights) -> Column:
     return total
 
 
-def _checked(v: Column, pattern: str, checksum: Column, check_digit: Column) -> Column:
-    return F.when(v.rlike(pattern), checksum == check_digit).otherwise(False)
+def _sized(v: Column, low: int, high: int, test: Column) -> Column:
+    """Run a test only on values of a possible size in bytes, which costs nothing to know."""
+    return F.when(F.octet_length(v).between(low, high), test).otherwise(False)
+
+
+def _checked(v: Column, digits: int, pattern: str, checksum: Column, check_digit: Column) -> Column:
+    held = F.when(v.rlike(pattern), checksum == check_digit).otherwise(False)
+    return _sized(v, digits, digits, held)
 
 
 def tax_number(v: Column) -> Column:
-    return _checked(v, TAX_FORMAT, _weighted_digits(v, range(1, 10)) % 11, _digit(v, 10))
+    return _checked(v, 10, TAX_FORMAT, _weighted_digits(v, range(1, 10)) % 11, _digit(v, 10))
 
 
 def taj_number(v: Column) -> Column:
-    return _checked(v, TAJ_FORMAT, _weighted_digits(v, (3, 7) * 4) % 10, _digit(v, 9))
+    return _checked(v, 9, TAJ_FORMAT, _weighted_digits(v, (3, 7) * 4) % 10, _digit(v, 9))
 
 
 def personal_number(v: Column) -> Column:
@@ -79,21 +85,22 @@ def personal_number(v: Column) -> Column:
     total = F.when(year > 96, _weighted_digits(v, range(10, 0, -1))).otherwise(
         _weighted_digits(v, range(1, 11))
     )
-    return _checked(v, PERSONAL_FORMAT, total % 11, _digit(v, 11))
+    return _checked(v, 11, PERSONAL_FORMAT, total % 11, _digit(v, 11))
 
 
 def phone_number(v: Column) -> Column:
-    return v.rlike(PHONE_FORMAT)
+    return _sized(v, 8, 16, v.rlike(PHONE_FORMAT))
 
 
 def licence_plate(v: Column) -> Column:
-    return F.lower(v).rlike(PLATE_FORMAT)
+    return _sized(v, 6, 32, F.lower(v).rlike(PLATE_FORMAT))
 
 
 def ip_address(v: Column) -> Column:
     """IPv4 or IPv6 without prefix length or scope; an IPv6 tail may be dotted."""
     widened = F.regexp_replace(v, rf"(?<=:){IPV4}\z", "0:0")
-    return v.rlike(rf"\A{IPV4}\z") | widened.rlike(_ipv6_format())
+    full = F.when(v.contains(":"), widened.rlike(_ipv6_format())).otherwise(v.rlike(rf"\A{IPV4}\z"))
+    return _sized(v, 2, 45, full)
 
 
 def mac_address(v: Column) -> Column:
@@ -102,7 +109,7 @@ def mac_address(v: Column) -> Column:
 
 
 def email_address(v: Column) -> Column:
-    return v.rlike(EMAIL_FORMAT)
+    return F.when(v.contains("@"), v.rlike(EMAIL_FORMAT)).otherwise(False)
 
 
 @dataclass(frozen=True)

@@ -80,8 +80,10 @@ def _age_hits(name: Column, rows: Column, unparsed: Column, low: Column, high: C
     return F.when(F.lower(name).isin(*AGE_COLUMN_NAMES) & fits, rows).otherwise(F.lit(0))
 
 
-def _age_parts(v: Column) -> list[Column]:
-    number = v.try_cast("bigint")
+def _age_parts(name: Column, v: Column) -> list[Column]:
+    """Parts of the age test; values of other columns are not parsed."""
+    v = F.when(F.lower(name).isin(*AGE_COLUMN_NAMES), v)
+    number = F.when(v.rlike(r"\A\s*[-+]?[0-9]{1,18}\s*\z"), v.try_cast("bigint"))
     return [
         F.count_if(v.isNotNull() & number.isNull()).alias("_unparsed"),
         F.min(number).alias("_low"),
@@ -105,7 +107,7 @@ def with_flag(
             raise ValueError(f"detector {label!r} needs a dictionary")
         keyed = df.withColumn("_key", _key(value, detector))
         return _membership(keyed, "_key", detector, dictionary, out).drop("_key")
-    parts = df.select(value.alias("_v")).agg(F.count("_v").alias("_rows"), *_age_parts(F.col("_v")))
+    parts = df.select(value.alias("_v")).agg(F.count("_v").alias("_rows"), *_age_parts(F.lit(col), F.col("_v")))
     hits = _age_hits(F.lit(col), F.col("_rows"), F.col("_unparsed"), F.col("_low"), F.col("_high"))
     is_age = parts.select((hits > 0).alias("is_age")).scalar()
     return df.withColumn(out, F.col(col).isNotNull() & F.coalesce(is_age, F.lit(False)))
@@ -135,14 +137,16 @@ def label_columns(
     active = [
         d for d in DETECTORS.values() if not d.dictionary or d.dictionary in dictionaries
     ]
-    sums, hits = [F.count("*").alias("_rows"), *_age_parts(F.col("value"))], []
+    sums, hits = [F.count("*").alias("_rows"), *_age_parts(F.col("name"), F.col("value"))], []
     for i, detector in enumerate(active):
         if detector.test:
             sums.append(F.count_if(detector.test(F.col("value"))).alias(f"_hits{i}"))
         elif detector.dictionary:
-            pairs = pairs.withColumn("_key", _key(F.col("value"), detector))
+            key = "_folded" if detector.fold else "_lower"
+            if key not in pairs.columns:
+                pairs = pairs.withColumn(key, _key(F.col("value"), detector))
             terms = dictionaries[detector.dictionary]
-            pairs = _membership(pairs, "_key", detector, terms, f"_flag{i}").drop("_key")
+            pairs = _membership(pairs, key, detector, terms, f"_flag{i}")
             sums.append(F.count_if(f"_flag{i}").alias(f"_hits{i}"))
         hits.append(F.col(f"_hits{i}"))
     profile = pairs.groupBy("name").agg(*sums)

@@ -31,6 +31,16 @@ def read_table(
     return nan_to_null(df.toDF(*names) if names else df)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Distribute a table that was just read in fewer splits than there are cores.
+
+    Only a small input has so few splits, so its rows are cheap to shuffle; any other
+    table is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_table(df: DataFrame, path: str, format: str = "csv", mode: str = "error") -> None:
     writer = df.write.format(format).mode(mode)
     if format == "csv":
