@@ -9,7 +9,6 @@ from ..functions.text import as_text
 from ..plans.cells import build_cells, cell_values, feature_names
 from ..plans.mondrian import LOCAL_CELLS, partition_cells
 from ..plans.skew import lookup_join
-from ..plans.storage import materialise
 from ..spec import PrivacySpec, nan_to_null
 
 # How a joined list of values is separated and shows a missing one.
@@ -86,8 +85,8 @@ def partition(
     df = nan_to_null(df)
     cells = partition_cells(build_cells(df, spec), spec, model, local_cells, values)
     names = feature_names(spec)
-    tuples = materialise(
-        cells.groupBy(*names).agg(F.sum("_n").alias("_n"), F.first("_pid").alias("partition_id"))
+    tuples = cells.groupBy(*names).agg(
+        F.sum("_n").alias("_n"), F.first("_pid").alias("partition_id")
     )
     keyed = df.withColumns(cell_values(df, spec))
     joined = lookup_join(keyed, tuples, names, "_n", [spec.order_by], null_safe=True)
@@ -119,7 +118,7 @@ def generalise_partitions(
         ],
     )
     found = _summaries(source, partition, list(spec.features), texts, "_o", "_weight", numeric)
-    found = materialise(_first_partitions(found, partition, max_partitions).drop("_entries"))
+    found = _first_partitions(found, partition, max_partitions).drop("_entries")
     kept = df.drop(*spec.features)
     how = "left" if max_partitions is None else "inner"
     joined = lookup_join(kept, found, [partition], "_covered", [spec.order_by], how)
@@ -149,10 +148,10 @@ def anonymise(
     cells = partition_cells(build_cells(df, spec), spec, model, local_cells, values)
     found = _summaries(cells, "_pid", names, texts, "_o", "_n", numeric).drop("_covered")
     found = _first_partitions(found, "_pid", max_partitions)
-    common = materialise(found.withColumnsRenamed({n: f"_g{n}" for n in names}))
+    common = found.withColumnsRenamed({n: f"_g{n}" for n in names})
     tuples = cells.groupBy(*names).agg(F.sum("_n").alias("_n"), F.first("_pid").alias("_pid"))
     how = "left" if max_partitions is None else "inner"
-    mapping = materialise(lookup_join(tuples, common, ["_pid"], "_entries", names, how))
+    mapping = lookup_join(tuples, common, ["_pid"], "_entries", names, how)
     keyed = df.withColumns(cell_values(df, spec)).drop(*spec.features)
     joined = lookup_join(keyed, mapping, names, "_n", [spec.order_by], how, null_safe=True)
     renamed = {f"_g{n}": c for n, c in zip(names, spec.features)}

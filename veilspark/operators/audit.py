@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.ranking import global_index
 from ..plans.skew import lookup_join
-from ..plans.storage import materialise
+from ..plans.storage import LIMITS, materialise, store
 from ..spec import PrivacySpec, nan_to_null
 
 
@@ -23,20 +25,31 @@ def global_frequencies(df: DataFrame, sensitive: str) -> DataFrame:
     return counts.where("value is not null").select("value", (F.col("_held") / rows).alias("q"))
 
 
-def ranked_frequencies(counts: DataFrame, value: str, held: str) -> DataFrame:
-    """Materialised ``(value, held, q, rank, next_q)`` by descending share, rank from 0.
+def ranked_frequencies(counts: DataFrame, value: str, held: str) -> tuple[DataFrame, int, float]:
+    """``counts`` plus ``q``, ``rank`` and ``next_q``; its number of rows; the top share.
 
-    ``counts`` has one row per value, null included; ``next_q`` is the share of the value
-    ranked next, 0 for the last.
+    ``counts`` has one row per value, null included. Ranks count from 0 by descending
+    share; ``next_q`` is the share of the value ranked next, 0 for the last.
     """
-    counts = materialise(counts)
-    total = counts.agg(F.sum(held)).first()[0] or 0
-    shares = counts.where(F.col(value).isNotNull()).withColumn("q", F.col(held) / F.lit(total))
-    ranked = materialise(global_index(shares, [F.desc("q"), F.asc(value)], "rank"))
+    known = F.col(value).isNotNull()
+    counts = store(counts, weight=held, top=F.max(F.when(known, F.col(held))))
+    total = counts.size["total"]
+    shares = counts.df.where(known).withColumn("q", F.col(held) / F.lit(total))
+    order = [F.desc("q"), F.asc(value)]
+    top_q = counts.size["top"] / total if total else 0.0
+    if counts.rows <= LIMITS.window_rows:
+        along = Window.orderBy(*order)
+        ranked = shares.withColumns(
+            {
+                "rank": F.row_number().over(along).cast("bigint") - 1,
+                "next_q": F.lead("q", 1, 0.0).over(along),
+            }
+        )
+        return ranked, counts.rows, top_q
+    ranked = materialise(global_index(replace(counts, df=shares), order, "rank"))
     following = ranked.select((F.col("rank") - 1).alias("rank"), F.col("q").alias("next_q"))
-    return materialise(
-        ranked.join(following, "rank", "left").withColumn("next_q", F.coalesce("next_q", F.lit(0.0)))
-    )
+    joined = ranked.join(following, "rank", "left")
+    return joined.withColumn("next_q", F.coalesce("next_q", F.lit(0.0))), counts.rows, top_q
 
 
 def largest_distance(
@@ -86,19 +99,16 @@ def t_distance(
 
 def cell_distance(cells: DataFrame, groups: list[str], values: str = "all") -> DataFrame:
     """t_distance of materialised counts ``(groups, _value, held)``."""
-    ranked = ranked_frequencies(
+    ranked, values_held, top_q = ranked_frequencies(
         cells.groupBy("_value").agg(F.sum("held").alias("_all"), F.count("*").alias("_cells")),
         "_value",
         "_all",
     )
-    top = ranked.where("rank = 0").first()
-    totals = materialise(
-        cells.groupBy(*groups).agg(F.sum("held").alias("_total"), F.count("*").alias("_cells"))
-    )
+    totals = cells.groupBy(*groups).agg(F.sum("held").alias("_total"), F.count("*").alias("_cells"))
     counts = lookup_join(cells, totals, groups, "_cells", ["_value"])
     shares = ranked.select("_value", "q", "rank", "next_q", "_cells")
-    counts = lookup_join(counts, shares, ["_value"], "_cells", groups)
-    return largest_distance(counts, groups, F.col("_total"), top["q"] if top else 0.0, values)
+    counts = lookup_join(counts, shares, ["_value"], "_cells", groups, rows=values_held)
+    return largest_distance(counts, groups, F.col("_total"), top_q, values)
 
 
 def audit_classes(

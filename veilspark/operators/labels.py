@@ -14,7 +14,7 @@ from ..functions.detectors import (
 )
 from ..functions.text import fold, text_columns
 from ..plans.skew import lookup_join
-from ..plans.storage import LIMITS, fits_broadcast, materialise
+from ..plans.storage import LIMITS, fits_broadcast
 
 
 def _key(v: Column, detector: Detector) -> Column:
@@ -69,7 +69,7 @@ def _membership(df: DataFrame, key: str, detector: Detector, terms: DataFrame, o
         hits = _values_containing(values, key, terms)
     else:
         hits = terms.select(F.col("term").alias(key)).distinct()
-    hits = materialise(values.join(hits, key, "left_semi").withColumn("_hit", F.lit(True)))
+    hits = values.join(hits, key, "left_semi").withColumn("_hit", F.lit(True))
     spread = [c for c, kind in df.dtypes if not kind.startswith("map")]
     joined = lookup_join(df, hits, [key], "_held", spread)
     return joined.withColumn(out, F.coalesce("_hit", F.lit(False))).drop("_hit")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.detectors import DETECTORS
 from ..plans.ranking import global_index
 from ..plans.skew import lookup_join
-from ..plans.storage import LIMITS, fits_broadcast, materialise, measure, small
+from ..plans.storage import LIMITS, Stored, fits_broadcast, store
 from ..sources.dictionaries import country_key
 from ..spec import PrivacySpec
 
@@ -57,7 +57,7 @@ def _token_length(kind: str, parts: int) -> int:
     return length
 
 
-def _redrawn_parts(parts: DataFrame, kind: str, key: str, length: int) -> DataFrame:
+def _redrawn_parts(parts: DataFrame, kind: str, key: str, length: int) -> Stored:
     """Parts whose first token belongs to another part, with the attempt that is unique.
 
     ``parts`` holds distinct values. Of equal tokens the earliest attempt and smallest
@@ -72,20 +72,19 @@ def _redrawn_parts(parts: DataFrame, kind: str, key: str, length: int) -> DataFr
             .agg(F.min(F.struct("attempt", "part")).alias("owner"), F.count("*").alias("n"))
             .where("n > 1")
         )
-        losers = materialise(
+        losers = store(
             tokens.join(shared, "token")
             .where(F.struct("attempt", "part") != F.col("owner"))
             .select("part", (F.col("attempt") + 1).alias("attempt"))
         )
-        if losers.isEmpty():
-            return bumps if bumps is not None else losers
+        if not losers.rows:
+            return bumps or losers
         if bumps is None:
             bumps = losers
         else:
-            bumps = materialise(
-                bumps.join(losers.select("part"), "part", "left_anti").unionByName(losers)
-            )
-        redrawn = bumps.withColumnRenamed("attempt", "redrawn")
+            kept = bumps.df.join(losers.df.select("part"), "part", "left_anti")
+            bumps = store(kept.unionByName(losers.df))
+        redrawn = bumps.df.withColumnRenamed("attempt", "redrawn")
         drawn = parts.join(redrawn, "part", "left").select(
             "part", F.coalesce("redrawn", F.lit(0)).alias("attempt")
         )
@@ -124,15 +123,13 @@ def pseudonymise_email(
     split = df.withColumns({f"_{k}": c for k, c in parts.items()})
     tokens = []
     for kind in parts:
-        distinct = materialise(
-            df.select(parts[kind].alias("part")).where("part is not null").distinct()
-        )
-        length = _token_length(kind, distinct.count())
-        bumps = _redrawn_parts(distinct, kind, key, length)
-        while not small(measure(bumps)):
+        distinct = store(df.select(parts[kind].alias("part")).where("part is not null").distinct())
+        length = _token_length(kind, distinct.rows)
+        bumps = _redrawn_parts(distinct.df, kind, key, length)
+        while not bumps.small:
             length += 1
-            bumps = _redrawn_parts(distinct, kind, key, length)
-        redrawn = bumps.select(F.col("part").alias("_part"), F.col("attempt").alias(f"_try_{kind}"))
+            bumps = _redrawn_parts(distinct.df, kind, key, length)
+        redrawn = bumps.df.select(F.col("part").alias("_part"), F.col("attempt").alias(f"_try_{kind}"))
         split = split.join(F.broadcast(redrawn), F.col(f"_{kind}") == F.col("_part"), "left")
         split = split.drop("_part")
         attempt = F.coalesce(F.col(f"_try_{kind}"), F.lit(0))
@@ -157,9 +154,11 @@ def encode_text(df: DataFrame, col: str, order_by: str | list[str]) -> DataFrame
         .groupBy(F.col(col).alias("_value"))
         .agg(F.min(F.struct(*order)).alias("_first"), F.count("*").alias("_held"))
     )
-    codes = materialise(global_index(first, ["_first", "_value"], "_code").drop("_first"))
+    first = store(first)
+    codes = global_index(first, ["_first", "_value"], "_code").drop("_first")
     keyed = df.withColumn("_value", F.col(col))
-    joined = lookup_join(keyed, codes, ["_value"], "_held", order)
+    known = first.rows if first.small else None
+    joined = lookup_join(keyed, codes, ["_value"], "_held", order, rows=known)
     code = F.coalesce(F.col("_code"), F.lit(-1).cast("bigint"))
     return joined.withColumn(col, code).drop("_value", "_code")
 
@@ -202,7 +201,7 @@ def generalise(df: DataFrame, col: str, mapping: DataFrame) -> DataFrame:
         held = keyed.where("_key is not null").groupBy("_key").agg(F.count("*").alias("_held"))
         listed = mapping.select(F.col("term").alias("_key"), F.col("value").alias("_mapped"))
         spread = [c for c, kind in df.dtypes if not kind.startswith("map")]
-        joined = lookup_join(keyed, materialise(held.join(listed, "_key")), ["_key"], "_held", spread)
+        joined = lookup_join(keyed, held.join(listed, "_key"), ["_key"], "_held", spread)
     return joined.withColumn(col, F.col("_mapped")).drop("_key", "_mapped").select(*df.columns)
 
 

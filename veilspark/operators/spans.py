@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.ranking import at_ranks, group_medians, upper_middle
 from ..plans.skew import lookup_join
-from ..plans.storage import materialise
+from ..plans.storage import store
 from ..spec import PrivacySpec
 
 
@@ -55,23 +55,22 @@ def split_side(
     side = lambda left: F.when(F.coalesce(left, F.lit(False)), "left").otherwise("right")
     if not spec.is_categorical(column):
         held = df.groupBy(partition).agg(F.count("*").alias("_held"))
-        medians = materialise(held.join(group_medians(df, [partition], column), partition))
+        medians = held.join(group_medians(df, [partition], column), partition)
         joined = lookup_join(df, medians, [partition], "_held", [spec.order_by])
         return joined.withColumn(out, side(F.col(column) < F.col("median"))).drop("median")
-    values = materialise(
+    values = store(
         df.groupBy(partition, F.col(column).alias("_value")).agg(
             F.min(spec.order_by).alias("_first"), F.count("*").alias("_held"), F.lit(1).alias("_one")
         )
     )
-    pivots = at_ranks(values, [partition], ["_first"], "_one", {"_pivot": upper_middle})
-    pivots = materialise(
-        pivots.join(values.groupBy(partition).agg(F.count("*").alias("_values")), partition)
+    pivots = at_ranks(
+        values.df, values.rows, [partition], ["_first"], "_one", {"_pivot": upper_middle}
     )
-    sides = lookup_join(values, pivots, [partition], "_values", ["_first"]).select(
+    sides = lookup_join(values.df, pivots, [partition], "_members", ["_first"]).select(
         partition, "_value", "_held", (F.col("_first") < F.col("_pivot._first")).alias("_left")
     )
     keyed = df.withColumn("_value", F.col(column))
     joined = lookup_join(
-        keyed, materialise(sides), [partition, "_value"], "_held", [spec.order_by], null_safe=True
+        keyed, sides, [partition, "_value"], "_held", [spec.order_by], null_safe=True
     )
     return joined.withColumn(out, side(F.col("_left"))).drop("_value", "_left")

@@ -10,17 +10,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.audit import largest_distance, ranked_frequencies
 from ..spec import PrivacySpec
 from .cells import categorical_positions, feature_names
+from .local import finish_partition
 from .ranking import at_ranks, upper_middle
 from .skew import lookup_join
-from .storage import materialise, partition_count, scratch_tables, stacked
+from .storage import Scratch, Stored, materialise, partition_count, stacked, store
 
 LOCAL_CELLS = 50_000
 
@@ -79,38 +78,40 @@ def _tried_values(cells: DataFrame, rules: Rules, names: list[str], attempt: int
     return cells.withColumns({"_by_text": by_text, "_number": number, "_text": text})
 
 
-def _halves(cells: DataFrame, rules: Rules, names: list[str], attempt: int) -> DataFrame:
-    """Cells with the half they fall in, its rows, and whether both halves hold k rows."""
+def _halves(cells: DataFrame, rules: Rules, names: list[str], attempt: int, pids: int) -> Stored:
+    """Cells with the half they fall in, its rows, and whether both halves hold k rows.
+
+    ``pids`` bounds the number of partitions, so tables of one row each can be broadcast
+    unless there are very many.
+    """
     tried = _tried_values(cells, rules, names, attempt)
-    values = materialise(
+    values = store(
         tried.groupBy("_pid", "_by_text", "_number", "_text").agg(
             F.sum("_n").alias("_rows"), F.count("*").alias("_held"), F.min("_o").alias("_first")
         )
     )
-    ranked = values.where(F.col("_by_text") | F.col("_number").isNotNull()).select(
+    ranked = values.df.where(F.col("_by_text") | F.col("_number").isNotNull()).select(
         "_pid",
         "_number",
         F.when(F.col("_by_text"), F.col("_first")).alias("_seen"),
         F.when(F.col("_by_text"), F.lit(1)).otherwise(F.col("_rows")).alias("_weight"),
     )
-    pivots = at_ranks(ranked, ["_pid"], ["_number", "_seen"], "_weight", {"_pivot": upper_middle})
-    held = values.groupBy("_pid").agg(F.count("*").alias("_values"))
-    sides = lookup_join(
-        values, materialise(held.join(pivots, "_pid", "left")), ["_pid"], "_values", ["_first"]
-    )
+    targets = {"_pivot": upper_middle}
+    pivots = at_ranks(ranked, values.rows, ["_pid"], ["_number", "_seen"], "_weight", targets)
+    sides = lookup_join(values.df, pivots, ["_pid"], "_members", ["_first"], rows=pids)
     left = F.when(F.col("_by_text"), F.col("_first") < F.col("_pivot._seen")).otherwise(
         F.col("_number") < F.col("_pivot._number")
     )
     sides = sides.withColumn("_left", F.coalesce(left, F.lit(False))).drop("_pivot", "_first")
-    sizes = materialise(
-        sides.groupBy("_pid").agg(
-            F.sum(F.when(F.col("_left"), F.col("_rows")).otherwise(0)).alias("_left_rows"),
-            F.sum(F.when(F.col("_left"), 0).otherwise(F.col("_rows"))).alias("_right_rows"),
-            F.count("*").alias("_values"),
-        )
+    sizes = sides.groupBy("_pid").agg(
+        F.sum(F.when(F.col("_left"), F.col("_rows")).otherwise(0)).alias("_left_rows"),
+        F.sum(F.when(F.col("_left"), 0).otherwise(F.col("_rows"))).alias("_right_rows"),
+        F.count("*").alias("_values"),
     )
     half = F.when(F.col("_left"), F.col("_left_rows")).otherwise(F.col("_right_rows"))
-    sized = lookup_join(sides, sizes, ["_pid"], "_values", ["_number", "_text"]).select(
+    sized = lookup_join(
+        sides, sizes, ["_pid"], "_values", ["_number", "_text"], rows=pids
+    ).select(
         "_pid",
         "_number",
         "_text",
@@ -119,109 +120,131 @@ def _halves(cells: DataFrame, rules: Rules, names: list[str], attempt: int) -> D
         half.alias("_half"),
         (F.least("_left_rows", "_right_rows") >= rules.k).alias("_valid"),
     )
-    return materialise(
-        lookup_join(
-            tried.drop("_by_text"),
-            materialise(sized),
-            ["_pid", "_number", "_text"],
-            "_held",
-            ["_o", "_s"],
-            null_safe=True,
-        ).drop("_number", "_text")
+    joined = lookup_join(
+        tried.drop("_by_text"),
+        sized,
+        ["_pid", "_number", "_text"],
+        "_held",
+        ["_o", "_s"],
+        null_safe=True,
     )
+    return store(joined.drop("_number", "_text"), open=F.count_if(~F.col("_valid")))
+
 
+def _model_verdict(halves: Stored, rules: Rules, pids: int) -> tuple[DataFrame, bool]:
+    """Keep ``_valid`` only where both halves also satisfy the l or t condition.
 
-def _model_verdict(halves: DataFrame, rules: Rules) -> DataFrame:
-    """Keep ``_valid`` only where both halves also satisfy the l or t condition."""
+    Also tells whether any partition is left without a valid split.
+    """
+    if rules.model == "k":
+        return halves.df, halves.size["open"] > 0
     keys = ["_pid", "_left"]
-    sized = halves.where("_valid")
+    sized = halves.df.where("_valid")
     if rules.model == "l":
         kept = sized.groupBy(*keys).agg(
             (F.count_distinct(F.struct("_s")) >= rules.l).alias("_fits"), F.count("*").alias("_held")
         )
     else:
-        counts = sized.groupBy(*keys, F.col("_s").alias("_value")).agg(
-            F.sum("_n").alias("held"),
-            F.count("*").alias("_held"),
-            F.first("_half").alias("_half"),
-            F.first("q").alias("q"),
-            F.first("rank").alias("rank"),
-            F.first("next_q").alias("next_q"),
+        counts = materialise(
+            sized.groupBy(*keys, F.col("_s").alias("_value")).agg(
+                F.sum("_n").alias("held"),
+                F.count("*").alias("_held"),
+                F.first("_half").alias("_half"),
+                F.first("q").alias("q"),
+                F.first("rank").alias("rank"),
+                F.first("next_q").alias("next_q"),
+            )
         )
-        counts = materialise(counts)
         distances = largest_distance(counts, keys, F.col("_half"), rules.top_q, rules.values)
         held = counts.groupBy(*keys).agg(F.sum("_held").alias("_held"))
-        kept = held.join(
-            distances.select(*keys, (F.col("distance") <= rules.p).alias("_fits")), keys
-        )
-    verdict = materialise(
-        kept.groupBy("_pid").agg(F.min("_fits").alias("_fits"), F.sum("_held").alias("_held"))
+        fits = distances.select(*keys, (F.col("distance") <= rules.p).alias("_fits"))
+        kept = held.join(fits, keys)
+    verdict = store(
+        kept.groupBy("_pid").agg(F.min("_fits").alias("_fits"), F.sum("_held").alias("_held")),
+        weight="_held",
+        refused=F.count_if(~F.col("_fits")),
     )
-    joined = lookup_join(halves, verdict, ["_pid"], "_held", ["_o", "_s"])
-    return joined.withColumn("_valid", F.col("_valid") & F.coalesce("_fits", F.lit(False))).drop("_fits")
+    joined = lookup_join(halves.df, verdict, ["_pid"], "_held", ["_o", "_s"], rows=pids)
+    decided = joined.withColumn("_valid", F.col("_valid") & F.coalesce("_fits", F.lit(False)))
+    return decided.drop("_fits"), halves.size["open"] > 0 or verdict.size["refused"] > 0
 
 
-def _split_level(open_cells: DataFrame, rules: Rules, names: list[str]):
+def _split_level(cells: DataFrame, rules: Rules, names: list[str], pids: int):
     """Split every open partition on its first feature with two valid halves.
 
     Returns the children's cells, one table per attempt, and the cells of partitions
-    without a valid split.
+    without a valid split (None if there are none).
     """
-    state = open_cells.columns
+    state = cells.columns
     children = []
     for attempt in range(rules.features):
-        halves = _halves(open_cells, rules, names, attempt)
-        if rules.model != "k":
-            halves = materialise(_model_verdict(halves, rules))
+        halves = _halves(cells, rules, names, attempt, pids)
+        decided, more = _model_verdict(halves, rules, pids)
         step = F.when(F.col("_left"), "0").otherwise("1")
-        children.append(
-            halves.where("_valid").withColumn("_pid", F.concat("_pid", step)).select(*state)
-        )
-        open_cells = halves.where("not _valid").select(*state)
-        if open_cells.isEmpty():
-            break
-    return children, open_cells
+        split = decided.where("_valid").withColumn("_pid", F.concat("_pid", step))
+        children.append(split.select(*state))
+        if not more:
+            return children, None
+        cells = decided.where("not _valid").select(*state)
+    return children, cells
 
 
 def _with_shares(cells: DataFrame, names: list[str]) -> tuple[DataFrame, float]:
     """Add each cell's sensitive value's share, rank and next share; and the top share."""
     counts = cells.groupBy("_s").agg(F.sum("_n").alias("_all"), F.count("*").alias("_cells"))
-    ranked = ranked_frequencies(counts, "_s", "_all")
-    top = ranked.where("rank = 0").first()
+    ranked, values, top_q = ranked_frequencies(counts, "_s", "_all")
     shares = ranked.select("_s", "q", "rank", "next_q", "_cells")
-    return lookup_join(cells, shares, ["_s"], "_cells", ["_o", *names]), top["q"] if top else 0.0
+    return lookup_join(cells, shares, ["_s"], "_cells", ["_o", *names], rows=values), top_q
 
 
-def _level(active: DataFrame, rules: Rules, names: list[str], local_cells: int, keep):
-    """One level: ``(still active, finished, to finish locally, groups of the latter)``.
+@dataclass
+class _Progress:
+    """What a level leaves behind; ``groups`` counts the partitions to finish locally."""
 
-    Each of the tables may be None.
-    """
-    state = active.columns
-    stats = _partition_stats(active, rules, names)
+    active: Stored | None
+    done: list[DataFrame]
+    local: list[DataFrame]
+    groups: int = 0
+
+
+def _level(progress: _Progress, rules: Rules, names: list[str], local_cells: int) -> None:
+    """Split all active partitions once; move those that are settled out of the way."""
+    active = progress.active
+    state = active.df.columns
     fate = (
         F.when(F.col("_rows") < 2 * rules.k, "done")
         .when(F.col("_cells") <= local_cells, "local")
         .otherwise("split")
     )
-    stats = materialise(stats.withColumn("_fate", fate).drop("_rows"))
-    fates = {r["_fate"]: r["n"] for r in stats.groupBy("_fate").agg(F.count("*").alias("n")).collect()}
-    tagged = lookup_join(active, stats, ["_pid"], "_cells", ["_o", "_s"])
-    width = partition_count(active)
-    done, local, following = [], None, None
-    if "done" in fates:
-        done.append(tagged.where("_fate = 'done'").select(*state))
-    if "local" in fates:
-        local = keep(tagged.where("_fate = 'local'").select(*state))
-    if "split" in fates:
-        open_cells = materialise(tagged.where("_fate = 'split'").select(*state, "_order"))
-        children, unsplit = _split_level(open_cells, rules, names)
-        done.append(unsplit.select(*state))
-        following = keep(stacked(children, width).select(*state))
-        if following.isEmpty():
-            following = None
-    finished = keep(stacked(done, width)) if done else None
-    return following, finished, local, fates.get("local", 0)
+    stats = _partition_stats(active.df, rules, names).withColumn("_fate", fate).drop("_rows")
+    fates = ("done", "local", "split")
+    with Scratch() as scratch:
+        stats = store(
+            stats, "_cells", **{f: F.count_if(F.col("_fate") == f) for f in fates}
+        )
+        tagged = lookup_join(active.df, stats, ["_pid"], "_cells", ["_o", "_s"])
+        width = partition_count(active.df)
+        done = []
+        progress.active = None
+        if stats.size["done"]:
+            done.append(tagged.where("_fate = 'done'").select(*state))
+        if stats.size["local"]:
+            bounded = store(tagged.where("_fate = 'local'").select(*state))
+            progress.local.append(scratch.keep(bounded).df)
+            progress.groups += stats.size["local"]
+        if stats.size["split"]:
+            cells = tagged.where("_fate = 'split'").select(*state, "_order")
+            if not stats.small:
+                cells = materialise(cells)
+            children, unsplit = _split_level(cells, rules, names, stats.size["split"])
+            if unsplit is not None:
+                done.append(unsplit.select(*state))
+            following = store(stacked(children, width).select(*state))
+            if following.rows:
+                progress.active = scratch.keep(following)
+        if done:
+            progress.done.append(scratch.keep(store(stacked(done, width))).df)
+    active.drop()
 
 
 def partition_cells(
@@ -231,35 +254,33 @@ def partition_cells(
     local_cells: int = LOCAL_CELLS,
     values: str = "all",
 ) -> DataFrame:
-    """Materialised cells with the path ``_pid`` of their finished partition.
+    """Stored cells with the path ``_pid`` of their finished partition.
 
     Partitions of at most ``local_cells`` cells are finished inside one task; 0 splits
     everything by distributed levels. A partition below 2k rows has no valid split.
     """
-    spark = cells.sparkSession
     names = feature_names(spec)
     categorical = tuple(categorical_positions(spec))
-    with scratch_tables(spark) as keep:
-        top_q = 0.0
-        if model == "t":
-            cells, top_q = _with_shares(materialise(cells), names)
-        active = materialise(cells.withColumn("_pid", F.lit("")))
-        full = active.agg(*_span_columns(categorical, names)).first()
-        rules = Rules(
-            model, spec.k, spec.l, spec.p, categorical, len(names), tuple(full), top_q, values
-        )
-        width = partition_count(active)
-        done, local, groups = [], [], 0
-        while active is not None:
-            with scratch_tables(spark) as keep_level:
-                active, finished, bounded, n = _level(active, rules, names, local_cells, keep_level)
-            done += [finished] if finished is not None else []
-            local += [bounded] if bounded is not None else []
-            groups += n
-        if local:
-            together = stacked(local, width)
-            done.append(materialise(_finish_locally(together, rules, names, groups)))
-        return keep(stacked(done, width).select(*names, "_s", "_n", "_o", "_pid"))
+    spans = _span_columns(categorical, names)
+    top_q = 0.0
+    if model == "t":
+        cells, top_q = _with_shares(materialise(cells), names)
+    active = store(cells.withColumn("_pid", F.lit("")))
+    full = active.df.agg(*spans).first()
+    rules = Rules(
+        model, spec.k, spec.l, spec.p, categorical, len(names), tuple(full), top_q, values
+    )
+    width = partition_count(active.df)
+    progress = _Progress(active, [], [])
+    while progress.active is not None and progress.active.rows:
+        _level(progress, rules, names, local_cells)
+    if progress.local:
+        together = stacked(progress.local, max(width, partition_count(progress.local[0])))
+        progress.done.append(materialise(_finish_locally(together, rules, names, progress.groups)))
+    columns = [*names, "_s", "_n", "_o", "_pid"]
+    if not progress.done:
+        return active.df.select(*columns)
+    return stacked([d.select(*columns) for d in progress.done], width)
 
 
 def _finish_locally(cells: DataFrame, rules: Rules, names: list[str], groups: int) -> DataFrame:
@@ -267,81 +288,7 @@ def _finish_locally(cells: DataFrame, rules: Rules, names: list[str], groups: in
     spark = cells.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), groups // 16)
 
-    def finish(group: pd.DataFrame) -> pd.DataFrame:
-        return _finish_group(group, rules, names)
+    def finish(group):
+        return finish_partition(group, rules, names)
 
     return cells.repartition(tasks, "_pid").groupBy("_pid").applyInPandas(finish, cells.schema)
-
-
-def _finish_group(group: pd.DataFrame, rules: Rules, names: list[str]) -> pd.DataFrame:
-    """All remaining splits of one bounded partition, on its cells in row order."""
-    group = group.sort_values("_o", kind="stable", ignore_index=True)
-    rows = group["_n"].to_numpy()
-    sensitive = pd.factorize(group["_s"], use_na_sentinel=False)[0]
-    columns = [
-        pd.factorize(group[c], use_na_sentinel=False)[0]
-        if i in rules.categorical
-        else group[c].to_numpy(dtype=float, na_value=np.nan)
-        for i, c in enumerate(names)
-    ]
-    if rules.model == "t":
-        q, rank, next_q = (
-            group[c].to_numpy(dtype=float, na_value=np.nan) for c in ("q", "rank", "next_q")
-        )
-
-    def span(i: int, part: np.ndarray) -> float:
-        if not rules.scale[i]:
-            return 0.0
-        if i in rules.categorical:
-            return pd.unique(columns[i][part]).size / rules.scale[i]
-        held = columns[i][part]
-        held = held[~np.isnan(held)]
-        return (held.max() - held.min()) / rules.scale[i] if held.size else 0.0
-
-    def left_half(i: int, part: np.ndarray) -> np.ndarray:
-        held = columns[i][part]
-        if i in rules.categorical:
-            seen = pd.unique(held)
-            return np.isin(held, seen[: seen.size // 2])
-        known = ~np.isnan(held)
-        if not known.any():
-            return known
-        by_value = np.argsort(held[known], kind="stable")
-        running = np.cumsum(rows[part][known][by_value])
-        pivot = held[known][by_value][np.searchsorted(running, running[-1] // 2, side="right")]
-        return held < pivot
-
-    def distance(part: np.ndarray) -> float:
-        known = part[~np.isnan(rank[part])]
-        if not known.size:
-            return rules.top_q if rules.values == "all" else 0.0
-        _, first, inverse = np.unique(rank[known], return_index=True, return_inverse=True)
-        at = known[first]
-        share = np.bincount(inverse, weights=rows[known]) / rows[part].sum()
-        found = np.abs(share - q[at]).max()
-        if rules.values == "present":
-            return found
-        gap = next_q[at][np.append(np.diff(rank[at]) != 1, True)].max()
-        return max(found, gap, rules.top_q if rank[at[0]] != 0 else 0.0)
-
-    def valid(part: np.ndarray) -> bool:
-        if rows[part].sum() < rules.k:
-            return False
-        if rules.model == "l":
-            return pd.unique(sensitive[part]).size >= rules.l
-        return rules.model != "t" or distance(part) <= rules.p
-
-    paths = np.empty(len(group), dtype=object)
-    open_parts = [(np.arange(len(group)), group["_pid"].iat[0])]
-    while open_parts:
-        part, path = open_parts.pop()
-        paths[part] = path
-        if rows[part].sum() < 2 * rules.k:
-            continue
-        for i in sorted(range(rules.features), key=lambda i: -span(i, part)):
-            mask = left_half(i, part)
-            left, right = part[mask], part[~mask]
-            if left.size and right.size and valid(left) and valid(right):
-                open_parts += [(left, path + "0"), (right, path + "1")]
-                break
-    return group.assign(_pid=paths)

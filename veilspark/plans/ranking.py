@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .skew import lookup_join
-from .storage import LIMITS, materialise
+from .storage import LIMITS, Stored, materialise, store
 
 
 def _sorted_blocks(df: DataFrame, group: list[str], keys: list, weight: str):
@@ -17,25 +17,24 @@ def _sorted_blocks(df: DataFrame, group: list[str], keys: list, weight: str):
     A block is one range partition of the sort. A group spans at most as many blocks as
     there are shuffle partitions, so the windows over blocks are short.
     """
-    rows = materialise(
-        df.orderBy(*group, *keys).withColumn("_block", F.spark_partition_id())
-    )
+    rows = materialise(df.orderBy(*group, *keys).withColumn("_block", F.spark_partition_id()))
     along = Window.partitionBy(*group).orderBy("_block")
     blocks = (
         rows.groupBy(*group, "_block")
         .agg(F.sum(weight).alias("_held"), F.count("*").alias("_width"))
         .withColumn("_before", F.sum("_held").over(along) - F.col("_held"))
         .withColumn("_total", F.sum("_held").over(Window.partitionBy(*group)))
+        .withColumn("_members", F.sum("_width").over(Window.partitionBy(*group)))
     )
     return rows, blocks
 
 
-def global_index(df: DataFrame, keys: list, out: str) -> DataFrame:
+def global_index(table: Stored, keys: list, out: str) -> DataFrame:
     """Add ``out`` = 0-based position of each row in the order of ``keys`` (unique)."""
-    df = materialise(df)
-    if df.count() <= LIMITS.window_rows:
-        return df.withColumn(out, F.row_number().over(Window.orderBy(*keys)).cast("bigint") - 1)
-    rows, blocks = _sorted_blocks(df.withColumn("_one", F.lit(1)), [], keys, "_one")
+    if table.rows <= LIMITS.window_rows:
+        place = F.row_number().over(Window.orderBy(*keys)).cast("bigint") - 1
+        return table.df.withColumn(out, place)
+    rows, blocks = _sorted_blocks(table.df.withColumn("_one", F.lit(1)), [], keys, "_one")
     inside = Window.partitionBy("_block").orderBy(*keys)
     return (
         rows.join(F.broadcast(blocks.select("_block", "_before")), "_block")
@@ -46,6 +45,7 @@ def global_index(df: DataFrame, keys: list, out: str) -> DataFrame:
 
 def at_ranks(
     df: DataFrame,
+    rows: int,
     group: list[str],
     keys: list[str],
     weight: str,
@@ -53,34 +53,39 @@ def at_ranks(
 ) -> DataFrame:
     """Per group, the keys at which the running weight first reaches each target.
 
-    ``df`` is materialised, with unique non-null ``keys`` per group; a target maps the
-    group's total weight to a rank counted from 1. Groups that are small everywhere are
-    ranked by a plain window; otherwise only the sorted block around each target is.
+    ``df`` reads a stored table of ``rows`` rows, with unique non-null ``keys`` per
+    group; a target maps the group's total weight to a rank counted from 1. Groups that
+    are small everywhere are ranked by a plain window; otherwise only the sorted block
+    around each target is. ``_members`` tells the number of rows per group.
     """
-    widest = df.groupBy(*group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if rows > LIMITS.window_rows:
+        widest = df.groupBy(*group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    else:
+        widest = rows
     if widest <= LIMITS.window_rows:
-        along = Window.partitionBy(*group).orderBy(*keys)
-        ranked = df.withColumn("_total", F.sum(weight).over(Window.partitionBy(*group)))
+        along, whole = Window.partitionBy(*group).orderBy(*keys), Window.partitionBy(*group)
+        ranked = df.withColumn("_total", F.sum(weight).over(whole))
+        ranked = ranked.withColumn("_members", F.count("*").over(whole))
         ranked = ranked.withColumn("_running", F.sum(weight).over(along))
     else:
-        rows, blocks = _sorted_blocks(df, group, keys, weight)
+        sorted_rows, blocks = _sorted_blocks(df, group, keys, weight)
         wanted = F.lit(False)
         for target in targets.values():
             rank = target(F.col("_total"))
             wanted = wanted | (
                 (F.col("_before") < rank) & (rank <= F.col("_before") + F.col("_held"))
             )
-        hits = materialise(blocks.where(wanted).drop("_held"))
+        hits = blocks.where(wanted).drop("_held")
         along = Window.partitionBy(*group, "_block").orderBy(*keys)
         ranked = lookup_join(
-            rows, hits, [*group, "_block"], "_width", [*group, *keys], "inner"
+            sorted_rows, hits, [*group, "_block"], "_width", [*group, *keys], "inner"
         ).withColumn("_running", F.col("_before") + F.sum(weight).over(along))
     picked = []
     for name, target in targets.items():
         rank = target(F.col("_total"))
         here = (F.col("_running") >= rank) & (F.col("_running") - F.col(weight) < rank)
         picked.append(F.max(F.when(here, F.struct(*keys))).alias(name))
-    return ranked.groupBy(*group).agg(*picked)
+    return ranked.groupBy(*group).agg(F.max("_members").alias("_members"), *picked)
 
 
 def lower_middle(total: Column) -> Column:
@@ -93,14 +98,13 @@ def upper_middle(total: Column) -> Column:
 
 def group_medians(df: DataFrame, group: list[str], column: str) -> DataFrame:
     """Exact interpolated median of a numeric column per group, nulls ignored."""
-    counted = materialise(
+    counted = store(
         df.where(F.col(column).isNotNull())
         .groupBy(*group, F.col(column).cast("double").alias("_value"))
         .agg(F.count("*").alias("_weight"))
     )
-    middle = at_ranks(
-        counted, group, ["_value"], "_weight", {"_low": lower_middle, "_high": upper_middle}
-    )
+    targets = {"_low": lower_middle, "_high": upper_middle}
+    middle = at_ranks(counted.df, counted.rows, group, ["_value"], "_weight", targets)
     low, high = F.col("_low._value"), F.col("_high._value")
     median = F.when(low == high, low).otherwise((low + high) / 2)
     return middle.select(*group, median.alias("median"))

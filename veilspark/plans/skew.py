@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import LIMITS, measure, small
-
-
-def _renamed(right: DataFrame, on: list[str]) -> DataFrame:
-    return right.withColumnsRenamed({c: f"_right_{c}" for c in on})
+from .storage import LIMITS, Stored, store
 
 
 def _condition(on: list[str], null_safe: bool) -> Column:
@@ -22,43 +18,51 @@ def _condition(on: list[str], null_safe: bool) -> Column:
 
 def lookup_join(
     left: DataFrame,
-    right: DataFrame,
+    right: DataFrame | Stored,
     on: list[str],
     weight: str,
     spread: list[str],
     how: str = "left",
     null_safe: bool = False,
+    rows: int | None = None,
 ) -> DataFrame:
-    """Attach ``right`` (materialised, one row per key) to the rows of ``left``.
+    """Attach ``right`` (one row per key) to the rows of ``left``.
 
     ``right[weight]`` is the number of left rows holding the key; the column is dropped.
-    A small right side is broadcast. Otherwise both sides are shuffled, and a key above
-    the heavy limit is spread over several salts derived from the ``spread`` columns of
-    the left side. At most ``heavy_keys`` keys can be heavy, so their list is broadcast.
+    ``rows`` is a proven bound on the rows of a narrow right side; if that is small the
+    side is broadcast as it is. Otherwise it is stored and measured. A small one is
+    broadcast; else both sides are shuffled, and a key above the heavy limit is spread
+    over several salts derived from the ``spread`` columns of the left side. At most
+    ``heavy_keys`` keys can be heavy, so their list is broadcast.
     """
-    size = measure(right, F.sum(weight).alias("total"), F.max(weight).alias("most"))
-    lookup = _renamed(right, on)
     keys = [f"_right_{c}" for c in on]
-    if small(size):
-        joined = left.join(F.broadcast(lookup.drop(weight)), _condition(on, null_safe), how)
-        return joined.drop(*keys)
-    share = max(LIMITS.heavy_rows, size["total"] // LIMITS.heavy_keys)
-    if size["most"] <= share:
-        return left.join(lookup.drop(weight), _condition(on, null_safe), how).drop(*keys)
-    salts = F.ceil(F.col(weight) / F.lit(share)).cast("int")
+    names = {c: f"_right_{c}" for c in on}
+    matches = _condition(on, null_safe)
+    if rows is not None and rows <= LIMITS.broadcast_rows:
+        lookup = right.df if isinstance(right, Stored) else right
+        small = F.broadcast(lookup.drop(weight).withColumnsRenamed(names))
+        return left.join(small, matches, how).drop(*keys)
+    if not isinstance(right, Stored):
+        right = store(right, weight)
+    lookup = right.df.withColumnsRenamed(names)
+    if right.small:
+        return left.join(F.broadcast(lookup.drop(weight)), matches, how).drop(*keys)
+    share = max(LIMITS.heavy_rows, right.size["total"] // LIMITS.heavy_keys)
+    if right.size["most"] <= share:
+        return left.join(lookup.drop(weight), matches, how).drop(*keys)
+    salts, none = F.ceil(F.col(weight) / F.lit(share)).cast("bigint"), F.lit(0).cast("bigint")
     heavy = lookup.where(F.col(weight) > share).select(*keys, salts.alias("_salts"))
+    salt = F.pmod(F.xxhash64(*spread), F.col("_salts"))
     salted = (
-        left.join(F.broadcast(heavy), _condition(on, null_safe), "left")
+        left.join(F.broadcast(heavy), matches, "left")
         .drop(*keys)
-        .withColumn(
-            "_salt",
-            F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_salts").cast("bigint")), F.lit(0)),
-        )
+        .withColumn("_salt", F.coalesce(salt, none))
         .drop("_salts")
     )
-    copies = F.when(F.col(weight) > share, F.sequence(F.lit(0), salts - 1)).otherwise(
-        F.array(F.lit(0))
+    copies = F.when(F.col(weight) > share, F.sequence(none, salts - 1)).otherwise(
+        F.array(none)
+    )
+    copied = lookup.withColumn("_right_salt", F.explode(copies)).drop(weight)
+    return salted.join(copied, matches & (F.col("_salt") == F.col("_right_salt")), how).drop(
+        *keys, "_salt", "_right_salt"
     )
-    spread_right = lookup.withColumn("_right_salt", F.explode(copies)).drop(weight)
-    condition = _condition(on, null_safe) & (F.col("_salt") == F.col("_right_salt"))
-    return salted.join(spread_right, condition, how).drop(*keys, "_salt", "_right_salt")

@@ -5,11 +5,10 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
-from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 class Limits:
     """Size bounds that choose between a small-side plan and a distributed one."""
 
-    broadcast_rows: int = 1_000_000
+    broadcast_rows: int = 500_000
     broadcast_bytes: int = 64 << 20
     window_rows: int = 1_000_000
     heavy_rows: int = 1_000_000
@@ -41,75 +40,101 @@ def scratch_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-class _Scopes(threading.local):
+@dataclass
+class Stored:
+    """A table written to the scratch folder, with what was measured while writing it."""
+
+    df: DataFrame
+    path: str
+    size: dict
+
+    @property
+    def rows(self) -> int:
+        return self.size["rows"]
+
+    @property
+    def small(self) -> bool:
+        return self.rows <= LIMITS.broadcast_rows and self.size["bytes"] <= LIMITS.broadcast_bytes
+
+    def drop(self) -> None:
+        spark = self.df.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class _Open(threading.local):
     def __init__(self):
-        self.open: list[list[str]] = []
+        self.scopes: list[list[Stored]] = []
 
 
-_scopes = _Scopes()
+_open = _Open()
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write once to the shared checkpoint folder and read back.
+class Scratch:
+    """Tables stored inside the ``with`` block are deleted at its end, unless kept."""
 
-    Gives a short lineage that survives lost executors, the same rows on every read,
-    true sizes for the optimizer, and column pruning for the steps that follow.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if _scopes.open:
-        _scopes.open[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    def __enter__(self) -> Scratch:
+        self.tables: list[Stored] = []
+        _open.scopes.append(self.tables)
+        return self
 
+    def keep(self, table: Stored) -> Stored:
+        self.tables.remove(table)
+        if len(_open.scopes) > 1:
+            _open.scopes[-2].append(table)
+        return table
 
-@contextmanager
-def scratch_tables(spark: SparkSession):
-    """Delete the tables materialised inside the block when it ends.
+    def __exit__(self, *_) -> None:
+        _open.scopes.remove(self.tables)
+        for table in self.tables:
+            table.drop()
 
-    Yields a function that hands a table over to the enclosing block instead.
-    """
-    paths: list[str] = []
-    _scopes.open.append(paths)
-
-    def keep(df: DataFrame) -> DataFrame:
-        kept = paths.pop()
-        if len(_scopes.open) > 1:
-            _scopes.open[-2].append(kept)
-        return df
-
-    try:
-        yield lambda df: keep(materialise(df))
-    finally:
-        _scopes.open.pop()
-        for path in paths:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def measure(df: DataFrame, *extra) -> dict:
-    """Rows, approximate bytes and any further aggregates of ``df`` in one job."""
-    width = F.lit(8 * len(df.columns))
+
+def _row_bytes(df: DataFrame) -> Column:
+    width = F.lit(8 * len(df.columns)).cast("bigint")
     for name, kind in df.dtypes:
         if kind in ("string", "binary"):
-            width = width + F.coalesce(F.octet_length(F.col(name)), F.lit(0))
-    row = df.agg(
-        F.count("*").alias("rows"), F.sum(width.cast("bigint")).alias("bytes"), *extra
-    ).first()
-    return {k: v or 0 for k, v in row.asDict().items()}
+            width = width + F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0))
+    return width
+
+
+def _metrics(df: DataFrame, weight: str | None, extra: dict[str, Column]) -> list[Column]:
+    found = [F.count(F.lit(1)).alias("rows"), F.sum(_row_bytes(df)).alias("bytes")]
+    if weight:
+        found += [F.sum(weight).alias("total"), F.max(weight).alias("most")]
+    return found + [c.alias(n) for n, c in extra.items()]
 
 
-def small(size: dict) -> bool:
-    return size["rows"] <= LIMITS.broadcast_rows and size["bytes"] <= LIMITS.broadcast_bytes
+def store(df: DataFrame, weight: str | None = None, **extra: Column) -> Stored:
+    """Write once to the shared checkpoint folder, measure on the way, and read back.
+
+    Gives a short lineage that survives lost executors, the same rows on every read,
+    true sizes for the optimizer, and column pruning for the steps that follow.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_folder(spark)}/table-{uuid.uuid4().hex}"
+    seen = Observation()
+    df.observe(seen, *_metrics(df, weight, extra)).write.parquet(path)
+    size = {k: v or 0 for k, v in seen.get.items()}
+    table = Stored(spark.read.schema(df.schema).parquet(path), path, size)
+    if _open.scopes:
+        _open.scopes[-1].append(table)
+    return table
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    return store(df).df
 
 
 def fits_broadcast(df: DataFrame) -> bool:
     """True if a table is proven small enough to send to every executor."""
-    return small(measure(df.limit(LIMITS.broadcast_rows + 1)))
+    some = df.limit(LIMITS.broadcast_rows + 1)
+    size = some.agg(*_metrics(df, None, {})).first()
+    return size.rows <= LIMITS.broadcast_rows and (size.bytes or 0) <= LIMITS.broadcast_bytes
 
 
 def partition_count(df: DataFrame) -> int:
-    """Number of partitions of a materialised table."""
+    """Number of partitions of a stored table."""
     return max(1, df.rdd.getNumPartitions())
 
 
