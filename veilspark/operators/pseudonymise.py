@@ -122,13 +122,18 @@ def pseudonymise_email(
     key = secrets.token_hex(32)
     split = df.withColumns({f"_{k}": c for k, c in parts.items()})
     tokens = []
+    pairs = [F.struct(F.lit(k).alias("kind"), c.alias("part")) for k, c in parts.items()]
+    distinct = store(
+        df.select(F.inline(F.array(*pairs))).where("part is not null").distinct(),
+        **{k: F.count_if(F.col("kind") == k) for k in parts},
+    )
     for kind in parts:
-        distinct = store(df.select(parts[kind].alias("part")).where("part is not null").distinct())
-        length = _token_length(kind, distinct.rows)
-        bumps = _redrawn_parts(distinct.df, kind, key, length)
+        own = distinct.df.where(F.col("kind") == kind).select("part")
+        length = _token_length(kind, distinct.size[kind])
+        bumps = _redrawn_parts(own, kind, key, length)
         while not bumps.small:
             length += 1
-            bumps = _redrawn_parts(distinct.df, kind, key, length)
+            bumps = _redrawn_parts(own, kind, key, length)
         redrawn = bumps.df.select(F.col("part").alias("_part"), F.col("attempt").alias(f"_try_{kind}"))
         split = split.join(F.broadcast(redrawn), F.col(f"_{kind}") == F.col("_part"), "left")
         split = split.drop("_part")

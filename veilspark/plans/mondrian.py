@@ -128,16 +128,24 @@ def _halves(cells: DataFrame, rules: Rules, names: list[str], attempt: int, pids
         ["_o", "_s"],
         null_safe=True,
     )
-    return store(joined.drop("_number", "_text"), open=F.count_if(~F.col("_valid")))
+    return store(joined.drop("_number", "_text"), refused=F.count_if(~F.col("_valid")))
 
 
-def _model_verdict(halves: Stored, rules: Rules, pids: int) -> tuple[DataFrame, bool]:
-    """Keep ``_valid`` only where both halves also satisfy the l or t condition.
+@dataclass
+class _Attempt:
+    """Cells with their half and a final ``_valid``, and the tables these are read from."""
 
-    Also tells whether any partition is left without a valid split.
-    """
-    if rules.model == "k":
-        return halves.df, halves.size["open"] > 0
+    decided: DataFrame
+    tables: list[Stored]
+    some_valid: bool
+    some_refused: bool
+
+
+def _judged(halves: Stored, rules: Rules, pids: int) -> _Attempt:
+    """Leave ``_valid`` set only where both halves also satisfy the l or t condition."""
+    refused = halves.size["refused"]
+    if rules.model == "k" or refused == halves.rows:
+        return _Attempt(halves.df, [halves], refused < halves.rows, refused > 0)
     keys = ["_pid", "_left"]
     sized = halves.df.where("_valid")
     if rules.model == "l":
@@ -162,31 +170,35 @@ def _model_verdict(halves: Stored, rules: Rules, pids: int) -> tuple[DataFrame,
     verdict = store(
         kept.groupBy("_pid").agg(F.min("_fits").alias("_fits"), F.sum("_held").alias("_held")),
         weight="_held",
-        refused=F.count_if(~F.col("_fits")),
+        unfit=F.count_if(~F.col("_fits")),
     )
     joined = lookup_join(halves.df, verdict, ["_pid"], "_held", ["_o", "_s"], rows=pids)
     decided = joined.withColumn("_valid", F.col("_valid") & F.coalesce("_fits", F.lit(False)))
-    return decided.drop("_fits"), halves.size["open"] > 0 or verdict.size["refused"] > 0
+    unfit = verdict.size["unfit"]
+    return _Attempt(
+        decided.drop("_fits"), [halves, verdict], unfit < verdict.rows, refused > 0 or unfit > 0
+    )
 
 
 def _split_level(cells: DataFrame, rules: Rules, names: list[str], pids: int):
     """Split every open partition on its first feature with two valid halves.
 
-    Returns the children's cells, one table per attempt, and the cells of partitions
-    without a valid split (None if there are none).
+    Returns the children's cells per attempt, the stored tables they are read from, and
+    the cells of partitions without a valid split (None if there are none).
     """
     state = cells.columns
-    children = []
+    step = F.when(F.col("_left"), "0").otherwise("1")
+    children, tables = [], []
     for attempt in range(rules.features):
-        halves = _halves(cells, rules, names, attempt, pids)
-        decided, more = _model_verdict(halves, rules, pids)
-        step = F.when(F.col("_left"), "0").otherwise("1")
-        split = decided.where("_valid").withColumn("_pid", F.concat("_pid", step))
-        children.append(split.select(*state))
-        if not more:
-            return children, None
-        cells = decided.where("not _valid").select(*state)
-    return children, cells
+        tried = _judged(_halves(cells, rules, names, attempt, pids), rules, pids)
+        if tried.some_valid:
+            split = tried.decided.where("_valid").withColumn("_pid", F.concat("_pid", step))
+            children.append(split.select(*state))
+            tables += tried.tables
+        if not tried.some_refused:
+            return children, tables, None
+        cells = tried.decided.where("not _valid").select(*state)
+    return children, tables, cells
 
 
 def _with_shares(cells: DataFrame, names: list[str]) -> tuple[DataFrame, float]:
@@ -199,33 +211,31 @@ def _with_shares(cells: DataFrame, names: list[str]) -> tuple[DataFrame, float]:
 
 @dataclass
 class _Progress:
-    """What a level leaves behind; ``groups`` counts the partitions to finish locally."""
+    """What a level leaves behind: open cells (None at the end) with the tables they are
+    read from, settled cells, and cells of ``groups`` partitions to finish locally."""
 
-    active: Stored | None
+    active: DataFrame | None
+    tables: list[Stored]
     done: list[DataFrame]
     local: list[DataFrame]
     groups: int = 0
 
 
-def _level(progress: _Progress, rules: Rules, names: list[str], local_cells: int) -> None:
+def _level(progress: _Progress, rules: Rules, names: list[str], local_cells: int, width: int) -> None:
     """Split all active partitions once; move those that are settled out of the way."""
-    active = progress.active
-    state = active.df.columns
+    active, tables = progress.active, progress.tables
+    state = active.columns
     fate = (
         F.when(F.col("_rows") < 2 * rules.k, "done")
         .when(F.col("_cells") <= local_cells, "local")
         .otherwise("split")
     )
-    stats = _partition_stats(active.df, rules, names).withColumn("_fate", fate).drop("_rows")
-    fates = ("done", "local", "split")
+    stats = _partition_stats(active, rules, names).withColumn("_fate", fate).drop("_rows")
+    counted = {f: F.count_if(F.col("_fate") == f) for f in ("done", "local", "split")}
+    progress.active, progress.tables, done = None, [], []
     with Scratch() as scratch:
-        stats = store(
-            stats, "_cells", **{f: F.count_if(F.col("_fate") == f) for f in fates}
-        )
-        tagged = lookup_join(active.df, stats, ["_pid"], "_cells", ["_o", "_s"])
-        width = partition_count(active.df)
-        done = []
-        progress.active = None
+        stats = store(stats, "_cells", **counted)
+        tagged = lookup_join(active, stats, ["_pid"], "_cells", ["_o", "_s"])
         if stats.size["done"]:
             done.append(tagged.where("_fate = 'done'").select(*state))
         if stats.size["local"]:
@@ -236,15 +246,16 @@ def _level(progress: _Progress, rules: Rules, names: list[str], local_cells: int
             cells = tagged.where("_fate = 'split'").select(*state, "_order")
             if not stats.small:
                 cells = materialise(cells)
-            children, unsplit = _split_level(cells, rules, names, stats.size["split"])
+            children, read, unsplit = _split_level(cells, rules, names, stats.size["split"])
             if unsplit is not None:
                 done.append(unsplit.select(*state))
-            following = store(stacked(children, width).select(*state))
-            if following.rows:
-                progress.active = scratch.keep(following)
+            if children:
+                progress.active = stacked(children, width).select(*state)
+                progress.tables = [scratch.keep(t) for t in read]
         if done:
             progress.done.append(scratch.keep(store(stacked(done, width))).df)
-    active.drop()
+    for table in tables:
+        table.drop()
 
 
 def partition_cells(
@@ -265,21 +276,21 @@ def partition_cells(
     top_q = 0.0
     if model == "t":
         cells, top_q = _with_shares(materialise(cells), names)
-    active = store(cells.withColumn("_pid", F.lit("")))
-    full = active.df.agg(*spans).first()
+    start = store(cells.withColumn("_pid", F.lit("")))
+    full = start.df.agg(*spans).first()
     rules = Rules(
         model, spec.k, spec.l, spec.p, categorical, len(names), tuple(full), top_q, values
     )
-    width = partition_count(active.df)
-    progress = _Progress(active, [], [])
-    while progress.active is not None and progress.active.rows:
-        _level(progress, rules, names, local_cells)
+    width = partition_count(start.df)
+    progress = _Progress(start.df if start.rows else None, [start], [], [])
+    while progress.active is not None:
+        _level(progress, rules, names, local_cells, width)
     if progress.local:
-        together = stacked(progress.local, max(width, partition_count(progress.local[0])))
+        together = stacked(progress.local, width)
         progress.done.append(materialise(_finish_locally(together, rules, names, progress.groups)))
     columns = [*names, "_s", "_n", "_o", "_pid"]
     if not progress.done:
-        return active.df.select(*columns)
+        return start.df.select(*columns)
     return stacked([d.select(*columns) for d in progress.done], width)
 
 
