@@ -360,7 +360,7 @@ MONDRIAN_FEATURES = ("age", "country", "balance")
 MONDRIAN_K, MONDRIAN_L, MONDRIAN_P = 25, 4, 0.15
 
 
-def mondrian(model: str, local_cells: int = 50_000) -> Query:
+def mondrian(model: str, local_cells: int = 200_000) -> Query:
     def run(spark, sf):
         people = view(spark, sf, "people").select("id", *MONDRIAN_FEATURES, "segment")
         spec = spec_for(

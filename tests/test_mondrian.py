@@ -6,6 +6,7 @@ import statistics
 import pytest
 
 from veilspark import PrivacySpec, anonymise, audit_classes, partition, violations
+from veilspark.plans import mondrian
 
 SCHEMA = "id bigint, q1 double, q2 string, q3 bigint, s string"
 
@@ -160,6 +161,14 @@ def test_max_partitions_keeps_that_many(spark):
     assert out.select("partition_id").distinct().count() == 3
 
 
+def test_splitting_before_finishing_changes_nothing(spark, monkeypatch):
+    df = spark.createDataFrame(table(9, 400), SCHEMA)
+    spec = spec_for(df, k=5)
+    whole = found_partitions(partition(df, spec, "t"))
+    monkeypatch.setattr(mondrian, "SERIAL_CELLS", 0)
+    assert whole == found_partitions(partition(df, spec, "t"))
+
+
 def test_unknown_model_and_numeric_sensitive(spark):
     df = spark.createDataFrame(table(1, 10), SCHEMA)
     with pytest.raises(ValueError):

@@ -121,37 +121,56 @@ def label_columns(
 ) -> DataFrame:
     """Label table ``(name, ratio, type, identifier)`` of the columns of ``df``.
 
-    Every column is turned into ``(name, value)`` pairs and all detectors are summed per
-    name in one map-side aggregation; only one row per column and task is shuffled.
+    Every column is turned into ``(name, value)`` pairs, and the pairs are counted per name
+    and set of detectors that hit. There are few such sets, so the map-side aggregation
+    leaves next to nothing to shuffle.
     Dictionary detectors run for the dictionaries given (``names``, ``diseases``,
     ``diseases_hu``, ``countries``). Labels of ``existing`` are kept unless the same
     column and type was found again.
     """
     dictionaries = dictionaries or {}
     columns = columns or df.columns
-    pairs = (
-        df.select(*text_columns(df, columns))
-        .unpivot([], [F.col(f"`{c}`") for c in columns], "name", "value")
-        .where(F.col("value").isNotNull())
-    )
+    entries = [
+        F.struct(F.lit(c).alias("name"), text.alias("value"))
+        for c, text in zip(columns, text_columns(df, columns))
+    ]
+    pairs = df.select(F.inline(F.array(*entries))).where(F.col("value").isNotNull())
     active = [
         d for d in DETECTORS.values() if not d.dictionary or d.dictionary in dictionaries
     ]
-    sums, hits = [F.count("*").alias("_rows"), *_age_parts(F.col("name"), F.col("value"))], []
+    bits = F.lit(0).cast("bigint")
     for i, detector in enumerate(active):
         if detector.test:
-            sums.append(F.count_if(detector.test(F.col("value"))).alias(f"_hits{i}"))
+            flag = detector.test(F.col("value"))
         elif detector.dictionary:
             key = "_folded" if detector.fold else "_lower"
             if key not in pairs.columns:
                 pairs = pairs.withColumn(key, _key(F.col("value"), detector))
             terms = dictionaries[detector.dictionary]
             pairs = _membership(pairs, key, detector, terms, f"_flag{i}")
-            sums.append(F.count_if(f"_flag{i}").alias(f"_hits{i}"))
-        hits.append(F.col(f"_hits{i}"))
-    profile = pairs.groupBy("name").agg(*sums)
+            flag = F.col(f"_flag{i}")
+        else:
+            continue
+        bits = bits + F.when(flag, F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    patterns = (
+        pairs.select("name", "value", bits.alias("_bits"))
+        .groupBy("name", "_bits")
+        .agg(F.count("*").alias("_rows"), *_age_parts(F.col("name"), F.col("value")))
+    )
+    hits = [
+        F.sum(F.when(F.col("_bits").bitwiseAND(1 << i) != 0, F.col("_rows")).otherwise(0)).alias(f"_hits{i}")
+        for i in range(len(active))
+    ]
+    profile = patterns.groupBy("name").agg(
+        F.sum("_rows").alias("_rows"),
+        F.sum("_unparsed").alias("_unparsed"),
+        F.min("_low").alias("_low"),
+        F.max("_high").alias("_high"),
+        *hits,
+    )
     outcomes = []
-    for detector, hit in zip(active, hits):
+    for i, detector in enumerate(active):
+        hit = F.col(f"_hits{i}")
         if not detector.test and not detector.dictionary:
             hit = _age_hits(F.col("name"), *map(F.col, ("_rows", "_unparsed", "_low", "_high")))
         outcomes.append(

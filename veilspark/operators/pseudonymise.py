@@ -57,36 +57,45 @@ def _token_length(kind: str, parts: int) -> int:
     return length
 
 
-def _redrawn_parts(parts: DataFrame, kind: str, key: str, length: int) -> Stored:
+def _drawn(kind_lengths: dict[str, int], key: str) -> Column:
+    """Token of a ``(kind, part, attempt)`` row."""
+    token = F.lit(None).cast("string")
+    for kind, length in kind_lengths.items():
+        own = _short_token(F.col("part"), kind, key, F.col("attempt"), length)
+        token = F.when(F.col("kind") == kind, own).otherwise(token)
+    return token
+
+
+def _redrawn_parts(parts: DataFrame, key: str, lengths: dict[str, int]) -> Stored:
     """Parts whose first token belongs to another part, with the attempt that is unique.
 
-    ``parts`` holds distinct values. Of equal tokens the earliest attempt and smallest
-    part keeps it; the others draw again until all tokens differ.
+    ``parts`` holds distinct ``(kind, part)``. Of equal tokens the earliest attempt and
+    smallest part keeps it; the others draw again until all tokens of a kind differ.
     """
-    drawn = parts.select("part", F.lit(0).alias("attempt"))
-    bumps = None
+    same = ["kind", "part"]
+    drawn, bumps = parts.withColumn("attempt", F.lit(0)), None
     while True:
-        tokens = drawn.withColumn("token", _short_token(F.col("part"), kind, key, F.col("attempt"), length))
+        tokens = drawn.withColumn("token", _drawn(lengths, key))
         shared = (
-            tokens.groupBy("token")
+            tokens.groupBy("kind", "token")
             .agg(F.min(F.struct("attempt", "part")).alias("owner"), F.count("*").alias("n"))
             .where("n > 1")
         )
         losers = store(
-            tokens.join(shared, "token")
+            tokens.join(shared, ["kind", "token"])
             .where(F.struct("attempt", "part") != F.col("owner"))
-            .select("part", (F.col("attempt") + 1).alias("attempt"))
+            .select(*same, (F.col("attempt") + 1).alias("attempt"))
         )
         if not losers.rows:
             return bumps or losers
         if bumps is None:
             bumps = losers
         else:
-            kept = bumps.df.join(losers.df.select("part"), "part", "left_anti")
+            kept = bumps.df.join(losers.df.select(*same), same, "left_anti")
             bumps = store(kept.unionByName(losers.df))
         redrawn = bumps.df.withColumnRenamed("attempt", "redrawn")
-        drawn = parts.join(redrawn, "part", "left").select(
-            "part", F.coalesce("redrawn", F.lit(0)).alias("attempt")
+        drawn = parts.join(redrawn, same, "left").select(
+            *same, F.coalesce("redrawn", F.lit(0)).alias("attempt")
         )
 
 
@@ -127,17 +136,20 @@ def pseudonymise_email(
         df.select(F.inline(F.array(*pairs))).where("part is not null").distinct(),
         **{k: F.count_if(F.col("kind") == k) for k in parts},
     )
-    for kind in parts:
-        own = distinct.df.where(F.col("kind") == kind).select("part")
-        length = _token_length(kind, distinct.size[kind])
-        bumps = _redrawn_parts(own, kind, key, length)
-        while not bumps.small:
-            length += 1
-            bumps = _redrawn_parts(own, kind, key, length)
-        redrawn = bumps.df.select(F.col("part").alias("_part"), F.col("attempt").alias(f"_try_{kind}"))
-        split = split.join(F.broadcast(redrawn), F.col(f"_{kind}") == F.col("_part"), "left")
-        split = split.drop("_part")
-        attempt = F.coalesce(F.col(f"_try_{kind}"), F.lit(0))
+    lengths = {kind: _token_length(kind, distinct.size[kind]) for kind in parts}
+    bumps = _redrawn_parts(distinct.df, key, lengths)
+    while not bumps.small:
+        lengths = {kind: n + 1 for kind, n in lengths.items()}
+        bumps = _redrawn_parts(distinct.df, key, lengths)
+    for kind, length in lengths.items():
+        attempt = F.lit(0)
+        if bumps.rows:
+            redrawn = bumps.df.where(F.col("kind") == kind).select(
+                F.col("part").alias("_part"), F.col("attempt").alias(f"_try_{kind}")
+            )
+            split = split.join(F.broadcast(redrawn), F.col(f"_{kind}") == F.col("_part"), "left")
+            split = split.drop("_part")
+            attempt = F.coalesce(F.col(f"_try_{kind}"), F.lit(0))
         tokens.append(_short_token(F.col(f"_{kind}"), kind, key, attempt, length))
     local, domain, tld = tokens
     usable = F.when(

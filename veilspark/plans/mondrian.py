@@ -8,7 +8,8 @@ finished there. Every level is checkpointed.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,8 @@ from .ranking import at_ranks, upper_middle
 from .skew import lookup_join
 from .storage import Scratch, Stored, materialise, partition_count, stacked, store
 
-LOCAL_CELLS = 50_000
+LOCAL_CELLS = 200_000
+SERIAL_CELLS = 10_000
 
 
 @dataclass(frozen=True)
@@ -212,13 +214,15 @@ def _with_shares(cells: DataFrame, names: list[str]) -> tuple[DataFrame, float]:
 @dataclass
 class _Progress:
     """What a level leaves behind: open cells (None at the end) with the tables they are
-    read from, settled cells, and cells of ``groups`` partitions to finish locally."""
+    read from, settled cells, and the ``local_rows`` cells of ``groups`` partitions to
+    finish locally."""
 
     active: DataFrame | None
     tables: list[Stored]
     done: list[DataFrame]
     local: list[DataFrame]
     groups: int = 0
+    local_rows: int = 0
 
 
 def _level(progress: _Progress, rules: Rules, names: list[str], local_cells: int, width: int) -> None:
@@ -242,6 +246,7 @@ def _level(progress: _Progress, rules: Rules, names: list[str], local_cells: int
             bounded = store(tagged.where("_fate = 'local'").select(*state))
             progress.local.append(scratch.keep(bounded).df)
             progress.groups += stats.size["local"]
+            progress.local_rows += bounded.rows
         if stats.size["split"]:
             cells = tagged.where("_fate = 'split'").select(*state, "_order")
             if not stats.small:
@@ -283,23 +288,37 @@ def partition_cells(
     )
     width = partition_count(start.df)
     progress = _Progress(start.df if start.rows else None, [start], [], [])
+    if 0 < start.rows <= local_cells:
+        progress = _Progress(None, [], [], [start.df], 1, start.rows)
     while progress.active is not None:
         _level(progress, rules, names, local_cells, width)
     if progress.local:
         together = stacked(progress.local, width)
-        progress.done.append(materialise(_finish_locally(together, rules, names, progress.groups)))
+        finished = _finish_locally(together, rules, names, progress.groups, progress.local_rows)
+        progress.done.append(materialise(finished))
     columns = [*names, "_s", "_n", "_o", "_pid"]
     if not progress.done:
         return start.df.select(*columns)
     return stacked([d.select(*columns) for d in progress.done], width)
 
 
-def _finish_locally(cells: DataFrame, rules: Rules, names: list[str], groups: int) -> DataFrame:
-    """Finish bounded partitions, one task group each, spread over all cores."""
+def _finish_locally(cells: DataFrame, rules: Rules, names: list[str], groups: int, rows: int) -> DataFrame:
+    """Finish bounded partitions, one task group each, spread over all cores.
+
+    Fewer groups than would keep the cores busy are first split in one task each until
+    there are enough of them.
+    """
     spark = cells.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), groups // 16)
+    cores = spark.sparkContext.defaultParallelism
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), cores, groups // 16)
+    plain = SimpleNamespace(**asdict(rules))
+
+    def step(stop_at):
+        return lambda group: finish_partition(group, plain, names, stop_at)
 
-    def finish(group):
-        return finish_partition(group, rules, names)
+    def grouped(df):
+        return df.repartition(tasks, "_pid").groupBy("_pid")
 
-    return cells.repartition(tasks, "_pid").groupBy("_pid").applyInPandas(finish, cells.schema)
+    if groups < 2 * cores and rows > SERIAL_CELLS:
+        cells = grouped(cells).applyInPandas(step(rows // (8 * cores)), cells.schema)
+    return grouped(cells).applyInPandas(step(0), cells.schema)
