@@ -135,6 +135,14 @@ def test_age_is_a_column_test(spark, name, values, expected):
 
 
 def test_labels(spark, names):
+    check_labels(spark, names)
+
+
+def test_labels_with_dictionaries_too_large_to_broadcast(spark, names, tiny_limits):
+    check_labels(spark, names)
+
+
+def check_labels(spark, names):
     rows = [("Anna", 5, "a@b.hu", 8000000008.0), ("x", 7, None, None), ("y", 9, "q", 1.5)]
     df = spark.createDataFrame(rows, "who string, kor int, mail string, tax double")
     dictionaries = {

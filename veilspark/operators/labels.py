@@ -54,22 +54,39 @@ def _values_containing(values: DataFrame, key: str, terms: DataFrame) -> DataFra
     )
 
 
-def _membership(df: DataFrame, key: str, detector: Detector, terms: DataFrame, out: str):
-    """Add a boolean column: the key is in (or contains a term of) the dictionary."""
+def _bounded_flag(
+    df: DataFrame, key: str, detector: Detector, terms: DataFrame, out: str
+) -> DataFrame | None:
+    """Add a boolean column, the key is in (or contains a term of) a dictionary that is
+    proven small; None if it is not."""
     if detector.contains:
         pattern = _pattern(terms)
-        if pattern is not None:
-            return df.withColumn(out, F.coalesce(F.col(key).rlike(pattern), F.lit(False)))
-    elif fits_broadcast(terms):
-        listed = F.broadcast(terms.select(F.col("term").alias("_term")).distinct())
-        joined = df.join(listed, F.col(key) == F.col("_term"), "left")
-        return joined.withColumn(out, F.col("_term").isNotNull()).drop("_term")
-    values = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_held"))
+        if pattern is None:
+            return None
+        return df.withColumn(out, F.coalesce(F.col(key).rlike(pattern), F.lit(False)))
+    if not fits_broadcast(terms):
+        return None
+    listed = F.broadcast(terms.select(F.col("term").alias("_term")).distinct())
+    joined = df.join(listed, F.col(key) == F.col("_term"), "left")
+    return joined.withColumn(out, F.col("_term").isNotNull()).drop("_term")
+
+
+def _matching(held: DataFrame, key: str, detector: Detector, terms: DataFrame) -> DataFrame:
+    """Those rows of ``held``, counted values, whose key a dictionary of any size matches."""
     if detector.contains:
-        hits = _values_containing(values, key, terms)
+        hits = _values_containing(held.select(key).distinct(), key, terms)
     else:
         hits = terms.select(F.col("term").alias(key)).distinct()
-    hits = values.join(hits, key, "left_semi").withColumn("_hit", F.lit(True))
+    return held.join(hits, key, "left_semi")
+
+
+def _unbounded_flag(
+    df: DataFrame, key: str, detector: Detector, terms: DataFrame, out: str
+) -> DataFrame:
+    """As ``_bounded_flag`` for a dictionary of any size: distinct values are matched, and
+    the rows look up the outcome with frequent values spread over tasks."""
+    held = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_held"))
+    hits = _matching(held, key, detector, terms).withColumn("_hit", F.lit(True))
     spread = [c for c, kind in df.dtypes if not kind.startswith("map")]
     joined = lookup_join(df, hits, [key], "_held", spread)
     return joined.withColumn(out, F.coalesce("_hit", F.lit(False))).drop("_hit")
@@ -106,7 +123,10 @@ def with_flag(
         if dictionary is None:
             raise ValueError(f"detector {label!r} needs a dictionary")
         keyed = df.withColumn("_key", _key(value, detector))
-        return _membership(keyed, "_key", detector, dictionary, out).drop("_key")
+        flagged = _bounded_flag(keyed, "_key", detector, dictionary, out)
+        if flagged is None:
+            flagged = _unbounded_flag(keyed, "_key", detector, dictionary, out)
+        return flagged.drop("_key")
     parts = df.select(value.alias("_v")).agg(F.count("_v").alias("_rows"), *_age_parts(F.lit(col), F.col("_v")))
     hits = _age_hits(F.lit(col), F.col("_rows"), F.col("_unparsed"), F.col("_low"), F.col("_high"))
     is_age = parts.select((hits > 0).alias("is_age")).scalar()
@@ -123,7 +143,8 @@ def label_columns(
 
     Every column is turned into ``(name, value)`` pairs, and the pairs are counted per name
     and set of detectors that hit. There are few such sets, so the map-side aggregation
-    leaves next to nothing to shuffle.
+    leaves next to nothing to shuffle. A dictionary that is not proven small is matched
+    against counted distinct values instead.
     Dictionary detectors run for the dictionaries given (``names``, ``diseases``,
     ``diseases_hu``, ``countries``). Labels of ``existing`` are kept unless the same
     column and type was found again.
@@ -138,7 +159,7 @@ def label_columns(
     active = [
         d for d in DETECTORS.values() if not d.dictionary or d.dictionary in dictionaries
     ]
-    bits = F.lit(0).cast("bigint")
+    bits, counted_apart = F.lit(0).cast("bigint"), {}
     for i, detector in enumerate(active):
         if detector.test:
             flag = detector.test(F.col("value"))
@@ -147,8 +168,13 @@ def label_columns(
             if key not in pairs.columns:
                 pairs = pairs.withColumn(key, _key(F.col("value"), detector))
             terms = dictionaries[detector.dictionary]
-            pairs = _membership(pairs, key, detector, terms, f"_flag{i}")
-            flag = F.col(f"_flag{i}")
+            flagged = _bounded_flag(pairs, key, detector, terms, f"_flag{i}")
+            if flagged is None:
+                held = pairs.groupBy("name", key).agg(F.count("*").alias("_held"))
+                found = _matching(held, key, detector, terms).groupBy("name")
+                counted_apart[i] = found.agg(F.sum("_held").alias("_hits"))
+                continue
+            pairs, flag = flagged, F.col(f"_flag{i}")
         else:
             continue
         bits = bits + F.when(flag, F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
@@ -160,6 +186,7 @@ def label_columns(
     hits = [
         F.sum(F.when(F.col("_bits").bitwiseAND(1 << i) != 0, F.col("_rows")).otherwise(0)).alias(f"_hits{i}")
         for i in range(len(active))
+        if i not in counted_apart
     ]
     profile = patterns.groupBy("name").agg(
         F.sum("_rows").alias("_rows"),
@@ -168,6 +195,9 @@ def label_columns(
         F.max("_high").alias("_high"),
         *hits,
     )
+    for i, found in counted_apart.items():
+        found = found.withColumnRenamed("_hits", f"_hits{i}")
+        profile = profile.join(found, "name", "left").na.fill(0, [f"_hits{i}"])
     outcomes = []
     for i, detector in enumerate(active):
         hit = F.col(f"_hits{i}")
