@@ -88,9 +88,9 @@ def test_cells(spark):
 
 def test_scraped_records(spark, tmp_path):
     path = tmp_path / "records.json"
-    path.write_text(json.dumps([{"alapbetegsegek": ["Asztma", " flu "]}, {"alapbetegsegek": ["ASZTMA", ""]}]))
-    records = read_records(spark, str(path), "alapbetegsegek")
-    assert [r.term for r in build_dictionary(records, "alapbetegsegek").collect()] == ["asztma", "flu"]
+    path.write_text(json.dumps([{"terms": ["Asztma", " flu "]}, {"terms": ["ASZTMA", ""]}]))
+    records = read_records(spark, str(path), "terms")
+    assert [r.term for r in build_dictionary(records, "terms").collect()] == ["asztma", "flu"]
 
 
 def test_spec_defaults(spark):
