@@ -38,14 +38,19 @@ def _digest(part: Column, kind: str, key: str) -> Column:
     return F.sha2(F.concat(F.lit(f"{key}:{kind}:"), part), 256)
 
 
-def _short_token(part: Column, kind: str, key: str, attempt: Column, length: int) -> Column:
-    """Alphanumeric token: each letter is chosen by 16 bits of a keyed digest."""
+def _draw(part: Column, kind: Column, key: str, attempt: Column) -> Column:
+    """Digest that fixes a part's token; to be a column of its own, as it is read often."""
+    return F.sha2(
+        F.concat(F.lit(f"{key}:"), kind, F.lit(":"), attempt.cast("string"), F.lit(":"), part), 256
+    )
+
+
+def _letters(digest: Column, length: int) -> Column:
+    """Alphanumeric token of up to 16 letters, each chosen by 16 bits of the digest."""
     letters = []
-    for start in range(0, length, 16):
-        bits = _digest(F.concat_ws(":", attempt.cast("string"), F.lit(str(start)), part), kind, key)
-        for i in range(min(16, length - start)):
-            number = F.conv(F.substring(bits, 4 * i + 1, 4), 16, 10).cast("int")
-            letters.append(F.substring(F.lit(TOKEN_ALPHABET), 1 + number % len(TOKEN_ALPHABET), 1))
+    for i in range(length):
+        number = F.conv(F.substring(digest, 4 * i + 1, 4), 16, 10).cast("int")
+        letters.append(F.substring(F.lit(TOKEN_ALPHABET), 1 + number % len(TOKEN_ALPHABET), 1))
     return F.concat(*letters)
 
 
@@ -57,13 +62,15 @@ def _token_length(kind: str, parts: int) -> int:
     return length
 
 
-def _drawn(kind_lengths: dict[str, int], key: str) -> Column:
-    """Token of a ``(kind, part, attempt)`` row."""
-    token = F.lit(None).cast("string")
-    for kind, length in kind_lengths.items():
-        own = _short_token(F.col("part"), kind, key, F.col("attempt"), length)
-        token = F.when(F.col("kind") == kind, own).otherwise(token)
-    return token
+def _drawn(parts: DataFrame, key: str, lengths: dict[str, int]) -> DataFrame:
+    """Add the token of every ``(kind, part, attempt)`` row."""
+    digest = _draw(F.col("part"), F.col("kind"), key, F.col("attempt"))
+    length = F.lit(0)
+    for kind, n in lengths.items():
+        length = F.when(F.col("kind") == kind, n).otherwise(length)
+    longest = _letters(F.col("_digest"), max(lengths.values()))
+    drawn = parts.withColumn("_digest", digest)
+    return drawn.withColumn("token", F.substring(longest, F.lit(1), length)).drop("_digest")
 
 
 def _redrawn_parts(parts: DataFrame, key: str, lengths: dict[str, int]) -> Stored:
@@ -75,7 +82,7 @@ def _redrawn_parts(parts: DataFrame, key: str, lengths: dict[str, int]) -> Store
     same = ["kind", "part"]
     drawn, bumps = parts.withColumn("attempt", F.lit(0)), None
     while True:
-        tokens = drawn.withColumn("token", _drawn(lengths, key))
+        tokens = _drawn(drawn, key, lengths)
         shared = (
             tokens.groupBy("kind", "token")
             .agg(F.min(F.struct("attempt", "part")).alias("owner"), F.count("*").alias("n"))
@@ -150,12 +157,14 @@ def pseudonymise_email(
             split = split.join(F.broadcast(redrawn), F.col(f"_{kind}") == F.col("_part"), "left")
             split = split.drop("_part")
             attempt = F.coalesce(F.col(f"_try_{kind}"), F.lit(0))
-        tokens.append(_short_token(F.col(f"_{kind}"), kind, key, attempt, length))
+        digest = _draw(F.col(f"_{kind}"), F.lit(kind), key, attempt)
+        split = split.withColumn(f"_digest_{kind}", digest)
+        tokens.append(_letters(F.col(f"_digest_{kind}"), length))
     local, domain, tld = tokens
     usable = F.when(
         F.col("_local").isNotNull(), F.concat(local, F.lit("@"), domain, F.lit("."), tld)
     )
-    helpers = [f"_{k}" for k in parts] + [f"_try_{k}" for k in parts]
+    helpers = [f"{prefix}{k}" for k in parts for prefix in ("_", "_try_", "_digest_")]
     return split.withColumn(col, usable).drop(*helpers)
 
 
