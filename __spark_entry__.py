@@ -415,6 +415,19 @@ TOKEN_FLAGS = {
 }
 
 
+def corpus() -> tuple[dict[str, Query], dict[str, str]]:
+    """Queries and SQL of the corpus operators; nothing where they are not installed."""
+    try:
+        import corpus_pipeline
+        from veilspark.llm import queries as llm
+    except ImportError:
+        return {}, {}
+    found, sql = {**llm.queries(), "pipeline": corpus_pipeline.run}, llm.oracle_sql()
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found, sql
+
+
 def queries() -> dict[str, Query]:
     return {
         "uniqueness_orders": uniqueness_orders,
@@ -468,10 +481,11 @@ def queries() -> dict[str, Query]:
         "mondrian_t": mondrian("t"),
         "mondrian_k_levels": mondrian("k", local_cells=400),
         "publish_people": publish_people,
+        **corpus()[0],
     }
 
 
 def oracle_sql() -> dict[str, str]:
     from oracles import all_oracles
 
-    return all_oracles()
+    return {**all_oracles(), **corpus()[1]}
