@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import rules, secrets, tree_dedup
+from . import cube, langid, pack, rules, secrets, tree_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,20 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def op1_mix(spark, sf):
+    return cube.mix(documents(spark, sf)).select(
+        F.col("key").alias("doc_id"),
+        "size",
+        "source_size",
+        "target",
+        (F.col("size") * F.col("copies")).alias("taken"),
+    )
+
+
+def op2_pack(spark, sf):
+    return pack.pack(documents(spark, sf)).withColumnRenamed("key", "doc_id")
+
+
 def op3_secrets(spark, sf):
     found, _ = secrets.scan(documents(spark, sf))
     base = [r.kind for r in secrets.BASE]
@@ -60,11 +74,21 @@ def op7_quality_rules(spark, sf):
     )
 
 
+def op10_language(spark, sf):
+    docs = documents(spark, sf)
+    found = langid.identify(docs, langid.train(docs)).withColumnRenamed("key", "doc_id")
+    held_out = F.coalesce(langid.remainder(F.col("doc_id")) == 0, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_mix": op1_mix,
+        "op2_pack": op2_pack,
         "op3_secrets": op3_secrets,
         "op4_exact_dedup": op4_exact_dedup,
         "op7_quality_rules": op7_quality_rules,
+        "op10_language": op10_language,
     }
 
 
