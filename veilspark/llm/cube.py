@@ -13,7 +13,7 @@ from ..plans.storage import Stored, store
 from .common import NOT_SPACE, name, row_of, whole
 
 #: Units that one task moves at a time.
-BLOCK_UNITS = 20_000
+BLOCK_UNITS = 2_000
 #: Units of a block that its flight leaves to the next round, for the landing to choose among.
 LEFT_OPEN = 16
 MOST_COPIES = 3

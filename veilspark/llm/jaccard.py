@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.skew import lookup_join
@@ -22,10 +21,8 @@ PERCENT = 80
 FREQUENT = 1 << 20
 #: A batch reports a shingle that at least so many of its texts hold.
 LOCAL_LEAST = 3
-#: Rounds in which each shared shingle offers its members one partner only.
-ROUNDS = 6
-#: Pairs per class that may be left to the last round.
-LAST_PAIRS = 4
+#: Tokens whose sets one task compares at a time; a group with more is cut into blocks.
+TASK_TOKENS = 1 << 22
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -130,135 +127,128 @@ def _described(held, words: int, percent: int):
     return run
 
 
-def _sets(words: int, percent: int):
-    """Of the wanted classes: the whole set, and its prefixes under the further orders."""
+def _sets(words: int):
+    """The whole sets of the wanted classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, bounds = shingle_sets(batch.column(1), words)
-            rows, out = [], ([], [], [])
-            for i, wanted in enumerate(batch.column(0).to_pylist()):
+            tokens, bounds = shingle_sets(batch.column(2), words)
+            rows, sets = [], []
+            for i, wanted in enumerate(batch.column(1).to_pylist()):
                 own = tokens[bounds[i] : bounds[i + 1]]
                 if len(own) and _label(own) == wanted:
-                    rows.append(wanted)
-                    length = prefix_length(len(own), percent)
-                    out[0].append(own.tobytes())
-                    for k in (1, 2):
-                        out[k].append(np.sort(own[_order(own, k)[:length]]).tobytes())
+                    rows.append(i)
+                    sets.append(own.tobytes())
+            kept = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.int64()), *[pa.array(x, pa.binary()) for x in out]],
-                names=["cls", "tokens", "second", "third"],
+                [batch.column(0).take(kept), batch.column(1).take(kept), pa.array(sets, pa.binary())],
+                names=["root", "cls", "tokens"],
             )
 
     return run
 
 
-def _verified(percent: int):
-    """Pairs that pass the size filter and share a token in the further prefixes are counted."""
+class Index:
+    """Which sets of a group hold a token, for the first tokens under an order or for all."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            columns = [batch.column(i) for i in range(2, 8)]
-            for i in range(batch.num_rows):
-                x, y, x2, y2, x3, y3 = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in columns)
-                small, large = sorted((len(x), len(y)))
-                ok = 100 * small >= percent * large
-                ok = ok and _shared(x2, y2) > 0 and _shared(x3, y3) > 0
-                if ok:
-                    both = _shared(x, y)
-                    ok = 100 * both >= percent * (small + large - both)
-                linked.append(ok)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"]
-            )
+    def __init__(self, parts: list[np.ndarray]):
+        self.parts = parts
+        tokens = np.concatenate(parts)
+        owners = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.owners = tokens[order], owners[order]
 
-    return run
+    def shared(self, x: int) -> np.ndarray:
+        """Per set, the number of its tokens that set ``x`` has, too."""
+        low = np.searchsorted(self.tokens, self.parts[x], "left")
+        width = np.searchsorted(self.tokens, self.parts[x], "right") - low
+        ends = np.cumsum(width)
+        places = np.arange(ends[-1]) + np.repeat(low - ends + width, width)
+        return np.bincount(self.owners[places], minlength=len(self.parts))
 
 
-def _shared(x: np.ndarray, y: np.ndarray) -> int:
-    if len(x) > len(y):
-        x, y = y, x
-    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-    return int((y[at] == x).sum())
-
-
-class Join:
-    """The steps of one similarity join over the classes of equal sets."""
-
-    def __init__(self, shared: Stored, sets: Stored, percent: int):
-        self.shared, self.sets, self.percent = shared, sets, percent
-
-    def verify(self, pairs: Stored) -> Stored:
-        """Each pair with its sets, and whether it is linked."""
-        sides = pairs.df
-        for side, names in (("a", ("x", "x2", "x3")), ("b", ("y", "y2", "y3"))):
-            columns = zip(("tokens", "second", "third"), names)
-            held = self.sets.df.select(F.col("cls").alias(side), *[F.col(c).alias(n) for c, n in columns])
-            sides = sides.join(held, side)
-        ordered = sides.select("a", "b", "x", "y", "x2", "y2", "x3", "y3")
-        return store(ordered.mapInArrow(_verified(self.percent), "a long, b long, linked boolean"))
-
-    def offered(self, comps: DataFrame | None, round_: int) -> tuple[DataFrame, Stored]:
-        """All members of shared shingles, and per shingle with several components its leader."""
-        rows = self.shared.df.withColumn("comp", F.col("cls"))
-        if comps is not None:
-            rows = self.shared.df.join(comps, F.col("cls") == F.col("node"), "left")
-            rows = rows.withColumn("comp", F.coalesce("root", "cls")).drop("node", "root")
-        order = F.struct(F.xxhash64("cls", F.lit(round_)).alias("by"), "cls", "n", "comp")
-        leaders = rows.groupBy("token").agg(
-            F.min(order).alias("lead"),
-            F.min("comp").alias("low"),
-            F.max("comp").alias("high"),
-            F.count("*").cast("double").alias("members"),
-        )
-        several = leaders.where("low < high").select("token", "lead", "members")
-        return rows, store(several, pairs=F.sum(F.col("members") * (F.col("members") - 1) / 2))
+def linked_pairs(
+    sets: list[np.ndarray], ranks: list[np.ndarray], percent: int = PERCENT, left: int | None = None
+) -> list[tuple[int, int]]:
+    """Links that connect whatever linked sets a group has; ``left`` splits it into two blocks.
 
+    A set is compared with those of other components that are close in size and share a token
+    with it in the prefixes under each of three orders. All sets count at once, by token.
+    """
+    sizes = np.array([len(x) for x in sets])
+    keep = [prefix_length(n, percent) for n in sizes]
+    firsts = [Index([x[np.argsort(r, kind="stable")[:k]] for x, r, k in zip(sets, ranks, keep)])]
+    firsts += [Index([x[_order(x, i)[:k]] for x, k in zip(sets, keep)]) for i in (1, 2)]
+    every = Index(sets)
+    label, members = np.arange(len(sets)), {i: [i] for i in range(len(sets))}
+    other_side = np.ones(len(sets), dtype=bool)
+    found = []
+    for x in range(len(sets) if left is None else left):
+        if left is not None:
+            other_side = np.arange(len(sets)) >= left
+        n = sizes[x]
+        fits = other_side & (label != label[x])
+        fits &= 100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)
+        for index in firsts:
+            if fits.any():
+                fits &= index.shared(x) > 0
+        if not fits.any():
+            continue
+        both = every.shared(x)
+        for y in np.flatnonzero(fits & (100 * both >= percent * (sizes + n - both))).tolist():
+            a, b = label[x], label[y]
+            if a != b:
+                found.append((x, y))
+                a, b = (a, b) if len(members[a]) >= len(members[b]) else (b, a)
+                moved = members.pop(b)
+                label[moved] = a
+                members[a] += moved
+    return found
+
+
+def _compared(held, percent: int):
+    """Links within each group of a task, or between the two blocks of a cut group."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        table, links = held.value, []
+        for _, group in rows.sort_values(["root", "side", "cls"]).groupby("root", sort=False):
+            sets = [np.frombuffer(t, np.uint64) for t in group["tokens"]]
+            ranks = [_ranked(x, table) for x in sets]
+            left = int((group["side"] == 0).sum())
+            classes = group["cls"].to_numpy()
+            pairs = linked_pairs(sets, ranks, percent, left if left < len(group) else None)
+            links += [(classes[x], classes[y]) for x, y in pairs]
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-def _pair(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    return run
 
 
-def _linked_classes(join: Join, percent: int) -> DataFrame | None:
-    """Components of the classes: node, root; None without links.
+def _tasks(sets: Stored, groups: Stored) -> DataFrame:
+    """Sets by task: small groups share one; a large one is every pair of its blocks.
 
-    In a round, the members of a shared shingle are paired with one of them, its leader, unless
-    they are in its component already; so a shingle that many texts share costs a pair per text.
-    Later rounds offer other leaders. Members of one component need no further pairs. When few
-    pairs of different components are left, they are all looked at, so no link is lost.
+    A large group is first cut by size, into overlapping ranges that hold every pair which could
+    link, then by hash into blocks. A pair of blocks is a task of bounded size.
     """
-    done: list[DataFrame] = []
-    linked: list[DataFrame] = []
-    comps, last = None, False
-    close = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    fits = close & (F.col("comp") != F.col("other"))
-    round_ = 0
-    while not last:
-        rows, leaders = join.offered(comps, round_)
-        if not leaders.rows:
-            break
-        last = round_ == ROUNDS or leaders.size["pairs"] <= LAST_PAIRS * join.shared.rows
-        if last:
-            partner = rows.join(leaders.df.select("token"), "token")
-        else:
-            partner = leaders.df.select("token", "lead.cls", "lead.n", "lead.comp")
-        partner = partner.select(
-            "token", F.col("cls").alias("with"), F.col("n").alias("m"), F.col("comp").alias("other")
-        )
-        found = rows.join(partner, "token").where(fits)
-        found = found.select(*_pair(F.col("cls"), F.col("with"))).distinct()
-        for old in done:
-            found = found.join(old.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = store(found)
-        round_ += 1
-        if not pairs.rows:
-            continue
-        checked = join.verify(pairs)
-        done.append(checked.df)
-        linked.append(checked.df.where("linked").select("a", "b"))
-        comps = components(reduce(DataFrame.unionAll, linked)).df
-    return comps
+    tokens = F.length("tokens") / 8
+    step = F.floor(F.log(tokens) / F.log(F.lit(100 / PERCENT))).cast("int")
+    rows = lookup_join(sets.df, groups, ["root"], "members", ["cls"])
+    small = rows.where(F.col("held") <= TASK_TOKENS)
+    shared = F.lit(max(1, -(-int(groups.size["some"]) // TASK_TOKENS)))
+    small = small.select(
+        F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), shared)).alias("task"),
+        "root",
+        F.lit(0).alias("side"),
+        "cls",
+        "tokens",
+    )
+    blocks = F.ceil(2 * F.col("held") / TASK_TOKENS).cast("int")
+    own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
+    large = rows.where(F.col("held") > TASK_TOKENS).withColumn("blocks", blocks).withColumn("own", own)
+    large = large.withColumn("range", F.explode(F.array(step - 1, step)))
+    large = large.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    task = F.concat_ws("-", F.lit("l"), "root", "range", F.least("own", "with"), F.greatest("own", "with"))
+    large = large.select(task.alias("task"), "root", (F.col("own") > F.col("with")).cast("int").alias("side"), "cls", "tokens")
+    return small.unionAll(large)
 
 
 def near_duplicates(
@@ -278,8 +268,8 @@ def near_duplicates(
 
     Texts with equal sets are one class. Under the first order (known frequent shingles last) a
     set's prefix meets other sets in one shuffle by shingle; only classes that share a prefix
-    shingle go on. Their pairs must also share one in the prefixes under two further orders
-    before their sets are counted.
+    shingle go on, in groups of what hangs together. Within a group, pairs must also share one
+    in the prefixes under two further orders before their sets are counted.
     """
     spark = docs.sparkSession
     source = docs.select(name(key).alias("key"), name(text).cast("string").alias("body"))
@@ -296,24 +286,34 @@ def near_duplicates(
         F.first("prefix").alias("prefix"),
     )
     classes = store(grouped, "members")
-    return _answer(base, classes, _components(source, classes, words, percent))
+    return _answer(base, classes, _components(source, classes, held, words, percent))
 
 
-def _components(source: DataFrame, classes: Stored, words: int, percent: int) -> DataFrame | None:
-    """Candidates are classes with a prefix shingle that another class has, too."""
-    postings = classes.df.select("cls", "n", F.explode("prefix").alias("token"))
-    along = Window.partitionBy("token")
-    several = postings.withColumn("low", F.min("cls").over(along)).withColumn("high", F.max("cls").over(along))
-    shared = store(several.where("low < high").drop("low", "high"))
-    if not shared.rows:
+def _components(
+    source: DataFrame, classes: Stored, held, words: int, percent: int
+) -> DataFrame | None:
+    """Components of the classes: node, root; None where no two share a prefix shingle.
+
+    The classes of a shingle are tied to its smallest one, a row per class, and what hangs
+    together is a group; linked classes are in one group.
+    """
+    postings = classes.df.select("cls", F.explode("prefix").alias("token"))
+    least = F.min("cls").over(Window.partitionBy("token"))
+    ties = postings.select(F.col("cls").alias("a"), least.alias("b")).where("a <> b").distinct()
+    group = components(ties)
+    if not group.rows:
         return None
-    wanted = shared.df.select("cls").distinct().join(classes.df.select("cls", "first"), "cls")
-    wanted = store(wanted.withColumnRenamed("first", "key").withColumn("weight", F.lit(1)), "weight")
-    texts = lookup_join(source, wanted, ["key"], "weight", ["key"], "inner", null_safe=True)
-    sets = texts.select("cls", "body").mapInArrow(
-        _sets(words, percent), "cls long, tokens binary, second binary, third binary"
+    wanted = group.df.join(classes.df.select("cls", "first"), F.col("node") == F.col("cls"))
+    wanted = wanted.select("root", "cls", F.col("first").alias("key"), F.lit(1).alias("weight"))
+    texts = lookup_join(source, store(wanted, "weight"), ["key"], "weight", ["key"], "inner", null_safe=True)
+    sets = texts.select("root", "cls", "body").mapInArrow(_sets(words), "root long, cls long, tokens binary")
+    sets = store(sets.dropDuplicates(["cls"]))
+    sized = sets.df.groupBy("root").agg(
+        F.count("*").alias("members"), F.sum(F.length("tokens") / 8).alias("held")
     )
-    return _linked_classes(Join(shared, store(sets.dropDuplicates(["cls"])), percent), percent)
+    sized = store(sized, "members", some=F.sum(F.when(F.col("held") <= TASK_TOKENS, F.col("held"))))
+    links = _tasks(sets, sized).groupBy("task").applyInPandas(_compared(held, percent), "a long, b long")
+    return components(links).df
 
 
 def _answer(base: Stored, classes: Stored, comps: DataFrame | None) -> DataFrame:

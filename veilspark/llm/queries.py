@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cube, jaccard, langid, pack, rules, secrets, tree_dedup
+from . import cube, jaccard, langid, pack, recompress, rules, secrets, tree_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,6 +74,10 @@ def op7_quality_rules(spark, sf):
     )
 
 
+def op8_passages(spark, sf):
+    return recompress.dedup_passages(documents(spark, sf)).withColumnRenamed("key", "doc_id")
+
+
 def op9_near_duplicates(spark, sf):
     return jaccard.near_duplicates(documents(spark, sf)).withColumnRenamed("key", "doc_id")
 
@@ -92,6 +96,7 @@ def queries() -> dict[str, Query]:
         "op3_secrets": op3_secrets,
         "op4_exact_dedup": op4_exact_dedup,
         "op7_quality_rules": op7_quality_rules,
+        "op8_passages": op8_passages,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_language": op10_language,
     }
