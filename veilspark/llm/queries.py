@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cube, jaccard, langid, pack, recompress, rules, secrets, tree_dedup
+from . import cube, jaccard, langid, pack, recompress, rules, secrets, suffix, tree_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +61,10 @@ def op4_exact_dedup(spark, sf):
     )
 
 
+def op5_substrings(spark, sf):
+    return suffix.dedup_substrings(documents(spark, sf)).withColumnRenamed("key", "doc_id")
+
+
 def op7_quality_rules(spark, sf):
     return rules.judge(documents(spark, sf)).select(
         F.col("key").alias("doc_id"),
@@ -95,6 +99,7 @@ def queries() -> dict[str, Query]:
         "op2_pack": op2_pack,
         "op3_secrets": op3_secrets,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_substrings": op5_substrings,
         "op7_quality_rules": op7_quality_rules,
         "op8_passages": op8_passages,
         "op9_near_duplicates": op9_near_duplicates,
