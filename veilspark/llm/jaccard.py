@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans.skew import lookup_join
 from ..plans.storage import Scratch, Stored, store
-from .common import name
+from .common import name, row_of
 from .graph import components
 from .wordhash import mix, windows, word_hashes
 
@@ -106,7 +106,7 @@ def _described(held, words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held.value
         for batch in batches:
-            tokens, bounds = shingle_sets(batch.column(1), words)
+            tokens, bounds = shingle_sets(batch.column(2), words)
             ranks = _ranked(tokens, table)
             labels, prefixes = [], []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -117,11 +117,12 @@ def _described(held, words: int, percent: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array(np.diff(bounds)),
                     pa.array(labels, pa.int64()),
                     pa.array(prefixes, pa.list_(pa.int64())),
                 ],
-                names=["key", "n", "cls", "prefix"],
+                names=["doc", "key", "n", "cls", "prefix"],
             )
 
     return run
@@ -271,18 +272,55 @@ def near_duplicates(
     shingle go on, in groups of what hangs together. Within a group, pairs must also share one
     in the prefixes under two further orders before their sets are counted.
     """
-    spark = docs.sparkSession
-    source = docs.select(name(key).alias("key"), name(text).cast("string").alias("body"))
+    rows = _classified(docs, text, key, words, percent)
+    empty = F.col("n") == 0
+    return rows.select(
+        "key",
+        F.col("n").alias("n_shingles"),
+        F.when(empty, F.col("key")).otherwise(F.col("component")).alias("component_id"),
+    )
+
+
+def keep_one(
+    docs: DataFrame,
+    text: str = "text",
+    key: str = "doc_id",
+    words: int = WORDS,
+    percent: int = PERCENT,
+) -> DataFrame:
+    """The row with the smallest key of each component, with all its columns.
+
+    A null key comes last; rows that repeat wholly are one. Rows with an empty set all stay.
+    """
+    rows = store(_classified(docs, text, key, words, percent)).df
+    order = F.struct(F.col("key").isNull().alias("last"), "key", "doc")
+    first = rows.where("n > 0").groupBy("root").agg(F.min(order).alias("first"))
+    stays = first.select(F.col("first.doc").alias("doc"), F.lit(False).alias("empty"))
+    empty = rows.where("n = 0").select("doc", F.lit(True).alias("empty")).distinct()
+    stays = stays.unionAll(empty).withColumn("weight", F.lit(1))
+    source = docs.select(
+        F.xxhash64(name(key), name(text).cast("string")).alias("doc"), row_of(docs).alias("row")
+    )
+    kept = lookup_join(source, store(stays, "weight"), ["doc"], "weight", ["doc"], "inner")
+    each = F.when(F.col("empty"), F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    return kept.withColumn("each", each).dropDuplicates(["doc", "each"]).select("row.*")
+
+
+def _classified(docs: DataFrame, text: str, key: str, words: int, percent: int) -> DataFrame:
+    """Per row: doc (a hash of key and text), key, n, root of its component, smallest key there."""
+    plain = docs.select(name(key).alias("key"), name(text).cast("string").alias("body"))
+    source = plain.select(F.xxhash64("key", "body").alias("doc"), "key", "body")
     kind = source.schema["key"].dataType.simpleString()
-    held = spark.sparkContext.broadcast(frequent(source))
-    described = source.mapInArrow(
-        _described(held, words, percent), f"key {kind}, n long, cls long, prefix array<long>"
+    held = docs.sparkSession.sparkContext.broadcast(frequent(source))
+    base = store(
+        source.mapInArrow(
+            _described(held, words, percent), f"doc long, key {kind}, n long, cls long, prefix array<long>"
+        )
     )
-    base = store(described)
     grouped = base.df.where("n > 0").groupBy("cls").agg(
         F.min("key").alias("first"),
+        F.min("doc").alias("doc"),
         F.count("*").alias("members"),
-        F.first("n").alias("n"),
         F.first("prefix").alias("prefix"),
     )
     classes = store(grouped, "members")
@@ -303,9 +341,9 @@ def _components(
     group = components(ties)
     if not group.rows:
         return None
-    wanted = group.df.join(classes.df.select("cls", "first"), F.col("node") == F.col("cls"))
-    wanted = wanted.select("root", "cls", F.col("first").alias("key"), F.lit(1).alias("weight"))
-    texts = lookup_join(source, store(wanted, "weight"), ["key"], "weight", ["key"], "inner", null_safe=True)
+    wanted = group.df.join(classes.df.select("cls", "doc"), F.col("node") == F.col("cls"))
+    wanted = store(wanted.select("root", "cls", "doc", F.lit(1).alias("weight")), "weight")
+    texts = lookup_join(source, wanted, ["doc"], "weight", ["doc"], "inner")
     sets = texts.select("root", "cls", "body").mapInArrow(_sets(words), "root long, cls long, tokens binary")
     sets = store(sets.dropDuplicates(["cls"]))
     sized = sets.df.groupBy("root").agg(
@@ -317,17 +355,12 @@ def _components(
 
 
 def _answer(base: Stored, classes: Stored, comps: DataFrame | None) -> DataFrame:
+    named = classes.df.select("cls", "first", "members")
     if comps is None:
-        named = classes.df.select("cls", F.col("first").alias("component"), "members")
+        named = named.withColumn("root", F.col("cls"))
     else:
-        joined = classes.df.drop("prefix", "n").join(comps, F.col("cls") == F.col("node"), "left")
-        joined = joined.withColumn("root", F.coalesce("root", "cls")).drop("node")
-        least = joined.groupBy("root").agg(F.min("first").alias("component"))
-        named = joined.join(least, "root").select("cls", "component", "members")
-    answered = lookup_join(base.df.drop("prefix"), store(named, "members"), ["cls"], "members", ["key"])
-    empty = F.col("n") == 0
-    return answered.select(
-        "key",
-        F.col("n").alias("n_shingles"),
-        F.when(empty, F.col("key")).otherwise(F.col("component")).alias("component_id"),
-    )
+        named = named.join(comps, F.col("cls") == F.col("node"), "left").drop("node")
+        named = named.withColumn("root", F.coalesce("root", "cls"))
+    least = named.groupBy("root").agg(F.min("first").alias("component"))
+    named = store(named.drop("first").join(least, "root"), "members")
+    return lookup_join(base.df.drop("prefix"), named, ["cls"], "members", ["doc"])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cube, jaccard, langid, pack, recompress, rules, secrets, suffix, tree_dedup
+from . import cube, jaccard, langid, pack, pages, recompress, rules, secrets, suffix, tree_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +65,13 @@ def op5_substrings(spark, sf):
     return suffix.dedup_substrings(documents(spark, sf)).withColumnRenamed("key", "doc_id")
 
 
+def op6_main_text(spark, sf):
+    found = pages.main_text(spark.read.parquet(f"{sf}/pages.parquet"))
+    return found.withColumnRenamed("key", "page_id").withColumn(
+        "n_chars", F.length("text").cast("bigint")
+    )
+
+
 def op7_quality_rules(spark, sf):
     return rules.judge(documents(spark, sf)).select(
         F.col("key").alias("doc_id"),
@@ -100,6 +107,7 @@ def queries() -> dict[str, Query]:
         "op3_secrets": op3_secrets,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_substrings": op5_substrings,
+        "op6_main_text": op6_main_text,
         "op7_quality_rules": op7_quality_rules,
         "op8_passages": op8_passages,
         "op9_near_duplicates": op9_near_duplicates,
