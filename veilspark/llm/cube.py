@@ -66,7 +66,7 @@ def flight(pi: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
     return np.array(values)
 
 
-def land(pi: np.ndarray, sizes: np.ndarray, seed: int, moves: int = 16) -> np.ndarray:
+def land(pi: np.ndarray, sizes: np.ndarray, seed: int, moves: int = 64) -> np.ndarray:
     """Settle the small problem that the flight leaves, so that the words come out near.
 
     The constraint on documents is dropped, then the last unit is drawn. What that costs in
@@ -97,7 +97,7 @@ def land(pi: np.ndarray, sizes: np.ndarray, seed: int, moves: int = 16) -> np.nd
                 if rest[at] < best:
                     best, change = float(rest[at]), [int(taken[at]), int(other[at])]
         flips = np.abs(error + np.where(values == 1, -weights, weights))
-        if len(flips) and flips.min() < best / 2:
+        if len(flips) and flips.min() < (best / 2 if change else best):
             best, change = float(flips.min()), [int(flips.argmin())]
         if change is None:
             break

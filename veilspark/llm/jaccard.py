@@ -213,6 +213,7 @@ def _compared(held, percent: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         table, links = held.value, []
         for _, group in rows.sort_values(["root", "side", "cls"]).groupby("root", sort=False):
+            group = group.drop_duplicates("cls")
             sets = [np.frombuffer(t, np.uint64) for t in group["tokens"]]
             ranks = [_ranked(x, table) for x in sets]
             left = int((group["side"] == 0).sum())
@@ -321,21 +322,21 @@ def _classified(docs: DataFrame, text: str, key: str, words: int, percent: int)
         F.min("key").alias("first"),
         F.min("doc").alias("doc"),
         F.count("*").alias("members"),
-        F.first("prefix").alias("prefix"),
     )
     classes = store(grouped, "members")
-    return _answer(base, classes, _components(source, classes, held, words, percent))
+    return _answer(base, classes, _components(source, base, classes, held, words, percent))
 
 
 def _components(
-    source: DataFrame, classes: Stored, held, words: int, percent: int
+    source: DataFrame, base: Stored, classes: Stored, held, words: int, percent: int
 ) -> DataFrame | None:
     """Components of the classes: node, root; None where no two share a prefix shingle.
 
     The classes of a shingle are tied to its smallest one, a row per class, and what hangs
     together is a group; linked classes are in one group.
     """
-    postings = classes.df.select("cls", F.explode("prefix").alias("token"))
+    one = base.df.select("doc", "cls", "prefix").join(classes.df.select("doc", "cls"), ["doc", "cls"])
+    postings = one.select("cls", F.explode("prefix").alias("token"))
     least = F.min("cls").over(Window.partitionBy("token"))
     ties = postings.select(F.col("cls").alias("a"), least.alias("b")).where("a <> b").distinct()
     group = components(ties)
@@ -345,7 +346,7 @@ def _components(
     wanted = store(wanted.select("root", "cls", "doc", F.lit(1).alias("weight")), "weight")
     texts = lookup_join(source, wanted, ["doc"], "weight", ["doc"], "inner")
     sets = texts.select("root", "cls", "body").mapInArrow(_sets(words), "root long, cls long, tokens binary")
-    sets = store(sets.dropDuplicates(["cls"]))
+    sets = store(sets)
     sized = sets.df.groupBy("root").agg(
         F.count("*").alias("members"), F.sum(F.length("tokens") / 8).alias("held")
     )

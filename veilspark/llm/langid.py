@@ -10,6 +10,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import name, row_of
 
@@ -208,6 +209,13 @@ def keep_known(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     source = docs.select(
         F.lit(0).alias("key"), name(text).cast("string").alias("body"), row_of(docs).alias("row")
     )
-    kind = source.schema["row"].dataType.simpleString()
-    schema = f"key int, lang_pred string, score double, rejected boolean, row {kind}"
+    schema = T.StructType(
+        [
+            T.StructField("key", T.IntegerType()),
+            T.StructField("lang_pred", T.StringType()),
+            T.StructField("score", T.DoubleType()),
+            T.StructField("rejected", T.BooleanType()),
+            source.schema["row"],
+        ]
+    )
     return source.mapInArrow(_predict(model), schema).where(~F.col("rejected")).select("row.*")

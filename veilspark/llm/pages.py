@@ -56,7 +56,7 @@ def suffix_array(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     rank, reach = rank.astype(np.int64), 1
     while reach < depth:
         after = np.zeros(len(rank), dtype=np.int64)
-        after[: len(rank) - reach] = rank[reach:] + 1
+        after[: max(0, len(rank) - reach)] = rank[reach:] + 1
         both = rank * (len(rank) + 2) + after
         _, rank = np.unique(both, return_inverse=True)
         reach *= 2

@@ -18,8 +18,6 @@ from .recompress import _slide
 from .wordhash import BASE, STEP, _powers, mix
 
 LENGTH = 400
-#: Bytes of the string that stands for its neighbourhood.
-GRAM = 32
 #: Bytes looked at together; the place of a byte fits in the low bits of a comparison key.
 CHUNK = 1 << 21
 PLACE = np.uint64((1 << 24) - 1)
@@ -30,7 +28,12 @@ TASK_BYTES = 1 << 25
 PART_BYTES = 1 << 22
 
 
-def marks(data: np.ndarray, length: int = LENGTH, gram: int = GRAM):
+def gram_of(length: int) -> int:
+    """Bytes of the part that stands for a string: a power of two, about a third of it."""
+    return 1 << ((length // 3).bit_length() - 1)
+
+
+def marks(data: np.ndarray, length: int = LENGTH):
     """Runs of string starts that share their sign: first start, last start, place, sign.
 
     The sign of a string is its least hashed gram, the leftmost of equals, so equal strings have
@@ -41,7 +44,7 @@ def marks(data: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     if starts <= 0:
         return empty, empty, empty, empty.astype(np.uint64)
     hashes = mix(data.astype(np.uint64) + STEP)
-    span = 1
+    span, gram = 1, gram_of(length)
     while span < gram:
         hashes = hashes[: len(hashes) - span] * BASE + (hashes[span:] ^ np.uint64(span))
         hashes ^= hashes >> np.uint64(29)
@@ -160,8 +163,8 @@ def suffix_order(text: Hashed, at: np.ndarray, size: np.ndarray, group: np.ndarr
             most = np.minimum(size[x], size[y])
             same = text.common(at[x], at[y], most)
             ended = same == most
-            safe = np.where(ended, 0, same)
-            less = np.where(ended, size[y] < size[x], text.data[at[y] + safe] < text.data[at[x] + safe])
+            mine, theirs = (np.minimum(at[i] + same, len(text.data) - 1) for i in (x, y))
+            less = np.where(ended, size[y] < size[x], text.data[theirs] < text.data[mine])
             equal = ended & (size[x] == size[y])
             before = less | (equal & right[rows])
             low[rows] = np.where(before, middle + 1, low[rows])
@@ -391,8 +394,8 @@ def dedup_substrings(
     strings can repeat, and the hashes of these are compared. A sign with very many places is
     split: its strings are counted as rows.
     """
-    if length < 2 * GRAM:
-        raise ValueError(f"a string has {2 * GRAM} bytes at least")
+    if length < 3:
+        raise ValueError("a string has 3 bytes at least")
     source = _source(docs, text, key)
     kind = source.schema["key"].dataType.simpleString()
     joined = lookup_join(source, spans_of(docs, text, key, length), ["doc"], "weight", ["doc"])
