@@ -55,7 +55,7 @@ def test_substrings_in_small_pieces(spark, monkeypatch):
 def test_suffix_order_sorts():
     draw = random.Random(1)
     data = bytes(draw.choice(b"ab") for _ in range(400))
-    text = suffix.Hashed(np.frombuffer(data, np.uint8))
+    text = suffix.Hashed(np.frombuffer(data, np.uint8), np.array([len(data)]))
     at = np.array(draw.sample(range(300), 60))
     size, group = np.full(60, 100), np.sort(np.arange(60) % 4)
     order = suffix.suffix_order(text, at, size, group)

@@ -18,9 +18,10 @@ from .wordhash import mix, windows, word_hashes
 WORDS = 5
 PERCENT = 80
 #: Shingles whose frequency is known; the table is a column of numbers of at most this length.
-FREQUENT = 1 << 20
-#: A batch reports a shingle that at least so many of its texts hold.
-LOCAL_LEAST = 3
+FREQUENT = 1 << 22
+#: One shingle in so many, by its hash, is counted and comes before the others in the first order.
+COUNTED = 3
+UNCOUNTED = 1 << 40
 #: Tokens whose sets one task compares at a time; a group with more is cut into blocks.
 TASK_TOKENS = 1 << 22
 
@@ -54,15 +55,15 @@ def _order(tokens: np.ndarray, number: int) -> np.ndarray:
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        tokens, count = np.unique(shingle_sets(batch.column(0))[0], return_counts=True)
-        often = count >= LOCAL_LEAST
+        tokens = shingle_sets(batch.column(0))[0]
+        tokens, count = np.unique(tokens[tokens % np.uint64(COUNTED) == 0], return_counts=True)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(tokens[often].view(np.int64)), pa.array(count[often])], names=["token", "n"]
+            [pa.array(tokens.view(np.int64)), pa.array(count)], names=["token", "n"]
         )
 
 
 def frequent(source: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles, ascending, and their counts: the first order's ranks.
+    """Counted shingles that texts share, ascending, and in how many: the first order's ranks.
 
     Any table serves for right results, as all texts use the same; a good one keeps shared
     passages out of the prefixes. Its length is bounded: a least count is chosen from the
@@ -74,6 +75,7 @@ def frequent(source: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             .mapInArrow(_common, "token long, n long")
             .groupBy("token")
             .agg(F.sum("n").alias("n"))
+            .where("n > 1")
         )
         levels = found.df.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).count().collect()
         least, held = 0, 0
@@ -90,10 +92,11 @@ def frequent(source: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _ranked(tokens: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     known, count = table
-    if not len(known):
-        return np.zeros(len(tokens), dtype=np.int64)
-    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-    return np.where(known[at] == tokens, count[at], 0)
+    ranks = np.where(tokens % np.uint64(COUNTED) == 0, 1, UNCOUNTED)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+        ranks = np.where(known[at] == tokens, count[at], ranks)
+    return ranks
 
 
 def _label(own: np.ndarray) -> int:
@@ -268,7 +271,7 @@ def near_duplicates(
     is never the smallest unless all are. Other columns are not read; an empty table gives no
     rows. Sets and shingles are compared by 64-bit hashes.
 
-    Texts with equal sets are one class. Under the first order (known frequent shingles last) a
+    Texts with equal sets are one class. Under the first order (counted shingles first, rare before frequent) a
     set's prefix meets other sets in one shuffle by shingle; only classes that share a prefix
     shingle go on, in groups of what hangs together. Within a group, pairs must also share one
     in the prefixes under two further orders before their sets are counted.

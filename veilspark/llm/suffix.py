@@ -22,9 +22,9 @@ LENGTH = 400
 CHUNK = 1 << 21
 PLACE = np.uint64((1 << 24) - 1)
 #: Occurrences of a sign above which its windows are compared as rows, not within one task.
-HOT = 4000
+HOT = 10_000
 #: Bytes of contexts that a task sorts, and that it holds hashes of at a time.
-TASK_BYTES = 1 << 25
+TASK_BYTES = 1 << 24
 PART_BYTES = 1 << 22
 
 
@@ -114,16 +114,25 @@ def _contexts(length: int):
 
 
 class Hashed:
-    """Polynomial hashes of all substrings of some bytes, from the hashes of the prefixes."""
+    """Polynomial hashes of the substrings of concatenated contexts, from those of the prefixes.
 
-    def __init__(self, data: np.ndarray):
+    Powers count from the start of a context, so their table is as long as the longest one.
+    """
+
+    def __init__(self, data: np.ndarray, sizes: np.ndarray):
         self.data = data
-        rising, self.falling = _powers(1 << max(21, int(len(data)).bit_length()))
+        longest = int(sizes.max()) if len(sizes) else 0
+        rising, self.falling = _powers(1 << max(10, longest.bit_length()))
+        ends = np.cumsum(sizes)
+        self.inner = np.arange(len(data), dtype=np.int64) - np.repeat(ends - sizes, sizes)
         self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * rising[: len(data)], out=self.sums[1:])
+        weighed = rising[self.inner]
+        weighed *= data
+        np.cumsum(weighed + rising[self.inner], out=self.sums[1:])
 
     def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-        return (self.sums[start + length] - self.sums[start]) * self.falling[start]
+        within = self.inner[np.minimum(start, len(self.inner) - 1)]
+        return (self.sums[start + length] - self.sums[start]) * self.falling[within]
 
     def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Length of the longest common prefix, at most ``most``, by binary search."""
@@ -220,9 +229,9 @@ def _repeated(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     data = np.frombuffer(b"".join(rows["context"]), np.uint8)
     _, group = np.unique(rows["sign"].to_numpy(), return_inverse=True)
     place, count = rows["place"].to_numpy(), rows["count"].to_numpy()
-    text = Hashed(data)
+    text = Hashed(data, sizes)
     right = _longest(text, begins + place, sizes - place, group)
-    turned = Hashed(data[::-1])
+    turned = Hashed(data[::-1], sizes[::-1])
     left = _longest(turned, len(data) - begins - place, place, group)
     # A string that starts k bytes before the sign needs k equal bytes to the left.
     low = np.maximum(0, place - left)
@@ -263,7 +272,7 @@ def _strings(length: int):
             values, starts = [], []
             for i, data in enumerate(_texts(batch.column(4))):
                 inner = np.arange(counts[i])
-                values.append(mix(Hashed(data).of(inner, length)))
+                values.append(mix(Hashed(data, np.array([len(data)])).of(inner, length)))
                 starts.append(inner + batch.column(2)[i].as_py())
             rows = pa.array(np.repeat(np.arange(len(counts)), counts))
             none = np.zeros(0, dtype=np.int64)

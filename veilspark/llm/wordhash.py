@@ -27,7 +27,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
+@lru_cache(maxsize=4)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
     rising = np.full(size, BASE, dtype=np.uint64)
