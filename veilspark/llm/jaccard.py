@@ -18,7 +18,7 @@ from .wordhash import mix, windows, word_hashes
 WORDS = 5
 PERCENT = 80
 #: Shingles whose frequency is known; the table is a column of numbers of at most this length.
-FREQUENT = 1 << 22
+FREQUENT = 1 << 21
 #: One shingle in so many, by its hash, is counted and comes before the others in the first order.
 COUNTED = 3
 UNCOUNTED = 1 << 40
@@ -84,8 +84,9 @@ def frequent(source: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 least = level + 1
                 break
             held += count
-        rows = found.df.where(F.log2("n") >= least).select("token", "n").toPandas()
-    tokens, n = rows["token"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
+        small = F.least("n", F.lit(127)).cast("tinyint").alias("n")
+        rows = found.df.where(F.log2("n") >= least).select("token", small).toPandas()
+    tokens, n = rows["token"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int8)
     order = np.argsort(tokens)
     return tokens[order], n[order]
 
@@ -327,7 +328,9 @@ def _classified(docs: DataFrame, text: str, key: str, words: int, percent: int)
         F.count("*").alias("members"),
     )
     classes = store(grouped, "members")
-    return _answer(base, classes, _components(source, base, classes, held, words, percent))
+    found = _components(source, base, classes, held, words, percent)
+    held.destroy()  # the links are stored
+    return _answer(base, classes, found)
 
 
 def _components(

@@ -14,11 +14,12 @@ from pyspark.sql import types as T
 
 from .common import name, row_of
 
-BUCKETS = 1 << 13
+BUCKET_BITS = 12
+BUCKETS = 1 << BUCKET_BITS
 WIDTH = 16
 GRAMS = (2, 3, 4)
 #: Bounds of what the classifier is fitted on: rows in all, and languages, most frequent first.
-TRAIN_ROWS = 2000
+TRAIN_ROWS = 1600
 MOST_LANGUAGES = 200
 #: Characters that are hashed at a time; a longer text is counted in blocks, wholly.
 BLOCK = 1 << 20
@@ -37,7 +38,7 @@ def counts(text: str) -> np.ndarray:
         for n in range(2, max(GRAMS) + 1):
             mixed = mixed[: len(codes) - n + 1] * np.uint32(0x01000193) ^ codes[n - 1 :]
             if n in GRAMS and len(mixed):
-                spread = (mixed[:own] * np.uint32(0x9E3779B1)) >> np.uint32(32 - 13)
+                spread = (mixed[:own] * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKET_BITS)
                 total += np.bincount(spread, minlength=BUCKETS)
     return total
 
@@ -80,13 +81,12 @@ def fit(
     soft = draws.normal(0, 0.1, (WIDTH, kinds)).astype(np.float32)
     bias = np.zeros(kinds, dtype=np.float32)
     past = [np.full_like(w, 1e-6) for w in (embed, soft, bias)]
-    scale = np.sqrt(averages.shape[1])
-    inputs = (averages * scale).astype(np.float32)
+    scale = float(np.sqrt(averages.shape[1]))
     for epoch in range(epochs):
-        order = draws.permutation(len(inputs))
+        order = draws.permutation(len(averages))
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
-            x = inputs[rows]
+            x = averages[rows] * np.float32(scale)
             hidden = x @ embed
             logits = hidden @ soft + bias
             chance = np.exp(logits - logits.max(axis=1, keepdims=True))
