@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -14,6 +15,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import veilspark as v
 from veilspark.functions import detectors as d
 from veilspark.functions.text import fold
+from veilspark.plans.storage import scratch_folder
 from veilspark.sources.tables import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,6 +148,17 @@ def combination_uniqueness_lineitem(spark, sf):
     return v.combination_uniqueness(table(spark, sf, "lineitem"), CUBE_COLUMNS)
 
 
+def dotted_columns(spark, sf):
+    """Names that hold a dot, and a date, in both measures."""
+    orders = table(spark, sf, "orders").select(
+        F.col("o_orderdate").alias("o.date"), F.col("o_custkey").alias("o.customer"), "o_orderstatus"
+    )
+    single = v.uniqueness(orders)
+    return single.unionAll(
+        v.combination_uniqueness(orders, orders.columns).select(F.col("columns").alias("name"), "percent")
+    )
+
+
 def combination_uniqueness_pairs(spark, sf):
     columns = ["email", "age", "plate", "region", "segment"]
     return v.combination_uniqueness(view(spark, sf, "people"), columns, max_size=2)
@@ -171,6 +184,31 @@ def flag_tokens(label: str) -> Query:
     return run
 
 
+def flag_ipv6(spark, sf):
+    """Well-formed addresses beside two double gaps and an over-long group."""
+    people = view(spark, sf, "people")
+    number = (F.col("id") % 1000).cast("string")
+    start = F.element_at(
+        F.array(*map(F.lit, ("fe80::", "2001:db8:0:0:0:0:0:", "fe80::1::", "12345::"))),
+        (F.col("id") % 4 + 1).cast("int"),
+    )
+    made = people.select("id", F.concat(start, number).alias("ip"))
+    return v.with_flag(made, "ip", "ip address")
+
+
+def near_misses(column: str, label: str, changed: Callable[[F.Column], F.Column]) -> Query:
+    """Every second value is damaged, so that a constant answer fails."""
+
+    def run(spark, sf):
+        people = view(spark, sf, "people")
+        damaged = F.when(F.col("id") % 2 == 0, changed(F.col(column))).otherwise(F.col(column))
+        source = people.select("id", damaged.alias(column))
+        terms = country_terms(spark, sf) if label == "country or region" else None
+        return v.with_flag(source, column, label, terms).select("id", column, "flag")
+
+    return run
+
+
 def flag_country(spark, sf):
     people = view(spark, sf, "people")
     flagged = v.with_flag(people, "country", "country or region", country_terms(spark, sf))
@@ -228,6 +266,37 @@ def harvest_li(spark, sf):
     return v.build_dictionary(cells, "terms")
 
 
+def footer_references(spark, sf):
+    """The first text of every footer, with its character references decoded."""
+    cells = v.extract_cells(table(spark, sf, "pages"), "footer", None, container=None)
+    return cells.select("page_id", "cell")
+
+
+def stored_tables(spark, sf):
+    """Write a table, its labels and a dictionary to the shared folder, and read them again."""
+    folder = f"{scratch_folder(spark)}/stored-{uuid.uuid4().hex}"
+    people = view(spark, sf, "people").select("id", "name", "email", "age", "balance")
+    v.write_table(people, f"{folder}/people")
+    again = v.read_table(spark, f"{folder}/people", people.schema, header=True)
+    v.write_labels(v.label_columns(people), f"{folder}/labels")
+    labels = v.read_labels(spark, f"{folder}/labels").groupBy("name").agg(F.count("*").alias("labels"))
+    v.write_table(country_terms(spark, sf).orderBy("term"), f"{folder}/terms", "json")
+    terms = spark.read.schema("term string").json(f"{folder}/terms").distinct().count()
+    same = again.exceptAll(people).count() + people.exceptAll(again).count()
+    return labels.select("name", "labels", F.lit(terms).alias("terms"), F.lit(same).alias("changed_rows"))
+
+
+def generalise_dates(spark, sf):
+    """Dates are categorical: each group of orders gets its dates as one list."""
+    orders = table(spark, sf, "orders").select(
+        "o_orderkey", "o_orderdate", "o_orderstatus", (F.col("o_orderkey") % 997).alias("part")
+    )
+    spec = v.PrivacySpec.for_table(
+        orders, sensitive="o_orderstatus", order_by="o_orderkey", features=["o_orderdate"]
+    )
+    return v.generalise_partitions(orders, spec, "part")
+
+
 # --- cleaning and pseudonymisation ------------------------------------------------------------
 
 
@@ -243,7 +312,22 @@ def fill_missing_people(spark, sf):
         "segment",
         F.when(F.col("id") % 3 != 0, F.col("balance")).alias("balance"),
     )
-    return v.fill_missing(people, spec_for(people, ["age", "email", "balance"]))
+    filled = v.fill_missing(people, spec_for(people, ["age", "email", "balance"]))
+    return filled.withColumn("age", F.col("age").cast("double"))
+
+
+def fill_big_integers(spark, sf):
+    """Integers beyond what a double holds stay exact, with and without a null."""
+    people = view(spark, sf, "people").select(
+        "id",
+        (F.col("id") + 1234567890123456789).alias("whole"),
+        F.when(F.col("id") % 4 != 0, F.col("id") * 3 + 1234567890123456700).alias("holed"),
+        F.when(F.col("id") % 7 != 0, F.lit(float("nan"))).otherwise(F.col("balance")).alias("mostly_nan"),
+        "segment",
+    )
+    filled = v.fill_missing(people, spec_for(people, ["whole", "holed", "mostly_nan"]))
+    kept = F.when(F.col("id") % 4 != 0, F.col("holed")).alias("holed")
+    return filled.select("id", "whole", kept, F.col("holed").isNotNull().alias("filled"), "mostly_nan")
 
 
 def interval_age(spark, sf):
@@ -339,6 +423,12 @@ def t_distance(values: str) -> Query:
     return run
 
 
+def t_distance_null_groups(spark, sf):
+    people = view(spark, sf, "people")
+    holed = people.withColumn("region", F.when(F.col("id") % 6 != 0, F.col("region")))
+    return v.t_distance(holed, ["region"], "country")
+
+
 def spans_by_region(spark, sf):
     people = view(spark, sf, "people")
     spec = spec_for(people, ["age", "balance", "country", "email"])
@@ -360,7 +450,11 @@ MONDRIAN_FEATURES = ("age", "country", "balance")
 MONDRIAN_K, MONDRIAN_L, MONDRIAN_P = 25, 4, 0.15
 
 
-def mondrian(model: str, local_cells: int = 200_000) -> Query:
+#: Small enough that the given tables are split by distributed levels first.
+SPLIT_CELLS = 800
+
+
+def mondrian(model: str, local_cells: int = SPLIT_CELLS) -> Query:
     def run(spark, sf):
         people = view(spark, sf, "people").select("id", *MONDRIAN_FEATURES, "segment")
         spec = spec_for(
@@ -374,7 +468,7 @@ def mondrian(model: str, local_cells: int = 200_000) -> Query:
 def partition_people(spark, sf):
     people = view(spark, sf, "people").select("id", *MONDRIAN_FEATURES, "segment")
     spec = spec_for(people, list(MONDRIAN_FEATURES), k=MONDRIAN_K)
-    return v.partition(people, spec, "k").select("id", "partition_id")
+    return v.partition(people, spec, "k", local_cells=SPLIT_CELLS).select("id", "partition_id")
 
 
 def generalise_by_region(spark, sf):
@@ -388,8 +482,9 @@ def publish_people(spark, sf):
     people = view(spark, sf, "people")
     spec = v.PrivacySpec.for_table(people, sensitive="segment", order_by="id", k=10, l=2)
     rows, _, final = v.run(
-        people, spec, dictionaries(spark, sf), "l", regions=regions(spark, sf), key=TOKEN_KEY
-    )
+        people, spec, dictionaries(spark, sf), "l", regions=regions(spark, sf), key=TOKEN_KEY,
+        anonymise_options={"local_cells": SPLIT_CELLS},
+    )
     found = v.violations(v.audit_classes(rows, final))
     return found.select("rows", "k_violations", "l_violations")
 
@@ -480,6 +575,19 @@ def queries() -> dict[str, Query]:
         "mondrian_l": mondrian("l"),
         "mondrian_t": mondrian("t"),
         "mondrian_k_levels": mondrian("k", local_cells=400),
+        "mondrian_l_levels": mondrian("l", local_cells=400),
+        "mondrian_t_levels": mondrian("t", local_cells=400),
+        "fill_big_integers": fill_big_integers,
+        "t_distance_null_groups": t_distance_null_groups,
+        "flag_ipv6": flag_ipv6,
+        "flag_phone_mixed": near_misses("phone", "phone number hungarian", lambda c: F.concat(c, F.lit("77"))),
+        "flag_plate_mixed": near_misses("plate", "licence plate hungarian", lambda c: F.substring(c, 1, 5)),
+        "flag_mac_mixed": near_misses("mac", "mac address", lambda c: F.translate(c, "abc", "xyz")),
+        "flag_country_mixed": near_misses("country", "country or region", lambda c: F.concat(c, F.lit("!"))),
+        "dotted_columns": dotted_columns,
+        "footer_references": footer_references,
+        "stored_tables": stored_tables,
+        "generalise_dates": generalise_dates,
         "publish_people": publish_people,
         **corpus()[0],
     }

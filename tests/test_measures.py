@@ -162,3 +162,37 @@ def test_generalise_given_partitions(spark):
     assert {r.c for r in first.collect()} == {1, 2}
     with pytest.raises(ValueError):
         generalise_partitions(df, spec, numeric="other")
+
+
+def test_combinations_run_in_batches(spark, monkeypatch):
+    from veilspark.operators import uniqueness
+
+    rows = [(i % 2, i % 3, i % 5, None if i % 7 else i) for i in range(60)]
+    df = spark.createDataFrame(rows, "`a.x` int, b int, `c``y` int, d int")
+    whole = uniqueness.combination_uniqueness(df, df.columns).collect()
+    monkeypatch.setattr(uniqueness, "SETS", 4)
+    assert sorted(uniqueness.combination_uniqueness(df, df.columns).collect()) == sorted(whole)
+    assert len(whole) == 15 and {r["columns"] for r in whole} >= {"a.x", "a.x, b, c`y, d"}
+
+
+def test_null_partitions_and_nan_are_values_of_their_own(spark):
+    from veilspark import PrivacySpec, generalise_partitions, split_side, spans, to_interval
+    from veilspark.operators.pseudonymise import encode_text
+
+    rows = [(i, None if i < 4 else "p", float("nan") if i % 4 == 0 else float(i), "s") for i in range(8)]
+    df = spark.createDataFrame(rows, "id int, part string, x double, s string")
+    spec = PrivacySpec.for_table(df, sensitive="s", order_by="id", features=["x"])
+    common = {r["id"]: r["x"] for r in generalise_partitions(df, spec, "part").collect()}
+    assert common[0] == common[3] == 2 and common[4] == common[7] == 6
+    sides = {r["id"]: r["side"] for r in split_side(df, spec, "x", "part").collect()}
+    assert sides[1] == "left" and sides[3] == "right" and sides[0] == "right" and sides[5] == "left"
+    assert {r["part"]: r["span"] for r in spans(df, spec, "part").collect()} == {None: 2.0, "p": 2.0}
+    assert to_interval(df, "x", spec)[0].where("id = 4").first()["x"] is None
+    assert encode_text(df, "x", "id").where("id = 4").first()["x"] == -1
+
+
+def test_ages_with_many_leading_zeros_are_numbers(spark):
+    from veilspark import label_columns
+
+    df = spark.createDataFrame([("0" * 30 + "25",), ("31",)], "age string")
+    assert "human age" in {r["type"] for r in label_columns(df).collect()}

@@ -72,18 +72,16 @@ def expected_partitions(rows, k, l, p, model):
         is_left = lambda r: r[c] is not None and r[c] < middle
         return [r for r in part if is_left(r)], [r for r in part if not is_left(r)]
 
-    todo, done = [rows], []
-    while todo:
-        part = todo.pop(0)
-        order = sorted(kinds, key=lambda c: -(span(part, c) / full[c] if full[c] else 0))
-        for c in order:
-            a, b = halves(part, c)
-            if a and b and ok(a) and ok(b):
-                todo += [a, b]
-                break
-        else:
-            done.append(frozenset(r[0] for r in part))
-    return set(done)
+    def finished(part):
+        """The final partitions below one: its own rows if no feature splits it validly."""
+        wide = lambda c: span(part, c) / full[c] if full[c] else 0
+        tried = (halves(part, c) for c in sorted(kinds, key=wide, reverse=True))
+        valid = next((pair for pair in tried if all(h and ok(h) for h in pair)), None)
+        if valid is None:
+            return {frozenset(r[0] for r in part)}
+        return finished(valid[0]) | finished(valid[1])
+
+    return finished(rows)
 
 
 def found_partitions(df):

@@ -138,3 +138,18 @@ def test_whole_run(spark, tmp_path):
     assert result.agg({"rendszam": "min"}).first()[0] == 0
     assert set(r.koord for r in result.collect()) == set(float(i) for i in range(60))
     assert spark.read.option("header", True).csv(out).count() == 60
+
+
+def test_all_character_references_are_decoded(spark):
+    from veilspark.sources.pages import decode_references
+    from pyspark.sql import functions as F
+
+    cases = {
+        "magas v&eacute;rnyom&aacute;s": "magas vérnyomás",
+        "cukorbetegs&#233;g &#x151;": "cukorbetegség ő",
+        "&amp;lt; &nosuch; &#0; &#55296; a & b &amp": "&lt; &nosuch; � � a & b &amp",
+        "plain": "plain",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r["t"]: r["d"] for r in df.select("t", decode_references(F.col("t")).alias("d")).collect()}
+    assert got == cases

@@ -17,17 +17,18 @@ TAX_FORMAT = r"\A8[0-9]{9}\z"
 TAJ_FORMAT = r"\A[0-9]{9}\z"
 PERSONAL_FORMAT = r"\A[1-8][0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])[0-9]{4}\z"
 PHONE_FORMAT = r"(?d)^(?:\+?3|0)6[-( ]?[0-9]{1,2}[-) ]?[0-9]{3}[- ]?[0-9]{3,4}$"
+# Plates: ordinary and custom ones first, then those of special vehicles.
 PLATE_FORMATS = (
-    "[a-z]{3}[- ]?[0-9]{3}",  # ordinary
-    "m[- ]?[0-9]{6}",  # agricultural
-    "[a-z]{4}[- ]?[0-9][- ]?[0-9]",  # custom, two digits
-    "[a-z]{5}[- ]?[0-9]",  # custom, one digit
-    "s[- ]?[a-z]{3}[- ]?[0-9]{3}",  # moped
-    "sp[- ]?[0-9]{2}[- ]?[0-9]{2}",  # racing
-    "ot[- ]?[0-9]{2}[- ]?[0-9]{2}",  # veteran
-    "[epvz][- ]?[0-9]{5}",  # temporary, trial, customs
-    "c[- ]?[cx][- ]?[0-9]{2}[- ]?[0-9]{2}",  # foreign owner
-    "x[- ]?[abc][- ]?[0-9]{2}[- ]?[0-9]{2}",  # rental
+    "[a-z]{3}[- ]?[0-9]{3}",
+    "m[- ]?[0-9]{6}",
+    "[a-z]{4}[- ]?[0-9][- ]?[0-9]",
+    "[a-z]{5}[- ]?[0-9]",
+    "s[- ]?[a-z]{3}[- ]?[0-9]{3}",
+    "sp[- ]?[0-9]{2}[- ]?[0-9]{2}",
+    "ot[- ]?[0-9]{2}[- ]?[0-9]{2}",
+    "[epvz][- ]?[0-9]{5}",
+    "c[- ]?[cx][- ]?[0-9]{2}[- ]?[0-9]{2}",
+    "x[- ]?[abc][- ]?[0-9]{2}[- ]?[0-9]{2}",
 )
 PLATE_FORMAT = "(?d)^(?:" + "|".join(PLATE_FORMATS) + ")$"
 MAC_FORMAT = (

@@ -49,13 +49,18 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
 
 
+def quoted(name: str) -> Column:
+    """A column by its exact name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def as_text(c: Column, kind: T.DataType) -> Column:
     """Cast to string; whole-number doubles are written without exponent or fraction."""
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        whole = (c == F.floor(c)) & (F.abs(c) < 1e18)
+        whole = (c == F.floor(c)) & (F.abs(c) < 1e38)
         return F.when(whole, c.cast("decimal(38,0)").cast("string")).otherwise(c.cast("string"))
     return c.cast("string")
 
 
 def text_columns(df: DataFrame, columns: list[str]) -> list[Column]:
-    return [as_text(F.col(c), df.schema[c].dataType).alias(c) for c in columns]
+    return [as_text(quoted(c), df.schema[c].dataType).alias(c) for c in columns]

@@ -70,7 +70,8 @@ def _first_partitions(summaries: DataFrame, partition: str, limit: int | None) -
     """The partitions finished first: nearer the root, then left before right."""
     if limit is None:
         return summaries
-    return summaries.orderBy(F.length(partition), partition).limit(limit)
+    path = F.col(partition)
+    return summaries.orderBy(F.length(path).asc_nulls_last(), path).limit(limit)
 
 
 def partition(
@@ -104,9 +105,12 @@ def generalise_partitions(
 
     Categorical: the distinct values in order of first appearance, joined. Numeric:
     integer-truncated mean, mean, or range. Other columns and all rows are kept, unless
-    ``max_partitions`` asks for the first partitions only.
+    ``max_partitions`` asks for the first partitions only. A null partition is one like the
+    others, and the last.
     """
-    df = nan_to_null(df)
+    columns, key = df.columns, partition
+    df = nan_to_null(df).withColumn("_partition", F.struct(F.col(partition).alias("path")))
+    partition = "_partition"
     texts = {c for c in spec.features if spec.is_categorical(c)}
     source = df.select(
         partition,
@@ -118,11 +122,11 @@ def generalise_partitions(
         ],
     )
     found = _summaries(source, partition, list(spec.features), texts, "_o", "_weight", numeric)
-    found = _first_partitions(found, partition, max_partitions).drop("_entries")
-    kept = df.drop(*spec.features)
+    found = _first_partitions(found, f"{partition}.path", max_partitions).drop("_entries")
+    kept = df.drop(*[c for c in spec.features if c != key])
     how = "left" if max_partitions is None else "inner"
     joined = lookup_join(kept, found, [partition], "_covered", [spec.order_by], how)
-    return joined.select(*df.columns)
+    return joined.select(*columns)
 
 
 def anonymise(

@@ -15,11 +15,12 @@ from ..spec import PrivacySpec, nan_to_null
 
 def diversity(df: DataFrame, groups: list[str], column: str) -> DataFrame:
     """Distinct values of a column per group, null counted as one value."""
-    return df.groupBy(*groups).agg(F.count_distinct(F.struct(column)).alias("diversity"))
+    return nan_to_null(df).groupBy(*groups).agg(F.count_distinct(F.struct(column)).alias("diversity"))
 
 
 def global_frequencies(df: DataFrame, sensitive: str) -> DataFrame:
     """Share of each non-null value in all rows, rows with null included, as (value, q)."""
+    df = nan_to_null(df)
     counts = df.groupBy(F.col(sensitive).alias("value")).agg(F.count("*").alias("_held"))
     rows = df.agg(F.count("*")).scalar()
     return counts.where("value is not null").select("value", (F.col("_held") / rows).alias("q"))
@@ -87,14 +88,14 @@ def t_distance(
     """Distance of each group's sensitive distribution from the whole table's.
 
     The largest absolute difference of shares, over all values of the table or, with
-    ``values='present'``, over those the group holds. Group columns must not be null.
+    ``values='present'``, over those the group holds. Null is a group value of its own.
     """
     if values not in ("all", "present"):
         raise ValueError("values is 'all' or 'present'")
-    cells = materialise(
-        df.groupBy(*groups, F.col(sensitive).alias("_value")).agg(F.count("*").alias("held"))
-    )
-    return cell_distance(cells, groups, values)
+    # As a struct, the group is never null itself, so joins by it find null group values.
+    keyed = nan_to_null(df).select(F.struct(*groups).alias("_group"), F.col(sensitive).alias("_value"))
+    cells = materialise(keyed.groupBy("_group", "_value").agg(F.count("*").alias("held")))
+    return cell_distance(cells, ["_group"], values).select("_group.*", "distance")
 
 
 def cell_distance(cells: DataFrame, groups: list[str], values: str = "all") -> DataFrame:

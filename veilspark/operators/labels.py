@@ -12,9 +12,10 @@ from ..functions.detectors import (
     Detector,
     containment_pattern,
 )
-from ..functions.text import fold, text_columns
+from ..functions.text import fold, quoted, text_columns
 from ..plans.skew import lookup_join
 from ..plans.storage import LIMITS, fits_broadcast
+from ..spec import nan_to_null
 
 
 def _key(v: Column, detector: Detector) -> Column:
@@ -86,7 +87,8 @@ def _unbounded_flag(
     """As ``_bounded_flag`` for a dictionary of any size: distinct values are matched, and
     the rows look up the outcome with frequent values spread over tasks."""
     held = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_held"))
-    hits = _matching(held, key, detector, terms).withColumn("_hit", F.lit(True))
+    hits = _matching(held, key, detector, terms).select(key, F.lit(True).alias("_hit"))
+    hits = held.join(hits, key, "left")  # with the others, as a frequent one is spread, too
     spread = [c for c, kind in df.dtypes if not kind.startswith("map")]
     joined = lookup_join(df, hits, [key], "_held", spread)
     return joined.withColumn(out, F.coalesce("_hit", F.lit(False))).drop("_hit")
@@ -100,7 +102,7 @@ def _age_hits(name: Column, rows: Column, unparsed: Column, low: Column, high: C
 def _age_parts(name: Column, v: Column) -> list[Column]:
     """Parts of the age test; values of other columns are not parsed."""
     v = F.when(F.lower(name).isin(*AGE_COLUMN_NAMES), v)
-    number = F.when(v.rlike(r"\A\s*[-+]?[0-9]{1,18}\s*\z"), v.try_cast("bigint"))
+    number = F.when(v.rlike(r"\A\s*[-+]?0*[0-9]{1,18}\s*\z"), v.try_cast("bigint"))
     return [
         F.count_if(v.isNotNull() & number.isNull()).alias("_unparsed"),
         F.min(number).alias("_low"),
@@ -115,7 +117,7 @@ def with_flag(
 
     Nulls are not recognised. Dictionary detectors take a ``(term)`` table.
     """
-    detector = DETECTORS[label]
+    detector, df = DETECTORS[label], nan_to_null(df)
     value = text_columns(df, [col])[0]
     if detector.test:
         return df.withColumn(out, F.coalesce(detector.test(value), F.lit(False)))
@@ -130,7 +132,7 @@ def with_flag(
     parts = df.select(value.alias("_v")).agg(F.count("_v").alias("_rows"), *_age_parts(F.lit(col), F.col("_v")))
     hits = _age_hits(F.lit(col), F.col("_rows"), F.col("_unparsed"), F.col("_low"), F.col("_high"))
     is_age = parts.select((hits > 0).alias("is_age")).scalar()
-    return df.withColumn(out, F.col(col).isNotNull() & F.coalesce(is_age, F.lit(False)))
+    return df.withColumn(out, quoted(col).isNotNull() & F.coalesce(is_age, F.lit(False)))
 
 
 def label_columns(
@@ -150,7 +152,7 @@ def label_columns(
     column and type was found again.
     """
     dictionaries = dictionaries or {}
-    columns = columns or df.columns
+    columns, df = columns or df.columns, nan_to_null(df)
     entries = [
         F.struct(F.lit(c).alias("name"), text.alias("value"))
         for c, text in zip(columns, text_columns(df, columns))

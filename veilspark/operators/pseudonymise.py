@@ -14,7 +14,7 @@ from ..plans.ranking import global_index
 from ..plans.skew import lookup_join
 from ..plans.storage import LIMITS, Stored, fits_broadcast, store
 from ..sources.dictionaries import country_key
-from ..spec import PrivacySpec
+from ..spec import PrivacySpec, nan_to_null
 
 # How an address is split, the parts of an unusable one, token lengths.
 EMAIL_PARTS = r"(?d)(.+)@(.+)\.(.+)"
@@ -174,7 +174,7 @@ def encode_text(df: DataFrame, col: str, order_by: str | list[str]) -> DataFrame
     Values are reduced to their first position map-side, indexed by one distributed
     sort, and looked up again with frequent values spread over tasks.
     """
-    order = [order_by] if isinstance(order_by, str) else list(order_by)
+    order, df = [order_by] if isinstance(order_by, str) else list(order_by), nan_to_null(df)
     first = (
         df.where(F.col(col).isNotNull())
         .groupBy(F.col(col).alias("_value"))
@@ -207,7 +207,7 @@ def to_interval(
     By default the interval stays a feature, so the privacy model covers it;
     ``keep_reference_features`` takes it out of the features.
     """
-    spec = spec.with_categorical(col)
+    spec, df = spec.with_categorical(col), nan_to_null(df)
     if keep_reference_features:
         spec = spec.with_features(c for c in spec.features if c != col)
     number = F.col(col).try_cast("double") if dict(df.dtypes)[col] == "string" else F.col(col)
@@ -227,7 +227,7 @@ def generalise(df: DataFrame, col: str, mapping: DataFrame) -> DataFrame:
         held = keyed.where("_key is not null").groupBy("_key").agg(F.count("*").alias("_held"))
         listed = mapping.select(F.col("term").alias("_key"), F.col("value").alias("_mapped"))
         spread = [c for c, kind in df.dtypes if not kind.startswith("map")]
-        joined = lookup_join(keyed, held.join(listed, "_key"), ["_key"], "_held", spread)
+        joined = lookup_join(keyed, held.join(listed, "_key", "left"), ["_key"], "_held", spread)
     return joined.withColumn(col, F.col("_mapped")).drop("_key", "_mapped").select(*df.columns)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.ranking import at_ranks, group_medians, upper_middle
 from ..plans.skew import lookup_join
 from ..plans.storage import store
-from ..spec import PrivacySpec
+from ..spec import PrivacySpec, nan_to_null
 
 
 def _span(spec: PrivacySpec, c: str):
@@ -27,6 +27,7 @@ def spans(
 
     With ``scale`` (a span per column) the result is relative to it; a zero scale gives 0.
     """
+    df = nan_to_null(df)
     wide = df.groupBy(partition).agg(*[_span(spec, c).alias(f"_{i}") for i, c in enumerate(spec.features)])
     entries = []
     for i, c in enumerate(spec.features):
@@ -39,7 +40,7 @@ def spans(
 
 def full_spans(df: DataFrame, spec: PrivacySpec) -> dict[str, float]:
     """Spans of the whole table, one number per feature."""
-    row = df.agg(*[_span(spec, c).alias(c) for c in spec.features]).first()
+    row = nan_to_null(df).agg(*[_span(spec, c).alias(c) for c in spec.features]).first()
     return {c: row[c] for c in spec.features}
 
 
@@ -50,8 +51,14 @@ def split_side(
 
     Numbers below the partition's median go left, the others and nulls right. Of a
     categorical column's distinct values, in order of first appearance, the first half
-    (rounded down) goes left.
+    (rounded down) goes left. A null partition is one like the others.
     """
+    columns, key = df.columns, "_partition"
+    df = nan_to_null(df).withColumn(key, F.struct(partition))
+    return _sides(df, spec, column, key, out).select(*columns, out)
+
+
+def _sides(df: DataFrame, spec: PrivacySpec, column: str, partition: str, out: str) -> DataFrame:
     side = lambda left: F.when(F.coalesce(left, F.lit(False)), "left").otherwise("right")
     if not spec.is_categorical(column):
         held = df.groupBy(partition).agg(F.count("*").alias("_held"))

@@ -2,25 +2,38 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import quoted
+from ..plans.storage import materialise
 from ..spec import nan_to_null
 
 
+#: Grouping sets that one job counts; more run in several jobs over the same tuples.
+SETS = 1024
+
+
 def _approx_distinct(*columns: str):
     return F.approx_count_distinct(F.xxhash64(*[F.col(c).isNull() for c in columns], *columns))
 
 
+def _numbered(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str]]:
+    """The columns under names that need no quoting."""
+    names = [f"_c{i}" for i in range(len(columns))]
+    return nan_to_null(df.select(*[quoted(c).alias(n) for c, n in zip(columns, names)])), names
+
+
 def uniqueness(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
     """Per column, 100 * distinct values (null is one) / rows, as ``(name, percent)``."""
-    columns = columns or df.columns
-    df = nan_to_null(df.select(*columns))
+    columns = list(columns or df.columns)
+    df, names = _numbered(df, columns)
     distinct = [
         (_approx_distinct(c) if approx else F.count_distinct(F.struct(c))).alias(f"_d{i}")
-        for i, c in enumerate(columns)
+        for i, c in enumerate(names)
     ]
     counted = df.agg(F.count("*").alias("_rows"), *distinct)
     pairs = F.array(
@@ -38,15 +51,15 @@ def combination_uniqueness(
     """100 * distinct rows / rows of every combination of columns, up to ``max_size``.
 
     Rows are first reduced to distinct tuples of all columns, so that the expansion to
-    grouping sets multiplies those only. ``position`` orders by size, then by columns.
+    grouping sets multiplies those only; these are stored once if the sets need several jobs.
+    ``position`` orders by size, then by columns.
     """
-    df = nan_to_null(df.select(*columns))
-    wanted = [
-        c for size in range(1, (max_size or len(columns)) + 1) for c in combinations(columns, size)
-    ]
-    names = [", ".join(c) for c in wanted]
+    df, plain = _numbered(df, columns)
+    sizes = range(1, (max_size or len(columns)) + 1)
+    wanted = [c for size in sizes for c in combinations(range(len(columns)), size)]
+    named = [(i, ", ".join(columns[k] for k in c)) for i, c in enumerate(wanted)]
     if approx:
-        sketches = [_approx_distinct(*c).alias(f"_d{i}") for i, c in enumerate(wanted)]
+        sketches = [_approx_distinct(*[plain[k] for k in c]).alias(f"_d{i}") for i, c in enumerate(wanted)]
         counted = df.agg(F.count("*").alias("_rows"), *sketches)
         entries = [
             F.struct(
@@ -54,31 +67,40 @@ def combination_uniqueness(
                 F.lit(name).alias("columns"),
                 F.try_divide(100.0 * F.col(f"_d{i}"), "_rows").alias("percent"),
             )
-            for i, name in enumerate(names)
+            for i, name in named
         ]
         return counted.select(F.inline(F.array(*entries)))
-    if len(wanted) > 4095:
-        raise ValueError("too many combinations; set max_size")
-    tuples = df.groupBy(*columns).agg(F.count("*").alias("_held"))
-    sets = [[F.col(c) for c in w] for w in wanted]
+    tuples = df.groupBy(*plain).agg(F.count("*").alias("_held"))
+    if len(wanted) > SETS:
+        tuples = materialise(tuples)
+    parts = [
+        _set_shares(tuples, plain, wanted[at : at + SETS], named[at : at + SETS])
+        for at in range(0, len(wanted), SETS)
+    ]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _set_shares(
+    tuples: DataFrame, columns: list[str], wanted: list[tuple[int, ...]], named: list[tuple[int, str]]
+) -> DataFrame:
+    sets = [[F.col(columns[k]) for k in w] for w in wanted]
     groups = tuples.groupingSets(sets, *columns).agg(
         F.grouping_id().alias("_set"), F.sum("_held").alias("_held")
     )
     counted = groups.groupBy("_set").agg(
         F.count("*").alias("_distinct"), F.sum("_held").alias("_rows")
     )
-    bit = {c: 1 << (len(columns) - 1 - i) for i, c in enumerate(columns)}
     full = (1 << len(columns)) - 1
-    named = F.create_map(
+    names = F.create_map(
         *[
             x
-            for i, w in enumerate(wanted)
+            for w, (i, name) in zip(wanted, named)
             for x in (
-                F.lit(full - sum(bit[c] for c in w)).cast("bigint"),
-                F.struct(F.lit(i).alias("position"), F.lit(names[i]).alias("columns")),
+                F.lit(full - sum(1 << (len(columns) - 1 - k) for k in w)).cast("bigint"),
+                F.struct(F.lit(i).alias("position"), F.lit(name).alias("columns")),
             )
         ]
     )
     return counted.select(
-        named[F.col("_set")].alias("_name"), (100.0 * F.col("_distinct") / F.col("_rows")).alias("percent")
+        names[F.col("_set")].alias("_name"), (100.0 * F.col("_distinct") / F.col("_rows")).alias("percent")
     ).select("_name.position", "_name.columns", "percent")

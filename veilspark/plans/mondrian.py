@@ -22,7 +22,9 @@ from .ranking import at_ranks, upper_middle
 from .skew import lookup_join
 from .storage import Scratch, Stored, materialise, partition_count, stacked, store
 
-LOCAL_CELLS = 200_000
+#: Cells and bytes of text that one task finishes.
+LOCAL_CELLS = 50_000
+LOCAL_BYTES = 64 << 20
 SERIAL_CELLS = 10_000
 
 
@@ -51,10 +53,21 @@ def _span_columns(rules_categorical, names):
     return out
 
 
+def _text_bytes(categorical: tuple[int, ...], names: list[str]):
+    """Bytes of a cell's texts."""
+    total = F.coalesce(F.octet_length("_s"), F.lit(0)).cast("bigint")
+    for i in categorical:
+        total = total + F.coalesce(F.octet_length(names[i]), F.lit(0))
+    return total
+
+
 def _partition_stats(cells: DataFrame, rules: Rules, names: list[str]) -> DataFrame:
     """Per partition: rows, cells, and feature positions by descending relative span."""
     stats = cells.groupBy("_pid").agg(
-        F.sum("_n").alias("_rows"), F.count("*").alias("_cells"), *_span_columns(rules.categorical, names)
+        F.sum("_n").alias("_rows"),
+        F.count("*").alias("_cells"),
+        F.sum(_text_bytes(rules.categorical, names)).alias("_bytes"),
+        *_span_columns(rules.categorical, names),
     )
     ranked = [
         F.struct(
@@ -64,7 +77,7 @@ def _partition_stats(cells: DataFrame, rules: Rules, names: list[str]) -> DataFr
         for i, full in enumerate(rules.scale)
     ]
     order = F.transform(F.array_sort(F.array(*ranked)), lambda x: x["feature"])
-    return stats.select("_pid", "_rows", "_cells", order.alias("_order"))
+    return stats.select("_pid", "_rows", "_cells", "_bytes", order.alias("_order"))
 
 
 def _tried_values(cells: DataFrame, rules: Rules, names: list[str], attempt: int) -> DataFrame:
@@ -231,10 +244,10 @@ def _level(progress: _Progress, rules: Rules, names: list[str], local_cells: int
     state = active.columns
     fate = (
         F.when(F.col("_rows") < 2 * rules.k, "done")
-        .when(F.col("_cells") <= local_cells, "local")
+        .when((F.col("_cells") <= local_cells) & (F.col("_bytes") <= LOCAL_BYTES), "local")
         .otherwise("split")
     )
-    stats = _partition_stats(active, rules, names).withColumn("_fate", fate).drop("_rows")
+    stats = _partition_stats(active, rules, names).withColumn("_fate", fate).drop("_rows", "_bytes")
     counted = {f: F.count_if(F.col("_fate") == f) for f in ("done", "local", "split")}
     progress.active, progress.tables, done = None, [], []
     with Scratch() as scratch:
@@ -288,7 +301,7 @@ def partition_cells(
     )
     width = partition_count(start.df)
     progress = _Progress(start.df if start.rows else None, [start], [], [])
-    if 0 < start.rows <= local_cells:
+    if 0 < start.rows <= local_cells and start.size["bytes"] <= LOCAL_BYTES:
         progress = _Progress(None, [], [], [start.df], 1, start.rows)
     while progress.active is not None:
         _level(progress, rules, names, local_cells, width)

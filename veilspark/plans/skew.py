@@ -16,6 +16,16 @@ def _condition(on: list[str], null_safe: bool) -> Column:
     return condition
 
 
+def _null_keys_spread(left: DataFrame, matches: Column, on: list[str], spread: list[str], keys: list[str]):
+    """A further join key that sends rows with a null key, which match nothing, to all tasks."""
+    missing = F.lit(False)
+    for c in on:
+        missing = missing | F.col(c).isNull()
+    place = F.when(missing, F.pmod(F.xxhash64(*spread), F.lit(1 << 16))).otherwise(F.lit(-1))
+    left = left.withColumn("_null", place.cast("bigint"))
+    return left, matches & (F.col("_null") == F.col("_right_null")), [*keys, "_null", "_right_null"]
+
+
 def lookup_join(
     left: DataFrame,
     right: DataFrame | Stored,
@@ -47,6 +57,9 @@ def lookup_join(
     lookup = right.df.withColumnsRenamed(names)
     if right.small:
         return left.join(F.broadcast(lookup.drop(weight)), matches, how).drop(*keys)
+    if not null_safe:
+        left, matches, keys = _null_keys_spread(left, matches, on, spread, keys)
+        lookup = lookup.withColumn("_right_null", F.lit(-1).cast("bigint"))
     share = max(LIMITS.heavy_rows, right.size["total"] // LIMITS.heavy_keys)
     if right.size["most"] <= share:
         return left.join(lookup.drop(weight), matches, how).drop(*keys)
@@ -54,8 +67,8 @@ def lookup_join(
     heavy = lookup.where(F.col(weight) > share).select(*keys, salts.alias("_salts"))
     salt = F.pmod(F.xxhash64(*spread), F.col("_salts"))
     salted = (
-        left.join(F.broadcast(heavy), matches, "left")
-        .drop(*keys)
+        left.join(F.broadcast(heavy), _condition(on, null_safe), "left")
+        .drop(*[f"_right_{c}" for c in on])
         .withColumn("_salt", F.coalesce(salt, none))
         .drop("_salts")
     )

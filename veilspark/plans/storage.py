@@ -85,7 +85,7 @@ class Scratch:
         return table
 
     def __exit__(self, *_) -> None:
-        _open.scopes.remove(self.tables)
+        _open.scopes.pop()
         for table in self.tables:
             table.drop()
 

@@ -2,15 +2,39 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
 
-# The character references decoded in cell text.
-REFERENCES = {
-    "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&",
-}
+REFERENCE = r"&(?:#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,8}|[A-Za-z][A-Za-z0-9]*);"
+#: Named references, from the standard library's table.
+NAMED = {f"&{n}": text for n, text in html5.items() if n.endswith(";")}
+
+
+def _decoded(reference: Column, names: Column) -> Column:
+    """The text of one reference; an unknown name stays, an impossible number is U+FFFD."""
+    hexadecimal = F.regexp_extract(reference, "&#[xX]([0-9a-fA-F]+);", 1)
+    decimal = F.regexp_extract(reference, "&#([0-9]+);", 1)
+    code = F.when(hexadecimal != "", F.conv(hexadecimal, 16, 10)).when(decimal != "", decimal).cast("bigint")
+    real = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    letter = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    numbered = F.when(real, letter).otherwise(F.lit("\ufffd"))
+    return F.when(code.isNotNull(), numbered).otherwise(F.coalesce(names[reference], reference))
+
+
+def decode_references(text: Column) -> Column:
+    """Text with all its character references, named and numeric, decoded."""
+    names = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")
+    gaps = F.split(text, REFERENCE)
+    found = F.regexp_extract_all(text, F.lit(REFERENCE), 0)
+    joined = F.zip_with(
+        gaps, found, lambda gap, r: F.concat(gap, F.coalesce(_decoded(r, names), F.lit("")))
+    )
+    return F.when(text.rlike(REFERENCE), F.array_join(joined, "")).otherwise(text)
 
 
 def _elements(html: Column, tag: str) -> Column:
@@ -22,9 +46,7 @@ def _elements(html: Column, tag: str) -> Column:
 def first_text(fragment: Column) -> Column:
     """First text node of an HTML fragment, null if it has none."""
     text = F.regexp_extract(fragment, r"(?s)\A(?:<[^>]*>)*([^<]+)", 1)
-    for reference, plain in REFERENCES.items():
-        text = F.replace(text, F.lit(reference), F.lit(plain))
-    return F.nullif(text, F.lit(""))
+    return F.nullif(decode_references(text), F.lit(""))
 
 
 def split_terms(cell: Column) -> Column:

@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .functions.text import quoted
 from .plans.storage import materialise
 
 MODELS = ("k", "l", "t")
+CATEGORICAL_TYPES = (
+    T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType,
+)
 
 
 @dataclass(frozen=True)
@@ -42,14 +46,14 @@ class PrivacySpec:
         l: int | None = 2,
         p: float | None = 0.2,
     ) -> PrivacySpec:
-        """Fill in what is not given from the table: text and boolean columns are
+        """Fill in what is not given from the table: text, boolean and date columns are
         categorical, and every column but the sensitive one and the order is a feature."""
         columns = tuple(df.columns)
         if categorical is None:
             categorical = {
                 f.name
                 for f in df.schema.fields
-                if isinstance(f.dataType, (T.StringType, T.BooleanType))
+                if isinstance(f.dataType, CATEGORICAL_TYPES)
             }
         if features is None:
             features = [c for c in columns if c not in (sensitive, order_by)]
@@ -81,17 +85,10 @@ class PrivacySpec:
                 raise ValueError("t-closeness needs a categorical sensitive column")
 
     def __str__(self) -> str:
-        return "\n".join(
-            (
-                f"Columns: {', '.join(self.columns)}",
-                f"Categorical columns: {', '.join(sorted(self.categorical))}",
-                f"Sensitive column: {self.sensitive}",
-                f"Feature columns: {', '.join(self.features)}",
-                f"K: {self.k}",
-                f"L: {self.l}",
-                f"P: {self.p}",
-            )
-        )
+        """One line: what protects which column, and by which features."""
+        listed = [f"{c}*" if self.is_categorical(c) else c for c in self.features]
+        bounds = f"k={self.k}, l={self.l}, p={self.p}"
+        return f"{self.sensitive} by {', '.join(listed)} in order of {self.order_by} ({bounds}; * categorical)"
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -99,7 +96,7 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     floats = [
         f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))
     ]
-    return df.withColumns({c: F.nanvl(F.col(c), F.lit(None)) for c in floats}) if floats else df
+    return df.withColumns({c: F.nanvl(quoted(c), F.lit(None)) for c in floats}) if floats else df
 
 
 def with_row_order(df: DataFrame, name: str = "row_order") -> DataFrame:
