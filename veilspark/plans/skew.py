@@ -64,11 +64,12 @@ def lookup_join(
     if right.size["most"] <= share:
         return left.join(lookup.drop(weight), matches, how).drop(*keys)
     salts, none = F.ceil(F.col(weight) / F.lit(share)).cast("bigint"), F.lit(0).cast("bigint")
-    heavy = lookup.where(F.col(weight) > share).select(*keys, salts.alias("_salts"))
+    right_keys = [f"_right_{c}" for c in on]
+    heavy = lookup.where(F.col(weight) > share).select(*right_keys, salts.alias("_salts"))
     salt = F.pmod(F.xxhash64(*spread), F.col("_salts"))
     salted = (
         left.join(F.broadcast(heavy), _condition(on, null_safe), "left")
-        .drop(*[f"_right_{c}" for c in on])
+        .drop(*right_keys)
         .withColumn("_salt", F.coalesce(salt, none))
         .drop("_salts")
     )
