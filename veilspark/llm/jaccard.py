@@ -13,7 +13,7 @@ from ..plans.skew import lookup_join
 from ..plans.storage import Scratch, Stored, store
 from .common import name, row_of
 from .graph import components
-from .wordhash import mix, windows, word_hashes
+from .wordhash import mix, small, windows, word_hashes
 
 WORDS = 5
 PERCENT = 80
@@ -23,7 +23,7 @@ FREQUENT = 1 << 21
 COUNTED = 3
 UNCOUNTED = 1 << 40
 #: Tokens whose sets one task compares at a time; a group with more is cut into blocks.
-TASK_TOKENS = 1 << 22
+TASK_TOKENS = 1 << 21
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +54,7 @@ def _order(tokens: np.ndarray, number: int) -> np.ndarray:
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches, 0):
         tokens = shingle_sets(batch.column(0))[0]
         tokens, count = np.unique(tokens[tokens % np.uint64(COUNTED) == 0], return_counts=True)
         yield pa.RecordBatch.from_arrays(
@@ -109,7 +109,7 @@ def _label(own: np.ndarray) -> int:
 def _described(held, words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held.value
-        for batch in batches:
+        for batch in small(batches, 2):
             tokens, bounds = shingle_sets(batch.column(2), words)
             ranks = _ranked(tokens, table)
             labels, prefixes = [], []
@@ -136,7 +136,7 @@ def _sets(words: int):
     """The whole sets of the wanted classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 2):
             tokens, bounds = shingle_sets(batch.column(2), words)
             rows, sets = [], []
             for i, wanted in enumerate(batch.column(1).to_pylist()):

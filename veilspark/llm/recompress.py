@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..plans.skew import lookup_join
 from ..plans.storage import Stored, store
 from .common import name, whole
-from .wordhash import STEP, mix, word_hashes
+from .wordhash import STEP, mix, small, word_hashes
 
 WINDOW = 50
 LEVELS = 3
@@ -109,7 +109,7 @@ def label(words: np.ndarray) -> int:
 
 def _described(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 2):
             hashes, first = word_hashes(batch.column(2))
             marks = signs(hashes, first, window)
             labels, found = [], []
@@ -132,7 +132,7 @@ def _described(window: int):
 
 def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 2):
             hashes, first = word_hashes(batch.column(2))
             marks, whole_windows = signs(hashes, first, window), window_hashes(hashes, window)
             rows, starts, found = [], [], []

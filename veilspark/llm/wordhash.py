@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes hashed at a time; texts beyond it are cut between words, so a batch stays small.
 CHUNK = 1 << 21
@@ -18,6 +20,16 @@ LOWER = AS_IS.copy()
 LOWER[65:91] += 32
 
 
+def small(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 22):
+    """The batches cut to about ``most`` bytes of text each, as several numbers per word are held."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes, dtype=np.int64) // most
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield batch.slice(a, b - a)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread every input bit over the 64 bits (a finaliser of three xor-shifts)."""
     x = x ^ (x >> np.uint64(30))
