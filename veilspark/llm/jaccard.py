@@ -85,8 +85,8 @@ def frequent(source: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 break
             held += count
         small = F.least("n", F.lit(127)).cast("tinyint").alias("n")
-        rows = found.df.where(F.log2("n") >= least).select("token", small).toPandas()
-    tokens, n = rows["token"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int8)
+        rows = found.df.where(F.log2("n") >= least).select("token", small).toArrow()
+    tokens, n = rows.column("token").to_numpy().view(np.uint64), rows.column("n").to_numpy()
     order = np.argsort(tokens)
     return tokens[order], n[order]
 

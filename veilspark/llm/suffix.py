@@ -15,7 +15,7 @@ from ..plans.skew import lookup_join
 from ..plans.storage import Stored, store
 from .common import name, whole
 from .recompress import _slide
-from .wordhash import BASE, STEP, _powers, mix
+from .wordhash import BASE, STEP, _powers, mix, small
 
 LENGTH = 400
 #: Bytes looked at together; the place of a byte fits in the low bits of a comparison key.
@@ -25,7 +25,7 @@ PLACE = np.uint64((1 << 24) - 1)
 HOT = 10_000
 #: Bytes of contexts that a task sorts, and that it holds hashes of at a time.
 TASK_BYTES = 1 << 24
-PART_BYTES = 1 << 22
+PART_BYTES = 1 << 21
 
 
 def gram_of(length: int) -> int:
@@ -74,7 +74,7 @@ def _texts(column: pa.Array) -> list[np.ndarray]:
 
 def _signs(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 1):
             found = []
             for data in _texts(batch.column(1)):
                 own = [marks(part, length)[3] for _, part in _pieces(data, length)]
@@ -90,7 +90,7 @@ def _contexts(length: int):
     """Per place of a shared sign: the bytes of all strings that it stands for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 1):
             docs, out = [], {n: [] for n in ("sign", "start", "count", "place", "context")}
             for row, (data, shared) in enumerate(
                 zip(_texts(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False))
