@@ -84,3 +84,25 @@ def test_article_words_stay_however_often_repeated(spark):
     assert {r.text for r in got} == {f"same line for all of us here {i}" for i in range(30)}
     assert all(r.repeated_blocks == 1 for r in got)
     assert pages.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_copies_of_a_page_are_dropped_before_shards_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(pages, "SHARD_WORDS", 200)
+    seen = []
+    plain = pages.store
+
+    def watched(df, *args, **sizes):
+        table = plain(df, *args, **sizes)
+        if "shards" in df.columns:
+            seen.append({r.host: (r.pages, r.shards) for r in table.df.collect()})
+        return table
+
+    monkeypatch.setattr(pages, "store", watched)
+    draw = random.Random(5)
+    error = f"<body><div>{sentence(draw, 30)}</div></body>"
+    rows = [(i, "http://h.example/", error) for i in range(60)]
+    rows += [(100 + i, "http://h.example/", f"<p>{sentence(draw, 20)} {i}</p>") for i in range(20)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    found = {r.key: r.text for r in pages.main_text(table).collect()}
+    assert seen == [{"h.example": (21, 3)}]
+    assert len(found) == 80 and len({found[i] for i in range(60)}) == 1 and len(found[0].split()) == 30

@@ -163,13 +163,18 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def split(html: str) -> tuple[str | None, list[str], list[bool]]:
-    """The text of the article, if the markup tells one; else None. Then the words around it, block
-    by block, and whether the markup says that a block is not content."""
+def parts(html: str) -> tuple[list[str] | None, list[str], list[bool]]:
+    """The blocks of the article, if the markup tells one; else None. Then the blocks around it,
+    and whether the markup says that a block is not content."""
     blocks = read(html)
     chosen = [b for b in blocks if b.article and not b.chrome] or [b for b in blocks if b.main and not b.chrome]
-    if chosen:
-        inside = {id(b) for b in chosen}
-        rest = [b for b in blocks if id(b) not in inside]
-        return " ".join(w for b in chosen for w in b.words), [" ".join(b.words) for b in rest], [b.chrome for b in rest]
-    return None, [" ".join(b.words) for b in blocks], [b.chrome for b in blocks]
+    inside = {id(b) for b in chosen}
+    rest = [b for b in blocks if id(b) not in inside]
+    own = [" ".join(b.words) for b in chosen] if chosen else None
+    return own, [" ".join(b.words) for b in rest], [b.chrome for b in rest]
+
+
+def split(html: str) -> tuple[str | None, list[str], list[bool]]:
+    """As ``parts``, with the article as one text."""
+    inside, outer, chrome = parts(html)
+    return None if inside is None else " ".join(inside), outer, chrome

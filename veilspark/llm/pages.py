@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.skew import lookup_join
 from ..plans.storage import Stored, store
 from .common import name, whole
-from .markup import host_of, split
+from .markup import host_of, parts
 from .recompress import covered
 from .wordhash import STEP, mix, word_hashes
 
@@ -25,27 +25,32 @@ SHARE = 0.02
 SHARD_WORDS = 1 << 20
 
 
+def _size(blocks: list[str]) -> int:
+    return sum(x.count(" ") + 1 for x in blocks)
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks are joined by line ends, which no block holds."""
     for batch in batches:
-        hosts, mains, outers, chromes, sizes = [], [], [], [], []
+        hosts, insides, arounds, chromes, sizes = [], [], [], [], []
         for url, html in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            main, outer, chrome = split(html)
+            inside, around, chrome = parts(html)
             hosts.append(host_of(url))
-            mains.append(main)
-            outers.append(outer)
+            insides.append(None if inside is None else "\n".join(inside))
+            arounds.append("\n".join(around))
             chromes.append(chrome)
-            sizes.append(sum(x.count(" ") + 1 for x in outer))
+            sizes.append(_size(around))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
                 batch.column(1),
                 pa.array(hosts, pa.string()),
-                pa.array(mains, pa.string()),
-                pa.array(outers, pa.list_(pa.string())),
+                pa.array(insides, pa.string()),
+                pa.array(arounds, pa.string()),
                 pa.array(chromes, pa.list_(pa.bool_())),
                 pa.array(sizes, pa.int64()),
             ],
-            names=["key", "url", "host", "main", "outer", "chrome", "size"],
+            names=["key", "url", "host", "inside", "around", "chrome", "size"],
         )
 
 
@@ -106,98 +111,111 @@ def repeated_runs(streams: list[np.ndarray], least: int, run: int = RUN) -> tupl
     return grams[heads[often]], counts[often]
 
 
-def _threshold(pages: int) -> int:
-    return max(LEAST_PAGES, int(np.ceil(SHARE * pages)))
+def _least(pages: Column) -> Column:
+    return F.greatest(F.lit(LEAST_PAGES), F.ceil(F.lit(SHARE) * pages))
+
+
+def _streams(rows: pd.DataFrame) -> list[np.ndarray]:
+    """The words of each page."""
+    hashes, firsts = word_hashes(pa.array(rows["body"], pa.string()))
+    return [hashes[a:b] for a, b in zip(firsts[:-1], firsts[1:])]
+
+
+def _gone(stream: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Starts and ends of the words that the runs cover, in turn."""
+    hits = np.flatnonzero(np.isin(_grams(stream, RUN), grams))
+    held = covered(hits, RUN, len(stream))
+    return np.flatnonzero(np.diff(held.astype(np.int8), prepend=np.int8(0), append=np.int8(0)))
+
+
+def _answers(rows: pd.DataFrame, runs: Callable[[list[np.ndarray]], np.ndarray]) -> pd.DataFrame:
+    streams = _streams(rows)
+    grams = runs(streams)
+    found = rows[["host", "content"]].assign(gone=[_gone(s, grams) for s in streams])
+    return found[found["gone"].map(len) > 0]
 
 
-def _stream(blocks: list[str]) -> np.ndarray:
-    return word_hashes(pa.array([" ".join(blocks)]))[0]
+ANSWER = "host string, content long, gone array<int>"
 
 
-def _shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Runs of a shard that could be frequent on the host: a share that no shard reaches, the host
-    does not reach either. Equal pages are one."""
-    rows = rows.drop_duplicates("content").sort_values("content")
-    shards, pages = int(rows["shards"].iloc[0]), len(rows)
-    least = _threshold(pages) if shards == 1 else max(1, int(np.ceil(SHARE * pages)))
-    grams, counts = repeated_runs([_stream(list(x)) for x in rows["outer"]], least)
+def _whole_host(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    return _answers(rows, lambda streams: repeated_runs(streams, int(rows["least"].iloc[0]))[0])
+
+
+def _counted(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """On how many pages of the shard each run is."""
+    grams, counts = repeated_runs(_streams(rows), 1)
+    least = int(rows["least"].iloc[0])
     return pd.DataFrame(
-        {"host": rows["host"].iloc[0], "gram": grams.view(np.int64), "pages": counts, "shards": shards}
+        {"site": key[0], "shard": key[1], "gram": grams.view(np.int64), "on": counts, "least": least}
     )
 
 
-def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate runs on each page."""
-    for batch in batches:
-        hosts, grams = [], []
-        wanted = batch.column(2).to_numpy(zero_copy_only=False)
-        for i, outer in enumerate(batch.column(1).to_pylist()):
-            own = np.unique(_grams(_stream(outer), RUN)).view(np.int64)
-            own = own[np.isin(own, wanted[i])]
-            hosts.append(np.full(len(own), i))
-            grams.append(own)
-        rows = pa.array(np.concatenate(hosts))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(rows), pa.array(np.concatenate(grams))], names=["host", "gram"]
-        )
+def _part_of_host(key: tuple, rows: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+    if not len(rows):
+        return pd.DataFrame({"host": [], "content": [], "gone": []})
+    return _answers(rows, lambda streams: runs["gram"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
-def host_runs(parsed: Stored) -> DataFrame:
-    """Per host the runs that are boilerplate: host, grams, pages (rows of the host)."""
-    streams = parsed.df.where(F.size("outer") > 0).select(
-        "host", "outer", "size", F.xxhash64("main", "outer").alias("content")
+def repeated_words(parsed: Stored) -> DataFrame:
+    """Per host and distinct page the words that are in boilerplate: host, content, gone."""
+    streams = parsed.df.where("around != ''").select(
+        "row", "host", F.col("around").alias("body"), "size", "content"
     )
+    same = ["host", "content"]
+    copies = streams.groupBy(*same).agg(F.min("row").alias("keeper"), F.count("*").alias("n")).where("n > 1")
+    distinct = lookup_join(streams, copies, same, "n", ["row"]).where("keeper is null or keeper = row")
     hosts = store(
-        streams.groupBy("host").agg(
-            F.count("*").alias("pages"),
-            F.ceil(F.sum("size") / SHARD_WORDS).alias("shards"),
-        ),
+        distinct.groupBy("host")
+        .agg(F.count("*").alias("pages"), F.ceil(F.sum("size") / SHARD_WORDS).alias("shards"))
+        .select("*", _least(F.col("pages")).alias("least"), F.monotonically_increasing_id().alias("site")),
         "pages",
+        shards=F.max("shards"),
     )
-    dealt = lookup_join(streams, hosts, ["host"], "pages", ["content"])
-    shard = F.pmod(F.xxhash64("content"), F.col("shards"))
-    found = store(
-        dealt.withColumn("shard", shard)
-        .groupBy("host", "shard")
-        .applyInPandas(_shard, "host string, gram long, pages long, shards long"),
-        most=F.max("shards"),
+    dealt = lookup_join(distinct, hosts, ["host"], "pages", ["content"]).withColumn(
+        "shard", F.pmod("content", "shards")
     )
-    sure = found.df.where("shards = 1").select("host", "gram")
-    if found.size["most"] > 1:
-        split_hosts = found.df.where("shards > 1").groupBy("host").agg(F.collect_set("gram").alias("grams"))
-        spread = dealt.where("shards > 1").dropDuplicates(["host", "content"])
-        number = spread.groupBy("host").agg(F.count("*").alias("distinct"))
-        wanted = store(split_hosts.join(hosts.df.select("host", "pages"), "host"), "pages")
-        joined = lookup_join(spread.select("host", "outer", "content"), wanted, ["host"], "pages", ["content"], "inner")
-        hits = joined.select("host", "outer", "grams").mapInArrow(_hits, "host string, gram long")
-        counts = hits.groupBy("host", "gram").agg(F.count("*").alias("on")).join(number, "host")
-        least = F.greatest(F.lit(LEAST_PAGES), F.ceil(F.lit(SHARE) * F.col("distinct")))
-        sure = sure.unionAll(counts.where(F.col("on") >= least).select("host", "gram"))
-    grams = sure.groupBy("host").agg(F.collect_set("gram").alias("grams"))
-    rows = parsed.df.groupBy("host").agg(F.count("*").alias("rows"))
-    return grams.join(rows, "host")
+    columns = ["site", "shard", "host", "content", "body", "least"]
+    answers = dealt.where("shards = 1").select(*columns).groupBy("site", "shard").applyInPandas(_whole_host, ANSWER)
+    if hosts.size["shards"] > 1:
+        parts_of = dealt.where("shards > 1").select(*columns).groupBy("site", "shard")
+        counts = store(
+            parts_of.applyInPandas(_counted, "site long, shard long, gram long, on long, least long")
+        ).df
+        often = counts.groupBy("site", "gram").agg(F.sum("on").alias("on"), F.max("least").alias("least"))
+        often = often.where("on >= least").select("site", "gram")
+        sure = counts.select("site", "shard", "gram").join(often, ["site", "gram"])
+        answers = answers.unionAll(
+            parts_of.cogroup(sure.groupBy("site", "shard")).applyInPandas(_part_of_host, ANSWER)
+        )
+    return answers
+
+
+def _mask(bounds: list[int] | None, size: int) -> np.ndarray:
+    gone = np.zeros(size, dtype=bool)
+    for a, b in zip((bounds or [])[::2], (bounds or [])[1::2]):
+        gone[a:b] = True
+    return gone
 
 
 def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, repeated, marked = [], [], []
-        chromes, runs = batch.column(4).to_pylist(), batch.column(5).to_numpy(zero_copy_only=False)
-        for i, (main, outer) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-            gone = np.zeros(sum(x.count(" ") + 1 for x in outer), dtype=bool)
-            if runs[i] is not None and len(gone) >= RUN:
-                hits = np.isin(_grams(_stream(outer), RUN).view(np.int64), runs[i])
-                gone = covered(np.flatnonzero(hits), RUN, len(gone))
+        chromes, ranges = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+        for i, (inside, around) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+            blocks = around.split("\n") if around else []
+            gone = _mask(ranges[i], _size(blocks))
             kept, at, by_runs, by_markup = [], 0, 0, 0
-            for block, chrome in zip(outer, chromes[i]):
+            for block, chrome in zip(blocks, chromes[i]):
                 size = block.count(" ") + 1
                 if 2 * gone[at : at + size].sum() >= size:
                     by_runs += 1
                 elif chrome:
                     by_markup += 1
-                elif main is None:
+                elif inside is None:
                     kept.append(block)
                 at += size
-            texts.append(" ".join(kept) if main is None else main)
+            texts.append(" ".join(kept) if inside is None else inside.replace("\n", " "))
             repeated.append(by_runs)
             marked.append(by_markup)
         yield pa.RecordBatch.from_arrays(
@@ -225,24 +243,25 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", key: str =
     has the empty host. Repeated pages are counted once and answered each. Other columns are not
     read; an empty table gives no rows.
 
-    A host's streams are dealt to suffix arrays of bounded size. What reaches the share on the
-    host reaches it in one of them, so they propose the runs; where a host has several, the
-    proposals are counted over all its pages.
+    Copies of a page are dropped by an aggregate before anything is counted or dealt. The pages of
+    a host are dealt to suffix arrays of bounded size; where a host has several, the counts of its
+    runs are added up as rows, and each shard gets those of its own runs that are frequent.
     """
     source = pages.select(
         name(key).alias("key"), name(url).cast("string").alias("url"), whole(name(html)).alias("html")
     )
     kind = source.schema["key"].dataType.simpleString()
+    columns = f"key {kind}, url string, host string, inside string, around string, chrome array<boolean>, size long"
+    content = F.xxhash64(F.col("inside").isNull(), "inside", "around")
     parsed = store(
-        source.mapInArrow(
-            _parsed,
-            f"key {kind}, url string, host string, main string, outer array<string>,"
-            " chrome array<boolean>, size long",
+        source.mapInArrow(_parsed, columns).withColumns(
+            {"content": content, "row": F.monotonically_increasing_id()}
         )
     )
-    runs = store(host_runs(parsed), "rows")
-    joined = lookup_join(parsed.df, runs, ["host"], "rows", ["key", "url"])
-    rows = joined.select("key", "url", "main", "outer", "chrome", "grams")
+    copies = parsed.df.groupBy("host", "content").agg(F.count("*").alias("n"))
+    gone = store(store(repeated_words(parsed)).df.join(copies, ["host", "content"]), "n")
+    joined = lookup_join(parsed.df, gone, ["host", "content"], "n", ["row"])
+    rows = joined.select("key", "url", "inside", "around", "chrome", "gone")
     return rows.mapInArrow(
         _decided, f"key {kind}, url string, text string, repeated_blocks long, marked_blocks long"
     )
