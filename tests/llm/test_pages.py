@@ -106,3 +106,17 @@ def test_copies_of_a_page_are_dropped_before_shards_are_dealt(spark, monkeypatch
     found = {r.key: r.text for r in pages.main_text(table).collect()}
     assert seen == [{"h.example": (21, 3)}]
     assert len(found) == 80 and len({found[i] for i in range(60)}) == 1 and len(found[0].split()) == 30
+
+
+@pytest.mark.parametrize("words", [1 << 20, 3000])
+def test_runs_go_from_within_a_block_and_in_sections_of_a_large_host(spark, monkeypatch, words):
+    """A footer on 5 of 400 pages; all of a page is one block, more than half of it repeated."""
+    monkeypatch.setattr(pages, "SHARD_WORDS", words)
+    draw, rows, own = random.Random(8), [], {}
+    ends = [sentence(draw, 40) for _ in range(80)]
+    for i in range(400):
+        first, last = f"{sentence(draw, 20)} {i}", f"{i} {sentence(draw, 9)}"
+        own[i] = f"{first} {last}"
+        rows.append((i, f"http://h.example/{i}", f"<body>{first}<br>{ends[i % 80]}<br>{last}</body>"))
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    assert {r.key: r.text for r in pages.main_text(table).collect()} == own

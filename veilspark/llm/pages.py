@@ -17,10 +17,11 @@ from .markup import host_of, parts
 from .recompress import covered
 from .wordhash import STEP, mix, word_hashes
 
-#: Words of a run, and the distinct pages of its host that it must be on: a number and a share.
+#: Words of a run, and the distinct pages of its host that it must be on: a number, or so many
+#: times the root of the host's pages (200 of a million).
 RUN = 6
 LEAST_PAGES = 3
-SHARE = 0.02
+ROOT_SHARE = 0.2
 #: Words of page streams that one suffix array holds.
 SHARD_WORDS = 1 << 20
 
@@ -112,7 +113,7 @@ def repeated_runs(streams: list[np.ndarray], least: int, run: int = RUN) -> tupl
 
 
 def _least(pages: Column) -> Column:
-    return F.greatest(F.lit(LEAST_PAGES), F.ceil(F.lit(SHARE) * pages))
+    return F.greatest(F.lit(LEAST_PAGES), F.ceil(F.lit(ROOT_SHARE) * F.sqrt(pages)))
 
 
 def _streams(rows: pd.DataFrame) -> list[np.ndarray]:
@@ -207,14 +208,15 @@ def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gone = _mask(ranges[i], _size(blocks))
             kept, at, by_runs, by_markup = [], 0, 0, 0
             for block, chrome in zip(blocks, chromes[i]):
-                size = block.count(" ") + 1
-                if 2 * gone[at : at + size].sum() >= size:
+                own = block.split(" ")
+                left = [w for w, g in zip(own, gone[at : at + len(own)].tolist()) if not g]
+                if not left:
                     by_runs += 1
                 elif chrome:
                     by_markup += 1
                 elif inside is None:
-                    kept.append(block)
-                at += size
+                    kept += left
+                at += len(own)
             texts.append(" ".join(kept) if inside is None else inside.replace("\n", " "))
             repeated.append(by_runs)
             marked.append(by_markup)
@@ -236,8 +238,9 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", key: str =
     Pages are split into blocks; character references are decoded, white space in a block is one
     space, and blocks are joined by one space. The blocks around the article are the page's
     stream of words. A run of ``RUN`` words on enough distinct pages of the host is boilerplate,
-    and a block at least half covered by such runs is removed; then what the markup names as
-    menu, header, footer, sidebar, notice, advert, form or comment goes. Where the markup tells
+    and the words that such runs cover are removed, wherever in a block they are; a block counts
+    as repeated if none is left. Then what the markup names as menu, header, footer, sidebar,
+    notice, advert, form or comment goes. Where the markup tells
     no article, the blocks that are left are the text. Words inside an article stay, however
     often a host repeats them. A null page is empty and has an empty text; a null or broken url
     has the empty host. Repeated pages are counted once and answered each. Other columns are not
