@@ -120,3 +120,29 @@ def test_runs_go_from_within_a_block_and_in_sections_of_a_large_host(spark, monk
         rows.append((i, f"http://h.example/{i}", f"<body>{first}<br>{ends[i % 80]}<br>{last}</body>"))
     table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
     assert {r.key: r.text for r in pages.main_text(table).collect()} == own
+
+
+@pytest.mark.parametrize("words", [1 << 20, 200])
+def test_runs_of_a_host_decide_blocks_of_articles(spark, monkeypatch, words):
+    monkeypatch.setattr(pages, "SHARD_WORDS", words)
+    draw, rows, own = random.Random(9), [], {}
+    notice, quote = sentence(draw, 12), sentence(draw, 12)
+    share = "".join(f"<li>{x}</li>" for x in "Share Mail Print Copy Save Link Post".split())
+    for i in range(20):
+        first, last = f"{sentence(draw, 25)} {i}", f"{i} {quote} {sentence(draw, 9)}"
+        own[i] = f"{first} {last}"
+        tag = "article" if i % 2 else "main"
+        body = f"<p>{first}</p><div>{notice}</div><p>{last}</p><ul>{share}</ul>"
+        rows.append((i, f"http://h.example/{i}", f"<nav>Home {i}</nav><{tag}>{body}</{tag}>"))
+    base = [sentence(draw, 30) for _ in range(4)]
+    for i in range(4):  # near copies, one paragraph edited
+        own[100 + i] = " ".join([*base, f"edit {i}"])
+        body = "".join(f"<p>{x}</p>" for x in [*base, f"edit {i}"])
+        rows.append((100 + i, "http://h.example/", f"<article>{body}</article>"))
+    for i in range(4):  # one article under several menus is one
+        own[200 + i] = "only once written here for all"
+        rows.append((200 + i, "http://h.example/", f"<nav>{i}</nav><article><p>only once written here for all</article>"))
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = pages.main_text(table).collect()
+    assert {r.key: r.text for r in got} == own
+    assert all(r.repeated_blocks == 8 for r in got if r.key < 20)

@@ -22,6 +22,8 @@ from .wordhash import STEP, mix, word_hashes
 RUN = 6
 LEAST_PAGES = 3
 ROOT_SHARE = 0.2
+#: An article that would keep a smaller share of its words is a near copy and stays whole.
+ARTICLE_LEFT = 0.25
 #: Words of page streams that one suffix array holds.
 SHARD_WORDS = 1 << 20
 
@@ -33,7 +35,7 @@ def _size(blocks: list[str]) -> int:
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks are joined by line ends, which no block holds."""
     for batch in batches:
-        hosts, insides, arounds, chromes, sizes = [], [], [], [], []
+        hosts, insides, arounds, chromes, sizes, own = [], [], [], [], [], []
         for url, html in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             inside, around, chrome = parts(html)
             hosts.append(host_of(url))
@@ -41,6 +43,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             arounds.append("\n".join(around))
             chromes.append(chrome)
             sizes.append(_size(around))
+            own.append(_size(inside or []))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
@@ -50,8 +53,9 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(arounds, pa.string()),
                 pa.array(chromes, pa.list_(pa.bool_())),
                 pa.array(sizes, pa.int64()),
+                pa.array(own, pa.int64()),
             ],
-            names=["key", "url", "host", "inside", "around", "chrome", "size"],
+            names=["key", "url", "host", "inside", "around", "chrome", "size", "article_size"],
         )
 
 
@@ -117,22 +121,36 @@ def _least(pages: Column) -> Column:
 
 
 def _streams(rows: pd.DataFrame) -> list[np.ndarray]:
-    """The words of each page."""
+    """The words of each page, or of each article."""
     hashes, firsts = word_hashes(pa.array(rows["body"], pa.string()))
     return [hashes[a:b] for a, b in zip(firsts[:-1], firsts[1:])]
 
 
-def _gone(stream: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    """Starts and ends of the words that the runs cover, in turn."""
-    hits = np.flatnonzero(np.isin(_grams(stream, RUN), grams))
-    held = covered(hits, RUN, len(stream))
+def _gone(stream: np.ndarray, grams: np.ndarray, article: str | None = None) -> np.ndarray:
+    """Starts and ends of the words that the runs cover, in turn; of an article, those of its blocks
+    that one run of any length covers wholly."""
+    hits = np.isin(_grams(stream, RUN), grams)
+    held = covered(np.flatnonzero(hits), RUN, len(stream))
+    if article is not None and held.any():
+        at = 0
+        for block in article.split("\n"):
+            end = at + block.count(" ") + 1
+            held[at:end] = held[at:end].all() and hits[at : max(at, end - RUN + 1)].all()
+            at = end
+        if len(held) - held.sum() < ARTICLE_LEFT * len(held):
+            held[:] = False
     return np.flatnonzero(np.diff(held.astype(np.int8), prepend=np.int8(0), append=np.int8(0)))
 
 
-def _answers(rows: pd.DataFrame, runs: Callable[[list[np.ndarray]], np.ndarray]) -> pd.DataFrame:
-    streams = _streams(rows)
-    grams = runs(streams)
-    found = rows[["host", "content"]].assign(gone=[_gone(s, grams) for s in streams])
+def _answers(rows: pd.DataFrame, runs: Callable[[pd.DataFrame, list[np.ndarray]], np.ndarray]) -> pd.DataFrame:
+    found = [pd.DataFrame({"host": [], "content": [], "gone": []})]
+    for article, part in rows.groupby("article"):
+        streams = _streams(part)
+        grams = runs(part, streams)
+        bodies = part["body"] if article else [None] * len(part)
+        gone = [_gone(s, grams, body) for s, body in zip(streams, bodies)]
+        found.append(part[["host", "content"]].assign(gone=gone))
+    found = pd.concat(found[1:] or found)
     return found[found["gone"].map(len) > 0]
 
 
@@ -140,54 +158,85 @@ ANSWER = "host string, content long, gone array<int>"
 
 
 def _whole_host(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    return _answers(rows, lambda streams: repeated_runs(streams, int(rows["least"].iloc[0]))[0])
+    return _answers(rows, lambda part, streams: repeated_runs(streams, int(part["least"].iloc[0]))[0])
 
 
 def _counted(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """On how many pages of the shard each run is."""
-    grams, counts = repeated_runs(_streams(rows), 1)
-    least = int(rows["least"].iloc[0])
-    return pd.DataFrame(
-        {"site": key[0], "shard": key[1], "gram": grams.view(np.int64), "on": counts, "least": least}
-    )
+    """On how many pages of the shard each run is, dealt to as many parts as the host has shards."""
+    found, shards = [], int(rows["shards"].iloc[0])
+    for article, part in rows.groupby("article"):
+        grams, counts = repeated_runs(_streams(part), 1)
+        place = grams % np.uint64(shards)
+        order = np.argsort(place, kind="stable")
+        cuts = np.searchsorted(place[order], np.arange(1, shards, dtype=np.uint64))
+        for i, own in enumerate(np.split(order, cuts)):
+            packed = grams[own].tobytes(), counts[own].astype(np.uint32).tobytes()
+            found.append((key[0], key[1], article, i, int(part["least"].iloc[0]), *packed))
+    return pd.DataFrame(found, columns=["site", "shard", "article", "part", "least", "grams", "counts"])
+
+
+COUNTED = "site long, shard long, article boolean, part long, least long, grams binary, counts binary"
+
+
+def _frequent(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Of a part of a host's runs those on enough pages, to each shard its own."""
+    grams = [np.frombuffer(x, dtype=np.uint64) for x in rows["grams"]]
+    counts = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in rows["counts"]])
+    _, which = np.unique(np.concatenate(grams), return_inverse=True)
+    often = (np.bincount(which, weights=counts) >= rows["least"].iloc[0])[which]
+    cuts = np.cumsum([len(x) for x in grams])[:-1]
+    own = [x[o].tobytes() for x, o in zip(grams, np.split(often, cuts))]
+    return rows[["site", "shard", "article"]].assign(grams=own)
 
 
 def _part_of_host(key: tuple, rows: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
-    if not len(rows):
-        return pd.DataFrame({"host": [], "content": [], "gone": []})
-    return _answers(rows, lambda streams: runs["gram"].to_numpy(dtype=np.int64).view(np.uint64))
+    def frequent(part, streams):
+        own = runs.loc[runs["article"] == part["article"].iloc[0], "grams"]
+        return np.frombuffer(b"".join(own), dtype=np.uint64)
+
+    return _answers(rows, frequent)
 
 
 def repeated_words(parsed: Stored) -> DataFrame:
-    """Per host and distinct page the words that are in boilerplate: host, content, gone."""
-    streams = parsed.df.where("around != ''").select(
-        "row", "host", F.col("around").alias("body"), "size", "content"
+    """Per host and distinct page or article the words that are in boilerplate: host, content, gone."""
+    around = parsed.df.where("around != ''").select(
+        "row", "host", F.lit(False).alias("article"), F.col("around").alias("body"), "size", "content"
     )
-    same = ["host", "content"]
+    inside = parsed.df.where("inside is not null").select(
+        "row", "host", F.lit(True), "inside", "article_size", "article_content"
+    )
+    streams, same = around.unionAll(inside), ["host", "article", "content"]
     copies = streams.groupBy(*same).agg(F.min("row").alias("keeper"), F.count("*").alias("n")).where("n > 1")
     distinct = lookup_join(streams, copies, same, "n", ["row"]).where("keeper is null or keeper = row")
     hosts = store(
         distinct.groupBy("host")
-        .agg(F.count("*").alias("pages"), F.ceil(F.sum("size") / SHARD_WORDS).alias("shards"))
-        .select("*", _least(F.col("pages")).alias("least"), F.monotonically_increasing_id().alias("site")),
+        .agg(
+            F.count("*").alias("pages"),
+            F.ceil(F.sum("size") / SHARD_WORDS).alias("shards"),
+            _least(F.count_if("article")).alias("of_articles"),
+            _least(F.count_if(~F.col("article"))).alias("of_pages"),
+        )
+        .withColumn("site", F.monotonically_increasing_id()),
         "pages",
         shards=F.max("shards"),
     )
-    dealt = lookup_join(distinct, hosts, ["host"], "pages", ["content"]).withColumn(
-        "shard", F.pmod("content", "shards")
+    dealt = lookup_join(distinct, hosts, ["host"], "pages", ["content"]).select(
+        "site",
+        F.pmod("content", "shards").alias("shard"),
+        "shards",
+        "host",
+        "article",
+        "content",
+        "body",
+        F.when(F.col("article"), F.col("of_articles")).otherwise(F.col("of_pages")).alias("least"),
     )
-    columns = ["site", "shard", "host", "content", "body", "least"]
-    answers = dealt.where("shards = 1").select(*columns).groupBy("site", "shard").applyInPandas(_whole_host, ANSWER)
+    answers = dealt.where("shards = 1").groupBy("site", "shard").applyInPandas(_whole_host, ANSWER)
     if hosts.size["shards"] > 1:
-        parts_of = dealt.where("shards > 1").select(*columns).groupBy("site", "shard")
-        counts = store(
-            parts_of.applyInPandas(_counted, "site long, shard long, gram long, on long, least long")
-        ).df
-        often = counts.groupBy("site", "gram").agg(F.sum("on").alias("on"), F.max("least").alias("least"))
-        often = often.where("on >= least").select("site", "gram")
-        sure = counts.select("site", "shard", "gram").join(often, ["site", "gram"])
+        shards = dealt.where("shards > 1").groupBy("site", "shard")
+        counts = shards.applyInPandas(_counted, COUNTED).groupBy("site", "article", "part")
+        sure = counts.applyInPandas(_frequent, "site long, shard long, article boolean, grams binary")
         answers = answers.unionAll(
-            parts_of.cogroup(sure.groupBy("site", "shard")).applyInPandas(_part_of_host, ANSWER)
+            shards.cogroup(sure.groupBy("site", "shard")).applyInPandas(_part_of_host, ANSWER)
         )
     return answers
 
@@ -202,7 +251,8 @@ def _mask(bounds: list[int] | None, size: int) -> np.ndarray:
 def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, repeated, marked = [], [], []
-        chromes, ranges = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+        chromes = batch.column(4).to_pylist()
+        ranges, article_ranges = batch.column(5).to_pylist(), batch.column(6).to_pylist()
         for i, (inside, around) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
             blocks = around.split("\n") if around else []
             gone = _mask(ranges[i], _size(blocks))
@@ -217,7 +267,16 @@ def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 elif inside is None:
                     kept += left
                 at += len(own)
-            texts.append(" ".join(kept) if inside is None else inside.replace("\n", " "))
+            if inside is not None:
+                blocks = inside.split("\n")
+                gone, at = _mask(article_ranges[i], _size(blocks)), 0
+                for block in blocks:
+                    if gone[at]:
+                        by_runs += 1
+                    else:
+                        kept.append(block)
+                    at += block.count(" ") + 1
+            texts.append(" ".join(kept))
             repeated.append(by_runs)
             marked.append(by_markup)
         yield pa.RecordBatch.from_arrays(
@@ -241,30 +300,37 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", key: str =
     and the words that such runs cover are removed, wherever in a block they are; a block counts
     as repeated if none is left. Then what the markup names as menu, header, footer, sidebar,
     notice, advert, form or comment goes. Where the markup tells
-    no article, the blocks that are left are the text. Words inside an article stay, however
-    often a host repeats them. A null page is empty and has an empty text; a null or broken url
+    no article, the words that are left are the text. Inside an article a block goes only if one run
+    that is on enough distinct articles of the host covers it wholly, and only if ``ARTICLE_LEFT`` of
+    the article is left; else it is a near copy and stays whole. A null page is empty and has an empty text; a null or broken url
     has the empty host. Repeated pages are counted once and answered each. Other columns are not
     read; an empty table gives no rows.
 
     Copies of a page are dropped by an aggregate before anything is counted or dealt. The pages of
     a host are dealt to suffix arrays of bounded size; where a host has several, the counts of its
-    runs are added up as rows, and each shard gets those of its own runs that are frequent.
+    runs are added up in as many parts, and each shard gets those of its own runs that are frequent.
     """
     source = pages.select(
         name(key).alias("key"), name(url).cast("string").alias("url"), whole(name(html)).alias("html")
     )
     kind = source.schema["key"].dataType.simpleString()
-    columns = f"key {kind}, url string, host string, inside string, around string, chrome array<boolean>, size long"
-    content = F.xxhash64(F.col("inside").isNull(), "inside", "around")
+    columns = f"key {kind}, url string, host string, inside string, around string, chrome array<boolean>"
+    columns += ", size long, article_size long"
+    content = {
+        "content": F.xxhash64(F.col("inside").isNull(), "inside", "around"),
+        "article_content": F.xxhash64(F.lit("article"), "inside"),
+    }
     parsed = store(
         source.mapInArrow(_parsed, columns).withColumns(
-            {"content": content, "row": F.monotonically_increasing_id()}
+            {**content, "row": F.monotonically_increasing_id()}
         )
     )
-    copies = parsed.df.groupBy("host", "content").agg(F.count("*").alias("n"))
-    gone = store(store(repeated_words(parsed)).df.join(copies, ["host", "content"]), "n")
-    joined = lookup_join(parsed.df, gone, ["host", "content"], "n", ["row"])
-    rows = joined.select("key", "url", "inside", "around", "chrome", "gone")
+    found, joined = store(repeated_words(parsed)).df, parsed.df
+    for place, own in (("content", "gone"), ("article_content", "article_gone")):
+        copies = parsed.df.groupBy("host", F.col(place).alias("content")).agg(F.count("*").alias("n"))
+        listed = found.join(copies, ["host", "content"]).withColumnsRenamed({"content": place, "gone": own})
+        joined = lookup_join(joined, listed, ["host", place], "n", ["row"])
+    rows = joined.select("key", "url", "inside", "around", "chrome", "gone", "article_gone")
     return rows.mapInArrow(
         _decided, f"key {kind}, url string, text string, repeated_blocks long, marked_blocks long"
     )
