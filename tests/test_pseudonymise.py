@@ -83,6 +83,23 @@ def test_colliding_tokens_are_drawn_again(spark, monkeypatch):
     assert out.select(F.regexp_extract("email", "@(.+)[.]", 1)).distinct().count() == 600
 
 
+def test_token_lengths_do_not_follow_the_size(spark, tiny_limits):
+    """Many redrawn parts, looked up with heavy keys spread, keep their length."""
+    rows = [(i, f"user{i % 300}@d{i % 300 if i % 2 else 0}.hu") for i in range(600)] + [(600, None)]
+    df = spark.createDataFrame(rows, "id int, `with.dot` string").withColumnRenamed("with.dot", "email")
+    out = pseudonymise_email(df, "email", "random", lengths={"local": 2, "domain": 2})
+    assert out.columns == df.columns and out.count() == 601
+    got = out.orderBy("id").collect()
+    local, domain, tld = zip(*(re.fullmatch(r"(\w+)@(\w+)[.](\w+)", r.email).groups() for r in got))
+    assert len(set(local)) == 301 and len(set(domain)) == 152 and len(set(tld)) == 2
+    assert {len(x) for x in local + domain} == {2} and {len(x) for x in tld} == {4}
+    assert all(local[i] == local[i + 300] for i in range(300))
+    with pytest.raises(ValueError, match="cannot hold 301 local"):
+        pseudonymise_email(df, "email", "random", lengths={"local": 1})
+    with pytest.raises(ValueError):
+        pseudonymise_email(df, "email", "random", lengths={"other": 3})
+
+
 def expected_codes(values):
     seen = {}
     return [-1 if v is None else seen.setdefault(v, len(seen)) for v in values]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.detectors import DETECTORS
 from ..plans.ranking import global_index
 from ..plans.skew import lookup_join
-from ..plans.storage import LIMITS, Stored, fits_broadcast, store
+from ..plans.storage import Stored, fits_broadcast, store
 from ..sources.dictionaries import country_key
 from ..spec import PrivacySpec, nan_to_null
 
@@ -21,6 +21,7 @@ EMAIL_PARTS = r"(?d)(.+)@(.+)\.(.+)"
 INVALID_PARTS = {"local": "nan", "domain": "na", "tld": "n"}
 TOKEN_LENGTHS = {"local": 10, "domain": 5, "tld": 4}
 TOKEN_ALPHABET = string.ascii_letters + string.digits
+LONGEST_TOKEN = 16
 KEYED_DIGITS = 32
 KEY_SETTING = "spark.veilspark.secret.key"
 
@@ -54,11 +55,11 @@ def _letters(digest: Column, length: int) -> Column:
     return F.concat(*letters)
 
 
-def _token_length(kind: str, parts: int) -> int:
-    """The reference length, or longer so that few tokens are expected to collide."""
-    length = TOKEN_LENGTHS[kind]
-    while parts * parts / (2 * len(TOKEN_ALPHABET) ** length) > LIMITS.broadcast_rows / 10:
-        length += 1
+def _token_length(kind: str, chosen: dict[str, int] | None) -> int:
+    """The caller's length of a kind's tokens, or the reference length; the data does not change it."""
+    length = {**TOKEN_LENGTHS, **(chosen or {})}[kind]
+    if not 1 <= length <= LONGEST_TOKEN:
+        raise ValueError(f"a token has 1 to {LONGEST_TOKEN} letters")
     return length
 
 
@@ -112,18 +113,23 @@ def pseudonymise_email(
     mode: str = "keyed",
     key: str | None = None,
     on_invalid: str = "token",
+    lengths: dict[str, int] | None = None,
 ) -> DataFrame:
     """Replace addresses by ``token@token.token``; equal parts get equal tokens.
 
     ``keyed``: digest prefixes under a caller's key (or the session setting
     ``spark.veilspark.secret.key``), equal between tables and runs, no shuffle.
     ``random``: short alphanumeric tokens under a one-off key that is not kept. Only the
-    few parts whose short token collides need a lookup, so rows are not shuffled either,
-    and a recomputed task gives the same tokens again.
+    parts whose short token collides need a lookup, so rows are not shuffled while these
+    are few, and a recomputed task gives the same tokens again. ``lengths`` sets the letters
+    of ``local``, ``domain`` and ``tld`` (10, 5 and 4); they are fixed for the run at any
+    size, and a length that cannot hold a kind's parts is an error.
     Unusable or null addresses share one token, or become null with ``on_invalid='null'``.
     """
     if mode not in ("keyed", "random") or on_invalid not in ("token", "null"):
         raise ValueError("mode is 'keyed' or 'random', on_invalid is 'token' or 'null'")
+    if not set(lengths or ()) <= set(INVALID_PARTS):
+        raise ValueError(f"lengths are those of {', '.join(INVALID_PARTS)}")
     parts = email_parts(F.col(col).cast("string"))
     if on_invalid == "token":
         parts = {k: F.coalesce(c, F.lit(INVALID_PARTS[k])) for k, c in parts.items()}
@@ -136,26 +142,32 @@ def pseudonymise_email(
         )
         return df.withColumn(col, F.concat(local, F.lit("@"), domain, F.lit("."), tld))
     key = secrets.token_hex(32)
+    lengths = {kind: _token_length(kind, lengths) for kind in parts}
     split = df.withColumns({f"_{k}": c for k, c in parts.items()})
     tokens = []
     pairs = [F.struct(F.lit(k).alias("kind"), c.alias("part")) for k, c in parts.items()]
+    same = ["kind", "part"]
     distinct = store(
-        df.select(F.inline(F.array(*pairs))).where("part is not null").distinct(),
+        df.select(F.inline(F.array(*pairs)))
+        .where("part is not null")
+        .groupBy(*same)
+        .agg(F.count("*").alias("held")),
         **{k: F.count_if(F.col("kind") == k) for k in parts},
     )
-    lengths = {kind: _token_length(kind, distinct.size[kind]) for kind in parts}
-    bumps = _redrawn_parts(distinct.df, key, lengths)
-    while not bumps.small:
-        lengths = {kind: n + 1 for kind, n in lengths.items()}
-        bumps = _redrawn_parts(distinct.df, key, lengths)
+    for kind, length in lengths.items():
+        if distinct.size[kind] > len(TOKEN_ALPHABET) ** length:
+            raise ValueError(f"{length} letters cannot hold {distinct.size[kind]} {kind} parts")
+    bumps = _redrawn_parts(distinct.df.select(*same), key, lengths)
+    known = bumps.rows if bumps.small else None
+    spread = [f"`{c}`" for c, kind in df.dtypes if not kind.startswith("map")]
     for kind, length in lengths.items():
         attempt = F.lit(0)
         if bumps.rows:
-            redrawn = bumps.df.where(F.col("kind") == kind).select(
-                F.col("part").alias("_part"), F.col("attempt").alias(f"_try_{kind}")
+            redrawn = bumps.df.where(F.col("kind") == kind).join(distinct.df, same)
+            redrawn = redrawn.select(
+                F.col("part").alias(f"_{kind}"), F.col("attempt").alias(f"_try_{kind}"), "held"
             )
-            split = split.join(F.broadcast(redrawn), F.col(f"_{kind}") == F.col("_part"), "left")
-            split = split.drop("_part")
+            split = lookup_join(split, redrawn, [f"_{kind}"], "held", spread, rows=known)
             attempt = F.coalesce(F.col(f"_try_{kind}"), F.lit(0))
         digest = _draw(F.col(f"_{kind}"), F.lit(kind), key, attempt)
         split = split.withColumn(f"_digest_{kind}", digest)
@@ -242,7 +254,8 @@ def _age_to_interval(df, col, spec, options):
 
 def _email_to_tokens(df, col, spec, options):
     mode, key = options.get("email_mode", "keyed"), options.get("key")
-    return pseudonymise_email(df, col, mode, key), spec.with_categorical(col)
+    lengths = options.get("email_lengths")
+    return pseudonymise_email(df, col, mode, key, lengths=lengths), spec.with_categorical(col)
 
 
 PSEUDONYMISERS: dict[str, Callable] = {
@@ -272,7 +285,7 @@ def pseudonymise_labelled(
 ) -> tuple[DataFrame, PrivacySpec]:
     """Apply the special pseudonymiser of every label, once per column and label.
 
-    Options: ``regions`` (mapping table), ``email_mode``, ``key``, ``width``,
+    Options: ``regions`` (mapping table), ``email_mode``, ``email_lengths``, ``key``, ``width``,
     ``keep_reference_features``.
     """
     rows = labels_of(labels, df.columns) if isinstance(labels, DataFrame) else labels
