@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -156,3 +157,17 @@ def test_counts_of_long_texts_do_not_depend_on_blocks(monkeypatch):
     whole = langid.counts(text)
     monkeypatch.setattr(langid, "BLOCK", 17)
     assert (langid.counts(text) == whole).all()
+
+
+def test_no_language_is_left_out_of_training(spark):
+    """Each of 230 languages is written in an alphabet of its own."""
+    draw, docs = random.Random(6), []
+    for i in range(230):
+        letters = [chr(0x4E00 + 20 * i + k) for k in range(20)]
+        for k in range(12):
+            text = " ".join("".join(draw.choices(letters, k=5)) for _ in range(30))
+            docs.append((f"{i}-{k}", text, f"l{i:03}"))
+    table = spark.createDataFrame(docs, "doc_id string, text string, lang string").repartition(4)
+    model = langid.train(table)
+    assert model.languages == sorted({x[2] for x in docs})
+    assert model.scores.shape == (1 << 13, 230)

@@ -14,13 +14,12 @@ from pyspark.sql import types as T
 
 from .common import name, row_of
 
-BUCKET_BITS = 12
+BUCKET_BITS = 13
 BUCKETS = 1 << BUCKET_BITS
 WIDTH = 16
 GRAMS = (2, 3, 4)
-#: Bounds of what the classifier is fitted on: rows in all, and languages, most frequent first.
-TRAIN_ROWS = 1600
-MOST_LANGUAGES = 200
+#: Rows of each language that the classifier is fitted on.
+LANGUAGE_ROWS = 500
 #: Characters that are hashed at a time; a longer text is counted in blocks, wholly.
 BLOCK = 1 << 20
 UNKNOWN = "und"
@@ -47,6 +46,26 @@ def average(hits: np.ndarray) -> np.ndarray:
     return hits / max(1, hits.sum())
 
 
+@dataclass
+class Sparse:
+    """Rows of averages, of which only the buckets that were hit are held."""
+
+    places: list[np.ndarray]
+    values: list[np.ndarray]
+
+    def __len__(self) -> int:
+        return len(self.places)
+
+    def take(self, rows: np.ndarray) -> Sparse:
+        return Sparse([self.places[i] for i in rows], [self.values[i] for i in rows])
+
+    def dense(self, rows: np.ndarray) -> np.ndarray:
+        found = np.zeros((len(rows), BUCKETS), dtype=np.float32)
+        for own, i in zip(found, rows):
+            own[self.places[i]] = self.values[i]
+        return found
+
+
 @dataclass
 class Model:
     """Scores of the buckets per language, which fold the embeddings into the softmax."""
@@ -61,13 +80,16 @@ class Model:
         return averages @ self.scores + self.bias
 
     def chances(self, averages: np.ndarray) -> np.ndarray:
-        x = self.logits(averages) * self.sharpness
+        return self.softmax(self.logits(averages))
+
+    def softmax(self, logits: np.ndarray) -> np.ndarray:
+        x = logits * self.sharpness
         x = np.exp(x - x.max(axis=-1, keepdims=True))
         return x / x.sum(axis=-1, keepdims=True)
 
 
 def fit(
-    averages: np.ndarray,
+    averages: Sparse,
     labels: np.ndarray,
     languages: list[str],
     epochs: int = 6,
@@ -77,16 +99,16 @@ def fit(
 ) -> Model:
     """Embeddings and softmax by stochastic gradient descent, steps scaled by past gradients."""
     draws, kinds = np.random.default_rng(seed), len(languages)
-    embed = draws.normal(0, 0.1, (averages.shape[1], WIDTH)).astype(np.float32)
+    embed = draws.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     soft = draws.normal(0, 0.1, (WIDTH, kinds)).astype(np.float32)
     bias = np.zeros(kinds, dtype=np.float32)
     past = [np.full_like(w, 1e-6) for w in (embed, soft, bias)]
-    scale = float(np.sqrt(averages.shape[1]))
+    scale = float(np.sqrt(BUCKETS))
     for epoch in range(epochs):
         order = draws.permutation(len(averages))
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
-            x = averages[rows] * np.float32(scale)
+            x = averages.dense(rows) * np.float32(scale)
             hidden = x @ embed
             logits = hidden @ soft + bias
             chance = np.exp(logits - logits.max(axis=1, keepdims=True))
@@ -100,20 +122,22 @@ def fit(
     return Model(languages, (embed @ soft).astype(np.float64) * scale, bias.astype(np.float64))
 
 
-def calibrate(model: Model, averages: np.ndarray, labels: np.ndarray, lost: float = 0.002) -> Model:
+def calibrate(model: Model, averages: Sparse, labels: np.ndarray, lost: float = 0.002) -> Model:
     """Set the sharpness that makes scores likely, and the score below which a text is rejected.
 
     At most a share ``lost`` of the calibration rows falls below it, and it is never above 0.5.
     """
     if not len(labels):
         return model
+    parts = np.array_split(np.arange(len(labels)), -(-len(labels) // 64))
+    logits = np.concatenate([model.logits(averages.dense(rows).astype(np.float64)) for rows in parts])
     grid = [2.0**k for k in range(-6, 4)]
     losses = []
     for model.sharpness in grid:
-        own = model.chances(averages)[np.arange(len(labels)), labels]
+        own = model.softmax(logits)[np.arange(len(labels)), labels]
         losses.append(-np.log(np.maximum(own, 1e-12)).mean())
     model.sharpness = grid[int(np.argmin(losses))]
-    best = model.chances(averages).max(axis=1)
+    best = model.softmax(logits).max(axis=1)
     model.threshold = min(0.5, float(np.quantile(best, lost)))
     return model
 
@@ -124,9 +148,14 @@ def remainder(key: Column) -> Column:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hits = [average(counts(t)).astype("<f4").tobytes() for t in batch.column(2).to_pylist()]
+        places, values = [], []
+        for text in batch.column(2).to_pylist():
+            hits = average(counts(text)).astype("<f4")
+            places.append(np.flatnonzero(hits).astype("<u2").tobytes())
+            values.append(hits[hits > 0].tobytes())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(hits, pa.binary())], names=["lang", "test", "hits"]
+            [batch.column(0), batch.column(1), pa.array(places, pa.binary()), pa.array(values, pa.binary())],
+            names=["lang", "test", "places", "values"],
         )
 
 
@@ -135,37 +164,38 @@ def train(
     text: str = "text",
     key: str = "doc_id",
     label: str = "lang",
-    rows: int = TRAIN_ROWS,
+    rows: int = LANGUAGE_ROWS,
 ) -> Model:
     """Fit on rows with a label and a letter whose key's CRC-32 leaves a remainder other than 0.
 
-    About ``rows`` of them are used, chosen by hash and as many of each language as there are,
-    so what reaches the driver does not grow with the data: one fixed-size vector each. A fifth
-    of them calibrates.
+    About ``rows`` of each language are used, chosen by hash, or as many as there are, and no
+    language is left out. What reaches the driver grows with the languages, not with the data:
+    the buckets that each row hits. A fifth of them calibrates.
     """
     known = docs.select(
-        name(key).cast("string").alias("key"), name(text).alias("text"), name(label).alias("lang")
+        name(key).cast("string").alias("key"), name(text).alias("text"), name(label).cast("string").alias("lang")
     ).where((remainder(F.col("key")) != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    kinds = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
-    found = {r["lang"]: r["count"] for r in kinds.collect()}
+    kinds = known.groupBy("lang").count().collect()
+    found = {r["lang"]: r["count"] for r in kinds}
     languages = sorted(found)
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
-    each = max(1, rows // len(languages))
     chance = F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    share = F.lit(None).cast("double")
-    for lang, count in found.items():
-        share = F.when(F.col("lang") == lang, F.lit(each / count)).otherwise(share)
-    chosen = known.where(chance < share).select(
+    listed = [(lang, max(1, rows) / found[lang]) for lang in languages]
+    shares = docs.sparkSession.createDataFrame(listed, "lang string, share double")
+    chosen = known.join(F.broadcast(shares), "lang").where(chance < F.col("share")).select(
         "lang", (F.pmod(F.xxhash64("key", F.lit("test")), F.lit(5)) == 0).alias("test"), "text"
     )
-    sample = chosen.mapInArrow(_features, "lang string, test boolean, hits binary").toPandas()
-    inputs = np.frombuffer(b"".join(sample["hits"]), dtype="<f4").reshape(-1, BUCKETS)
-    labels = sample["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(dtype=np.int64)
-    order = np.lexsort([inputs[:, i] for i in range(4)] + [inputs.argmax(axis=1), labels])
-    inputs, labels, test = inputs[order], labels[order], sample["test"].to_numpy(dtype=bool)[order]
-    model = fit(inputs[~test] if (~test).any() else inputs, labels[~test] if (~test).any() else labels, languages)
-    return calibrate(model, inputs[test].astype(np.float64), labels[test])
+    sample = chosen.mapInArrow(_features, "lang string, test boolean, places binary, values binary").toArrow()
+    held = sorted(zip(*(sample.column(i).to_pylist() for i in range(4))))
+    del sample
+    inputs = Sparse([np.frombuffer(x[2], "<u2") for x in held], [np.frombuffer(x[3], "<f4") for x in held])
+    number = {x: i for i, x in enumerate(languages)}
+    labels = np.array([number[x[0]] for x in held], dtype=np.int64)
+    test = np.array([x[1] for x in held], dtype=bool)
+    fitted = np.flatnonzero(~test) if (~test).any() else np.arange(len(test))
+    model = fit(inputs.take(fitted), labels[fitted], languages)
+    return calibrate(model, inputs.take(np.flatnonzero(test)), labels[test])
 
 
 def _predict(model: Model):
