@@ -90,8 +90,41 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from v
 """
 
+TOP_K = """
+with parts as (select vec_id, len(embedding) as dims, unnest(embedding) as x, unnest(range(len(embedding))) as i
+  from embeddings where embedding is not null and not list_contains(list_transform(embedding,
+    lambda x: x is null or isnan(x) or isinf(x)), true)),
+whole as (select vec_id, dims, i, cast(floor(1024 * cast(x as double)) as bigint) as x from parts),
+scored as (select q.vec_id as query_id, c.vec_id as vec_id, cast(sum(q.x * c.x) as bigint) as score
+  from whole q join whole c on q.i = c.i and q.dims = c.dims and q.vec_id <> c.vec_id
+  where q.vec_id % 100 = 0 group by q.vec_id, c.vec_id),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as place from scored)
+select query_id, cast(place as integer) as rank, vec_id, score from ranked where place <= 10
+"""
+
+RANKED = r"""
+with d as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+tf as (select doc_id, term, count(*) as tf from d group by all),
+n as (select doc_id, count(*) as n from d group by all),
+whole as (select count(*) as docs, cast(sum(n) as bigint) as len from n),
+i as (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+q as (select item_id, term, count(*) as times from i group by all),
+w as (select term, cast(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) as bigint) as w
+  from tf, whole where term in (select term from q) group by term, docs),
+m as (select doc_id, 75 + (25 * n * docs) // len as m from n, whole),
+scored as (select item_id, doc_id, cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) as bigint) as score
+  from q join w using (term) join tf using (term) join m using (doc_id) group by item_id, doc_id),
+ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id) as place
+  from scored where score > 0)
+select item_id, cast(place as integer) as rank, doc_id, score from ranked where place <= 20
+"""
+
 ORACLES = {
     "op3_secrets": _secrets(),
     "op4_exact_dedup": DEDUP,
     "op7_quality_rules": RULES,
+    "op12_top_k": TOP_K,
+    "op13_ranked_search": RANKED,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cube, jaccard, langid, pack, pages, recompress, rules, secrets, suffix, tree_dedup
+from . import cube, jaccard, langid, lexical, pack, pages, recompress, rules, secrets, spelling, suffix, topk, tree_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -100,6 +100,21 @@ def op10_language(spark, sf):
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_spelling(spark, sf):
+    return spelling.variants(documents(spark, sf))
+
+
+def op12_top_k(spark, sf):
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    found = topk.top_k(vectors, lambda key: key % 100 == 0)
+    return found.select(F.col("query_key").alias("query_id"), "rank", F.col("key").alias("vec_id"), "score")
+
+
+def op13_ranked_search(spark, sf):
+    found = lexical.rank(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+    return found.select(F.col("item_key").alias("item_id"), "rank", F.col("key").alias("doc_id"), "score")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_mix": op1_mix,
@@ -112,6 +127,9 @@ def queries() -> dict[str, Query]:
         "op8_passages": op8_passages,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_language": op10_language,
+        "op11_spelling": op11_spelling,
+        "op12_top_k": op12_top_k,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 
