@@ -118,3 +118,31 @@ def test_ledger_scans_only_what_is_new(spark):
     found, grown = secrets.scan(later, silent, rules=changed)
     assert {r.key: len(r.spans) for r in found.collect()} == {"c": 1, "d": 1}
     assert grown.df.count() == 3
+
+
+def test_ledger_keeps_findings(spark):
+    schema = "doc_id string, text string"
+    rows = [("a", "x token=abcdef"), (None, "clean"), (None, "clean")]
+    first, ledger = secrets.scan(spark.createDataFrame(rows, schema))
+    want = {"a": [(2, 0, "assign", 14)], None: []}
+    spans = lambda found: {r.key: [tuple(s) for s in r.spans] for r in found.collect()}
+    assert spans(first) == want
+    # The same rows again, and a new path with a known text: all from the ledger.
+    again, second = secrets.scan(spark.createDataFrame([*rows, ("c", "x token=abcdef")], schema), ledger.df)
+    assert spans(again) == {**want, "c": want["a"]}
+    plain = lambda table: {bytes(r.blob): (set(r.scanned), {tuple(s) for s in r.spans}) for r in table.collect()}
+    assert plain(second.df) == plain(ledger.df) and second.rows == 2
+    # A version of a rule has spans of its own; those of the other versions come back unscanned.
+    wider = tuple(
+        secrets.Rule("assign", "(tok)en=([a-c]+)", 1, 2, 2) if r.kind == "assign" else r for r in secrets.RULES
+    )
+    docs = spark.createDataFrame([("d", "x token=abcdef")], schema)
+    newer, third = secrets.scan(docs, second.df, rules=wider)
+    assert spans(newer) == {"d": [(2, 0, "assign", 11)]}
+    back, fourth = secrets.scan(docs, third.df)
+    assert spans(back) == {"d": want["a"]}
+    assert plain(fourth.df) == plain(third.df) and fourth.rows == 2
+    # Part of the rules first, the others later.
+    _, base = secrets.scan(docs, rules=secrets.BASE)
+    both, _ = secrets.scan(spark.createDataFrame([("d", "x token=abcdef"), ("e", "ghp_" + "Zq" * 20)], schema), base.df)
+    assert {k: [s[2] for s in v] for k, v in spans(both).items()} == {"d": ["assign"], "e": ["forge"]}

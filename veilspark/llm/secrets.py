@@ -45,7 +45,8 @@ ADDED = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0),
 )
 RULES = BASE + ADDED
-SPAN = "struct<start:bigint,rank:int,kind:string,end:bigint>"
+#: Of the ledger: a finding belongs to a rule and its version.
+SPAN = "struct<start:bigint,end:bigint,pair:string>"
 
 
 def blob_of(text: Column) -> Column:
@@ -78,14 +79,30 @@ def _hits(text: Column, rules: tuple[Rule, ...]) -> Column:
 
 
 def _spans(hits: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """Per blob, its spans in order: start, rank, kind, end."""
+    """Per blob, its new spans: start, end, pair."""
     along = Window.partitionBy("blob", "rank").orderBy("at")
     least = F.element_at(F.array(*[F.lit(r.least) for r in rules]), F.col("rank") + 1)
-    kind = F.element_at(F.array(*[F.lit(r.kind) for r in rules]), F.col("rank") + 1)
+    pair = F.element_at(F.array(*[F.lit(r.pair) for r in rules]), F.col("rank") + 1)
     end = F.sum(F.col("gap") + F.col("match")).over(along)
-    placed = hits.distinct().withColumn("end", end).where(F.col("part") >= least)
-    span = F.struct((F.col("end") - F.col("match")).alias("start"), "rank", kind.alias("kind"), "end")
-    return placed.groupBy("blob").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    placed = hits.withColumn("end", end).where(F.col("part") >= least)
+    span = F.struct((F.col("end") - F.col("match")).alias("start"), "end", pair.alias("pair"))
+    return placed.groupBy("blob").agg(F.collect_list(span).alias("found"))
+
+
+def _listed(spans: Column, rules: tuple[Rule, ...]) -> Column:
+    """The spans of the rules' present versions in order: start, rank, kind, end."""
+    pairs = F.array(*[F.lit(r.pair) for r in rules])
+    current = F.filter(spans, lambda s: F.array_contains(pairs, s["pair"]))
+    ranked = F.transform(
+        current,
+        lambda s: F.struct(
+            s["start"].alias("start"),
+            (F.array_position(pairs, s["pair"]) - 1).cast("int").alias("rank"),
+            F.substring_index(s["pair"], "@", 1).alias("kind"),
+            s["end"].alias("end"),
+        ),
+    )
+    return F.sort_array(ranked)
 
 
 def scan(
@@ -103,57 +120,40 @@ def scan(
     pairs of a blob and a rule's version that the ledger lacks are scanned, on one row of the
     blob. Other columns are not read; an empty table gives no rows.
 
-    A blob with a third of all rows is counted before the shuffle, scanned once, and its
+    The ledger has a row per blob: the pairs scanned, and the spans of each pair. It keeps the
+    blobs and the versions that this scan does not ask for; the result lists the versions asked for.
+
+    A blob with a third of all rows is combined before the shuffle, scanned once, and its
     findings are joined back to salted copies. Spans of a kind follow from the lengths of the
     matches and of the gaps between them.
     """
     source = docs.select(name(key).alias("key"), whole(name(text)).alias("body"))
     hashed = source.withColumn("blob", blob_of(F.col("body")))
     paths = store(hashed.select("key", "blob", F.monotonically_increasing_id().alias("number")))
-    blobs = store(
-        paths.df.groupBy("blob").agg(F.min("key").alias("at_key"), F.count("*").alias("copies"))
-    )
+    blobs = store(paths.df.groupBy("blob").agg(F.count("*").alias("copies"))).df
     pairs = F.array(*[F.lit(r.pair) for r in rules])
+    no_pairs, no_spans = F.array().cast("array<string>"), F.array().cast(f"array<{SPAN}>")
     if ledger is None:
-        todo = blobs.df.withColumn("todo", pairs)
+        todo = blobs.select("blob", pairs.alias("todo"))
     else:
-        seen = ledger.select("blob", "scanned")
-        todo = blobs.df.join(seen, "blob", "left").withColumn(
-            "todo", F.array_except(pairs, F.coalesce("scanned", F.array().cast("array<string>")))
-        )
-        todo = todo.where(F.size("todo") > 0)
-    wanted = todo.select(F.col("blob").alias("w_blob"), "at_key", "todo")
-    bodies = hashed.join(
-        wanted, (F.col("blob") == F.col("w_blob")) & F.col("key").eqNullSafe(F.col("at_key"))
-    )
+        seen = ledger.select("blob", F.col("scanned").alias("seen"))
+        unseen = F.array_except(pairs, F.coalesce("seen", no_pairs))
+        todo = blobs.join(seen, "blob", "left").select("blob", unseen.alias("todo")).where(F.size("todo") > 0)
+    bodies = hashed.groupBy("blob").agg(F.first("body").alias("body")).join(todo, "blob")
     hits = bodies.select("blob", F.explode(_hits(F.col("body"), rules)).alias("hit"))
     new = _spans(hits.select("blob", "hit.*"), rules)
-    none = F.array().cast(f"array<{SPAN}>")
-    rows = todo.select("blob", "copies", F.col("todo").alias("scanned")).join(new, "blob", "left")
-    if ledger is not None:
-        old = ledger.select("blob", F.col("scanned").alias("o_scanned"), F.col("spans").alias("o_spans"))
-        grown = rows.drop("copies").join(old, "blob", "full").select(
+    grown = todo.join(new, "blob", "left")
+    if ledger is None:
+        grown = grown.select("blob", F.col("todo").alias("scanned"), F.coalesce("found", no_spans).alias("spans"))
+    else:
+        old = ledger.select("blob", F.col("scanned").alias("seen"), F.col("spans").alias("known"))
+        grown = grown.join(old, "blob", "full").select(
             "blob",
-            F.concat(
-                F.coalesce("o_scanned", F.array().cast("array<string>")),
-                F.coalesce("scanned", F.array().cast("array<string>")),
-            ).alias("scanned"),
-            _latest(F.col("o_spans"), F.col("spans"), F.col("scanned"), none).alias("spans"),
+            F.concat(F.coalesce("seen", no_pairs), F.coalesce("todo", no_pairs)).alias("scanned"),
+            F.concat(F.coalesce("known", no_spans), F.coalesce("found", no_spans)).alias("spans"),
         )
-    else:
-        grown = rows.select("blob", "scanned", F.coalesce("spans", none).alias("spans"))
     grown = store(grown)
-    found = grown.df.where(F.size("spans") > 0).join(blobs.df, "blob")
-    current = F.filter("spans", lambda s: s["kind"].isin(*[r.kind for r in rules]))
-    found = found.select("blob", "copies", current.alias("spans"))
-    result = lookup_join(paths.df, found, ["blob"], "copies", ["number"])
+    listed = grown.df.select("blob", _listed(F.col("spans"), rules).alias("spans")).where(F.size("spans") > 0)
+    result = lookup_join(paths.df, listed.join(blobs, "blob"), ["blob"], "copies", ["number"])
+    none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
     return result.select("key", "blob", F.coalesce("spans", none).alias("spans")), grown
-
-
-def _latest(old: Column, new: Column, scanned: Column, none: Column) -> Column:
-    """Old spans of the kinds that were not scanned again, and the new ones."""
-    again = F.coalesce(
-        F.transform(scanned, lambda p: F.substring_index(p, "@", 1)), F.array().cast("array<string>")
-    )
-    kept = F.filter(F.coalesce(old, none), lambda s: ~F.array_contains(again, s["kind"]))
-    return F.sort_array(F.concat(kept, F.coalesce(new, none)))
