@@ -1,17 +1,19 @@
 """Greedy strict Mondrian partitioning as a level-by-level DataFrame job.
 
 Sibling partitions never interact, so all open partitions of a level are split at once.
-A partition's id is its path of 0 (left) and 1 (right) steps. Large partitions are split
-by joins and aggregations that combine map-side; a partition whose cells fit one task is
-finished there. Every level is checkpointed.
+A partition's id is its path of 0 (left) and 1 (right) steps. One job counts every value of
+every feature and scores all splits of a level; a cell then finds its half from its partition's
+pivot, in place, and is written once per level. A partition whose cells fit one task is
+finished there.
 """
 
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass
+from functools import reduce
 from types import SimpleNamespace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.audit import largest_distance, ranked_frequencies
@@ -20,7 +22,7 @@ from .cells import categorical_positions, feature_names
 from .local import finish_partition
 from .ranking import at_ranks, upper_middle
 from .skew import lookup_join
-from .storage import Scratch, Stored, materialise, partition_count, stacked, store
+from .storage import LIMITS, Scratch, Stored, materialise, partition_count, stacked, store
 
 #: Cells and bytes of text that one task finishes.
 LOCAL_CELLS = 50_000
@@ -61,219 +63,259 @@ def _text_bytes(categorical: tuple[int, ...], names: list[str]):
     return total
 
 
-def _partition_stats(cells: DataFrame, rules: Rules, names: list[str]) -> DataFrame:
-    """Per partition: rows, cells, and feature positions by descending relative span."""
-    stats = cells.groupBy("_pid").agg(
+def _values(cells: DataFrame, rules: Rules, names: list[str]) -> DataFrame:
+    """Per partition, feature and value: rows, cells, bytes of these, and the first position."""
+    entries = []
+    for i, c in enumerate(names):
+        text = i in rules.categorical
+        entries.append(
+            F.struct(
+                F.lit(i).alias("_f"),
+                (F.lit(None).cast("double") if text else F.col(c)).alias("_number"),
+                (F.col(c) if text else F.lit(None).cast("string")).alias("_text"),
+            )
+        )
+    exploded = cells.select(
+        "_pid", "_n", "_o", _text_bytes(rules.categorical, names).alias("_b"), F.inline(F.array(*entries))
+    )
+    return exploded.groupBy("_pid", "_f", "_number", "_text").agg(
         F.sum("_n").alias("_rows"),
-        F.count("*").alias("_cells"),
-        F.sum(_text_bytes(rules.categorical, names)).alias("_bytes"),
-        *_span_columns(rules.categorical, names),
+        F.count("*").alias("_held"),
+        F.sum("_b").alias("_bytes"),
+        F.min("_o").alias("_first"),
     )
-    ranked = [
-        F.struct(
-            (-F.col(f"_span{i}") / F.lit(full) if full else F.lit(0.0)).alias("span"),
-            F.lit(i).alias("feature"),
-        )
-        for i, full in enumerate(rules.scale)
-    ]
-    order = F.transform(F.array_sort(F.array(*ranked)), lambda x: x["feature"])
-    return stats.select("_pid", "_rows", "_cells", "_bytes", order.alias("_order"))
 
 
-def _tried_values(cells: DataFrame, rules: Rules, names: list[str], attempt: int) -> DataFrame:
-    """Add the feature each partition tries: kind flag and the cell's value of it."""
-    tried = F.get(F.col("_order"), attempt)
-    number, text = F.lit(None).cast("double"), F.lit(None).cast("string")
-    for i, c in enumerate(names):
-        if i in rules.categorical:
-            text = F.when(tried == i, F.col(c)).otherwise(text)
-        else:
-            number = F.when(tried == i, F.col(c)).otherwise(number)
-    by_text = tried.isin(*rules.categorical) if rules.categorical else F.lit(False)
-    return cells.withColumns({"_by_text": by_text, "_number": number, "_text": text})
+SUMS = {"rows": "_rows", "cells": "_held", "bytes": "_bytes"}
 
 
-def _halves(cells: DataFrame, rules: Rules, names: list[str], attempt: int, pids: int) -> Stored:
-    """Cells with the half they fall in, its rows, and whether both halves hold k rows.
+def _by_text(rules: Rules) -> Column:
+    return F.col("_f").isin(*rules.categorical) if rules.categorical else F.lit(False)
 
-    ``pids`` bounds the number of partitions, so tables of one row each can be broadcast
-    unless there are very many.
+
+def _span_of(rules: Rules, over=None) -> Column:
+    """Distinct values of a text feature, else the difference of the extremes."""
+    found = [F.count("*"), F.max("_number"), F.min("_number")]
+    held, high, low = [c.over(over) for c in found] if over is not None else found
+    by_text = _by_text(rules) if over is not None else F.first(_by_text(rules))
+    return F.when(by_text, held.cast("double")).otherwise(F.coalesce(high - low, F.lit(0.0)))
+
+
+def _splits(values: DataFrame, rules: Rules) -> DataFrame:
+    """Per partition and feature: its span, its pivot, and what lies before the pivot.
+
+    For groups that fit a window. The pivot is the value at which the running weight passes the
+    middle, so the sums up to it are those of the left half. A feature without a value has no row.
     """
-    tried = _tried_values(cells, rules, names, attempt)
-    values = store(
-        tried.groupBy("_pid", "_by_text", "_number", "_text").agg(
-            F.sum("_n").alias("_rows"), F.count("*").alias("_held"), F.min("_o").alias("_first")
-        )
-    )
-    ranked = values.df.where(F.col("_by_text") | F.col("_number").isNotNull()).select(
+    group = Window.partitionBy("_pid", "_f")
+    along = group.orderBy(F.asc_nulls_last("_number"), "_first")
+    weight = F.when(_by_text(rules), F.lit(1)).when(F.col("_number").isNull(), 0).otherwise(F.col("_rows"))
+    weighed = values.withColumn("_weight", weight)
+    ranked = weighed.select(
         "_pid",
+        "_f",
         "_number",
-        F.when(F.col("_by_text"), F.col("_first")).alias("_seen"),
-        F.when(F.col("_by_text"), F.lit(1)).otherwise(F.col("_rows")).alias("_weight"),
+        F.when(_by_text(rules), F.col("_first")).alias("_seen"),
+        "_weight",
+        F.sum("_weight").over(along).alias("_running"),
+        upper_middle(F.sum("_weight").over(group)).alias("_target"),
+        _span_of(rules, group).alias("_span"),
+        *[(F.sum(c).over(along) - F.col(c)).alias(f"_left_{n}") for n, c in SUMS.items()],
+        *[F.sum(c).over(group).alias(f"_all_{n}") for n, c in SUMS.items()],
     )
-    targets = {"_pivot": upper_middle}
-    pivots = at_ranks(ranked, values.rows, ["_pid"], ["_number", "_seen"], "_weight", targets)
-    sides = lookup_join(values.df, pivots, ["_pid"], "_members", ["_first"], rows=pids)
-    left = F.when(F.col("_by_text"), F.col("_first") < F.col("_pivot._seen")).otherwise(
+    here = (F.col("_running") >= F.col("_target")) & (F.col("_running") - F.col("_weight") < F.col("_target"))
+    return ranked.where(here).drop("_weight", "_running", "_target")
+
+
+def _splits_at_size(values: DataFrame, rules: Rules, pids: int) -> DataFrame:
+    """The same where a group may be larger than a window should be."""
+    table = store(values)
+    group, by_text = ["_pid", "_f"], _by_text(rules)
+    ranked = table.df.where(by_text | F.col("_number").isNotNull()).select(
+        *group,
+        "_number",
+        F.when(by_text, F.col("_first")).alias("_seen"),
+        F.when(by_text, F.lit(1)).otherwise(F.col("_rows")).alias("_weight"),
+    )
+    pivots = at_ranks(ranked, table.rows, group, ["_number", "_seen"], "_weight", {"_pivot": upper_middle})
+    held = table.df.groupBy(*group).agg(F.count("*").alias("_values"))
+    pivots = pivots.drop("_members").join(held, group)
+    most = pids * rules.features
+    sides = lookup_join(table.df, pivots, group, "_values", ["_first"], "inner", rows=most)
+    left = F.when(by_text, F.col("_first") < F.col("_pivot._seen")).otherwise(
         F.col("_number") < F.col("_pivot._number")
     )
-    sides = sides.withColumn("_left", F.coalesce(left, F.lit(False))).drop("_pivot", "_first")
-    sizes = sides.groupBy("_pid").agg(
-        F.sum(F.when(F.col("_left"), F.col("_rows")).otherwise(0)).alias("_left_rows"),
-        F.sum(F.when(F.col("_left"), 0).otherwise(F.col("_rows"))).alias("_right_rows"),
-        F.count("*").alias("_values"),
+    left = F.coalesce(left, F.lit(False))
+    return (
+        sides.groupBy(*group, "_pivot")
+        .agg(
+            _span_of(rules).alias("_span"),
+            *[F.sum(F.when(left, F.col(c)).otherwise(0)).alias(f"_left_{n}") for n, c in SUMS.items()],
+            *[F.sum(c).alias(f"_all_{n}") for n, c in SUMS.items()],
+        )
+        .select("*", "_pivot._number", "_pivot._seen")
+        .drop("_pivot")
     )
-    half = F.when(F.col("_left"), F.col("_left_rows")).otherwise(F.col("_right_rows"))
-    sized = lookup_join(
-        sides, sizes, ["_pid"], "_values", ["_number", "_text"], rows=pids
-    ).select(
-        "_pid",
-        "_number",
-        "_text",
-        "_held",
-        "_left",
-        half.alias("_half"),
-        (F.least("_left_rows", "_right_rows") >= rules.k).alias("_valid"),
+
+
+def _candidates(cells: DataFrame, rows: int, rules: Rules, names: list[str], pids: int) -> Stored:
+    """Per partition its size and the splits with k rows in both halves, widest feature first."""
+    values = _values(cells, rules, names)
+    fits = rows <= LIMITS.window_rows
+    splits = _splits(values, rules) if fits else _splits_at_size(values, rules, pids)
+    scaled = F.lit(0.0)
+    for i, full in enumerate(rules.scale):
+        if full:
+            scaled = F.when(F.col("_f") == i, F.col("_span") / F.lit(full)).otherwise(scaled)
+    split = F.struct(
+        (-scaled).alias("less"),
+        F.col("_f").alias("f"),
+        F.col("_number").alias("number"),
+        F.col("_seen").alias("seen"),
+        *[F.col(f"_left_{n}").alias(f"left_{n}") for n in SUMS],
     )
-    joined = lookup_join(
-        tried.drop("_by_text"),
-        sized,
-        ["_pid", "_number", "_text"],
-        "_held",
-        ["_o", "_s"],
-        null_safe=True,
+    half = F.least(F.col("_left_rows"), F.col("_all_rows") - F.col("_left_rows"))
+    listed = F.array_sort(F.collect_list(F.when(half >= rules.k, split)))
+    found = splits.groupBy("_pid").agg(
+        *[F.max(f"_all_{n}").alias(f"_{n}") for n in SUMS], listed.alias("_splits")
     )
-    return store(joined.drop("_number", "_text"), refused=F.count_if(~F.col("_valid")))
-
+    texts = {
+        f"text{j}": F.count_if(
+            F.coalesce(F.get("_splits", j)["f"].isin(*rules.categorical), F.lit(False))
+            if rules.categorical
+            else F.lit(False)
+        )
+        for j in range(rules.features)
+    }
+    sizes = {f"open{j}": F.count_if(F.size("_splits") > j) for j in range(rules.features + 1)}
+    return store(found, **texts, **sizes)
+
+
+def _text_sides(cells: DataFrame, rules: Rules, names: list[str]) -> Stored:
+    """Per partition that splits by a text feature: its values and whether they are in the left half."""
+    text, wanted = F.lit(None).cast("string"), F.lit(False)
+    for i in rules.categorical:
+        here = F.col("_split.f") == i
+        text, wanted = F.when(here, F.col(names[i])).otherwise(text), wanted | here
+    values = (
+        cells.where(wanted)
+        .groupBy("_pid", text.alias("_text"))
+        .agg(F.min("_o").alias("_first"), F.first("_split.seen").alias("_seen"), F.count("*").alias("_held"))
+    )
+    left = (F.col("_first") < F.col("_seen")).alias("_text_left")
+    return store(values.select("_pid", "_text", F.lit(True).alias("_by_text"), "_held", left), "_held")
 
-@dataclass
-class _Attempt:
-    """Cells with their half and a final ``_valid``, and the tables these are read from."""
 
-    decided: DataFrame
-    tables: list[Stored]
-    some_valid: bool
-    some_refused: bool
+def _sided(cells: DataFrame, sides: DataFrame | Stored | None, rules: Rules, names: list[str]) -> DataFrame:
+    """Add ``_left``: by number in place, by text from the sides of the values."""
+    left, text = F.lit(False), F.lit(None).cast("string")
+    for i, c in enumerate(names):
+        here = F.col("_split.f") == i
+        if i in rules.categorical:
+            text = F.when(here, F.col(c)).otherwise(text)
+        else:
+            left = F.when(here, F.coalesce(F.col(c) < F.col("_split.number"), F.lit(False))).otherwise(left)
+    if sides is None:
+        return cells.withColumn("_left", left)
+    by_text = F.col("_split.f").isin(*rules.categorical)
+    keyed = cells.withColumns({"_left": left, "_text": text, "_by_text": by_text})
+    joined = lookup_join(keyed, sides, ["_pid", "_text", "_by_text"], "_held", ["_o", "_s"], null_safe=True)
+    return joined.withColumn("_left", F.coalesce("_text_left", "_left")).drop("_text", "_by_text", "_text_left")
 
 
-def _judged(halves: Stored, rules: Rules, pids: int) -> _Attempt:
-    """Leave ``_valid`` set only where both halves also satisfy the l or t condition."""
-    refused = halves.size["refused"]
-    if rules.model == "k" or refused == halves.rows:
-        return _Attempt(halves.df, [halves], refused < halves.rows, refused > 0)
+def _fitting(cells: DataFrame, rules: Rules) -> DataFrame:
+    """Per partition, whether both halves satisfy the l or t condition."""
     keys = ["_pid", "_left"]
-    sized = halves.df.where("_valid")
     if rules.model == "l":
-        kept = sized.groupBy(*keys).agg(
-            (F.count_distinct(F.struct("_s")) >= rules.l).alias("_fits"), F.count("*").alias("_held")
-        )
+        fits = cells.groupBy(*keys).agg((F.count_distinct(F.struct("_s")) >= rules.l).alias("_fits"))
     else:
+        half = F.when(F.col("_left"), F.col("_split.left_rows")).otherwise(F.col("_rows") - F.col("_split.left_rows"))
         counts = materialise(
-            sized.groupBy(*keys, F.col("_s").alias("_value")).agg(
+            cells.groupBy(*keys, F.col("_s").alias("_value")).agg(
                 F.sum("_n").alias("held"),
-                F.count("*").alias("_held"),
-                F.first("_half").alias("_half"),
+                F.first(half).alias("_half"),
                 F.first("q").alias("q"),
                 F.first("rank").alias("rank"),
                 F.first("next_q").alias("next_q"),
             )
         )
         distances = largest_distance(counts, keys, F.col("_half"), rules.top_q, rules.values)
-        held = counts.groupBy(*keys).agg(F.sum("_held").alias("_held"))
         fits = distances.select(*keys, (F.col("distance") <= rules.p).alias("_fits"))
-        kept = held.join(fits, keys)
-    verdict = store(
-        kept.groupBy("_pid").agg(F.min("_fits").alias("_fits"), F.sum("_held").alias("_held")),
-        weight="_held",
-        unfit=F.count_if(~F.col("_fits")),
-    )
-    joined = lookup_join(halves.df, verdict, ["_pid"], "_held", ["_o", "_s"], rows=pids)
-    decided = joined.withColumn("_valid", F.col("_valid") & F.coalesce("_fits", F.lit(False)))
-    unfit = verdict.size["unfit"]
-    return _Attempt(
-        decided.drop("_fits"), [halves, verdict], unfit < verdict.rows, refused > 0 or unfit > 0
-    )
+    return fits.groupBy("_pid").agg(F.min("_fits").alias("_fits"))
 
 
-def _split_level(cells: DataFrame, rules: Rules, names: list[str], pids: int):
-    """Split every open partition on its first feature with two valid halves.
+def _chosen(cells: DataFrame, found: Stored, rules: Rules, names: list[str]):
+    """Per partition the split it takes (null if it has none), and the sides of its text values.
 
-    Returns the children's cells per attempt, the stored tables they are read from, and
-    the cells of partitions without a valid split (None if there are none).
+    Under the k model that is the first candidate. Else the candidates are tried in turn by all
+    partitions that are still open; the cells are only read for that.
     """
-    state = cells.columns
-    step = F.when(F.col("_left"), "0").otherwise("1")
-    children, tables = [], []
-    for attempt in range(rules.features):
-        tried = _judged(_halves(cells, rules, names, attempt, pids), rules, pids)
-        if tried.some_valid:
-            split = tried.decided.where("_valid").withColumn("_pid", F.concat("_pid", step))
-            children.append(split.select(*state))
-            tables += tried.tables
-        if not tried.some_refused:
-            return children, tables, None
-        cells = tried.decided.where("not _valid").select(*state)
-    return children, tables, cells
-
-
-def _with_shares(cells: DataFrame, names: list[str]) -> tuple[DataFrame, float]:
-    """Add each cell's sensitive value's share, rank and next share; and the top share."""
-    counts = cells.groupBy("_s").agg(F.sum("_n").alias("_all"), F.count("*").alias("_cells"))
-    ranked, values, top_q = ranked_frequencies(counts, "_s", "_all")
-    shares = ranked.select("_s", "q", "rank", "next_q", "_cells")
-    return lookup_join(cells, shares, ["_s"], "_cells", ["_o", *names], rows=values), top_q
-
+    if rules.model == "k":
+        chosen = found.df.withColumn("_split", F.get("_splits", 0))
+        tagged = _tagged(cells, chosen, found).where("_split is not null")
+        return chosen, _text_sides(tagged, rules, names) if found.size["text0"] else None
+    untried, passed, sides = found.df.where(F.size("_splits") > 0), [], []
+    for at in range(rules.features):
+        if not found.size[f"open{at}"]:
+            break
+        tried = untried.withColumn("_split", F.get("_splits", at))
+        tagged = _tagged(cells, tried, found).where("_split is not null")
+        own = _text_sides(tagged, rules, names) if found.size[f"text{at}"] else None
+        verdict = store(_fitting(_sided(tagged, own, rules, names), rules), fit=F.count_if("_fits"))
+        fit, unfit = (verdict.df.where(c).select("_pid", F.lit(at).alias("_at")) for c in ("_fits", "not _fits"))
+        passed.append(fit)
+        if own is not None:
+            sides.append(own.df.join(fit, "_pid", "left_semi"))
+        if verdict.size["fit"] == verdict.rows:
+            break
+        untried = found.df.where(F.size("_splits") > at + 1).join(unfit, "_pid", "left_semi")
+    if not passed:
+        return found.df.withColumn("_split", F.get("_splits", rules.features)), None
+    chosen = found.df.join(reduce(DataFrame.unionAll, passed), "_pid", "left")
+    chosen = chosen.withColumn("_split", F.get("_splits", "_at"))
+    return chosen, reduce(DataFrame.unionAll, sides) if sides else None
+
+
+def _tagged(cells: DataFrame, found: DataFrame, size: Stored) -> DataFrame:
+    """The cells with their partition's row, which is sent to all of them if it is small."""
+    rows = size.rows if size.small else None
+    held = found.select("_pid", "_split", "_rows", "_cells", "_bytes", F.col("_cells").alias("_weight"))
+    return lookup_join(cells, held, ["_pid"], "_weight", ["_o", "_s"], rows=rows)
+
+
+def _fate(rules: Rules, local_cells: int, rows: Column, cells: Column, bytes_: Column) -> Column:
+    return (
+        F.when(rows < 2 * rules.k, "done")
+        .when((cells <= local_cells) & (bytes_ <= LOCAL_BYTES), "local")
+        .otherwise("split")
+    )
 
-@dataclass
-class _Progress:
-    """What a level leaves behind: open cells (None at the end) with the tables they are
-    read from, settled cells, and the ``local_rows`` cells of ``groups`` partitions to
-    finish locally."""
 
-    active: DataFrame | None
-    tables: list[Stored]
-    done: list[DataFrame]
-    local: list[DataFrame]
-    groups: int = 0
-    local_rows: int = 0
+def _half_of(n: str) -> Column:
+    return F.when(F.col("_left"), F.col(f"_split.left_{n}")).otherwise(
+        F.col(f"_{n}") - F.col(f"_split.left_{n}")
+    )
 
 
-def _level(progress: _Progress, rules: Rules, names: list[str], local_cells: int, width: int) -> None:
-    """Split all active partitions once; move those that are settled out of the way."""
-    active, tables = progress.active, progress.tables
-    state = active.columns
-    fate = (
-        F.when(F.col("_rows") < 2 * rules.k, "done")
-        .when((F.col("_cells") <= local_cells) & (F.col("_bytes") <= LOCAL_BYTES), "local")
-        .otherwise("split")
-    )
-    stats = _partition_stats(active, rules, names).withColumn("_fate", fate).drop("_rows", "_bytes")
-    counted = {f: F.count_if(F.col("_fate") == f) for f in ("done", "local", "split")}
-    progress.active, progress.tables, done = None, [], []
+def _split_level(cells: DataFrame, rows: int, rules: Rules, names: list[str], local_cells: int, pids: int) -> Stored:
+    """The cells of a level's partitions, moved to their halves and tagged with the ``_fate`` of these:
+    ``done``, to be finished ``local``ly, or to ``split`` again. Written once."""
+    state = [c for c in cells.columns if c != "_fate"]
     with Scratch() as scratch:
-        stats = store(stats, "_cells", **counted)
-        tagged = lookup_join(active, stats, ["_pid"], "_cells", ["_o", "_s"])
-        if stats.size["done"]:
-            done.append(tagged.where("_fate = 'done'").select(*state))
-        if stats.size["local"]:
-            bounded = store(tagged.where("_fate = 'local'").select(*state))
-            progress.local.append(scratch.keep(bounded).df)
-            progress.groups += stats.size["local"]
-            progress.local_rows += bounded.rows
-        if stats.size["split"]:
-            cells = tagged.where("_fate = 'split'").select(*state, "_order")
-            if not stats.small:
-                cells = materialise(cells)
-            children, read, unsplit = _split_level(cells, rules, names, stats.size["split"])
-            if unsplit is not None:
-                done.append(unsplit.select(*state))
-            if children:
-                progress.active = stacked(children, width).select(*state)
-                progress.tables = [scratch.keep(t) for t in read]
-        if done:
-            progress.done.append(scratch.keep(store(stacked(done, width))).df)
-    for table in tables:
-        table.drop()
+        found = _candidates(cells, rows, rules, names, pids)
+        chosen, sides = _chosen(cells, found, rules, names)
+        sided = _sided(_tagged(cells, chosen, found), sides, rules, names)
+        fate = _fate(rules, local_cells, *[_half_of(n) for n in SUMS])
+        step = F.when(F.col("_left"), "0").otherwise("1")
+        moved = F.col("_split").isNotNull()
+        result = sided.withColumns(
+            {
+                "_fate": F.when(moved, fate).otherwise("done"),
+                "_pid": F.when(moved, F.concat("_pid", step)).otherwise(F.col("_pid")),
+            }
+        ).select(*state, "_fate")
+        sums = {f: F.count_if(F.col("_fate") == f) for f in ("done", "local", "split")}
+        return scratch.keep(store(result, **sums))
 
 
 def partition_cells(
@@ -295,24 +337,42 @@ def partition_cells(
     if model == "t":
         cells, top_q = _with_shares(materialise(cells), names)
     start = store(cells.withColumn("_pid", F.lit("")))
+    columns = [*names, "_s", "_n", "_o", "_pid"]
+    if not start.rows:
+        return start.df.select(*columns)
     full = start.df.agg(*spans).first()
     rules = Rules(
         model, spec.k, spec.l, spec.p, categorical, len(names), tuple(full), top_q, values
     )
-    width = partition_count(start.df)
-    progress = _Progress(start.df if start.rows else None, [start], [], [])
-    if 0 < start.rows <= local_cells and start.size["bytes"] <= LOCAL_BYTES:
-        progress = _Progress(None, [], [], [start.df], 1, start.rows)
-    while progress.active is not None:
-        _level(progress, rules, names, local_cells, width)
-    if progress.local:
-        together = stacked(progress.local, width)
-        finished = _finish_locally(together, rules, names, progress.groups, progress.local_rows)
-        progress.done.append(materialise(finished))
-    columns = [*names, "_s", "_n", "_o", "_pid"]
-    if not progress.done:
-        return start.df.select(*columns)
-    return stacked([d.select(*columns) for d in progress.done], width)
+    width, state = partition_count(start.df), start.df.columns
+    if start.rows <= local_cells and start.size["bytes"] <= LOCAL_BYTES:
+        return materialise(_finish_locally(start.df, rules, names, 1, start.rows)).select(*columns)
+    done, local, local_rows, groups, pids = [], [], 0, 0, 1
+    open_cells, rows, before = start.df, start.rows, start
+    while rows:
+        level = _split_level(open_cells, rows, rules, names, local_cells, pids)
+        if before.rows == rows:  # all its cells were moved on
+            before.drop()
+        if level.size["done"]:
+            done.append(level.df.where("_fate = 'done'").select(*state))
+        if level.size["local"]:
+            local.append(level.df.where("_fate = 'local'").select(*state))
+            local_rows += level.size["local"]
+            groups += -(-level.size["local"] // max(1, local_cells))
+        open_cells, rows, before = level.df.where("_fate = 'split'").select(*state), level.size["split"], level
+        pids = min(2 * pids, max(1, rows))
+    if local:
+        finished = _finish_locally(stacked(local, width), rules, names, groups, local_rows)
+        done.append(materialise(finished))
+    return stacked([d.select(*columns) for d in done], width)
+
+
+def _with_shares(cells: DataFrame, names: list[str]) -> tuple[DataFrame, float]:
+    """Add each cell's sensitive value's share, rank and next share; and the top share."""
+    counts = cells.groupBy("_s").agg(F.sum("_n").alias("_all"), F.count("*").alias("_cells"))
+    ranked, values, top_q = ranked_frequencies(counts, "_s", "_all")
+    shares = ranked.select("_s", "q", "rank", "next_q", "_cells")
+    return lookup_join(cells, shares, ["_s"], "_cells", ["_o", *names], rows=values), top_q
 
 
 def _finish_locally(cells: DataFrame, rules: Rules, names: list[str], groups: int, rows: int) -> DataFrame:
