@@ -5,6 +5,7 @@ import pytest
 
 from veilspark import DETECTORS, label_columns, name_dictionary, register_detector, with_flag
 from veilspark.functions.detectors import containment_pattern
+from veilspark.operators import containment
 
 VALUES = {
     "tax number hungarian": {
@@ -96,6 +97,23 @@ def test_names_from_a_large_dictionary(spark, names, tiny_limits):
     assert flags(spark, "hungarian first name", TEXTS, names) == HAS_NAME
 
 
+def test_names_of_a_dictionary_of_any_size_in_long_texts(spark, monkeypatch):
+    """30 000 names, texts of up to 33 000 letters."""
+    draw = random.Random(8)
+    letters = "abcdefx漢"
+    known = {"".join(draw.choice(letters) for _ in range(draw.randrange(7, 13))) for _ in range(30_000)}
+    monkeypatch.setattr(containment, "CHUNK", 4096)
+    noise = lambda n: "".join(draw.choice(letters) for _ in range(n))
+    picked = sorted(known)[:: len(known) // 20]
+    texts = [noise(n) for n in (0, 3, 9, 40, 400)] + [noise(33_000) + picked[0], "z" * 33_000, None]
+    texts += ["z" * draw.randrange(5000) + name + "z" * draw.randrange(50) for name in picked]
+    texts += [name[:-1] for name in picked] + [picked[0] + "zz"] * 40
+    table = spark.createDataFrame([(x,) for x in known], "term string")
+    got = flags(spark, "hungarian first name", texts, table)
+    assert got == [bool(x) and any(name in x for name in known) for x in texts]
+    assert True in got and False in got
+
+
 def test_pattern_drops_terms_that_start_with_another():
     assert containment_pattern(["anna", "annamaria", "adam"]) == "a(?:dam|nna)"
     assert containment_pattern([]) == "(?!)"

@@ -21,6 +21,7 @@ from veilspark import (
     uniqueness,
     violations,
 )
+from veilspark.operators import uniqueness as uniqueness_module
 
 COLUMNS = ["a", "b", "c"]
 
@@ -63,10 +64,23 @@ def test_combination_uniqueness(spark, max_size, approx):
     assert [r.percent for r in found] == pytest.approx(expected, rel=0.1 if approx else 1e-9)
 
 
-def test_too_many_combinations(spark):
-    df = spark.range(1).select(*[F.lit(i).alias(f"c{i}") for i in range(13)])
-    with pytest.raises(ValueError):
-        combination_uniqueness(df, df.columns)
+def test_many_columns_are_walked_by_size(spark, monkeypatch):
+    """13 columns; some combinations are fully unique at size 1 and 2, some never are."""
+    monkeypatch.setattr(uniqueness_module, "SETS", 100)
+    draw = random.Random(2)
+    table = [
+        (i, i // 2, i % 2, *[draw.choice([None, "a", "b"]) for _ in range(5)], 1, *[draw.random() < 0.5] * 2, i % 7, None)
+        for i in range(60)
+    ]
+    names = ["id", "with.dot", *[f"c{i}" for i in range(2, 13)]]
+    types = ["int", "int", "int", *["string"] * 5, "int", "boolean", "boolean", "int", "string"]
+    df = spark.createDataFrame(table, ", ".join(f"`{n}` {t}" for n, t in zip(names, types)))
+    found = {r.position: (r.columns, r.percent) for r in combination_uniqueness(df, df.columns, 3).collect()}
+    wanted = [c for n in range(1, 4) for c in combinations(range(13), n)]
+    assert len(found) == len(wanted)
+    for i, c in enumerate(wanted):
+        assert found[i] == (", ".join(names[k] for k in c), 100.0 * distinct(table, c) / 60)
+    assert combination_uniqueness(df.limit(0), df.columns, 3).count() == 0
 
 
 def expected_distances(data, values="all"):

@@ -14,8 +14,9 @@ from ..functions.detectors import (
 )
 from ..functions.text import fold, quoted, text_columns
 from ..plans.skew import lookup_join
-from ..plans.storage import LIMITS, fits_broadcast
+from ..plans.storage import LIMITS, fits_broadcast, store
 from ..spec import nan_to_null
+from .containment import digests_containing, text_digest
 
 
 def _key(v: Column, detector: Detector) -> Column:
@@ -30,31 +31,6 @@ def _pattern(terms: DataFrame) -> str | None:
     return containment_pattern([r.term for r in found])
 
 
-def _values_containing(values: DataFrame, key: str, terms: DataFrame) -> DataFrame:
-    """The distinct keys that contain any term of an arbitrarily large dictionary.
-
-    Every position of a value gives one window as long as the longest term; a window's
-    prefixes, one per term length that occurs, are matched by equality.
-    """
-    terms = terms.where("term <> ''").select("term").distinct()
-    lengths = [r[0] for r in terms.select(F.length("term")).distinct().collect()]
-    if not lengths:
-        return values.select(key).where(F.lit(False))
-    windows = F.regexp_extract_all(F.col(key), F.lit(f"(?s)(?=(.{{1,{max(lengths)}}}))"), 1)
-    prefixes = F.array_distinct(
-        F.transform(
-            F.array(*map(F.lit, sorted(lengths))), lambda n: F.substring(F.col("_window"), 1, n)
-        )
-    )
-    return (
-        values.select(key, F.explode(windows).alias("_window"))
-        .select(key, F.explode(prefixes).alias("term"))
-        .join(terms, "term", "left_semi")
-        .select(key)
-        .distinct()
-    )
-
-
 def _bounded_flag(
     df: DataFrame, key: str, detector: Detector, terms: DataFrame, out: str
 ) -> DataFrame | None:
@@ -72,26 +48,27 @@ def _bounded_flag(
     return joined.withColumn(out, F.col("_term").isNotNull()).drop("_term")
 
 
-def _matching(held: DataFrame, key: str, detector: Detector, terms: DataFrame) -> DataFrame:
-    """Those rows of ``held``, counted values, whose key a dictionary of any size matches."""
+def _hits(values: DataFrame, key: str, detector: Detector, terms: DataFrame) -> DataFrame:
+    """Digests of the keys that a dictionary of any size matches."""
     if detector.contains:
-        hits = _values_containing(held.select(key).distinct(), key, terms)
-    else:
-        hits = terms.select(F.col("term").alias(key)).distinct()
-    return held.join(hits, key, "left_semi")
+        return digests_containing(values.select(key), key, terms)
+    return terms.where("term is not null").select(text_digest(F.col("term")).alias("digest")).distinct()
 
 
 def _unbounded_flag(
     df: DataFrame, key: str, detector: Detector, terms: DataFrame, out: str
 ) -> DataFrame:
-    """As ``_bounded_flag`` for a dictionary of any size: distinct values are matched, and
-    the rows look up the outcome with frequent values spread over tasks."""
-    held = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_held"))
-    hits = _matching(held, key, detector, terms).select(key, F.lit(True).alias("_hit"))
-    hits = held.join(hits, key, "left")  # with the others, as a frequent one is spread, too
+    """As ``_bounded_flag`` for a dictionary of any size: the rows look up the outcome by digest,
+    with frequent values spread over tasks."""
+    keyed = df.withColumn("_digest", text_digest(F.col(key)))
+    held = keyed.where(F.col(key).isNotNull()).groupBy("_digest").agg(F.count("*").alias("_held"))
+    hits = _hits(df, key, detector, terms).select(F.col("digest").alias("_digest"), F.lit(True).alias("_hit"))
     spread = [c for c, kind in df.dtypes if not kind.startswith("map")]
-    joined = lookup_join(df, hits, [key], "_held", spread)
-    return joined.withColumn(out, F.coalesce("_hit", F.lit(False))).drop("_hit")
+    outcome = store(held.join(hits, "_digest"), "_held")
+    if not outcome.small:  # with the others, as a frequent one is spread, too
+        outcome = held.join(outcome.df.select("_digest", "_hit"), "_digest", "left")
+    joined = lookup_join(keyed, outcome, ["_digest"], "_held", spread)
+    return joined.withColumn(out, F.coalesce("_hit", F.lit(False))).drop("_hit", "_digest")
 
 
 def _age_hits(name: Column, rows: Column, unparsed: Column, low: Column, high: Column) -> Column:
@@ -172,8 +149,10 @@ def label_columns(
             terms = dictionaries[detector.dictionary]
             flagged = _bounded_flag(pairs, key, detector, terms, f"_flag{i}")
             if flagged is None:
-                held = pairs.groupBy("name", key).agg(F.count("*").alias("_held"))
-                found = _matching(held, key, detector, terms).groupBy("name")
+                held = pairs.groupBy("name", text_digest(F.col(key)).alias("digest")).agg(
+                    F.count("*").alias("_held")
+                )
+                found = held.join(_hits(pairs, key, detector, terms), "digest", "left_semi").groupBy("name")
                 counted_apart[i] = found.agg(F.sum("_held").alias("_hits"))
                 continue
             pairs, flag = flagged, F.col(f"_flag{i}")

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import quoted
-from ..plans.storage import materialise
+from ..plans.storage import Scratch, Stored, store
 from ..spec import nan_to_null
 
 
-#: Grouping sets that one job counts; more run in several jobs over the same tuples.
+#: Combinations that one job counts. More are counted size by size, in jobs of so many.
 SETS = 1024
 
 
@@ -51,8 +50,9 @@ def combination_uniqueness(
     """100 * distinct rows / rows of every combination of columns, up to ``max_size``.
 
     Rows are first reduced to distinct tuples of all columns, so that the expansion to
-    grouping sets multiplies those only; these are stored once if the sets need several jobs.
-    ``position`` orders by size, then by columns.
+    grouping sets multiplies those only. If there are more combinations than one job counts, the
+    lattice is walked by size, and a combination that holds a fully unique one is fully unique
+    without being counted. ``position`` orders by size, then by columns.
     """
     df, plain = _numbered(df, columns)
     sizes = range(1, (max_size or len(columns)) + 1)
@@ -71,13 +71,62 @@ def combination_uniqueness(
         ]
         return counted.select(F.inline(F.array(*entries)))
     tuples = df.groupBy(*plain).agg(F.count("*").alias("_held"))
-    if len(wanted) > SETS:
-        tuples = materialise(tuples)
-    parts = [
-        _set_shares(tuples, plain, wanted[at : at + SETS], named[at : at + SETS])
-        for at in range(0, len(wanted), SETS)
+    if len(wanted) <= SETS:
+        return _set_shares(tuples, plain, wanted, named)
+    return _walked(tuples, plain, wanted, named)
+
+
+def _prints(columns: list[str]) -> list[Column]:
+    """Two hashes of 64 bits that stand for a value, null included, each of its own."""
+    return [
+        F.struct(
+            F.xxhash64(F.col(c).isNull(), F.col(c)).alias("a"),
+            F.xxhash64(F.lit(1), F.col(c).isNull(), F.lit(2), F.col(c)).alias("b"),
+        ).alias(c)
+        for c in columns
     ]
-    return reduce(DataFrame.unionAll, parts)
+
+
+def _counted(tuples: Stored, plain: list[str], rows: int, sets: dict[int, tuple[int, ...]]) -> dict[int, float]:
+    """Distinct tuples of the sets in percent, counted by fingerprints of 128 bits."""
+    entries = [
+        F.struct(
+            F.lit(i).alias("_set"),
+            F.xxhash64(*[F.col(f"{plain[k]}.a") for k in wanted]).alias("_a"),
+            F.xxhash64(F.lit(3), *[F.col(f"{plain[k]}.b") for k in wanted]).alias("_b"),
+        )
+        for i, wanted in sets.items()
+    ]
+    found = tuples.df.select(F.inline(F.array(*entries))).distinct().groupBy("_set").count()
+    return {r["_set"]: 100.0 * r["count"] / rows for r in found.collect()}
+
+
+def _walked(
+    tuples: DataFrame, plain: list[str], wanted: list[tuple[int, ...]], named: list[tuple[int, str]]
+) -> DataFrame:
+    """The sets' shares, size by size. The driver holds a number per combination, as many as it
+    was asked for; a set above one that is fully unique is not counted."""
+    shares: dict[int, float] = {}
+    with Scratch():
+        held = store(tuples.select(*_prints(plain), "_held"), "_held")
+        rows = held.size["total"]
+        unique: set[tuple[int, ...]] = set()
+        for size in sorted({len(w) for w in wanted}) if rows else ():
+            open_sets = {}
+            for i, w in enumerate(wanted):
+                if len(w) == size:
+                    if any(w[:k] + w[k + 1 :] in unique for k in range(size)):
+                        unique.add(w)
+                        shares[i] = 100.0
+                    else:
+                        open_sets[i] = w
+            numbers = list(open_sets)
+            for at in range(0, len(numbers), SETS):
+                shares |= _counted(held, plain, rows, {i: wanted[i] for i in numbers[at : at + SETS]})
+            unique |= {w for i, w in open_sets.items() if shares[i] == 100.0}
+    spark = tuples.sparkSession
+    found = [(i, name, shares[i]) for i, name in named if i in shares]
+    return spark.createDataFrame(found, "position int, columns string, percent double")
 
 
 def _set_shares(
