@@ -21,6 +21,7 @@ from veilspark import (
     with_row_order,
 )
 from veilspark.operators import pseudonymise as module
+from veilspark.plans import storage
 
 EMAILS = [
     "Anna@Mail.hu", "anna@mail.hu", "a@b@c.d.e", "o'hara@mail.hu", None, "broken", "zoé@mail.com",
@@ -72,7 +73,37 @@ def test_email_options(spark, monkeypatch):
     assert one == pseudonymise_email(emails(spark), "email", "random").orderBy("id").collect()
 
 
-def test_colliding_tokens_are_drawn_again(spark, monkeypatch):
+@pytest.mark.parametrize("length", [1, 2, 3])
+def test_every_number_has_its_own_token(spark, length):
+    numbers = spark.range(0, 62**length, 1, 4)
+    first, other = (module.permuted_token(F.col("id"), key, length).alias(key) for key in ("a", "b"))
+    rows = numbers.select("id", first, other).collect()
+    for key in ("a", "b"):
+        assert len({r[key] for r in rows}) == 62**length
+        assert {len(r[key]) for r in rows} == {length}
+    assert sum(r.a == r.b for r in rows) < 62**length / 2
+    assert sum(x.a[-1] == y.a[-1] for x, y in zip(rows, rows[1:])) < 0.1 * len(rows) + 5
+
+
+def test_long_tokens_of_large_numbers(spark):
+    rows = [(0,), (62**10 - 1,), (62**10 // 2,), (2**53 + 1,)]
+    got = spark.createDataFrame(rows, "n long").select(module.permuted_token(F.col("n"), "k", 10).alias("t")).collect()
+    assert len({r.t for r in got}) == 4 and all(re.fullmatch("[A-Za-z0-9]{10}", r.t) for r in got)
+
+
+def test_no_raw_value_is_stored(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "scratch_folder", lambda _: str(tmp_path))
+    df = emails(spark)
+    pseudonymise_email(df, "email", "random").count()
+    encode_text(df, "email", "id").count()
+    raw = {part for r in df.collect() if r.email for part in [r.email, *re.split("[@.]", r.email)] if len(part) > 3}
+    held = b"".join(f.read_bytes() for f in tmp_path.rglob("*.parquet"))
+    tables = [spark.read.parquet(str(d)) for d in tmp_path.iterdir()]
+    seen = {str(x) for t in tables for r in t.collect() for x in r}
+    assert tables and not raw & seen and not any(x.encode() in held for x in raw)
+
+
+def test_short_tokens_do_not_collide(spark, monkeypatch):
     monkeypatch.setattr(module, "_token_length", lambda kind, parts: 2)
     rows = [(i, f"user{i}@d{i}.hu") for i in range(600)]
     df = spark.createDataFrame(rows, "id int, email string")
@@ -84,7 +115,7 @@ def test_colliding_tokens_are_drawn_again(spark, monkeypatch):
 
 
 def test_token_lengths_do_not_follow_the_size(spark, tiny_limits):
-    """Many redrawn parts, looked up with heavy keys spread, keep their length."""
+    """Many parts, looked up with heavy keys spread, keep their length."""
     rows = [(i, f"user{i % 300}@d{i % 300 if i % 2 else 0}.hu") for i in range(600)] + [(600, None)]
     df = spark.createDataFrame(rows, "id int, `with.dot` string").withColumnRenamed("with.dot", "email")
     out = pseudonymise_email(df, "email", "random", lengths={"local": 2, "domain": 2})

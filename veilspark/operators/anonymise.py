@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import as_text
+from ..functions.text import as_text, quoted
 from ..plans.cells import build_cells, cell_values, feature_names
 from ..plans.mondrian import LOCAL_CELLS, partition_cells
 from ..plans.skew import lookup_join
@@ -109,24 +109,26 @@ def generalise_partitions(
     others, and the last.
     """
     columns, key = df.columns, partition
-    df = nan_to_null(df).withColumn("_partition", F.struct(F.col(partition).alias("path")))
+    df = nan_to_null(df).withColumn("_partition", F.struct(quoted(partition).alias("path")))
     partition = "_partition"
-    texts = {c for c in spec.features if spec.is_categorical(c)}
+    texts, names = {c for c in spec.features if spec.is_categorical(c)}, feature_names(spec)
+    listed = {n for n, c in zip(names, spec.features) if c in texts}
     source = df.select(
         partition,
-        F.col(spec.order_by).alias("_o"),
+        quoted(spec.order_by).alias("_o"),
         F.lit(1).alias("_weight"),
         *[
-            (as_text(F.col(c), df.schema[c].dataType) if c in texts else F.col(c).cast("double")).alias(c)
-            for c in spec.features
+            (as_text(quoted(c), df.schema[c].dataType) if c in texts else quoted(c).cast("double")).alias(n)
+            for n, c in zip(names, spec.features)
         ],
     )
-    found = _summaries(source, partition, list(spec.features), texts, "_o", "_weight", numeric)
+    found = _summaries(source, partition, names, listed, "_o", "_weight", numeric)
     found = _first_partitions(found, f"{partition}.path", max_partitions).drop("_entries")
+    found = found.withColumnsRenamed(dict(zip(names, spec.features)))
     kept = df.drop(*[c for c in spec.features if c != key])
     how = "left" if max_partitions is None else "inner"
     joined = lookup_join(kept, found, [partition], "_covered", [spec.order_by], how)
-    return joined.select(*columns)
+    return joined.select(*map(quoted, columns))
 
 
 def anonymise(
@@ -160,4 +162,4 @@ def anonymise(
     joined = lookup_join(keyed, mapping, names, "_n", [spec.order_by], how, null_safe=True)
     renamed = {f"_g{n}": c for n, c in zip(names, spec.features)}
     result = joined.drop(*names).withColumnsRenamed(renamed | {"_pid": "partition_id"})
-    return result.select(*df.columns, *(["partition_id"] if keep_partition_id else []))
+    return result.select(*map(quoted, [*df.columns, *(["partition_id"] if keep_partition_id else [])]))

@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import quoted
 from ..plans.ranking import global_index
 from ..plans.skew import lookup_join
 from ..plans.storage import LIMITS, materialise, store
@@ -15,13 +16,17 @@ from ..spec import PrivacySpec, nan_to_null
 
 def diversity(df: DataFrame, groups: list[str], column: str) -> DataFrame:
     """Distinct values of a column per group, null counted as one value."""
-    return nan_to_null(df).groupBy(*groups).agg(F.count_distinct(F.struct(column)).alias("diversity"))
+    return (
+        nan_to_null(df)
+        .groupBy(*map(quoted, groups))
+        .agg(F.count_distinct(F.struct(quoted(column))).alias("diversity"))
+    )
 
 
 def global_frequencies(df: DataFrame, sensitive: str) -> DataFrame:
     """Share of each non-null value in all rows, rows with null included, as (value, q)."""
     df = nan_to_null(df)
-    counts = df.groupBy(F.col(sensitive).alias("value")).agg(F.count("*").alias("_held"))
+    counts = df.groupBy(quoted(sensitive).alias("value")).agg(F.count("*").alias("_held"))
     rows = df.agg(F.count("*")).scalar()
     return counts.where("value is not null").select("value", (F.col("_held") / rows).alias("q"))
 
@@ -93,7 +98,8 @@ def t_distance(
     if values not in ("all", "present"):
         raise ValueError("values is 'all' or 'present'")
     # As a struct, the group is never null itself, so joins by it find null group values.
-    keyed = nan_to_null(df).select(F.struct(*groups).alias("_group"), F.col(sensitive).alias("_value"))
+    group = F.struct(*map(quoted, groups))
+    keyed = nan_to_null(df).select(group.alias("_group"), quoted(sensitive).alias("_value"))
     cells = materialise(keyed.groupBy("_group", "_value").agg(F.count("*").alias("held")))
     return cell_distance(cells, ["_group"], values).select("_group.*", "distance")
 
@@ -125,25 +131,25 @@ def audit_classes(
     df = nan_to_null(df)
     keys = [f"_is_null_{i}" for i in range(len(qi))] + [f"_text_{i}" for i in range(len(qi))]
     keyed = df.withColumns(
-        {f"_is_null_{i}": F.col(c).isNull() for i, c in enumerate(qi)}
-        | {f"_text_{i}": F.coalesce(F.col(c).cast("string"), F.lit("")) for i, c in enumerate(qi)}
+        {f"_is_null_{i}": quoted(c).isNull() for i, c in enumerate(qi)}
+        | {f"_text_{i}": F.coalesce(quoted(c).cast("string"), F.lit("")) for i, c in enumerate(qi)}
     )
     cells = materialise(
-        keyed.groupBy(*keys, F.col(spec.sensitive).alias("_value")).agg(
-            F.count("*").alias("held"), *[F.first(c).alias(c) for c in qi]
+        keyed.groupBy(*keys, quoted(spec.sensitive).alias("_value")).agg(
+            F.count("*").alias("held"), *[F.first(quoted(c)).alias(c) for c in qi]
         )
     )
     classes = cells.groupBy(*keys).agg(
         F.sum("held").alias("size"),
         F.count("*").alias("diversity"),
-        *[F.first(c).alias(c) for c in qi],
+        *[F.first(quoted(c)).alias(c) for c in qi],
     )
     distances = cell_distance(cells.drop(*qi), keys, values)
     audited = classes.join(distances, keys)
     l = spec.l if spec.l is not None else 1
     p = spec.p if spec.p is not None else 1.0
     return audited.select(
-        *qi,
+        *map(quoted, qi),
         "size",
         "diversity",
         "distance",

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.detectors import DETECTORS
+from ..functions.text import quoted
 from ..plans.ranking import global_index
 from ..plans.skew import lookup_join
 from ..plans.storage import Stored, fits_broadcast, store
@@ -23,6 +24,7 @@ TOKEN_LENGTHS = {"local": 10, "domain": 5, "tld": 4}
 TOKEN_ALPHABET = string.ascii_letters + string.digits
 LONGEST_TOKEN = 16
 KEYED_DIGITS = 32
+FEISTEL_ROUNDS = 10
 KEY_SETTING = "spark.veilspark.secret.key"
 
 
@@ -39,22 +41,6 @@ def _digest(part: Column, kind: str, key: str) -> Column:
     return F.sha2(F.concat(F.lit(f"{key}:{kind}:"), part), 256)
 
 
-def _draw(part: Column, kind: Column, key: str, attempt: Column) -> Column:
-    """Digest that fixes a part's token; to be a column of its own, as it is read often."""
-    return F.sha2(
-        F.concat(F.lit(f"{key}:"), kind, F.lit(":"), attempt.cast("string"), F.lit(":"), part), 256
-    )
-
-
-def _letters(digest: Column, length: int) -> Column:
-    """Alphanumeric token of up to 16 letters, each chosen by 16 bits of the digest."""
-    letters = []
-    for i in range(length):
-        number = F.conv(F.substring(digest, 4 * i + 1, 4), 16, 10).cast("int")
-        letters.append(F.substring(F.lit(TOKEN_ALPHABET), 1 + number % len(TOKEN_ALPHABET), 1))
-    return F.concat(*letters)
-
-
 def _token_length(kind: str, chosen: dict[str, int] | None) -> int:
     """The caller's length of a kind's tokens, or the reference length; the data does not change it."""
     length = {**TOKEN_LENGTHS, **(chosen or {})}[kind]
@@ -63,49 +49,62 @@ def _token_length(kind: str, chosen: dict[str, int] | None) -> int:
     return length
 
 
-def _drawn(parts: DataFrame, key: str, lengths: dict[str, int]) -> DataFrame:
-    """Add the token of every ``(kind, part, attempt)`` row."""
-    digest = _draw(F.col("part"), F.col("kind"), key, F.col("attempt"))
-    length = F.lit(0)
-    for kind, n in lengths.items():
-        length = F.when(F.col("kind") == kind, n).otherwise(length)
-    longest = _letters(F.col("_digest"), max(lengths.values()))
-    drawn = parts.withColumn("_digest", digest)
-    return drawn.withColumn("token", F.substring(longest, F.lit(1), length)).drop("_digest")
+def _halves(length: int) -> tuple[int, int]:
+    """Letters of the two halves of a token."""
+    return length // 2, length - length // 2
 
 
-def _redrawn_parts(parts: DataFrame, key: str, lengths: dict[str, int]) -> Stored:
-    """Parts whose first token belongs to another part, with the attempt that is unique.
+def _numerals(number: Column, width: int) -> list[Column]:
+    """The number's letters, ``width`` of them."""
+    size = len(TOKEN_ALPHABET)
+    return [
+        F.substring(F.lit(TOKEN_ALPHABET), (F.floor(number / size**i) % size + 1).cast("int"), F.lit(1))
+        for i in reversed(range(width))
+    ]
 
-    ``parts`` holds distinct ``(kind, part)``. Of equal tokens the earliest attempt and
-    smallest part keeps it; the others draw again until all tokens of a kind differ.
+
+def permuted_token(index: Column, secret: str, length: int) -> Column:
+    """The token of a number below 62 ** length: different numbers have different tokens.
+
+    A Feistel network under the secret whose halves are numbers of half a token's letters. Each
+    round adds to one half a digest of the other, so it can be undone, and no number leaves the range.
     """
-    same = ["kind", "part"]
-    drawn, bumps = parts.withColumn("attempt", F.lit(0)), None
-    while True:
-        tokens = _drawn(drawn, key, lengths)
-        shared = (
-            tokens.groupBy("kind", "token")
-            .agg(F.min(F.struct("attempt", "part")).alias("owner"), F.count("*").alias("n"))
-            .where("n > 1")
-        )
-        losers = store(
-            tokens.join(shared, ["kind", "token"])
-            .where(F.struct("attempt", "part") != F.col("owner"))
-            .select(*same, (F.col("attempt") + 1).alias("attempt"))
-        )
-        if not losers.rows:
-            return bumps or losers
-        if bumps is None:
-            bumps = losers
-        else:
-            kept = bumps.df.join(losers.df.select(*same), same, "left_anti")
-            bumps = store(kept.unionByName(losers.df))
-        redrawn = bumps.df.withColumnRenamed("attempt", "redrawn")
-        drawn = parts.join(redrawn, same, "left").select(
-            *same, F.coalesce("redrawn", F.lit(0)).alias("attempt")
+    low, high = _halves(length)
+    size = len(TOKEN_ALPHABET)
+    a, b = F.lit(size**low), F.lit(size**high)
+
+    def mixed(half: Column, i: Column, most: Column) -> Column:
+        digest = F.sha2(F.concat_ws(":", F.lit(secret), i, half), 256)
+        return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % most
+
+    def rounds(state: Column, i: Column) -> Column:
+        left, right = state["left"], state["right"]
+        return F.struct(
+            F.when(i % 2 == 0, (left + mixed(right, i, a)) % a).otherwise(left).alias("left"),
+            F.when(i % 2 == 0, right).otherwise((right + mixed(left, i, b)) % b).alias("right"),
         )
 
+    number = index.cast("bigint")
+    start = F.struct(F.call_function("div", number, b.cast("bigint")).alias("left"), (number % b).alias("right"))
+    return F.aggregate(
+        F.sequence(F.lit(0), F.lit(FEISTEL_ROUNDS - 1)),
+        start.cast("struct<left:bigint,right:bigint>"),
+        lambda state, i: rounds(state, i).cast("struct<left:bigint,right:bigint>"),
+        lambda state: F.concat(*_numerals(state["left"], low), *_numerals(state["right"], high)),
+    )
+
+
+def _tokens(parts: Stored, secret: str, lengths: dict[str, int]) -> Stored:
+    """Kind, digest, token and held of the distinct parts: their places in the order of the digests,
+    permuted."""
+    placed = global_index(parts, ["kind", "digest"], "_place")
+    token, before = F.lit(None).cast("string"), 0
+    for kind in sorted(lengths):
+        own = permuted_token(F.col("_place") - before, f"{secret}:{kind}", lengths[kind])
+        token = F.when(F.col("kind") == kind, own).otherwise(token)
+        before += parts.size[kind]
+    return store(placed.select("kind", "digest", token.alias("token"), "held"), "held")
+
 
 def pseudonymise_email(
     df: DataFrame,
@@ -119,18 +118,18 @@ def pseudonymise_email(
 
     ``keyed``: digest prefixes under a caller's key (or the session setting
     ``spark.veilspark.secret.key``), equal between tables and runs, no shuffle.
-    ``random``: short alphanumeric tokens under a one-off key that is not kept. Only the
-    parts whose short token collides need a lookup, so rows are not shuffled while these
-    are few, and a recomputed task gives the same tokens again. ``lengths`` sets the letters
-    of ``local``, ``domain`` and ``tld`` (10, 5 and 4); they are fixed for the run at any
-    size, and a length that cannot hold a kind's parts is an error.
+    ``random``: short alphanumeric tokens under a one-off key that is not kept. The distinct parts are
+    numbered by one sort of their digests, and a keyed permutation turns the number into the token,
+    so tokens never meet and a recomputed task gives the same again. Rows look the tokens up by
+    digest; no part is moved or stored. ``lengths`` sets the letters of ``local``, ``domain`` and
+    ``tld`` (10, 5 and 4) at any size; a length that cannot hold a kind's parts is an error.
     Unusable or null addresses share one token, or become null with ``on_invalid='null'``.
     """
     if mode not in ("keyed", "random") or on_invalid not in ("token", "null"):
         raise ValueError("mode is 'keyed' or 'random', on_invalid is 'token' or 'null'")
     if not set(lengths or ()) <= set(INVALID_PARTS):
         raise ValueError(f"lengths are those of {', '.join(INVALID_PARTS)}")
-    parts = email_parts(F.col(col).cast("string"))
+    parts = email_parts(quoted(col).cast("string"))
     if on_invalid == "token":
         parts = {k: F.coalesce(c, F.lit(INVALID_PARTS[k])) for k, c in parts.items()}
     if mode == "keyed":
@@ -143,41 +142,42 @@ def pseudonymise_email(
         return df.withColumn(col, F.concat(local, F.lit("@"), domain, F.lit("."), tld))
     key = secrets.token_hex(32)
     lengths = {kind: _token_length(kind, lengths) for kind in parts}
-    split = df.withColumns({f"_{k}": c for k, c in parts.items()})
-    tokens = []
-    pairs = [F.struct(F.lit(k).alias("kind"), c.alias("part")) for k, c in parts.items()]
-    same = ["kind", "part"]
+    digests = {k: F.unhex(_digest(c, k, key)) for k, c in parts.items()}
+    pairs = [F.struct(F.lit(k).alias("kind"), d.alias("digest")) for k, d in digests.items()]
     distinct = store(
         df.select(F.inline(F.array(*pairs)))
-        .where("part is not null")
-        .groupBy(*same)
+        .where("digest is not null")
+        .groupBy("kind", "digest")
         .agg(F.count("*").alias("held")),
         **{k: F.count_if(F.col("kind") == k) for k in parts},
     )
     for kind, length in lengths.items():
         if distinct.size[kind] > len(TOKEN_ALPHABET) ** length:
             raise ValueError(f"{length} letters cannot hold {distinct.size[kind]} {kind} parts")
-    bumps = _redrawn_parts(distinct.df.select(*same), key, lengths)
-    known = bumps.rows if bumps.small else None
-    spread = [f"`{c}`" for c, kind in df.dtypes if not kind.startswith("map")]
-    for kind, length in lengths.items():
-        attempt = F.lit(0)
-        if bumps.rows:
-            redrawn = bumps.df.where(F.col("kind") == kind).join(distinct.df, same)
-            redrawn = redrawn.select(
-                F.col("part").alias(f"_{kind}"), F.col("attempt").alias(f"_try_{kind}"), "held"
-            )
-            split = lookup_join(split, redrawn, [f"_{kind}"], "held", spread, rows=known)
-            attempt = F.coalesce(F.col(f"_try_{kind}"), F.lit(0))
-        digest = _draw(F.col(f"_{kind}"), F.lit(kind), key, attempt)
-        split = split.withColumn(f"_digest_{kind}", digest)
-        tokens.append(_letters(F.col(f"_digest_{kind}"), length))
-    local, domain, tld = tokens
-    usable = F.when(
-        F.col("_local").isNotNull(), F.concat(local, F.lit("@"), domain, F.lit("."), tld)
-    )
-    helpers = [f"{prefix}{k}" for k in parts for prefix in ("_", "_try_", "_digest_")]
-    return split.withColumn(col, usable).drop(*helpers)
+    known = _tokens(distinct, key, lengths)
+    spread = [c for c, kind in df.dtypes if not kind.startswith("map")]
+    split = df.withColumns({f"_digest_{k}": d for k, d in digests.items()})
+    for kind in parts:
+        own = known.df.where(F.col("kind") == kind).select(
+            F.col("digest").alias(f"_digest_{kind}"), F.col("token").alias(f"_token_{kind}"), "held"
+        )
+        # Digests and tokens have fixed sizes, so the rows bound the bytes.
+        split = lookup_join(split, own, [f"_digest_{kind}"], "held", spread, rows=distinct.size[kind])
+    local, domain, tld = (F.col(f"_token_{k}") for k in parts)
+    helpers = [f"{prefix}{k}" for k in parts for prefix in ("_digest_", "_token_")]
+    return split.withColumn(col, F.concat(local, F.lit("@"), domain, F.lit("."), tld)).drop(*helpers)
+
+
+def _value_digest(df: DataFrame, col: str, salt: str) -> Column:
+    """Stands for a value under a one-off salt, so that no value is moved or stored; null for null."""
+    kind, c = dict(df.dtypes)[col], quoted(col)
+    if kind == "timestamp":
+        c = F.unix_micros(c)
+    elif kind in ("double", "float"):
+        c = c + F.lit(0.0)
+    elif kind == "binary":
+        c = F.hex(c)
+    return F.unhex(F.sha2(F.concat(F.lit(salt), c.cast("string")), 256))
 
 
 def encode_text(df: DataFrame, col: str, order_by: str | list[str]) -> DataFrame:
@@ -187,18 +187,17 @@ def encode_text(df: DataFrame, col: str, order_by: str | list[str]) -> DataFrame
     sort, and looked up again with frequent values spread over tasks.
     """
     order, df = [order_by] if isinstance(order_by, str) else list(order_by), nan_to_null(df)
-    first = (
-        df.where(F.col(col).isNotNull())
-        .groupBy(F.col(col).alias("_value"))
-        .agg(F.min(F.struct(*order)).alias("_first"), F.count("*").alias("_held"))
+    keyed = df.withColumn("_digest", _value_digest(df, col, secrets.token_hex(16)))
+    first = store(
+        keyed.where(F.col("_digest").isNotNull())
+        .groupBy("_digest")
+        .agg(F.min(F.struct(*[quoted(c) for c in order])).alias("_first"), F.count("*").alias("_held"))
     )
-    first = store(first)
-    codes = global_index(first, ["_first", "_value"], "_code").drop("_first")
-    keyed = df.withColumn("_value", F.col(col))
+    codes = global_index(first, ["_first", "_digest"], "_code").drop("_first")
     known = first.rows if first.small else None
-    joined = lookup_join(keyed, codes, ["_value"], "_held", order, rows=known)
+    joined = lookup_join(keyed, codes, ["_digest"], "_held", order, rows=known)
     code = F.coalesce(F.col("_code"), F.lit(-1).cast("bigint"))
-    return joined.withColumn(col, code).drop("_value", "_code")
+    return joined.withColumn(col, code).drop("_digest", "_code")
 
 
 def interval_label(c: Column, width: int = 10) -> Column:
@@ -222,7 +221,7 @@ def to_interval(
     spec, df = spec.with_categorical(col), nan_to_null(df)
     if keep_reference_features:
         spec = spec.with_features(c for c in spec.features if c != col)
-    number = F.col(col).try_cast("double") if dict(df.dtypes)[col] == "string" else F.col(col)
+    number = quoted(col).try_cast("double") if dict(df.dtypes)[col] == "string" else quoted(col)
     return df.withColumn(col, interval_label(number, width)), spec
 
 
@@ -231,7 +230,7 @@ def generalise(df: DataFrame, col: str, mapping: DataFrame) -> DataFrame:
 
     Keys compare as the country dictionary does; unknown values and null become null.
     """
-    keyed = df.withColumn("_key", country_key(F.col(col).cast("string")))
+    keyed = df.withColumn("_key", country_key(quoted(col).cast("string")))
     if fits_broadcast(mapping):
         listed = F.broadcast(mapping.select(F.col("term").alias("_key"), F.col("value").alias("_mapped")))
         joined = keyed.join(listed, "_key", "left")
@@ -240,7 +239,7 @@ def generalise(df: DataFrame, col: str, mapping: DataFrame) -> DataFrame:
         listed = mapping.select(F.col("term").alias("_key"), F.col("value").alias("_mapped"))
         spread = [c for c, kind in df.dtypes if not kind.startswith("map")]
         joined = lookup_join(keyed, held.join(listed, "_key", "left"), ["_key"], "_held", spread)
-    return joined.withColumn(col, F.col("_mapped")).drop("_key", "_mapped").select(*df.columns)
+    return joined.withColumn(col, F.col("_mapped")).drop("_key", "_mapped").select(*map(quoted, df.columns))
 
 
 def _country_to_region(df, col, spec, options):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import quoted
 from ..plans.ranking import at_ranks, group_medians, upper_middle
 from ..plans.skew import lookup_join
 from ..plans.storage import store
@@ -13,8 +14,8 @@ from ..spec import PrivacySpec, nan_to_null
 
 def _span(spec: PrivacySpec, c: str):
     if spec.is_categorical(c):
-        return F.count_distinct(F.struct(c)).cast("double")
-    return F.coalesce((F.max(c) - F.min(c)).cast("double"), F.lit(0.0))
+        return F.count_distinct(F.struct(quoted(c))).cast("double")
+    return F.coalesce((F.max(quoted(c)) - F.min(quoted(c))).cast("double"), F.lit(0.0))
 
 
 def spans(
@@ -28,14 +29,14 @@ def spans(
     With ``scale`` (a span per column) the result is relative to it; a zero scale gives 0.
     """
     df = nan_to_null(df)
-    wide = df.groupBy(partition).agg(*[_span(spec, c).alias(f"_{i}") for i, c in enumerate(spec.features)])
+    wide = df.groupBy(quoted(partition)).agg(*[_span(spec, c).alias(f"_{i}") for i, c in enumerate(spec.features)])
     entries = []
     for i, c in enumerate(spec.features):
         value = F.col(f"_{i}")
         if scale is not None:
             value = value / F.lit(float(scale[c])) if scale[c] else F.lit(0.0)
         entries.append(F.struct(F.lit(c).alias("column"), value.alias("span")))
-    return wide.select(partition, F.inline(F.array(*entries)))
+    return wide.select(quoted(partition), F.inline(F.array(*entries)))
 
 
 def full_spans(df: DataFrame, spec: PrivacySpec) -> dict[str, float]:
@@ -54,8 +55,8 @@ def split_side(
     (rounded down) goes left. A null partition is one like the others.
     """
     columns, key = df.columns, "_partition"
-    df = nan_to_null(df).withColumn(key, F.struct(partition))
-    return _sides(df, spec, column, key, out).select(*columns, out)
+    df = nan_to_null(df).withColumn(key, F.struct(quoted(partition)))
+    return _sides(df, spec, column, key, out).select(*map(quoted, [*columns, out]))
 
 
 def _sides(df: DataFrame, spec: PrivacySpec, column: str, partition: str, out: str) -> DataFrame:
@@ -64,10 +65,10 @@ def _sides(df: DataFrame, spec: PrivacySpec, column: str, partition: str, out: s
         held = df.groupBy(partition).agg(F.count("*").alias("_held"))
         medians = held.join(group_medians(df, [partition], column), partition)
         joined = lookup_join(df, medians, [partition], "_held", [spec.order_by])
-        return joined.withColumn(out, side(F.col(column) < F.col("median"))).drop("median")
+        return joined.withColumn(out, side(quoted(column) < F.col("median"))).drop("median")
     values = store(
-        df.groupBy(partition, F.col(column).alias("_value")).agg(
-            F.min(spec.order_by).alias("_first"), F.count("*").alias("_held"), F.lit(1).alias("_one")
+        df.groupBy(partition, quoted(column).alias("_value")).agg(
+            F.min(quoted(spec.order_by)).alias("_first"), F.count("*").alias("_held"), F.lit(1).alias("_one")
         )
     )
     pivots = at_ranks(
@@ -76,7 +77,7 @@ def _sides(df: DataFrame, spec: PrivacySpec, column: str, partition: str, out: s
     sides = lookup_join(values.df, pivots, [partition], "_members", ["_first"]).select(
         partition, "_value", "_held", (F.col("_first") < F.col("_pivot._first")).alias("_left")
     )
-    keyed = df.withColumn("_value", F.col(column))
+    keyed = df.withColumn("_value", quoted(column))
     joined = lookup_join(
         keyed, sides, [partition, "_value"], "_held", [spec.order_by], null_safe=True
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import as_text
+from ..functions.text import as_text, quoted
 from ..spec import PrivacySpec
 
 
@@ -27,20 +27,20 @@ def cell_values(df: DataFrame, spec: PrivacySpec) -> dict[str, Column]:
     values = {}
     for name, c in zip(feature_names(spec), spec.features):
         if spec.is_categorical(c):
-            values[name] = as_text(F.col(c), df.schema[c].dataType)
+            values[name] = as_text(quoted(c), df.schema[c].dataType)
         else:
-            values[name] = F.col(c).cast("double") + F.lit(0.0)
+            values[name] = quoted(c).cast("double") + F.lit(0.0)
     return values
 
 
 def build_cells(df: DataFrame, spec: PrivacySpec) -> DataFrame:
     """Cells ``(_c0.., _s, _n, _o)``: features, sensitive text, rows, first position."""
-    sensitive = as_text(F.col(spec.sensitive), df.schema[spec.sensitive].dataType)
+    sensitive = as_text(quoted(spec.sensitive), df.schema[spec.sensitive].dataType)
     return (
         df.select(
             *[c.alias(n) for n, c in cell_values(df, spec).items()],
             sensitive.alias("_s"),
-            F.col(spec.order_by).alias("_o"),
+            quoted(spec.order_by).alias("_o"),
         )
         .groupBy(*feature_names(spec), "_s")
         .agg(F.count("*").alias("_n"), F.min("_o").alias("_o"))

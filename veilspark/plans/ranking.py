@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import quoted
 from .skew import lookup_join
 from .storage import LIMITS, Stored, materialise, store
 
@@ -99,8 +100,8 @@ def upper_middle(total: Column) -> Column:
 def group_medians(df: DataFrame, group: list[str], column: str) -> DataFrame:
     """Exact interpolated median of a numeric column per group, nulls ignored."""
     counted = store(
-        df.where(F.col(column).isNotNull())
-        .groupBy(*group, F.col(column).cast("double").alias("_value"))
+        df.where(quoted(column).isNotNull())
+        .groupBy(*group, quoted(column).cast("double").alias("_value"))
         .agg(F.count("*").alias("_weight"))
     )
     targets = {"_low": lower_middle, "_high": upper_middle}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import quoted
 from .storage import LIMITS, Stored, store
 
 
@@ -21,7 +22,7 @@ def _null_keys_spread(left: DataFrame, matches: Column, on: list[str], spread: l
     missing = F.lit(False)
     for c in on:
         missing = missing | F.col(c).isNull()
-    place = F.when(missing, F.pmod(F.xxhash64(*spread), F.lit(1 << 16))).otherwise(F.lit(-1))
+    place = F.when(missing, F.pmod(F.xxhash64(*map(quoted, spread)), F.lit(1 << 16))).otherwise(F.lit(-1))
     left = left.withColumn("_null", place.cast("bigint"))
     return left, matches & (F.col("_null") == F.col("_right_null")), [*keys, "_null", "_right_null"]
 
@@ -66,7 +67,7 @@ def lookup_join(
     salts, none = F.ceil(F.col(weight) / F.lit(share)).cast("bigint"), F.lit(0).cast("bigint")
     right_keys = [f"_right_{c}" for c in on]
     heavy = lookup.where(F.col(weight) > share).select(*right_keys, salts.alias("_salts"))
-    salt = F.pmod(F.xxhash64(*spread), F.col("_salts"))
+    salt = F.pmod(F.xxhash64(*map(quoted, spread)), F.col("_salts"))
     salted = (
         left.join(F.broadcast(heavy), _condition(on, null_safe), "left")
         .drop(*right_keys)

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import quoted
+
 
 @dataclass
 class Limits:
@@ -94,7 +96,7 @@ def _row_bytes(df: DataFrame) -> Column:
     width = F.lit(8 * len(df.columns)).cast("bigint")
     for name, kind in df.dtypes:
         if kind in ("string", "binary"):
-            width = width + F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0))
+            width = width + F.coalesce(F.octet_length(quoted(name)), F.lit(0))
     return width
 
 
