@@ -164,6 +164,11 @@ def combination_uniqueness_pairs(spark, sf):
     return v.combination_uniqueness(view(spark, sf, "people"), columns, max_size=2)
 
 
+def combination_uniqueness_wide(spark, sf):
+    """All 16 383 combinations of 14 columns, walked by size."""
+    return v.combination_uniqueness(view(spark, sf, "people"), list(PEOPLE_COLUMNS))
+
+
 # --- detectors ----------------------------------------------------------------------------
 
 
@@ -219,6 +224,25 @@ def flag_age(spark, sf):
     return v.with_flag(view(spark, sf, "people"), "age", "human age").select("id", "age", "flag")
 
 
+def flag_age_mixed(spark, sf):
+    """Ages as they are, up to 129, from 130 on, with a text among them, and with a negative one."""
+    people = view(spark, sf, "people").where("age is not null")
+    low, high = people.agg(F.min("age"), F.max("age")).first()
+    age, third = F.col("age"), F.col("id") % 10 == 3
+    kinds = {
+        "plain": age.cast("string"),
+        "edge": (age + F.lit(129 - high)).cast("string"),
+        "old": (age + F.lit(130 - high)).cast("string"),
+        "text": F.when(third, F.concat(F.lit("x"), age)).otherwise(age.cast("string")),
+        "negative": (age - F.lit(low + 1)).cast("string"),
+    }
+    found = None
+    for kind, value in kinds.items():
+        one = v.with_flag(people.select("id", F.lit(kind).alias("kind"), value.alias("age")), "age", "human age")
+        found = one if found is None else found.unionAll(one)
+    return found
+
+
 def flag_name_in_text(spark, sf):
     flagged = v.with_flag(texts(spark, sf), "text", "hungarian first name", first_names(spark))
     return flagged.select("doc_id", "flag")
@@ -465,6 +489,16 @@ def mondrian(model: str, local_cells: int = SPLIT_CELLS) -> Query:
     return run
 
 
+def dotted_anonymise(spark, sf):
+    """The k model on columns whose names hold dots."""
+    people = view(spark, sf, "people").select("id", *MONDRIAN_FEATURES, "segment")
+    odd = people.toDF(*[f"of.{c}" for c in people.columns])
+    features = [f"of.{c}" for c in MONDRIAN_FEATURES]
+    spec = v.PrivacySpec.for_table(odd, "of.segment", "of.id", features=features, k=MONDRIAN_K)
+    found = v.anonymise(odd, spec, "k", local_cells=SPLIT_CELLS, keep_partition_id=True)
+    return found.toDF(*people.columns, "partition_id")
+
+
 def partition_people(spark, sf):
     people = view(spark, sf, "people").select("id", *MONDRIAN_FEATURES, "segment")
     spec = spec_for(people, list(MONDRIAN_FEATURES), k=MONDRIAN_K)
@@ -515,7 +549,9 @@ def corpus() -> tuple[dict[str, Query], dict[str, str]]:
     try:
         import corpus_pipeline
         from veilspark.llm import queries as llm
-    except ImportError:
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("corpus_pipeline", "veilspark.llm"):
+            raise
         return {}, {}
     found, sql = {**llm.queries(), "pipeline": corpus_pipeline.run}, llm.oracle_sql()
     if corpus_pipeline.ORACLE_SQL:
@@ -529,6 +565,7 @@ def queries() -> dict[str, Query]:
         "uniqueness_people": uniqueness_people,
         "combination_uniqueness_lineitem": combination_uniqueness_lineitem,
         "combination_uniqueness_pairs": combination_uniqueness_pairs,
+        "combination_uniqueness_wide": combination_uniqueness_wide,
         "flag_tax": flag("tax", "tax number hungarian"),
         "flag_taj": flag("taj", "taj number hungarian"),
         "flag_personal": flag("personal", "personal number hungarian", "personal_numbers"),
@@ -540,6 +577,7 @@ def queries() -> dict[str, Query]:
         **{name: flag_tokens(label) for name, label in TOKEN_FLAGS.items()},
         "flag_country": flag_country,
         "flag_age": flag_age,
+        "flag_age_mixed": flag_age_mixed,
         "flag_name_in_text": flag_name_in_text,
         "label_columns_people": label_columns_people,
         "label_columns_tokens": label_columns_tokens,
@@ -585,6 +623,7 @@ def queries() -> dict[str, Query]:
         "flag_mac_mixed": near_misses("mac", "mac address", lambda c: F.translate(c, "abc", "xyz")),
         "flag_country_mixed": near_misses("country", "country or region", lambda c: F.concat(c, F.lit("!"))),
         "dotted_columns": dotted_columns,
+        "dotted_anonymise": dotted_anonymise,
         "footer_references": footer_references,
         "stored_tables": stored_tables,
         "generalise_dates": generalise_dates,
