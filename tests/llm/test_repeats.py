@@ -145,13 +145,13 @@ def plain_near(rows):
     )
 
 
-@pytest.mark.parametrize("task_tokens", [1 << 22, 200])
-def test_near_duplicates_match_all_pairs(spark, messy, empty, monkeypatch, task_tokens):
-    monkeypatch.setattr(jaccard, "TASK_TOKENS", task_tokens)
+@pytest.mark.parametrize("near_pivot", [128, 2])
+def test_near_duplicates_match_all_pairs(spark, messy, empty, monkeypatch, near_pivot):
+    monkeypatch.setattr(jaccard, "NEAR_PIVOT", near_pivot)
     rows = [(r.doc_id, r.text) for r in messy.collect()]
     got = Counter(tuple(r) for r in jaccard.near_duplicates(messy).collect())
     assert got == plain_near(rows)
-    if task_tokens > 200:
+    if near_pivot > 2:
         kept = jaccard.keep_one(messy)
         assert kept.columns == messy.columns
         parts = {c for _, n, c in got if n}

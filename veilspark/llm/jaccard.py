@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.skew import lookup_join
@@ -22,8 +23,12 @@ FREQUENT = 1 << 21
 #: One shingle in so many, by its hash, is counted and comes before the others in the first order.
 COUNTED = 3
 UNCOUNTED = 1 << 40
-#: Tokens whose sets one task compares at a time; a group with more is cut into blocks.
-TASK_TOKENS = 1 << 21
+MIXED = np.uint64(0xD1342543DE82EF95)
+#: Sets that are compared with one pivot in one place; more are dealt to several.
+NEAR_PIVOT = 128
+#: Pivots of a token by round. After these rounds, or once the pairs left are few, all are tried.
+PIVOTS = (1, 4, 16)
+FEW_PAIRS = 4
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -62,8 +67,9 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def frequent(source: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counted shingles that texts share, ascending, and in how many: the first order's ranks.
+def frequent(source: DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Counted shingles that texts share, ascending, and in how many: the first order's ranks; and
+    whether they are all of them.
 
     Any table serves for right results, as all texts use the same; a good one keeps shared
     passages out of the prefixes. Its length is bounded: a least count is chosen from the
@@ -88,11 +94,11 @@ def frequent(source: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         rows = found.df.where(F.log2("n") >= least).select("token", small).toArrow()
     tokens, n = rows.column("token").to_numpy().view(np.uint64), rows.column("n").to_numpy()
     order = np.argsort(tokens)
-    return tokens[order], n[order]
+    return tokens[order], n[order], least == 0
 
 
-def _ranked(tokens: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    known, count = table
+def _ranked(tokens: np.ndarray, table: tuple[np.ndarray, np.ndarray, bool]) -> np.ndarray:
+    known, count, _ = table
     ranks = np.where(tokens % np.uint64(COUNTED) == 0, 1, UNCOUNTED)
     if len(known):
         at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
@@ -100,163 +106,84 @@ def _ranked(tokens: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndar
     return ranks
 
 
-def _label(own: np.ndarray) -> int:
-    """The class of a set: texts with equal sets are one."""
-    mixed = mix(own + mix(np.arange(1, len(own) + 1, dtype=np.uint64)))
-    return int(np.bitwise_xor.reduce(mixed).view(np.int64)) if len(own) else 0
+def _label(own: np.ndarray) -> tuple[int, int]:
+    """The class of a set in 128 bits: texts with equal sets are one."""
+    if not len(own):
+        return 0, 0
+    place = np.arange(1, len(own) + 1, dtype=np.uint64)
+    found = [np.bitwise_xor.reduce(mix(own * odd + mix(place + odd))) for odd in (np.uint64(1), MIXED)]
+    return tuple(int(x.view(np.int64)) for x in found)
 
 
 def _described(held, words: int, percent: int):
+    """Per text its size, class, and prefixes under the three orders.
+
+    A shingle that is known to stand in no other text is left out of the first prefix, as no pair
+    shares it; a text whose first prefix is empty then has no partner and needs no other.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held.value
-        for batch in small(batches, 2):
-            tokens, bounds = shingle_sets(batch.column(2), words)
+        for batch in small(batches, 3):
+            tokens, bounds = shingle_sets(batch.column(3), words)
             ranks = _ranked(tokens, table)
-            labels, prefixes = [], []
+            labels, prefixes = [], ([], [], [])
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                own = tokens[a:b]
+                own, rank = tokens[a:b], ranks[a:b]
                 labels.append(_label(own))
-                order = np.argsort(ranks[a:b], kind="stable")[: prefix_length(b - a, percent)]
-                prefixes.append(own[order].view(np.int64) if b > a else own.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array(np.diff(bounds)),
-                    pa.array(labels, pa.int64()),
-                    pa.array(prefixes, pa.list_(pa.int64())),
-                ],
-                names=["doc", "key", "n", "cls", "prefix"],
-            )
+                length = prefix_length(b - a, percent) if b > a else 0
+                order = np.argsort(rank, kind="stable")[:length]
+                if table[2]:
+                    order = order[rank[order] > 1]
+                prefixes[0].append(own[order].view(np.int64))
+                for i in (1, 2):
+                    rest = own[_order(own, i)[: length if len(order) else 0]]
+                    prefixes[i].append((rest >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            first, second = zip(*labels) if labels else ((), ())
+            arrays = [batch.column(0), batch.column(1), batch.column(2), pa.array(np.diff(bounds))]
+            arrays += [pa.array(first, pa.int64()), pa.array(second, pa.int64())]
+            arrays += [pa.array(x, pa.list_(t)) for x, t in zip(prefixes, (pa.int64(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["a", "b", "key", "n", "c1", "c2", "p1", "p2", "p3"])
 
     return run
 
 
 def _sets(words: int):
-    """The whole sets of the wanted classes."""
+    """The whole sets of the wanted texts, with the places that they are sent to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, 2):
-            tokens, bounds = shingle_sets(batch.column(2), words)
-            rows, sets = [], []
-            for i, wanted in enumerate(batch.column(1).to_pylist()):
-                own = tokens[bounds[i] : bounds[i + 1]]
-                if len(own) and _label(own) == wanted:
-                    rows.append(i)
-                    sets.append(own.tobytes())
-            kept = pa.array(rows, pa.int64())
+        for batch in small(batches, 1):
+            tokens, bounds = shingle_sets(batch.column(1), words)
+            sets = [tokens[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(kept), batch.column(1).take(kept), pa.array(sets, pa.binary())],
-                names=["root", "cls", "tokens"],
+                [batch.column(0), pa.array(sets, pa.binary()), batch.column(2)], names=["cls", "tokens", "to"]
             )
 
     return run
 
 
-class Index:
-    """Which sets of a group hold a token, for the first tokens under an order or for all."""
-
-    def __init__(self, parts: list[np.ndarray]):
-        self.parts = parts
-        tokens = np.concatenate(parts)
-        owners = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-        order = np.argsort(tokens, kind="stable")
-        self.tokens, self.owners = tokens[order], owners[order]
-
-    def shared(self, x: int) -> np.ndarray:
-        """Per set, the number of its tokens that set ``x`` has, too."""
-        low = np.searchsorted(self.tokens, self.parts[x], "left")
-        width = np.searchsorted(self.tokens, self.parts[x], "right") - low
-        ends = np.cumsum(width)
-        places = np.arange(ends[-1]) + np.repeat(low - ends + width, width)
-        return np.bincount(self.owners[places], minlength=len(self.parts))
-
+def _compared(percent: int):
+    """The links of a partition's rows, which come by place, a hub before the sets sent to it."""
 
-def linked_pairs(
-    sets: list[np.ndarray], ranks: list[np.ndarray], percent: int = PERCENT, left: int | None = None
-) -> list[tuple[int, int]]:
-    """Links that connect whatever linked sets a group has; ``left`` splits it into two blocks.
-
-    A set is compared with those of other components that are close in size and share a token
-    with it in the prefixes under each of three orders. All sets count at once, by token.
-    """
-    sizes = np.array([len(x) for x in sets])
-    keep = [prefix_length(n, percent) for n in sizes]
-    firsts = [Index([x[np.argsort(r, kind="stable")[:k]] for x, r, k in zip(sets, ranks, keep)])]
-    firsts += [Index([x[_order(x, i)[:k]] for x, k in zip(sets, keep)]) for i in (1, 2)]
-    every = Index(sets)
-    label, members = np.arange(len(sets)), {i: [i] for i in range(len(sets))}
-    other_side = np.ones(len(sets), dtype=bool)
-    found = []
-    for x in range(len(sets) if left is None else left):
-        if left is not None:
-            other_side = np.arange(len(sets)) >= left
-        n = sizes[x]
-        fits = other_side & (label != label[x])
-        fits &= 100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)
-        for index in firsts:
-            if fits.any():
-                fits &= index.shared(x) > 0
-        if not fits.any():
-            continue
-        both = every.shared(x)
-        for y in np.flatnonzero(fits & (100 * both >= percent * (sizes + n - both))).tolist():
-            a, b = label[x], label[y]
-            if a != b:
-                found.append((x, y))
-                a, b = (a, b) if len(members[a]) >= len(members[b]) else (b, a)
-                moved = members.pop(b)
-                label[moved] = a
-                members[a] += moved
-    return found
-
-
-def _compared(held, percent: int):
-    """Links within each group of a task, or between the two blocks of a cut group."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        table, links = held.value, []
-        for _, group in rows.sort_values(["root", "side", "cls"]).groupby("root", sort=False):
-            group = group.drop_duplicates("cls")
-            sets = [np.frombuffer(t, np.uint64) for t in group["tokens"]]
-            ranks = [_ranked(x, table) for x in sets]
-            left = int((group["side"] == 0).sum())
-            classes = group["cls"].to_numpy()
-            pairs = linked_pairs(sets, ranks, percent, left if left < len(group) else None)
-            links += [(classes[x], classes[y]) for x, y in pairs]
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(0, np.uint64)
+        for batch in batches:
+            links = []
+            hubs, sides, classes = (batch.column(i).to_pylist() for i in (0, 2, 3))
+            for hub, side, cls, tokens in zip(hubs, sides, classes, batch.column(4)):
+                held = np.frombuffer(tokens.as_buffer(), np.uint64)
+                if side == 0:
+                    own = held.copy()
+                    continue
+                both = len(np.intersect1d(own, held, assume_unique=True))
+                if 100 * both >= percent * (len(own) + len(held) - both):
+                    links.append((cls, hub))
+            a, b = zip(*links) if links else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _tasks(sets: Stored, groups: Stored) -> DataFrame:
-    """Sets by task: small groups share one; a large one is every pair of its blocks.
-
-    A large group is first cut by size, into overlapping ranges that hold every pair which could
-    link, then by hash into blocks. A pair of blocks is a task of bounded size.
-    """
-    tokens = F.length("tokens") / 8
-    step = F.floor(F.log(tokens) / F.log(F.lit(100 / PERCENT))).cast("int")
-    rows = lookup_join(sets.df, groups, ["root"], "members", ["cls"])
-    small = rows.where(F.col("held") <= TASK_TOKENS)
-    shared = F.lit(max(1, -(-int(groups.size["some"]) // TASK_TOKENS)))
-    small = small.select(
-        F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), shared)).alias("task"),
-        "root",
-        F.lit(0).alias("side"),
-        "cls",
-        "tokens",
-    )
-    blocks = F.ceil(2 * F.col("held") / TASK_TOKENS).cast("int")
-    own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
-    large = rows.where(F.col("held") > TASK_TOKENS).withColumn("blocks", blocks).withColumn("own", own)
-    large = large.withColumn("range", F.explode(F.array(step - 1, step)))
-    large = large.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    task = F.concat_ws("-", F.lit("l"), "root", "range", F.least("own", "with"), F.greatest("own", "with"))
-    large = large.select(task.alias("task"), "root", (F.col("own") > F.col("with")).cast("int").alias("side"), "cls", "tokens")
-    return small.unionAll(large)
-
-
 def near_duplicates(
     docs: DataFrame,
     text: str = "text",
@@ -270,12 +197,14 @@ def near_duplicates(
     is one shingle, and one without words, null included, has an empty set and no link. Two texts
     link if 100 * shared >= percent * united. Repeated rows have equal sets and link; a null key
     is never the smallest unless all are. Other columns are not read; an empty table gives no
-    rows. Sets and shingles are compared by 64-bit hashes.
-
-    Texts with equal sets are one class. Under the first order (counted shingles first, rare before frequent) a
-    set's prefix meets other sets in one shuffle by shingle; only classes that share a prefix
-    shingle go on, in groups of what hangs together. Within a group, pairs must also share one
-    in the prefixes under two further orders before their sets are counted.
+    rows. Shingles are compared by 64-bit hashes, sets and rows are known by 128 bits.
+
+    Texts with equal sets are one class. Linked sets share a token in their prefixes under any
+    order of the tokens. Under the first (counted shingles, rare before frequent) the classes of a
+    token meet a pivot of it; a pair goes on only if its sizes fit and its prefixes meet under the
+    second and the third order, too, and then the whole sets are compared. Classes that are
+    connected need no further pair. After rounds with more pivots each, all pairs of classes that
+    share a token and are not yet connected are tried.
     """
     rows = _classified(docs, text, key, words, percent)
     empty = F.col("n") == 0
@@ -298,76 +227,164 @@ def keep_one(
     A null key comes last; rows that repeat wholly are one. Rows with an empty set all stay.
     """
     rows = store(_classified(docs, text, key, words, percent)).df
-    order = F.struct(F.col("key").isNull().alias("last"), "key", "doc")
+    order = F.struct(F.col("key").isNull().alias("last"), "key", "a", "b")
     first = rows.where("n > 0").groupBy("root").agg(F.min(order).alias("first"))
-    stays = first.select(F.col("first.doc").alias("doc"), F.lit(False).alias("empty"))
-    empty = rows.where("n = 0").select("doc", F.lit(True).alias("empty")).distinct()
+    stays = first.select("first.a", "first.b", F.lit(False).alias("empty"))
+    empty = rows.where("n = 0").select("a", "b", F.lit(True).alias("empty")).distinct()
     stays = stays.unionAll(empty).withColumn("weight", F.lit(1))
-    source = docs.select(
-        F.xxhash64(name(key), name(text).cast("string")).alias("doc"), row_of(docs).alias("row")
-    )
-    kept = lookup_join(source, store(stays, "weight"), ["doc"], "weight", ["doc"], "inner")
+    source = docs.select(*_identity(name(key), name(text).cast("string")), row_of(docs).alias("row"))
+    kept = lookup_join(source, store(stays, "weight"), ["a", "b"], "weight", ["a"], "inner")
     each = F.when(F.col("empty"), F.monotonically_increasing_id()).otherwise(F.lit(-1))
-    return kept.withColumn("each", each).dropDuplicates(["doc", "each"]).select("row.*")
+    return kept.withColumn("each", each).dropDuplicates(["a", "b", "each"]).select("row.*")
+
+
+def _identity(key: Column, body: Column) -> list[Column]:
+    """128 bits that stand for a row's key and text."""
+    return [F.xxhash64(key, body).alias("a"), F.xxhash64(F.lit(7), body, F.lit(11), key).alias("b")]
 
 
 def _classified(docs: DataFrame, text: str, key: str, words: int, percent: int) -> DataFrame:
-    """Per row: doc (a hash of key and text), key, n, root of its component, smallest key there."""
+    """Per row: a and b (its identity), key, n, root of its component, smallest key there."""
     plain = docs.select(name(key).alias("key"), name(text).cast("string").alias("body"))
-    source = plain.select(F.xxhash64("key", "body").alias("doc"), "key", "body")
+    source = plain.select(*_identity(F.col("key"), F.col("body")), "key", "body")
     kind = source.schema["key"].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast(frequent(source))
-    base = store(
-        source.mapInArrow(
-            _described(held, words, percent), f"doc long, key {kind}, n long, cls long, prefix array<long>"
-        )
+    described = source.mapInArrow(
+        _described(held, words, percent),
+        f"a long, b long, key {kind}, n long, c1 long, c2 long, p1 array<long>, p2 array<int>, p3 array<int>",
     )
-    grouped = base.df.where("n > 0").groupBy("cls").agg(
+    base = store(described)
+    held.destroy()
+    grouped = base.df.where("n > 0").groupBy("c1", "c2").agg(
         F.min("key").alias("first"),
-        F.min("doc").alias("doc"),
+        F.min(F.struct("a", "b")).alias("row"),
+        F.first("n").alias("n"),
         F.count("*").alias("members"),
+        *[F.first(p).alias(p) for p in ("p1", "p2", "p3")],
     )
-    classes = store(grouped, "members")
-    found = _components(source, base, classes, held, words, percent)
-    held.destroy()  # the links are stored
-    return _answer(base, classes, found)
+    classes = store(grouped.withColumn("cls", F.monotonically_increasing_id()), "members")
+    return _answer(base, classes, _connected(source, classes, words, percent))
 
 
-def _components(
-    source: DataFrame, base: Stored, classes: Stored, held, words: int, percent: int
-) -> DataFrame | None:
-    """Components of the classes: node, root; None where no two share a prefix shingle.
+def _shared_tokens(classes: Stored) -> Stored:
+    """The tokens of the first prefixes that several classes hold, with these: token, cls."""
+    postings = classes.df.select("cls", F.explode("p1").alias("token"))
+    often = postings.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    return store(lookup_join(postings, often, ["token"], "n", ["cls"], "inner"))
 
-    The classes of a shingle are tied to its smallest one, a row per class, and what hangs
-    together is a group; linked classes are in one group.
+
+def _pivots(held: DataFrame, count: int) -> DataFrame:
+    """Per token, up to ``count`` of its classes, each the least by a hash of its own."""
+    least = [F.min_by("cls", F.xxhash64("cls", F.lit(i))) for i in range(count)]
+    found = held.groupBy("token").agg(F.array_distinct(F.array(*least)).alias("pivots"), F.count("*").alias("n"))
+    return found.select("token", "n", F.explode("pivots").alias("pivot"))
+
+
+def _connected(source: DataFrame, classes: Stored, words: int, percent: int) -> DataFrame | None:
+    """Components of the linked classes: node, root; None where no two link."""
+    held = _shared_tokens(classes).df.withColumn("root", F.col("cls"))
+    links, tried, found, few = [], None, None, False
+    for pivots in (*PIVOTS, None):
+        all_pairs = few or pivots is None
+        if all_pairs:
+            other = held.select("token", F.col("cls").alias("pivot"), F.col("root").alias("other"))
+            met = held.join(other, "token").where("root < other")
+        else:
+            chosen = _pivots(held, pivots).withColumnRenamed("n", "weight")
+            roots = held.select("token", F.col("cls").alias("pivot"), F.col("root").alias("other"))
+            chosen = chosen.join(roots, ["token", "pivot"])
+            met = lookup_join(held, chosen, ["token"], "weight", ["cls"], "inner").where("root <> other")
+        pairs = met.select(F.least("cls", "pivot").alias("cls"), F.greatest("cls", "pivot").alias("pivot")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["cls", "pivot"], "left_anti")
+        pairs = store(pairs)
+        if pairs.rows:
+            linked = _links(source, classes, _filtered(pairs.df, classes, percent), words, percent)
+            if linked is not None and linked.rows:
+                links.append(linked.df)
+                found = components(reduce(DataFrame.unionAll, links)).df
+        if all_pairs:
+            return found
+        tried = pairs.df if tried is None else tried.unionAll(pairs.df)
+        open_, cross = _open_tokens(held, found)
+        if not cross:
+            return found
+        held, few = open_.df, cross <= FEW_PAIRS * open_.rows
+
+
+def _open_tokens(held: DataFrame, found: DataFrame | None) -> tuple[Stored, int]:
+    """What is left of the tokens whose classes are not yet in one component, and in how many pairs
+    of classes of different components they are."""
+    if found is not None:
+        joined = held.drop("root").join(found, F.col("cls") == F.col("node"), "left")
+        held = joined.select("token", "cls", F.coalesce("root", "cls").alias("root"))
+    parts = held.groupBy("token", "root").agg(F.count("*").alias("own"))
+    mixed = parts.groupBy("token").agg(
+        F.sum("own").alias("n"), F.sum(F.col("own") * F.col("own")).alias("same"), F.count("*").alias("roots")
+    )
+    mixed = store(mixed.where("roots > 1"), "n", pairs=F.sum((F.col("n") * F.col("n") - F.col("same")) / 2))
+    open_ = lookup_join(held, Stored(mixed.df.select("token", "n"), mixed.path, mixed.size), ["token"], "n", ["cls"], "inner")
+    return store(open_), int(mixed.size["pairs"])
+
+
+def _filtered(pairs: DataFrame, classes: Stored, percent: int) -> Stored:
+    """The pairs whose sizes fit and whose prefixes meet under the second and the third order."""
+    small_ = classes.df.where(F.size("p1") > 0).select("cls", "n", "p2", "p3")
+    other = small_.select(*[F.col(c).alias("pivot" if c == "cls" else f"o_{c}") for c in small_.columns])
+    both = pairs.join(small_, "cls").join(other, "pivot")
+    fits = 100 * F.least("n", "o_n") >= percent * F.greatest("n", "o_n")
+    meet = F.arrays_overlap("p2", "o_p2") & F.arrays_overlap("p3", "o_p3")
+    return store(both.where(fits).where(meet).select("cls", "pivot"))
+
+
+def _links(source: DataFrame, classes: Stored, pairs: Stored, words: int, percent: int) -> Stored | None:
+    """Those pairs whose whole sets link: a, b.
+
+    The side of a pair that is in more of them is its hub. A set is read once from its text and sent
+    to each of its hubs; a hub with many sets has several places, and its own set goes to all.
     """
-    one = base.df.select("doc", "cls", "prefix").join(classes.df.select("doc", "cls"), ["doc", "cls"])
-    postings = one.select("cls", F.explode("prefix").alias("token"))
-    least = F.min("cls").over(Window.partitionBy("token"))
-    ties = postings.select(F.col("cls").alias("a"), least.alias("b")).where("a <> b").distinct()
-    group = components(ties)
-    if not group.rows:
+    if not pairs.rows:
         return None
-    wanted = group.df.join(classes.df.select("cls", "doc"), F.col("node") == F.col("cls"))
-    wanted = store(wanted.select("root", "cls", "doc", F.lit(1).alias("weight")), "weight")
-    texts = lookup_join(source, wanted, ["doc"], "weight", ["doc"], "inner")
-    sets = texts.select("root", "cls", "body").mapInArrow(_sets(words), "root long, cls long, tokens binary")
-    sets = store(sets)
-    sized = sets.df.groupBy("root").agg(
-        F.count("*").alias("members"), F.sum(F.length("tokens") / 8).alias("held")
+    ends = pairs.df.select(F.col("cls").alias("end")).unionAll(pairs.df.select(F.col("pivot")))
+    degree = store(ends.groupBy("end").agg(F.count("*").alias("degree"))).df
+    sided = pairs.df.join(degree.select(F.col("end").alias("cls"), F.col("degree").alias("d1")), "cls")
+    sided = sided.join(degree.select(F.col("end").alias("pivot"), F.col("degree").alias("d2")), "pivot")
+    turned = F.col("d1") > F.col("d2")
+    sided = store(
+        sided.select(
+            F.when(turned, F.col("pivot")).otherwise(F.col("cls")).alias("cls"),
+            F.when(turned, F.col("cls")).otherwise(F.col("pivot")).alias("hub"),
+        )
+    ).df
+    places = sided.groupBy("hub").agg(F.ceil(F.count("*") / NEAR_PIVOT).alias("places"))
+    targets = sided.join(places, "hub").select(
+        "cls", F.struct("hub", F.pmod(F.xxhash64("cls"), "places").alias("place"), F.lit(1).alias("side")).alias("to")
+    )
+    own = places.select(
+        F.col("hub").alias("cls"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("places") - 1)).alias("place")
+    ).select("cls", F.struct(F.col("cls").alias("hub"), "place", F.lit(0).alias("side")).alias("to"))
+    wanted = targets.unionAll(own).groupBy("cls").agg(F.collect_list("to").alias("to"))
+    rows = classes.df.select("cls", "row.a", "row.b").join(wanted, "cls")
+    rows = store(rows.withColumn("weight", F.lit(1)), "weight")
+    texts = lookup_join(source, rows, ["a", "b"], "weight", ["a"], "inner").dropDuplicates(["cls"])
+    sets = texts.select("cls", "body", "to").mapInArrow(
+        _sets(words), "cls long, tokens binary, to array<struct<hub:long,place:long,side:int>>"
     )
-    sized = store(sized, "members", some=F.sum(F.when(F.col("held") <= TASK_TOKENS, F.col("held"))))
-    links = _tasks(sets, sized).groupBy("task").applyInPandas(_compared(held, percent), "a long, b long")
-    return components(links).df
+    sent = sets.select("cls", "tokens", F.inline("to"))
+    parts = max(1, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = sent.repartition(parts, "hub", "place").sortWithinPartitions("hub", "place", "side")
+    compared = met.select("hub", "place", "side", "cls", "tokens").mapInArrow(_compared(percent), "a long, b long")
+    return store(compared)
 
 
 def _answer(base: Stored, classes: Stored, comps: DataFrame | None) -> DataFrame:
-    named = classes.df.select("cls", "first", "members")
+    named = classes.df.select("cls", "c1", "c2", "first", "members")
     if comps is None:
         named = named.withColumn("root", F.col("cls"))
     else:
         named = named.join(comps, F.col("cls") == F.col("node"), "left").drop("node")
         named = named.withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("first").alias("component"))
-    named = store(named.drop("first").join(least, "root"), "members")
-    return lookup_join(base.df.drop("prefix"), named, ["cls"], "members", ["doc"])
+    named = store(named.drop("first", "cls").join(least, "root"), "members")
+    rows = base.df.drop("p1", "p2", "p3")
+    return lookup_join(rows, named, ["c1", "c2"], "members", ["a"])
