@@ -116,7 +116,7 @@ def store(df: DataFrame, weight: str | None = None, **extra: Column) -> Stored:
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/table-{uuid.uuid4().hex}"
     seen = Observation()
-    df.observe(seen, *_metrics(df, weight, extra)).write.parquet(path)
+    df.observe(seen, *_metrics(df, weight, extra)).write.parquet(path, compression="zstd")
     size = {k: v or 0 for k, v in seen.get.items()}
     table = Stored(spark.read.schema(df.schema).parquet(path), path, size)
     if _open.scopes:
