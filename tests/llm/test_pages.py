@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import pytest
 
@@ -146,3 +148,62 @@ def test_runs_of_a_host_decide_blocks_of_articles(spark, monkeypatch, words):
     got = pages.main_text(table).collect()
     assert {r.key: r.text for r in got} == own
     assert all(r.repeated_blocks == 8 for r in got if r.key < 20)
+
+
+def plain_common_blocks(articles):
+    """Per article the blocks that stay, by counting whole-block runs of six words in plain Python."""
+
+    def runs(blocks):
+        for i in range(len(blocks)):
+            words = 0
+            for j in range(i, len(blocks)):
+                words += len(blocks[j].split())
+                if words >= pages.RUN:
+                    yield i, j + 1
+                    break
+
+    distinct = set(articles)
+    count = Counter(run for a in distinct for run in {a[i:j] for i, j in runs(a)})
+    least = max(pages.LEAST_ARTICLES, math.ceil(pages.ARTICLE_SHARE * len(distinct)))
+    kept = []
+    for a in articles:
+        gone = {k for i, j in runs(a) if count[a[i:j]] >= least for k in range(i, j)}
+        kept.append(" ".join(x for k, x in enumerate(a) if k not in gone))
+    return kept
+
+
+@pytest.mark.parametrize("words", [1 << 20, 500])
+def test_common_prose_of_articles_stays(spark, monkeypatch, words):
+    """Sentences that many articles share are prose; blocks that most articles have are not."""
+    monkeypatch.setattr(pages, "SHARD_WORDS", words)
+    draw = random.Random(12)
+    common = [sentence(draw, 11) for _ in range(6)]
+    notice, steps = sentence(draw, 14), ("Read more", "Send it", "Print this page", "Go up")
+    articles = []
+    for i in range(60):
+        own = [f"{sentence(draw, 30)} {i}", draw.choice(common), f"{draw.choice(common)} {sentence(draw, 5)}", "Short line"]
+        draw.shuffle(own)
+        if i % 5:
+            own.insert(draw.randrange(len(own)), notice)
+        articles.append((*own, *(steps if i % 3 else steps[:2])))
+    articles.append(articles[0])
+    rows = [
+        (i, "http://h.example/", "<nav>Home</nav><article>" + "".join(f"<p>{x}</p>" for x in a) + "</article>")
+        for i, a in enumerate(articles)
+    ]
+    few = [(1000 + i, "http://few.example/", f"<article><p>{notice}</p><p>own {i}</p></article>") for i in range(8)]
+    table = spark.createDataFrame(rows + few, "page_id long, url string, html string").repartition(4)
+    found = {r.key: r.text for r in pages.main_text(table).collect()}
+    expected = plain_common_blocks(articles)
+    assert [found[i] for i in range(len(articles))] == expected
+    assert any(x in t for x in common for t in expected) and not any(notice in t for t in expected)
+    assert all(found[1000 + i] == f"{notice} own {i}" for i in range(8))
+
+
+def test_a_very_long_page(spark):
+    draw = random.Random(1)
+    body = "".join(f"<p>{sentence(draw, 40)}</p>" for _ in range(3000))
+    rows = [(i, "http://h.example/", f"<article>{body}</article>") for i in range(2)]
+    found = pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    text = " ".join(body.replace("<p>", " ").replace("</p>", " ").split())
+    assert [r.text for r in found] == [text, text]

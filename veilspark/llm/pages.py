@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,6 +23,10 @@ from .wordhash import STEP, mix, word_hashes
 RUN = 6
 LEAST_PAGES = 3
 ROOT_SHARE = 0.2
+#: The distinct articles of its host that a run of whole blocks inside an article must be on: a
+#: number, and this share of them all.
+LEAST_ARTICLES = 10
+ARTICLE_SHARE = 0.5
 #: An article that would keep a smaller share of its words is a near copy and stays whole.
 ARTICLE_LEFT = 0.25
 #: Words of page streams that one suffix array holds.
@@ -32,10 +37,26 @@ def _size(blocks: list[str]) -> int:
     return sum(x.count(" ") + 1 for x in blocks)
 
 
+def _packed(blocks: list[str]) -> bytes:
+    """The blocks of an article: of each a hash, whose low bits are the number of its tokens. Blocks
+    count as a whole, so a block of many words has no more tokens than a run."""
+    hashes = np.frombuffer(b"".join(hashlib.blake2b(x.encode(), digest_size=8).digest() for x in blocks), np.uint64)
+    tokens = np.array([min(RUN, x.count(" ") + 1) for x in blocks], np.uint64)
+    return ((hashes & ~np.uint64(7)) | tokens).tobytes()
+
+
+def _unpacked(article: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of an article, each its block's hash and its place in it; and how many a block has."""
+    blocks = np.frombuffer(article, np.uint64)
+    counts = (blocks & np.uint64(7)).astype(np.int64)
+    place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return mix(np.repeat(blocks, counts) + place.astype(np.uint64) * STEP), counts
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks are joined by line ends, which no block holds."""
     for batch in batches:
-        hosts, insides, arounds, chromes, sizes, own = [], [], [], [], [], []
+        hosts, insides, arounds, chromes, sizes, own, packed = [], [], [], [], [], [], []
         for url, html in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             inside, around, chrome = parts(html)
             hosts.append(host_of(url))
@@ -43,7 +64,8 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             arounds.append("\n".join(around))
             chromes.append(chrome)
             sizes.append(_size(around))
-            own.append(_size(inside or []))
+            packed.append(None if inside is None else _packed(inside))
+            own.append(RUN * len(inside or []))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
@@ -54,8 +76,9 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(chromes, pa.list_(pa.bool_())),
                 pa.array(sizes, pa.int64()),
                 pa.array(own, pa.int64()),
+                pa.array(packed, pa.binary()),
             ],
-            names=["key", "url", "host", "inside", "around", "chrome", "size", "article_size"],
+            names=["key", "url", "host", "inside", "around", "chrome", "size", "article_size", "blocks"],
         )
 
 
@@ -120,26 +143,32 @@ def _least(pages: Column) -> Column:
     return F.greatest(F.lit(LEAST_PAGES), F.ceil(F.lit(ROOT_SHARE) * F.sqrt(pages)))
 
 
+def _least_articles(articles: Column) -> Column:
+    return F.greatest(F.lit(LEAST_ARTICLES).cast("bigint"), F.ceil(F.lit(ARTICLE_SHARE) * articles))
+
+
 def _streams(rows: pd.DataFrame) -> list[np.ndarray]:
-    """The words of each page, or of each article."""
-    hashes, firsts = word_hashes(pa.array(rows["body"], pa.string()))
+    """The tokens of each page or of each article."""
+    if rows["article"].iloc[0]:
+        return [_unpacked(x)[0] for x in rows["body"]]
+    hashes, firsts = word_hashes(pa.array(rows["body"], pa.binary()))
     return [hashes[a:b] for a, b in zip(firsts[:-1], firsts[1:])]
 
 
-def _gone(stream: np.ndarray, grams: np.ndarray, article: str | None = None) -> np.ndarray:
-    """Starts and ends of the words that the runs cover, in turn; of an article, those of its blocks
-    that one run of any length covers wholly."""
+def _ranges(held: np.ndarray) -> np.ndarray:
+    """Starts and ends of what is held, in turn."""
+    return np.flatnonzero(np.diff(held.astype(np.int8), prepend=np.int8(0), append=np.int8(0)))
+
+
+def _gone(stream: np.ndarray, grams: np.ndarray, article: bytes | None = None) -> np.ndarray:
+    """Starts and ends of the words that the runs cover, in turn; of an article, of the blocks."""
     hits = np.isin(_grams(stream, RUN), grams)
     held = covered(np.flatnonzero(hits), RUN, len(stream))
-    if article is not None and held.any():
-        at = 0
-        for block in article.split("\n"):
-            end = at + block.count(" ") + 1
-            held[at:end] = held[at:end].all() and hits[at : max(at, end - RUN + 1)].all()
-            at = end
-        if len(held) - held.sum() < ARTICLE_LEFT * len(held):
-            held[:] = False
-    return np.flatnonzero(np.diff(held.astype(np.int8), prepend=np.int8(0), append=np.int8(0)))
+    if article is None or not held.any():
+        return _ranges(held)
+    counts = _unpacked(article)[1]
+    blocks = np.logical_and.reduceat(held, np.cumsum(counts) - counts)
+    return _ranges(blocks if (counts * ~blocks).sum() >= ARTICLE_LEFT * len(held) else blocks & False)
 
 
 def _answers(rows: pd.DataFrame, runs: Callable[[pd.DataFrame, list[np.ndarray]], np.ndarray]) -> pd.DataFrame:
@@ -200,10 +229,10 @@ def _part_of_host(key: tuple, rows: pd.DataFrame, runs: pd.DataFrame) -> pd.Data
 def repeated_words(parsed: Stored) -> DataFrame:
     """Per host and distinct page or article the words that are in boilerplate: host, content, gone."""
     around = parsed.df.where("around != ''").select(
-        "row", "host", F.lit(False).alias("article"), F.col("around").alias("body"), "size", "content"
+        "row", "host", F.lit(False).alias("article"), F.col("around").cast("binary").alias("body"), "size", "content"
     )
-    inside = parsed.df.where("inside is not null").select(
-        "row", "host", F.lit(True), "inside", "article_size", "article_content"
+    inside = parsed.df.where("octet_length(blocks) > 0").select(
+        "row", "host", F.lit(True), "blocks", "article_size", "article_content"
     )
     streams, same = around.unionAll(inside), ["host", "article", "content"]
     copies = streams.groupBy(*same).agg(F.min("row").alias("keeper"), F.count("*").alias("n")).where("n > 1")
@@ -213,7 +242,7 @@ def repeated_words(parsed: Stored) -> DataFrame:
         .agg(
             F.count("*").alias("pages"),
             F.ceil(F.sum("size") / SHARD_WORDS).alias("shards"),
-            _least(F.count_if("article")).alias("of_articles"),
+            _least_articles(F.count_if("article")).alias("of_articles"),
             _least(F.count_if(~F.col("article"))).alias("of_pages"),
         )
         .withColumn("site", F.monotonically_increasing_id()),
@@ -268,14 +297,10 @@ def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     kept += left
                 at += len(own)
             if inside is not None:
-                blocks = inside.split("\n")
-                gone, at = _mask(article_ranges[i], _size(blocks)), 0
-                for block in blocks:
-                    if gone[at]:
-                        by_runs += 1
-                    else:
-                        kept.append(block)
-                    at += block.count(" ") + 1
+                blocks = inside.split("\n") if inside else []
+                gone = _mask(article_ranges[i], len(blocks))
+                kept += [block for block, g in zip(blocks, gone) if not g]
+                by_runs += int(gone.sum())
             texts.append(" ".join(kept))
             repeated.append(by_runs)
             marked.append(by_markup)
@@ -300,11 +325,12 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", key: str =
     and the words that such runs cover are removed, wherever in a block they are; a block counts
     as repeated if none is left. Then what the markup names as menu, header, footer, sidebar,
     notice, advert, form or comment goes. Where the markup tells
-    no article, the words that are left are the text. Inside an article a block goes only if one run
-    that is on enough distinct articles of the host covers it wholly, and only if ``ARTICLE_LEFT`` of
-    the article is left; else it is a near copy and stays whole. A null page is empty and has an empty text; a null or broken url
-    has the empty host. Repeated pages are counted once and answered each. Other columns are not
-    read; an empty table gives no rows.
+    no article, the words that are left are the text. Inside an article prose stays, however common:
+    a block goes only if it is in a run of whole blocks, ``RUN`` words or longer, that stands in
+    ``ARTICLE_SHARE`` of the host's distinct articles and in ``LEAST_ARTICLES`` at least, and only
+    if ``ARTICLE_LEFT`` of the article is left; else it is a near copy and stays whole. A null page
+    is empty and has an empty text; a null or broken url has the empty host. Repeated pages are
+    counted once and answered each. Other columns are not read; an empty table gives no rows.
 
     Copies of a page are dropped by an aggregate before anything is counted or dealt. The pages of
     a host are dealt to suffix arrays of bounded size; where a host has several, the counts of its
@@ -315,7 +341,7 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", key: str =
     )
     kind = source.schema["key"].dataType.simpleString()
     columns = f"key {kind}, url string, host string, inside string, around string, chrome array<boolean>"
-    columns += ", size long, article_size long"
+    columns += ", size long, article_size long, blocks binary"
     content = {
         "content": F.xxhash64(F.col("inside").isNull(), "inside", "around"),
         "article_content": F.xxhash64(F.lit("article"), "inside"),
