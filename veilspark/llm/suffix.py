@@ -19,13 +19,13 @@ from .wordhash import BASE, STEP, _powers, mix, small
 
 LENGTH = 400
 #: Bytes looked at together; the place of a byte fits in the low bits of a comparison key.
-CHUNK = 1 << 21
+CHUNK = 1 << 18
 PLACE = np.uint64((1 << 24) - 1)
 #: Occurrences of a sign above which its windows are compared as rows, not within one task.
 HOT = 10_000
 #: Bytes of contexts that a task sorts, and that it holds hashes of at a time.
-TASK_BYTES = 1 << 24
-PART_BYTES = 1 << 21
+TASK_BYTES = 1 << 23
+PART_BYTES = 1 << 19
 
 
 def gram_of(length: int) -> int:
@@ -122,7 +122,7 @@ class Hashed:
     def __init__(self, data: np.ndarray, sizes: np.ndarray):
         self.data = data
         longest = int(sizes.max()) if len(sizes) else 0
-        rising, self.falling = _powers(1 << max(10, longest.bit_length()))
+        rising, self.falling = _powers(longest + 1)
         ends = np.cumsum(sizes)
         self.inner = np.arange(len(data), dtype=np.int64) - np.repeat(ends - sizes, sizes)
         self.sums = np.zeros(len(data) + 1, dtype=np.uint64)

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes hashed at a time; texts beyond it are cut between words, so a batch stays small.
-CHUNK = 1 << 21
+CHUNK = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 IS_SPACE = np.zeros(256, dtype=bool)
@@ -39,13 +38,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=4)
+_table = [np.ones(1, dtype=np.uint64)] * 2
+
+
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-    rising = np.full(size, BASE, dtype=np.uint64)
-    falling = np.full(size, inverse, dtype=np.uint64)
-    rising[0] = falling[0] = 1
-    return np.cumprod(rising), np.cumprod(falling)
+    """Powers of the base and of its inverse, from a worker's one table, which grows as needed."""
+    if len(_table[0]) < size:
+        length = 1 << (size - 1).bit_length()
+        for i, base in enumerate((BASE, np.uint64(pow(int(BASE), -1, 1 << 64)))):
+            table = np.full(length, base, dtype=np.uint64)
+            table[0] = 1
+            _table[i] = np.cumprod(table, out=table)
+    return _table[0][:size], _table[1][:size]
 
 
 def _hash(data: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,9 +57,12 @@ def _hash(data: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray
     inside = ~IS_SPACE[data]
     edge = np.diff(inside.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    rising, falling = _powers(1 << max(21, int(len(data)).bit_length()))
+    rising, falling = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((letters[data].astype(np.uint64) + np.uint64(1)) * rising[: len(data)], out=sums[1:])
+    weighed = letters[data].astype(np.uint64)
+    weighed += np.uint64(1)
+    weighed *= rising[: len(data)]
+    np.cumsum(weighed, out=sums[1:])
     found = (sums[ends] - sums[starts]) * falling[starts]
     return starts, mix(found + (ends - starts).astype(np.uint64) * STEP)
 
