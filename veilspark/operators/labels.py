@@ -14,7 +14,7 @@ from ..functions.detectors import (
 )
 from ..functions.text import fold, quoted, text_columns
 from ..plans.skew import lookup_join
-from ..plans.storage import LIMITS, fits_broadcast, store
+from ..plans.storage import LIMITS, store
 from ..spec import nan_to_null
 from .containment import digests_containing, text_digest
 
@@ -41,10 +41,10 @@ def _bounded_flag(
         if pattern is None:
             return None
         return df.withColumn(out, F.coalesce(F.col(key).rlike(pattern), F.lit(False)))
-    if not fits_broadcast(terms):
+    listed = store(terms.select(F.col("term").alias("_term")).where("_term is not null").distinct())
+    if not listed.small:
         return None
-    listed = F.broadcast(terms.select(F.col("term").alias("_term")).distinct())
-    joined = df.join(listed, F.col(key) == F.col("_term"), "left")
+    joined = df.join(F.broadcast(listed.df), F.col(key) == F.col("_term"), "left")
     return joined.withColumn(out, F.col("_term").isNotNull()).drop("_term")
 
 
@@ -198,5 +198,8 @@ def label_columns(
     )
     if existing is None:
         return found
-    kept = existing.dropDuplicates(["name", "type"]).join(found, ["name", "type"], "left_anti")
+    latest = existing.withColumn("_place", F.monotonically_increasing_id()).groupBy("name", "type")
+    rows = F.struct("_place", *[quoted(c) for c in existing.columns])
+    latest = latest.agg(F.max(rows).alias("_row")).select(*[f"_row.`{c}`" for c in existing.columns])
+    kept = latest.join(found, ["name", "type"], "left_anti").select(*existing.columns)
     return found.unionByName(kept)
