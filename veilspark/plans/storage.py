@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import threading
 import uuid
@@ -73,7 +74,14 @@ _open = _Open()
 
 
 class Scratch:
-    """Tables stored inside the ``with`` block are deleted at its end, unless kept."""
+    """Tables stored inside the ``with`` block are deleted at its end, unless kept.
+
+    The shuffle files behind them go when the driver next collects its garbage, which a ``free``
+    block asks for at its end.
+    """
+
+    def __init__(self, free: bool = False):
+        self.free = free
 
     def __enter__(self) -> Scratch:
         self.tables: list[Stored] = []
@@ -90,6 +98,9 @@ class Scratch:
         _open.scopes.pop()
         for table in self.tables:
             table.drop()
+        if self.free and self.tables:
+            gc.collect()
+            self.tables[0].df.sparkSession._jvm.System.gc()
 
 
 def _row_bytes(df: DataFrame) -> Column:
