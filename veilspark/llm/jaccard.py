@@ -23,6 +23,8 @@ FREQUENT = 1 << 21
 #: One shingle in so many, by its hash, is counted and comes before the others in the first order.
 COUNTED = 3
 UNCOUNTED = 1 << 40
+#: Bits of the filter that tells which counted shingles stand in several texts.
+SHARED_BITS = 26
 MIXED = np.uint64(0xD1342543DE82EF95)
 #: Sets that are compared with one pivot in one place; more are dealt to several.
 NEAR_PIVOT = 128
@@ -67,15 +69,45 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def frequent(source: DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Counted shingles that texts share, ascending, and in how many: the first order's ranks; and
-    whether they are all of them.
+def _places(tokens: np.ndarray) -> np.ndarray:
+    return mix(tokens) >> np.uint64(64 - SHARED_BITS)
 
-    Any table serves for right results, as all texts use the same; a good one keeps shared
-    passages out of the prefixes. Its length is bounded: a least count is chosen from the
-    number of shingles per power of two.
+
+def _filter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        places = np.unique(_places(batch.column(0).to_numpy().view(np.uint64)))
+        masks = (np.uint64(1) << (places & np.uint64(63))).view(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array((places >> np.uint64(6)).astype(np.int64)), pa.array(masks)], names=["word", "mask"]
+        )
+
+
+class Frequencies:
+    """What is known of the counted shingles: the most frequent with their counts, ascending, and a
+    filter of all that stand in several texts. Both are bounded; a full filter only knows less."""
+
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray, words: np.ndarray):
+        self.tokens, self.counts, self.words = tokens, counts, words
+
+    def ranks(self, tokens: np.ndarray) -> np.ndarray:
+        """The first order's rank: counted shingles first, rare before frequent; 1 is a lone one."""
+        places = _places(tokens)
+        shared = (self.words[places >> np.uint64(6)] >> (places & np.uint64(63))) & np.uint64(1)
+        ranks = np.where(tokens % np.uint64(COUNTED) == 0, 1 + shared.astype(np.int64), UNCOUNTED)
+        if len(self.tokens):
+            at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
+            ranks = np.where(self.tokens[at] == tokens, self.counts[at], ranks)
+        return ranks
+
+
+def frequent(source: DataFrame) -> Frequencies:
+    """Counts of the shingles that texts share, from which the first order's ranks come.
+
+    Any ranks serve for right results, as all texts use the same; good ones keep shared passages
+    out of the prefixes. The table's length is bounded: a least count is chosen from the number of
+    shingles per power of two.
     """
-    with Scratch():
+    with Scratch(free=True):
         found = store(
             source.select("body")
             .mapInArrow(_common, "token long, n long")
@@ -92,18 +124,13 @@ def frequent(source: DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
             held += count
         small = F.least("n", F.lit(127)).cast("tinyint").alias("n")
         rows = found.df.where(F.log2("n") >= least).select("token", small).toArrow()
+        words = np.zeros(1 << (SHARED_BITS - 6), dtype=np.uint64)
+        filled = found.df.select("token").mapInArrow(_filter_words, "word long, mask long")
+        for part in filled.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow().to_batches():
+            words[part.column(0).to_numpy()] = part.column(1).to_numpy().view(np.uint64)
     tokens, n = rows.column("token").to_numpy().view(np.uint64), rows.column("n").to_numpy()
     order = np.argsort(tokens)
-    return tokens[order], n[order], least == 0
-
-
-def _ranked(tokens: np.ndarray, table: tuple[np.ndarray, np.ndarray, bool]) -> np.ndarray:
-    known, count, _ = table
-    ranks = np.where(tokens % np.uint64(COUNTED) == 0, 1, UNCOUNTED)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-        ranks = np.where(known[at] == tokens, count[at], ranks)
-    return ranks
+    return Frequencies(tokens[order], np.maximum(n[order], 2), words)
 
 
 def _label(own: np.ndarray) -> tuple[int, int]:
@@ -126,15 +153,14 @@ def _described(held, words: int, percent: int):
         table = held.value
         for batch in small(batches, 3):
             tokens, bounds = shingle_sets(batch.column(3), words)
-            ranks = _ranked(tokens, table)
+            ranks = table.ranks(tokens)
             labels, prefixes = [], ([], [], [])
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 own, rank = tokens[a:b], ranks[a:b]
                 labels.append(_label(own))
                 length = prefix_length(b - a, percent) if b > a else 0
                 order = np.argsort(rank, kind="stable")[:length]
-                if table[2]:
-                    order = order[rank[order] > 1]
+                order = order[rank[order] > 1]
                 prefixes[0].append(own[order].view(np.int64))
                 for i in (1, 2):
                     rest = own[_order(own, i)[: length if len(order) else 0]]
@@ -267,49 +293,59 @@ def _classified(docs: DataFrame, text: str, key: str, words: int, percent: int)
 
 
 def _shared_tokens(classes: Stored) -> Stored:
-    """The tokens of the first prefixes that several classes hold, with these: token, cls."""
-    postings = classes.df.select("cls", F.explode("p1").alias("token"))
-    often = postings.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    return store(lookup_join(postings, often, ["token"], "n", ["cls"], "inner"))
+    """The tokens of the first prefixes that several classes hold, with these: token, cls, n."""
+    postings = classes.df.select("cls", "n", F.explode("p1").alias("token"))
+    often = postings.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
+    return store(lookup_join(postings, often, ["token"], "held", ["cls"], "inner"))
 
 
 def _pivots(held: DataFrame, count: int) -> DataFrame:
     """Per token, up to ``count`` of its classes, each the least by a hash of its own."""
-    least = [F.min_by("cls", F.xxhash64("cls", F.lit(i))) for i in range(count)]
-    found = held.groupBy("token").agg(F.array_distinct(F.array(*least)).alias("pivots"), F.count("*").alias("n"))
-    return found.select("token", "n", F.explode("pivots").alias("pivot"))
+    row = F.struct(F.col("cls").alias("pivot"), F.col("n").alias("other_n"), F.col("root").alias("other"))
+    least = [F.min_by(row, F.xxhash64("cls", F.lit(i))) for i in range(count)]
+    found = held.groupBy("token").agg(F.array_distinct(F.array(*least)).alias("pivots"), F.count("*").alias("held"))
+    return found.select("token", "held", F.inline("pivots"))
 
 
 def _connected(source: DataFrame, classes: Stored, words: int, percent: int) -> DataFrame | None:
     """Components of the linked classes: node, root; None where no two link."""
-    held = _shared_tokens(classes).df.withColumn("root", F.col("cls"))
-    links, tried, found, few = [], None, None, False
-    for pivots in (*PIVOTS, None):
-        all_pairs = few or pivots is None
-        if all_pairs:
-            other = held.select("token", F.col("cls").alias("pivot"), F.col("root").alias("other"))
-            met = held.join(other, "token").where("root < other")
-        else:
-            chosen = _pivots(held, pivots).withColumnRenamed("n", "weight")
-            roots = held.select("token", F.col("cls").alias("pivot"), F.col("root").alias("other"))
-            chosen = chosen.join(roots, ["token", "pivot"])
-            met = lookup_join(held, chosen, ["token"], "weight", ["cls"], "inner").where("root <> other")
-        pairs = met.select(F.least("cls", "pivot").alias("cls"), F.greatest("cls", "pivot").alias("pivot")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["cls", "pivot"], "left_anti")
-        pairs = store(pairs)
-        if pairs.rows:
-            linked = _links(source, classes, _filtered(pairs.df, classes, percent), words, percent)
-            if linked is not None and linked.rows:
-                links.append(linked.df)
-                found = components(reduce(DataFrame.unionAll, links)).df
-        if all_pairs:
-            return found
-        tried = pairs.df if tried is None else tried.unionAll(pairs.df)
-        open_, cross = _open_tokens(held, found)
-        if not cross:
-            return found
-        held, few = open_.df, cross <= FEW_PAIRS * open_.rows
+    with Scratch() as scratch:
+        held = _shared_tokens(classes)
+        members = held.df.select("cls").distinct()
+        small_ = store(classes.df.select("cls", "n", "p2", "p3").join(members, "cls"))
+        open_, links, tried, found, few = held.df.withColumn("root", F.col("cls")), [], None, None, False
+        for pivots in (*PIVOTS, None):
+            last = few or pivots is None
+            with Scratch(free=True) as inner:
+                pairs = inner.keep(store(_pairs(open_, None if last else pivots, tried, percent)))
+                linked = _links(source, classes, _filtered(pairs.df, small_.df, percent), words, percent)
+                if linked is not None and linked.rows:
+                    links.append(inner.keep(linked).df)
+                    found = inner.keep(components(reduce(DataFrame.unionAll, links))).df
+                if not last:
+                    tried = pairs.df if tried is None else tried.unionAll(pairs.df)
+                    rest, cross = _open_tokens(open_, found)
+                    open_, few, last = inner.keep(rest).df, cross <= FEW_PAIRS * rest.rows, not cross
+            if last:
+                break
+        if found is None:
+            return None
+        return scratch.keep(store(found)).df
+
+
+def _pairs(open_: DataFrame, pivots: int | None, tried: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs of classes of different components that share a token and whose sizes fit: each class
+    of a token with the token's pivots, or with all."""
+    if pivots is None:
+        other = open_.select(
+            "token", F.col("cls").alias("pivot"), F.col("n").alias("other_n"), F.col("root").alias("other")
+        )
+        met = open_.join(other, "token").where("root < other")
+    else:
+        met = lookup_join(open_, _pivots(open_, pivots), ["token"], "held", ["cls"], "inner").where("root <> other")
+    met = met.where(100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n"))
+    pairs = met.select(F.least("cls", "pivot").alias("cls"), F.greatest("cls", "pivot").alias("pivot")).distinct()
+    return pairs if tried is None else pairs.join(tried, ["cls", "pivot"], "left_anti")
 
 
 def _open_tokens(held: DataFrame, found: DataFrame | None) -> tuple[Stored, int]:
@@ -317,24 +353,26 @@ def _open_tokens(held: DataFrame, found: DataFrame | None) -> tuple[Stored, int]
     of classes of different components they are."""
     if found is not None:
         joined = held.drop("root").join(found, F.col("cls") == F.col("node"), "left")
-        held = joined.select("token", "cls", F.coalesce("root", "cls").alias("root"))
+        held = joined.select("token", "cls", "n", F.coalesce("root", "cls").alias("root"))
     parts = held.groupBy("token", "root").agg(F.count("*").alias("own"))
     mixed = parts.groupBy("token").agg(
-        F.sum("own").alias("n"), F.sum(F.col("own") * F.col("own")).alias("same"), F.count("*").alias("roots")
+        F.sum("own").alias("held"), F.sum(F.col("own") * F.col("own")).alias("same"), F.count("*").alias("roots")
     )
-    mixed = store(mixed.where("roots > 1"), "n", pairs=F.sum((F.col("n") * F.col("n") - F.col("same")) / 2))
-    open_ = lookup_join(held, Stored(mixed.df.select("token", "n"), mixed.path, mixed.size), ["token"], "n", ["cls"], "inner")
-    return store(open_), int(mixed.size["pairs"])
-
-
-def _filtered(pairs: DataFrame, classes: Stored, percent: int) -> Stored:
-    """The pairs whose sizes fit and whose prefixes meet under the second and the third order."""
-    small_ = classes.df.where(F.size("p1") > 0).select("cls", "n", "p2", "p3")
-    other = small_.select(*[F.col(c).alias("pivot" if c == "cls" else f"o_{c}") for c in small_.columns])
-    both = pairs.join(small_, "cls").join(other, "pivot")
-    fits = 100 * F.least("n", "o_n") >= percent * F.greatest("n", "o_n")
+    pairs = F.sum((F.col("held") * F.col("held") - F.col("same")) / 2)
+    mixed = store(mixed.where("roots > 1").select("token", "held", "same"), "held", pairs=pairs)
+    still = Stored(mixed.df.select("token", "held"), mixed.path, mixed.size)
+    return store(lookup_join(held, still, ["token"], "held", ["cls"], "inner")), int(mixed.size["pairs"])
+
+
+def _filtered(pairs: DataFrame, small_: DataFrame, percent: int) -> Stored:
+    """The pairs whose prefixes meet under the second and the third order, too."""
+    ends = store(pairs.select("cls").unionAll(pairs.select("pivot")).distinct())
+    known = ends.df.withColumnRenamed("cls", "end")
+    known = small_.drop("n").join(F.broadcast(known) if ends.small else known, F.col("cls") == F.col("end")).drop("end")
+    other = known.select(*[F.col(c).alias("pivot" if c == "cls" else f"o_{c}") for c in known.columns])
+    both = pairs.join(known, "cls").join(other, "pivot")
     meet = F.arrays_overlap("p2", "o_p2") & F.arrays_overlap("p3", "o_p3")
-    return store(both.where(fits).where(meet).select("cls", "pivot"))
+    return store(both.where(meet).select("cls", "pivot"))
 
 
 def _links(source: DataFrame, classes: Stored, pairs: Stored, words: int, percent: int) -> Stored | None:
