@@ -1,6 +1,7 @@
 """Uniqueness, spans, splits, classes and distances against plain Python."""
 
 import random
+import statistics
 from collections import Counter
 from itertools import combinations
 
@@ -22,6 +23,7 @@ from veilspark import (
     violations,
 )
 from veilspark.operators import uniqueness as uniqueness_module
+from veilspark.plans import ranking
 
 COLUMNS = ["a", "b", "c"]
 
@@ -210,3 +212,20 @@ def test_ages_with_many_leading_zeros_are_numbers(spark):
 
     df = spark.createDataFrame([("0" * 30 + "25",), ("31",)], "age string")
     assert "human age" in {r["type"] for r in label_columns(df).collect()}
+
+
+@pytest.mark.parametrize("sketch", [1000, 8])
+def test_medians_of_skewed_groups(spark, tiny_limits, monkeypatch, sketch):
+    """One group holds most rows; values repeat, differ by little, are huge, or are null."""
+    monkeypatch.setattr(ranking, "SKETCH", sketch)
+    draw = random.Random(9)
+    data = [("hot", draw.choice([draw.gauss(0, 1e-9), 5.0, 1e300 * draw.random()])) for _ in range(3000)]
+    data += [("few", 1.0), ("few", 2.0), ("one", -7.5), ("none", None), (None, 3.0), (None, 9.0), (None, None)]
+    data += [("same", 4.0)] * 300 + [("even", float(i // 2)) for i in range(400)] + [("ends", float("inf")), ("ends", 0.0)]
+    df = spark.createDataFrame(data, "g string, `the.value` double").repartition(5)
+    found = {r.g: r.median for r in ranking.group_medians(df, ["g"], "the.value").collect()}
+    groups = {}
+    for g, x in data:
+        if x is not None:
+            groups.setdefault(g, []).append(x)
+    assert found == {g: statistics.median(xs) for g, xs in groups.items()}

@@ -31,18 +31,20 @@ def global_frequencies(df: DataFrame, sensitive: str) -> DataFrame:
     return counts.where("value is not null").select("value", (F.col("_held") / rows).alias("q"))
 
 
-def ranked_frequencies(counts: DataFrame, value: str, held: str) -> tuple[DataFrame, int, float]:
-    """``counts`` plus ``q``, ``rank`` and ``next_q``; its number of rows; the top share.
+def ranked_frequencies(counts: DataFrame, value: str, held: str) -> tuple[DataFrame, int | None, float]:
+    """``counts`` plus ``q``, ``rank`` and ``next_q``; its number of rows if these and their bytes are
+    small, else None; the top share.
 
     ``counts`` has one row per value, null included. Ranks count from 0 by descending
     share; ``next_q`` is the share of the value ranked next, 0 for the last.
     """
-    known = F.col(value).isNotNull()
-    counts = store(counts, weight=held, top=F.max(F.when(known, F.col(held))))
+    present = F.col(value).isNotNull()
+    counts = store(counts, weight=held, top=F.max(F.when(present, F.col(held))))
     total = counts.size["total"]
-    shares = counts.df.where(known).withColumn("q", F.col(held) / F.lit(total))
+    shares = counts.df.where(present).withColumn("q", F.col(held) / F.lit(total))
     order = [F.desc("q"), F.asc(value)]
     top_q = counts.size["top"] / total if total else 0.0
+    known = counts.rows if counts.small else None
     if counts.rows <= LIMITS.window_rows:
         along = Window.orderBy(*order)
         ranked = shares.withColumns(
@@ -51,11 +53,11 @@ def ranked_frequencies(counts: DataFrame, value: str, held: str) -> tuple[DataFr
                 "next_q": F.lead("q", 1, 0.0).over(along),
             }
         )
-        return ranked, counts.rows, top_q
+        return ranked, known, top_q
     ranked = materialise(global_index(replace(counts, df=shares), order, "rank"))
     following = ranked.select((F.col("rank") - 1).alias("rank"), F.col("q").alias("next_q"))
     joined = ranked.join(following, "rank", "left")
-    return joined.withColumn("next_q", F.coalesce("next_q", F.lit(0.0))), counts.rows, top_q
+    return joined.withColumn("next_q", F.coalesce("next_q", F.lit(0.0))), known, top_q
 
 
 def largest_distance(

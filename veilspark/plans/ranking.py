@@ -12,6 +12,10 @@ from .skew import lookup_join
 from .storage import LIMITS, Stored, materialise, store
 
 
+#: Accuracy of the sketch: its ranks are off by at most one in so many.
+SKETCH = 1000
+
+
 def _sorted_blocks(df: DataFrame, group: list[str], keys: list, weight: str):
     """Sort globally; return the rows tagged with their block, and the blocks' offsets.
 
@@ -79,7 +83,7 @@ def at_ranks(
         hits = blocks.where(wanted).drop("_held")
         along = Window.partitionBy(*group, "_block").orderBy(*keys)
         ranked = lookup_join(
-            sorted_rows, hits, [*group, "_block"], "_width", [*group, *keys], "inner"
+            sorted_rows, hits, [*group, "_block"], "_width", [*group, *keys], "inner", null_safe=True
         ).withColumn("_running", F.col("_before") + F.sum(weight).over(along))
     picked = []
     for name, target in targets.items():
@@ -97,15 +101,53 @@ def upper_middle(total: Column) -> Column:
     return F.floor(total / 2) + 1
 
 
-def group_medians(df: DataFrame, group: list[str], column: str) -> DataFrame:
-    """Exact interpolated median of a numeric column per group, nulls ignored."""
-    counted = store(
-        df.where(quoted(column).isNotNull())
-        .groupBy(*group, quoted(column).cast("double").alias("_value"))
-        .agg(F.count("*").alias("_weight"))
+def _around_middle(rows: DataFrame, counted: Stored, group: list[str]) -> Stored:
+    """The counted values near each group's middle; those before and after are one row each.
+
+    A mergeable sketch gives two values with the middle between them, in one pass; the second pass
+    sums the weights on either side.
+    """
+    shares = [0.5 - 2 / SKETCH, 0.5 + 2 / SKETCH]
+    ends = rows.groupBy(*group).agg(F.percentile_approx("_value", shares, SKETCH).alias("_ends"))
+    sizes = counted.df.groupBy(*group).agg(F.count("*").alias("_values"))
+    same = [F.col(f"_of_{i}").eqNullSafe(F.col(c)) for i, c in enumerate(group)]
+    renamed = sizes.withColumnsRenamed({c: f"_of_{i}" for i, c in enumerate(group)})
+    ends = ends.join(renamed, same).drop(*[f"_of_{i}" for i in range(len(group))])
+    known = lookup_join(counted.df, ends, group, "_values", ["_value"], null_safe=True)
+    value, low, high = F.col("_value"), F.col("_ends")[0], F.col("_ends")[1]
+    zone = F.when(value < low, -1).when(value > high, 1).otherwise(0)
+    return store(
+        known.withColumn("_zone", zone)
+        .groupBy(*group, "_zone", F.when(F.col("_zone") == 0, value).alias("_value"))
+        .agg(F.sum("_weight").alias("_weight"))
     )
+
+
+def group_medians(df: DataFrame, group: list[str], column: str) -> DataFrame:
+    """Exact interpolated median of a numeric column per group, nulls ignored.
+
+    Many values are first narrowed to those around the middle. Should a group's middle not be among
+    them, its values are ranked whole.
+    """
+    rows = df.where(quoted(column).isNotNull()).select(*group, quoted(column).cast("double").alias("_value"))
+    counted = store(rows.groupBy(*group, "_value").agg(F.count("*").alias("_weight")))
     targets = {"_low": lower_middle, "_high": upper_middle}
-    middle = at_ranks(counted.df, counted.rows, group, ["_value"], "_weight", targets)
-    low, high = F.col("_low._value"), F.col("_high._value")
-    median = F.when(low == high, low).otherwise((low + high) / 2)
-    return middle.select(*group, median.alias("median"))
+
+    def medians(middle: DataFrame) -> DataFrame:
+        low, high = F.col("_low._value"), F.col("_high._value")
+        median = F.when(low == high, low).otherwise((low + high) / 2)
+        return middle.select(*group, median.alias("median"))
+
+    if counted.rows <= LIMITS.window_rows:
+        return medians(at_ranks(counted.df, counted.rows, group, ["_value"], "_weight", targets))
+    near = _around_middle(rows, counted, group)
+    middle = at_ranks(near.df, near.rows, group, ["_zone", "_value"], "_weight", targets)
+    hit = (F.col("_low._zone") == 0) & (F.col("_high._zone") == 0)
+    missed = store(middle.where(~hit).select(*group, F.col("_members").alias("_held")), "_held")
+    found = medians(middle.where(hit))
+    if not missed.rows:
+        return found
+    same = [F.col(f"_right_{c}").eqNullSafe(F.col(c)) for c in group]
+    wanted = missed.df.drop("_held").withColumnsRenamed({c: f"_right_{c}" for c in group})
+    rest = counted.df.join(wanted, same, "left_semi")
+    return found.unionAll(medians(at_ranks(rest, counted.rows, group, ["_value"], "_weight", targets)))
