@@ -285,11 +285,23 @@ def harvest_cells(spark, sf):
     return cells.select("page_id", "cell", F.size("terms").cast("bigint").alias("terms"))
 
 
+#: What stands before and after a page.
+NESTED_LISTS = ("<ul><li>first<ul><li>a<li>b</ul><li>second<ul><li>only</li></ul><li>", "</ul>")
+
+
 def harvest_li(spark, sf):
     cells = v.extract_cells(table(spark, sf, "pages"), "li", None, container=None)
     return v.build_dictionary(cells, "terms")
 
 
+def harvest_nested(spark, sf):
+    """Second items of all lists, where each page stands in a list with two more inside."""
+    nested = F.concat(F.lit(NESTED_LISTS[0]), F.col("html"), F.lit(NESTED_LISTS[1]))
+    pages = table(spark, sf, "pages").select("page_id", nested.alias("html"))
+    cells = v.extract_cells(pages, "ul", "li", 2, container=None)
+    return cells.select("page_id", "cell")
+
+
 def footer_references(spark, sf):
     """The first text of every footer, with its character references decoded."""
     cells = v.extract_cells(table(spark, sf, "pages"), "footer", None, container=None)
@@ -588,6 +600,7 @@ def queries() -> dict[str, Query]:
         "name_dictionary_parts": name_dictionary_parts,
         "harvest_cells": harvest_cells,
         "harvest_li": harvest_li,
+        "harvest_nested": harvest_nested,
         "fill_missing_people": fill_missing_people,
         "interval_age": interval_age,
         "country_region": country_region,

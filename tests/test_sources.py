@@ -86,6 +86,22 @@ def test_cells(spark):
     assert terms == ["asztma", "cukorbetegseg", "magas vernyomas"]
 
 
+NESTED = """<table><tbody><tr><td>a1<td>a2</td><td><table><tr><td>i1</td><td>i2</td></tr></table></td>
+<td>a4 <b>x</b></td></tr><tr><td>b1</td><td>b2<td>b3<td>b4</table>
+<ul><li>one<ul class="x"><li>in 1<li>in 2</ul></li><li>two<ol><li>deep<ul><li>deepest</ul></ol><LI >three</ul><li>loose"""
+
+
+def test_nested_elements(spark):
+    df = spark.createDataFrame([(1, NESTED), (2, "<ul></ul></ul><ul><li>late"), (3, None)], "page_id int, `the.html` string")
+    cells = lambda *a, **k: [(r.page_id, r.cell) for r in extract_cells(df, *a, html="the.html", **k).collect()]
+    assert cells() == [(1, "a4 "), (1, None), (1, "b4")]
+    assert cells(n=2) == [(1, "a2"), (1, "i2"), (1, "b2")]
+    items = ["one", "in 1", "in 2", "two", "deep", "deepest", "three", "loose"]
+    assert cells("li", None, container=None) == [*[(1, x) for x in items], (2, "late")]
+    second = [(1, "two"), (1, "in 2"), (1, None), (2, None), (2, None)]
+    assert cells("ul", "li", 2, container=None) == second
+
+
 def test_scraped_records(spark, tmp_path):
     path = tmp_path / "records.json"
     path.write_text(json.dumps([{"terms": ["Asztma", " flu "]}, {"terms": ["ASZTMA", ""]}]))
