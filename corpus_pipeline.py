@@ -5,7 +5,7 @@ result is written and read again as the next one's docs.
 """
 
 from veilspark.llm import cube, jaccard, langid, pack, tree_dedup
-from veilspark.plans.storage import store
+from veilspark.plans.storage import Scratch, store
 
 
 def language(spark, docs, sf_dir):
@@ -47,7 +47,12 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. Of the tables stored on the way only those stay that it reads."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = store(stage(spark, docs, sf_dir)).df
+        with Scratch(free=True) as scratch:
+            table = scratch.keep(store(stage(spark, docs, sf_dir)))
+        if before is not None:
+            before.drop()
+        docs, before = table.df, table
     return STAGES[-1][1](spark, docs, sf_dir)
