@@ -535,6 +535,21 @@ def publish_people(spark, sf):
     return found.select("rows", "k_violations", "l_violations")
 
 
+PUBLISHED_K = 12
+
+
+def publish_values(spark, sf):
+    """Every value of a published table: intervals, regions and codes, joined by partition."""
+    people = view(spark, sf, "people").select("id", "age", "country", "plate", "segment")
+    spec = v.PrivacySpec.for_table(people, sensitive="segment", order_by="id", k=PUBLISHED_K)
+    terms = {"countries": country_terms(spark, sf)}
+    rows, _, _ = v.run(
+        people, spec, terms, "k", regions=regions(spark, sf), key=TOKEN_KEY,
+        anonymise_options={"local_cells": SPLIT_CELLS},
+    )
+    return rows.select("id", "age", "country", "plate", "segment")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Label, pseudonymise and anonymise the people of the smallest tables."""
     sf = "/root/testdata/sf0.001"
@@ -641,6 +656,7 @@ def queries() -> dict[str, Query]:
         "stored_tables": stored_tables,
         "generalise_dates": generalise_dates,
         "publish_people": publish_people,
+        "publish_values": publish_values,
         **corpus()[0],
     }
 
