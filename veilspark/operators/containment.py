@@ -1,15 +1,22 @@
-"""Which texts contain a term of a dictionary of any size, in time linear in the texts."""
+"""Which texts contain a term of a dictionary of any size, in time linear in the texts.
+
+Shipped to the executors by value, so they need no installation of this package.
+"""
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: The filter has about so many bits per term, two of them set, and at most ``2 ** MOST_BITS``. A
 #: fuller filter only lets more windows through to the check.
 BITS_PER_TERM, MOST_BITS = 16, 26
