@@ -117,13 +117,13 @@ def test_long_texts_are_hashed_in_pieces(monkeypatch):
     assert (whole == pieces).all() and (first == again).all()
 
 
-def plain_near(rows):
+def plain_near(rows, size=5, percent=80):
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = []
     for _, text in rows:
         words = split((text or "").translate(low))
-        five = {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
-        sets.append(five if len(words) >= 5 else ({tuple(words)} if words else set()))
+        shingles = {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
+        sets.append(shingles if len(words) >= size else ({tuple(words)} if words else set()))
     parent = list(range(len(rows)))
 
     def find(x):
@@ -134,7 +134,7 @@ def plain_near(rows):
     for i, a in enumerate(sets):
         for j in range(i):
             both = len(a & sets[j])
-            if a and sets[j] and 100 * both >= 80 * (len(a) + len(sets[j]) - both):
+            if a and sets[j] and 100 * both >= percent * (len(a) + len(sets[j]) - both):
                 parent[find(i)] = find(j)
     least = {}
     for i, (key, _) in enumerate(rows):
@@ -171,6 +171,8 @@ def test_near_copies_chain(spark):
         rows.append((i, " ".join(own)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert Counter(tuple(r) for r in jaccard.near_duplicates(docs).collect()) == plain_near(rows)
+    found = jaccard.near_duplicates(docs, words=3, percent=90).collect()
+    assert Counter(tuple(r) for r in found) == plain_near(rows, 3, 90)
 
 
 def test_messy_rows_hold_what_they_should():

@@ -20,10 +20,7 @@ WORDS = 5
 PERCENT = 80
 #: Shingles whose frequency is known; the table is a column of numbers of at most this length.
 FREQUENT = 1 << 21
-#: One shingle in so many, by its hash, is counted and comes before the others in the first order.
-COUNTED = 3
-UNCOUNTED = 1 << 40
-#: Bits of the filter that tells which counted shingles stand in several texts.
+#: Bits of the filter that tells which shingles stand in several texts.
 SHARED_BITS = 26
 MIXED = np.uint64(0xD1342543DE82EF95)
 #: Sets that are compared with one pivot in one place; more are dealt to several.
@@ -60,13 +57,18 @@ def _order(tokens: np.ndarray, number: int) -> np.ndarray:
     return np.argsort(mix(tokens ^ np.uint64(0xA0761D6478BD642F * number % (1 << 64))))
 
 
-def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in small(batches, 0):
-        tokens = shingle_sets(batch.column(0))[0]
-        tokens, count = np.unique(tokens[tokens % np.uint64(COUNTED) == 0], return_counts=True)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(tokens.view(np.int64)), pa.array(count)], names=["token", "n"]
-        )
+def _common(words: int):
+    """Per batch, in how many of its texts each shingle is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 0):
+            tokens = shingle_sets(batch.column(0), words)[0]
+            tokens, count = np.unique(tokens, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(tokens.view(np.int64)), pa.array(count)], names=["token", "n"]
+            )
+
+    return run
 
 
 def _places(tokens: np.ndarray) -> np.ndarray:
@@ -83,25 +85,25 @@ def _filter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 class Frequencies:
-    """What is known of the counted shingles: the most frequent with their counts, ascending, and a
-    filter of all that stand in several texts. Both are bounded; a full filter only knows less."""
+    """What is known of the shingles: the most frequent with their counts, ascending, and a filter of
+    all that stand in several texts. Both are bounded; a full filter only knows less."""
 
     def __init__(self, tokens: np.ndarray, counts: np.ndarray, words: np.ndarray):
         self.tokens, self.counts, self.words = tokens, counts, words
 
     def ranks(self, tokens: np.ndarray) -> np.ndarray:
-        """The first order's rank: counted shingles first, rare before frequent; 1 is a lone one."""
+        """The first order's rank: rare shingles before frequent; 1 is a lone one."""
         places = _places(tokens)
         shared = (self.words[places >> np.uint64(6)] >> (places & np.uint64(63))) & np.uint64(1)
-        ranks = np.where(tokens % np.uint64(COUNTED) == 0, 1 + shared.astype(np.int64), UNCOUNTED)
+        ranks = 1 + shared.astype(np.int64)
         if len(self.tokens):
             at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
             ranks = np.where(self.tokens[at] == tokens, self.counts[at], ranks)
         return ranks
 
 
-def frequent(source: DataFrame) -> Frequencies:
-    """Counts of the shingles that texts share, from which the first order's ranks come.
+def frequent(source: DataFrame, words: int) -> Frequencies:
+    """Counts of the shingles that texts share, over all texts: the first order's ranks.
 
     Any ranks serve for right results, as all texts use the same; good ones keep shared passages
     out of the prefixes. The table's length is bounded: a least count is chosen from the number of
@@ -110,7 +112,7 @@ def frequent(source: DataFrame) -> Frequencies:
     with Scratch(free=True):
         found = store(
             source.select("body")
-            .mapInArrow(_common, "token long, n long")
+            .mapInArrow(_common(words), "token long, n long")
             .groupBy("token")
             .agg(F.sum("n").alias("n"))
             .where("n > 1")
@@ -226,7 +228,7 @@ def near_duplicates(
     rows. Shingles are compared by 64-bit hashes, sets and rows are known by 128 bits.
 
     Texts with equal sets are one class. Linked sets share a token in their prefixes under any
-    order of the tokens. Under the first (counted shingles, rare before frequent) the classes of a
+    order of the tokens. Under the first (rare before frequent) the classes of a
     token meet a pivot of it; a pair goes on only if its sizes fit and its prefixes meet under the
     second and the third order, too, and then the whole sets are compared. Classes that are
     connected need no further pair. After rounds with more pivots each, all pairs of classes that
@@ -274,7 +276,7 @@ def _classified(docs: DataFrame, text: str, key: str, words: int, percent: int)
     plain = docs.select(name(key).alias("key"), name(text).cast("string").alias("body"))
     source = plain.select(*_identity(F.col("key"), F.col("body")), "key", "body")
     kind = source.schema["key"].dataType.simpleString()
-    held = docs.sparkSession.sparkContext.broadcast(frequent(source))
+    held = docs.sparkSession.sparkContext.broadcast(frequent(source, words))
     described = source.mapInArrow(
         _described(held, words, percent),
         f"a long, b long, key {kind}, n long, c1 long, c2 long, p1 array<long>, p2 array<int>, p3 array<int>",
