@@ -175,6 +175,43 @@ def test_near_copies_chain(spark):
     assert Counter(tuple(r) for r in found) == plain_near(rows, 3, 90)
 
 
+def test_near_copies_that_do_not_link_are_few_pairs(spark, monkeypatch):
+    """One passage, ten changes of its own in each text: all share tokens, none link but the copies."""
+    draw = random.Random(9)
+    words, rows, met = [f"v{i}" for i in range(300)], [], []
+    for i in range(80):
+        own = list(words)
+        for at in draw.sample(range(300), 10):
+            own[at] = f"w{draw.randrange(3)}"
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join([*own, "last"]))]
+    plain = jaccard._pairs
+
+    def counted(*given):
+        pairs = plain(*given)
+        met.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(jaccard, "_pairs", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(r) for r in jaccard.near_duplicates(docs).collect()) == plain_near(rows)
+    assert 80 <= sum(met) < 1000
+
+
+@pytest.mark.parametrize("long", [jaccard.LONG, 20])
+def test_signatures_keep_every_link(spark, monkeypatch, long):
+    """Sets at and around the limit of a link, short and overfull, with the first order's table or none."""
+    monkeypatch.setattr(jaccard, "LONG", long)
+    draw = random.Random(3)
+    rows = []
+    for size in (9, 40, 1500):
+        base = [f"b{draw.randrange(10**6)}" for _ in range(size)]
+        for i in range(12):
+            own = base[: size - round(size * 0.02 * i)] + [f"e{k}" for k in range(round(size * 0.008 * i))]
+            rows.append((len(rows), " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(r) for r in jaccard.near_duplicates(docs).collect()) == plain_near(rows)
+
+
 def test_messy_rows_hold_what_they_should():
     texts = [r[1] for r in messy_rows()]
     assert None in texts and "" in texts and max(len(t or "") for t in texts) > 20_000

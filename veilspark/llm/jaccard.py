@@ -28,6 +28,10 @@ NEAR_PIVOT = 128
 #: Pivots of a token by round. After these rounds, or once the pairs left are few, all are tried.
 PIVOTS = (1, 4, 16)
 FEW_PAIRS = 4
+#: Longs of a signature, and of the part of it that goes with the tokens.
+SIGN, BRIEF = 16, 4
+#: Longer sets overfill a signature, so they keep prefixes under two further orders.
+LONG = 1 << 10
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -135,6 +139,31 @@ def frequent(source: DataFrame, words: int) -> Frequencies:
     return Frequencies(tokens[order], np.maximum(n[order], 2), words)
 
 
+def _signatures(tokens: np.ndarray, shared: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per text, its number of possibly shared tokens, and the parities of their counts by hashed place."""
+    width, sizes = 64 * SIGN, np.diff(bounds)
+    text = np.repeat(np.arange(len(sizes)), sizes)[shared]
+    places = (mix(tokens[shared] ^ MIXED) % np.uint64(width)).astype(np.int64)
+    odd = (np.bincount(text * width + places, minlength=len(sizes) * width) & 1).astype(np.uint8)
+    return np.bincount(text, minlength=len(sizes)), np.packbits(odd).view(np.int64)
+
+
+def _brief(sign: Column) -> list[Column]:
+    """The signature folded to fewer longs: parities again, of fewer places."""
+    return [reduce(Column.bitwiseXOR, [sign[k] for k in range(i, SIGN, BRIEF)]) for i in range(BRIEF)]
+
+
+def _may_link(pairs: list[tuple[Column, Column]], percent: int) -> Column:
+    """False only where two sets cannot link by their sizes and signatures.
+
+    Each place whose parities differ stands for a shared token that one set alone holds, so the
+    intersection is at most half of what is left of the shared tokens of both.
+    """
+    differ = reduce(Column.__add__, [F.bit_count(a.bitwiseXOR(b)) for a, b in pairs])
+    most = F.col("m") + F.col("other_m") - differ
+    return (100 + percent) * most >= 2 * percent * (F.col("n") + F.col("other_n"))
+
+
 def _label(own: np.ndarray) -> tuple[int, int]:
     """The class of a set in 128 bits: texts with equal sets are one."""
     if not len(own):
@@ -145,10 +174,11 @@ def _label(own: np.ndarray) -> tuple[int, int]:
 
 
 def _described(held, words: int, percent: int):
-    """Per text its size, class, and prefixes under the three orders.
+    """Per text its size, class, signature, and prefixes: under the first order, of long sets under all.
 
-    A shingle that is known to stand in no other text is left out of the first prefix, as no pair
-    shares it; a text whose first prefix is empty then has no partner and needs no other.
+    A shingle that is known to stand in no other text is left out of the first prefix and of the
+    signature, as no pair shares it; a text whose first prefix is empty then has no partner and
+    needs no other.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,6 +187,7 @@ def _described(held, words: int, percent: int):
             tokens, bounds = shingle_sets(batch.column(3), words)
             ranks = table.ranks(tokens)
             labels, prefixes = [], ([], [], [])
+            shared, signs = _signatures(tokens, ranks > 1, bounds)
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 own, rank = tokens[a:b], ranks[a:b]
                 labels.append(_label(own))
@@ -165,13 +196,16 @@ def _described(held, words: int, percent: int):
                 order = order[rank[order] > 1]
                 prefixes[0].append(own[order].view(np.int64))
                 for i in (1, 2):
-                    rest = own[_order(own, i)[: length if len(order) else 0]]
+                    rest = own[_order(own, i)[: length if len(order) and b - a > LONG else 0]]
                     prefixes[i].append((rest >> np.uint64(32)).astype(np.uint32).view(np.int32))
             first, second = zip(*labels) if labels else ((), ())
             arrays = [batch.column(0), batch.column(1), batch.column(2), pa.array(np.diff(bounds))]
             arrays += [pa.array(first, pa.int64()), pa.array(second, pa.int64())]
             arrays += [pa.array(x, pa.list_(t)) for x, t in zip(prefixes, (pa.int64(), pa.int32(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["a", "b", "key", "n", "c1", "c2", "p1", "p2", "p3"])
+            starts = pa.array(np.arange(len(shared) + 1) * SIGN, pa.int32())
+            arrays += [pa.array(shared), pa.ListArray.from_arrays(starts, pa.array(signs))]
+            names = ["a", "b", "key", "n", "c1", "c2", "p1", "p2", "p3", "m", "sign"]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return run
 
@@ -229,8 +263,8 @@ def near_duplicates(
 
     Texts with equal sets are one class. Linked sets share a token in their prefixes under any
     order of the tokens. Under the first (rare before frequent) the classes of a
-    token meet a pivot of it; a pair goes on only if its sizes fit and its prefixes meet under the
-    second and the third order, too, and then the whole sets are compared. Classes that are
+    token meet a pivot of it; a pair goes on only if its sizes and signatures allow a link (long sets'
+    prefixes must meet under two further orders, too), and then the whole sets are compared. Classes that are
     connected need no further pair. After rounds with more pivots each, all pairs of classes that
     share a token and are not yet connected are tried.
     """
@@ -279,7 +313,8 @@ def _classified(docs: DataFrame, text: str, key: str, words: int, percent: int)
     held = docs.sparkSession.sparkContext.broadcast(frequent(source, words))
     described = source.mapInArrow(
         _described(held, words, percent),
-        f"a long, b long, key {kind}, n long, c1 long, c2 long, p1 array<long>, p2 array<int>, p3 array<int>",
+        f"a long, b long, key {kind}, n long, c1 long, c2 long, p1 array<long>, p2 array<int>, p3 array<int>,"
+        " m long, sign array<long>",
     )
     base = store(described)
     held.destroy()
@@ -288,22 +323,30 @@ def _classified(docs: DataFrame, text: str, key: str, words: int, percent: int)
         F.min(F.struct("a", "b")).alias("row"),
         F.first("n").alias("n"),
         F.count("*").alias("members"),
-        *[F.first(p).alias(p) for p in ("p1", "p2", "p3")],
+        *[F.first(p).alias(p) for p in ("m", "sign", "p1", "p2", "p3")],
     )
     classes = store(grouped.withColumn("cls", F.monotonically_increasing_id()), "members")
     return _answer(base, classes, _connected(source, classes, words, percent))
 
 
 def _shared_tokens(classes: Stored) -> Stored:
-    """The tokens of the first prefixes that several classes hold, with these: token, cls, n."""
-    postings = classes.df.select("cls", "n", F.explode("p1").alias("token"))
+    """The tokens of the first prefixes that several classes hold, with these, their sizes and signatures."""
+    brief = [c.alias(f"s{i}") for i, c in enumerate(_brief(F.col("sign")))]
+    postings = classes.df.select("cls", "n", "m", *brief, F.explode("p1").alias("token"))
     often = postings.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
     return store(lookup_join(postings, often, ["token"], "held", ["cls"], "inner"))
 
 
+def _as_other() -> list[Column]:
+    """A class's columns under the names that the second of a pair has."""
+    names = {"cls": "pivot", "n": "other_n", "root": "other", "m": "other_m"}
+    names |= {f"s{i}": f"o_s{i}" for i in range(BRIEF)}
+    return [F.col(c).alias(other) for c, other in names.items()]
+
+
 def _pivots(held: DataFrame, count: int) -> DataFrame:
     """Per token, up to ``count`` of its classes, each the least by a hash of its own."""
-    row = F.struct(F.col("cls").alias("pivot"), F.col("n").alias("other_n"), F.col("root").alias("other"))
+    row = F.struct(*_as_other())
     least = [F.min_by(row, F.xxhash64("cls", F.lit(i))) for i in range(count)]
     found = held.groupBy("token").agg(F.array_distinct(F.array(*least)).alias("pivots"), F.count("*").alias("held"))
     return found.select("token", "held", F.inline("pivots"))
@@ -314,7 +357,7 @@ def _connected(source: DataFrame, classes: Stored, words: int, percent: int) ->
     with Scratch() as scratch:
         held = _shared_tokens(classes)
         members = held.df.select("cls").distinct()
-        small_ = store(classes.df.select("cls", "n", "p2", "p3").join(members, "cls"))
+        small_ = store(classes.df.select("cls", "n", "m", "sign", "p2", "p3").join(members, "cls"))
         open_, links, tried, found, few = held.df.withColumn("root", F.col("cls")), [], None, None, False
         for pivots in (*PIVOTS, None):
             last = few or pivots is None
@@ -336,16 +379,15 @@ def _connected(source: DataFrame, classes: Stored, words: int, percent: int) ->
 
 
 def _pairs(open_: DataFrame, pivots: int | None, tried: DataFrame | None, percent: int) -> DataFrame:
-    """Pairs of classes of different components that share a token and whose sizes fit: each class
-    of a token with the token's pivots, or with all."""
+    """Pairs of classes of different components that share a token and whose sizes and signatures
+    allow a link: each class of a token with the token's pivots, or with all."""
     if pivots is None:
-        other = open_.select(
-            "token", F.col("cls").alias("pivot"), F.col("n").alias("other_n"), F.col("root").alias("other")
-        )
+        other = open_.select("token", *_as_other())
         met = open_.join(other, "token").where("root < other")
     else:
         met = lookup_join(open_, _pivots(open_, pivots), ["token"], "held", ["cls"], "inner").where("root <> other")
     met = met.where(100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n"))
+    met = met.where(_may_link([(F.col(f"s{i}"), F.col(f"o_s{i}")) for i in range(BRIEF)], percent))
     pairs = met.select(F.least("cls", "pivot").alias("cls"), F.greatest("cls", "pivot").alias("pivot")).distinct()
     return pairs if tried is None else pairs.join(tried, ["cls", "pivot"], "left_anti")
 
@@ -355,7 +397,7 @@ def _open_tokens(held: DataFrame, found: DataFrame | None) -> tuple[Stored, int]
     of classes of different components they are."""
     if found is not None:
         joined = held.drop("root").join(found, F.col("cls") == F.col("node"), "left")
-        held = joined.select("token", "cls", "n", F.coalesce("root", "cls").alias("root"))
+        held = joined.drop("node").withColumn("root", F.coalesce("root", "cls"))
     parts = held.groupBy("token", "root").agg(F.count("*").alias("own"))
     mixed = parts.groupBy("token").agg(
         F.sum("own").alias("held"), F.sum(F.col("own") * F.col("own")).alias("same"), F.count("*").alias("roots")
@@ -367,14 +409,18 @@ def _open_tokens(held: DataFrame, found: DataFrame | None) -> tuple[Stored, int]
 
 
 def _filtered(pairs: DataFrame, small_: DataFrame, percent: int) -> Stored:
-    """The pairs whose prefixes meet under the second and the third order, too."""
+    """The pairs whose whole signatures allow a link; of long sets, the prefixes must meet under the
+    second and the third order, too."""
     ends = store(pairs.select("cls").unionAll(pairs.select("pivot")).distinct())
     known = ends.df.withColumnRenamed("cls", "end")
-    known = small_.drop("n").join(F.broadcast(known) if ends.small else known, F.col("cls") == F.col("end")).drop("end")
-    other = known.select(*[F.col(c).alias("pivot" if c == "cls" else f"o_{c}") for c in known.columns])
+    known = small_.join(F.broadcast(known) if ends.small else known, F.col("cls") == F.col("end")).drop("end")
+    names = {"cls": "pivot", "n": "other_n", "m": "other_m"}
+    other = known.select(*[F.col(c).alias(names.get(c, f"o_{c}")) for c in known.columns])
     both = pairs.join(known, "cls").join(other, "pivot")
-    meet = F.arrays_overlap("p2", "o_p2") & F.arrays_overlap("p3", "o_p3")
-    return store(both.where(meet).select("cls", "pivot"))
+    short = F.least("n", "other_n") <= LONG
+    meet = short | (F.arrays_overlap("p2", "o_p2") & F.arrays_overlap("p3", "o_p3"))
+    signed = _may_link([(F.col("sign")[i], F.col("o_sign")[i]) for i in range(SIGN)], percent)
+    return store(both.where(signed & meet).select("cls", "pivot"))
 
 
 def _links(source: DataFrame, classes: Stored, pairs: Stored, words: int, percent: int) -> Stored | None:
@@ -426,5 +472,5 @@ def _answer(base: Stored, classes: Stored, comps: DataFrame | None) -> DataFrame
         named = named.withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("first").alias("component"))
     named = store(named.drop("first", "cls").join(least, "root"), "members")
-    rows = base.df.drop("p1", "p2", "p3")
+    rows = base.df.drop("m", "sign", "p1", "p2", "p3")
     return lookup_join(rows, named, ["c1", "c2"], "members", ["a"])
