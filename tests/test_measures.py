@@ -23,7 +23,7 @@ from veilspark import (
     violations,
 )
 from veilspark.operators import uniqueness as uniqueness_module
-from veilspark.plans import ranking
+from veilspark.plans import ranking, storage
 
 COLUMNS = ["a", "b", "c"]
 
@@ -85,6 +85,24 @@ def test_many_columns_are_walked_by_size(spark, monkeypatch):
     assert combination_uniqueness(df.limit(0), df.columns, 3).count() == 0
 
 
+def test_many_rows_make_jobs_of_fewer_combinations(spark, monkeypatch):
+    monkeypatch.setattr(uniqueness_module, "SETS", 10)
+    monkeypatch.setattr(uniqueness_module, "TASK_PRINTS", 100)
+    plain, seen = uniqueness_module._counted, []
+
+    def counted(held, names, rows, sets):
+        seen.append((held.rows * len(sets), uniqueness_module.partition_count(held.df)))
+        return plain(held, names, rows, sets)
+
+    monkeypatch.setattr(uniqueness_module, "_counted", counted)
+    table = [(i % 2, i % 3, i % 5, i % 7) for i in range(40)]
+    df = spark.createDataFrame(table, "a int, b int, c int, d int").coalesce(1)
+    found = {r.position: r.percent for r in combination_uniqueness(df, df.columns).collect()}
+    wanted = [c for n in range(1, 5) for c in combinations(range(4), n)]
+    assert found == {i: 100.0 * distinct(table, c) / 40 for i, c in enumerate(wanted)}
+    assert all(prints <= max(100 * tasks, 40) for prints, tasks in seen)
+
+
 def expected_distances(data, values="all"):
     share = Counter(r[4] for r in data if r[4] is not None)
     groups = {}

@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import quoted
-from ..plans.storage import Scratch, Stored, store
+from ..plans.storage import Scratch, Stored, partition_count, store
 from ..spec import nan_to_null
 
 
 #: Combinations that one job counts. More are counted size by size, in jobs of so many.
 SETS = 1024
+#: Fingerprints that one task of such a job makes; with many rows a job counts fewer combinations.
+TASK_PRINTS = 1 << 23
 
 
 def _approx_distinct(*columns: str):
@@ -110,6 +112,7 @@ def _walked(
     with Scratch():
         held = store(tuples.select(*_prints(plain), "_held"), "_held")
         rows = held.size["total"]
+        step = max(1, min(SETS, TASK_PRINTS * partition_count(held.df) // max(1, held.rows)))
         unique: set[tuple[int, ...]] = set()
         for size in sorted({len(w) for w in wanted}) if rows else ():
             open_sets = {}
@@ -121,8 +124,8 @@ def _walked(
                     else:
                         open_sets[i] = w
             numbers = list(open_sets)
-            for at in range(0, len(numbers), SETS):
-                shares |= _counted(held, plain, rows, {i: wanted[i] for i in numbers[at : at + SETS]})
+            for at in range(0, len(numbers), step):
+                shares |= _counted(held, plain, rows, {i: wanted[i] for i in numbers[at : at + step]})
             unique |= {w for i, w in open_sets.items() if shares[i] == 100.0}
     spark = tuples.sparkSession
     found = [(i, name, shares[i]) for i, name in named if i in shares]
