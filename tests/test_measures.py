@@ -198,6 +198,16 @@ def test_generalise_given_partitions(spark):
         generalise_partitions(df, spec, numeric="other")
 
 
+def test_equal_lists_stand_together(spark):
+    rows = [(i, f"v{i % 11}", "s", i % 5) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, a string, s string, part int").repartition(3)
+    spec = PrivacySpec.for_table(df, "s", "id", features=["a"])
+    out = generalise_partitions(df, spec, "part").withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r.id for r in out) == list(range(400))
+    runs = sum(1 for x, y in zip(out, out[1:]) if (x.task, x.a) != (y.task, y.a))
+    assert runs <= 5 + 4
+
+
 def test_combinations_run_in_batches(spark, monkeypatch):
     from veilspark.operators import uniqueness
 

@@ -9,12 +9,17 @@ from ..functions.text import as_text, quoted
 from ..plans.cells import build_cells, cell_values, feature_names
 from ..plans.mondrian import LOCAL_CELLS, partition_cells
 from ..plans.skew import lookup_join
+from ..plans.storage import LIMITS, store
 from ..spec import PrivacySpec, nan_to_null
 
 # How a joined list of values is separated and shows a missing one.
 SEPARATOR = "|"
 MISSING_IN_LIST = "nan"
 NUMERIC_FORMS = ("int_mean", "mean", "range")
+#: Bytes of joined lists that the rows of one task hold; a file then stores each list about once.
+LISTS_BYTES = 512 << 10
+#: Bytes of joined lists that are broadcast.
+LISTS_SENT = 64 << 20
 
 
 def _numeric_form(c: str, weight: Column, form: str) -> Column:
@@ -106,7 +111,8 @@ def generalise_partitions(
     Categorical: the distinct values in order of first appearance, joined. Numeric:
     integer-truncated mean, mean, or range. Other columns and all rows are kept, unless
     ``max_partitions`` asks for the first partitions only. A null partition is one like the
-    others, and the last.
+    others, and the last. Rows with a joined list are sorted by partition before they get it, so equal
+    lists stand together wherever they are written; a large partition is spread over several tasks.
     """
     columns, key = df.columns, partition
     df = nan_to_null(df).withColumn("_partition", F.struct(quoted(partition).alias("path")))
@@ -127,7 +133,20 @@ def generalise_partitions(
     found = found.withColumnsRenamed(dict(zip(names, spec.features)))
     kept = df.drop(*[c for c in spec.features if c != key])
     how = "left" if max_partitions is None else "inner"
-    joined = lookup_join(kept, found, [partition], "_covered", [spec.order_by], how)
+    rows = None
+    if listed:
+        found = store(found, "_covered")
+        parts = max(
+            int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), found.size["bytes"] // LISTS_BYTES + 1
+        )
+        # Larger tables of lists come by a shuffle on the partition.
+        if found.rows <= LIMITS.broadcast_rows and found.size["bytes"] <= LISTS_SENT:
+            rows = found.rows
+            along = [partition, quoted(spec.order_by)]
+            kept = kept.repartitionByRange(parts, *along).sortWithinPartitions(*along)
+            # The optimizer drops a sort below a join, unless a step that is not deterministic stands between.
+            kept = kept.where(F.spark_partition_id() >= 0)
+    joined = lookup_join(kept, found, [partition], "_covered", [spec.order_by], how, rows=rows)
     return joined.select(*map(quoted, columns))
 
 
