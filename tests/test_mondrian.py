@@ -4,8 +4,9 @@ import random
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
-from veilspark import PrivacySpec, anonymise, audit_classes, partition, violations
+from veilspark import PrivacySpec, anonymise, audit_classes, encode_identifiers, partition, violations
 from veilspark.plans import mondrian
 
 SCHEMA = "id bigint, q1 double, q2 string, q3 bigint, s string"
@@ -153,6 +154,26 @@ def test_generalised_values(spark):
     assert abs(anonymise(df, spec, "k", numeric="mean").first().q1 - 8.3 / 3) < 1e-9
 
 
+def test_codes_of_partitions_are_those_of_rows(spark):
+    make = [(i, f"n{i % 40}", f"p{i % 23}" if i % 9 else None, i % 90, "xyz"[i % 3]) for i in range(300)]
+    df = spark.createDataFrame(make, "id int, name string, plate string, age int, s string").repartition(5)
+    labels = [{"name": c, "type": t, "identifier": True} for c, t in (("name", "n"), ("plate", "p"), ("s", "s"))]
+    spec = PrivacySpec.for_table(df, "s", "id", features=["name", "plate", "age"], k=6)
+    plain = anonymise(df, spec, "k", keep_partition_id=True).withColumn("_depth", F.length("partition_id"))
+    expected = encode_identifiers(plain, labels, ["_depth", "partition_id", "id"]).drop("_depth")
+    seen = []
+
+    def coded(values):
+        seen.append(values.count())
+        placed = values.withColumn("_depth", F.length("partition_id"))
+        return encode_identifiers(placed, labels[:2], ["_depth", "partition_id"]).drop("_depth")
+
+    found = anonymise(df, spec, "k", keep_partition_id=True, common_values=coded)
+    found = encode_identifiers(found.withColumn("_depth", F.length("partition_id")), labels[2:], ["_depth", "partition_id", "id"])
+    assert sorted(map(str, found.drop("_depth").collect())) == sorted(map(str, expected.collect()))
+    assert seen == [found.select("partition_id").distinct().count()] and seen[0] < 60
+
+
 def test_max_partitions_keeps_that_many(spark):
     df = spark.createDataFrame(table(10, 200), SCHEMA)
     out = anonymise(df, spec_for(df, k=5), "k", max_partitions=3, keep_partition_id=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -159,12 +161,15 @@ def anonymise(
     local_cells: int = LOCAL_CELLS,
     values: str = "all",
     keep_partition_id: bool = False,
+    common_values: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """The table with features generalised so that every partition satisfies the model:
     ``k`` rows, and for ``l`` also l distinct sensitive values, or for ``t`` a sensitive
     distribution within p of the whole table's.
 
     Partitioning and generalising work on cells; the rows are joined once at the end.
+    ``common_values`` may change the table of the partitions' common values (``partition_id`` and the
+    features) before it is joined to the rows.
     """
     spec.check_model(model)
     df = nan_to_null(df)
@@ -173,6 +178,10 @@ def anonymise(
     cells = partition_cells(build_cells(df, spec), spec, model, local_cells, values)
     found = _summaries(cells, "_pid", names, texts, "_o", "_n", numeric).drop("_covered")
     found = _first_partitions(found, "_pid", max_partitions)
+    if common_values is not None:
+        own = dict(zip(names, spec.features)) | {"_pid": "partition_id"}
+        changed = common_values(store(found).df.withColumnsRenamed(own))
+        found = changed.withColumnsRenamed({c: n for n, c in own.items()})
     common = found.withColumnsRenamed({n: f"_g{n}" for n in names})
     tuples = cells.groupBy(*names).agg(F.sum("_n").alias("_n"), F.first("_pid").alias("_pid"))
     how = "left" if max_partitions is None else "inner"

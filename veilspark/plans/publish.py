@@ -32,7 +32,9 @@ def run(
 
     Every labelled column but the sensitive one becomes a feature. Special
     pseudonymisers run before anonymisation; identifier columns are integer-coded after
-    it, so their code stands for the joined text of the partition. ``options`` go to
+    it, so their code stands for the joined text of the partition. A feature is coded once per
+    partition, before its rows get it; a partition's rows share its text, so the order by depth
+    and path tells all first appearances. ``options`` go to
     ``pseudonymise_labelled``; ``labels`` are labels of earlier runs to keep. The rows are
     read twice, so a registered pseudonymiser must be repeatable; the built-in ones are.
     """
@@ -45,9 +47,18 @@ def run(
     if not features:
         raise ValueError("no column was labelled, so there is nothing to generalise")
     df, spec = pseudonymise_labelled(df, rows, spec.with_features(features), **options)
-    result = anonymise(df, spec, model, keep_partition_id=True, **(anonymise_options or {}))
+    common = [r for r in rows if r["name"] in spec.features]
+
+    def encoded(values: DataFrame) -> DataFrame:
+        placed = values.withColumn("_depth", F.length("partition_id"))
+        return encode_identifiers(placed, common, ["_depth", "partition_id"]).drop("_depth")
+
+    result = anonymise(
+        df, spec, model, keep_partition_id=True, common_values=encoded, **(anonymise_options or {})
+    )
     placed = result.withColumn("_depth", F.length("partition_id"))
-    coded = encode_identifiers(placed, rows, ["_depth", "partition_id", spec.order_by])
+    own = [r for r in rows if r["name"] not in spec.features]
+    coded = encode_identifiers(placed, own, ["_depth", "partition_id", spec.order_by])
     coded = coded.drop("_depth") if keep_partition_id else coded.drop("_depth", "partition_id")
     if output:
         write_table(coded, output)
