@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veilspark import (
@@ -156,6 +157,21 @@ def test_codes_by_distributed_sort_and_salted_lookup(spark, tiny_limits):
     assert [r.v for r in out.orderBy("id").collect()] == expected
 
 
+def test_places_are_one_number_where_it_holds_them(spark):
+    draw = random.Random(8)
+    numbers = [None, -5, 0, 3, 1 << 40]
+    rows = [(draw.choice(numbers), draw.choice([None, -2, 7]), i) for i in range(60)]
+    df = spark.createDataFrame(rows, "a long, b int, i int")
+    for order in (["a", "b"], ["b"], ["b", "a"], ["a"]):
+        placed = df.select("i", module._place(df, order).alias("p"), F.struct(*order).alias("s"))
+        assert placed.schema["p"].dataType.simpleString() == "bigint"
+        ranks = [F.dense_rank().over(Window.orderBy(c)) for c in ("p", "s")]
+        assert all(r.x == r.y for r in placed.select(ranks[0].alias("x"), ranks[1].alias("y")).collect())
+    wide = df.unionAll(spark.createDataFrame([(-(1 << 63), 0, 0), ((1 << 63) - 1, 0, 0)], df.schema))
+    for order in (["a", "b"], ["a"]):
+        assert wide.select(module._place(wide, order).alias("p")).schema["p"].dataType.simpleString()[:6] == "struct"
+
+
 def test_intervals(spark):
     df = spark.createDataFrame([(i, a) for i, a in enumerate([0, 9, 10, 100, -1, None])], "id int, age int")
     spec = PrivacySpec.for_table(df.withColumn("s", F.lit("x")), "s", "id")
