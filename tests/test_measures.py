@@ -208,6 +208,11 @@ def test_equal_lists_stand_together(spark):
     assert runs <= 5 + 4
 
 
+def test_large_sides_are_not_broadcast():
+    assert not storage.Stored(None, "", {"rows": 400_000, "bytes": 40 << 20}).small
+    assert storage.Stored(None, "", {"rows": 400_000, "bytes": 8 << 20}).small
+
+
 def test_combinations_run_in_batches(spark, monkeypatch):
     from veilspark.operators import uniqueness
 
