@@ -1,9 +1,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -64,6 +66,56 @@ def test_suffix_order_sorts():
         assert own == sorted(own)
 
 
+def test_a_sign_in_many_places_stays_small_in_memory():
+    """The bytes around one sign are compared and its strings made a part at a time."""
+    draw = np.random.default_rng(5)
+    base = draw.integers(97, 122, 672).astype(np.uint8)
+    rows = []
+    for i in range(3000):
+        own = base.copy()
+        own[draw.integers(0, 80)], own[draw.integers(560, 672)] = 65 + i % 26, 65 + i % 25
+        rows.append((i, 7, 0, 273, 272, own.tobytes()))
+    rows = pd.DataFrame(rows, columns=["doc", "sign", "start", "count", "place", "context"])
+    size = 672 * len(rows)
+    suffix.repeated(rows[:10])
+    tracemalloc.start()
+    found = suffix.repeated(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    strings = Counter(c[k : k + 400] for c in rows["context"] for k in range(273))
+    wanted = {(r.doc, k + b) for r in rows.itertuples() for k in range(273) if strings[r.context[k : k + 400]] > 1 for b in (0, 399)}
+    got = {(r.doc, k + b) for r in found.itertuples() for k in range(r.start, r.stop - 399) for b in (0, 399)}
+    assert got == wanted
+    assert peak < 44 * size
+    batch = pa.RecordBatch.from_pandas(rows[["doc", "sign", "start", "count", "context"]], preserve_index=False)
+    made = [b.num_rows for b in suffix._strings(400)([batch])]
+    assert sum(made) == 273 * len(rows) and max(made) < 300_000
+
+
+def test_a_string_in_many_places_is_no_hot_task(spark):
+    """Counts come back by a broadcast, not in one task for all places of a string."""
+    contexts = spark.createDataFrame(
+        [(i, 7, 0, 21, b"common passage " * 8) for i in range(400)],
+        "doc long, sign long, start long, count long, context binary",
+    )
+    ranges = suffix._hot_ranges(contexts, 100)
+    assert ranges.count() == 400 * 21
+    plan = ranges._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_ranges_of_a_text_are_stored_as_runs(spark):
+    """Neighbouring and overlapping ranges of many signs are one span before they are sent to the texts."""
+    draw = random.Random(12)
+    shared, other = sentence(draw, 900), sentence(draw, 400)
+    texts = [shared + " x", "y " + shared, sentence(draw, 50) + other + " z " + shared[:2000], "w" + other]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = suffix.spans_of(docs, "text", "doc_id", 100).df.collect()
+    found = suffix.dedup_substrings(docs, length=100).collect()
+    assert Counter(tuple(r) for r in found) == plain_strings([(i, t.encode()) for i, t in enumerate(texts)], 100)
+    assert sorted(len(r.spans) for r in rows) == sorted(r.n_spans for r in found)
+
+
 def plain_passages(rows, window):
     first, found = {}, Counter()
     ranked = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
