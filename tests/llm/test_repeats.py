@@ -110,7 +110,9 @@ def test_ranges_of_a_text_are_stored_as_runs(spark):
     shared, other = sentence(draw, 900), sentence(draw, 400)
     texts = [shared + " x", "y " + shared, sentence(draw, 50) + other + " z " + shared[:2000], "w" + other]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = suffix.spans_of(docs, "text", "doc_id", 100).df.collect()
+    spans = suffix.spans_of(docs, "text", "doc_id", 100)
+    rows = spans.df.collect()
+    assert spans.size["bytes"] == sum(8 * 4 + 16 * len(r.spans) for r in rows)
     found = suffix.dedup_substrings(docs, length=100).collect()
     assert Counter(tuple(r) for r in found) == plain_strings([(i, t.encode()) for i, t in enumerate(texts)], 100)
     assert sorted(len(r.spans) for r in rows) == sorted(r.n_spans for r in found)
