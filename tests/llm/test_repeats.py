@@ -10,7 +10,8 @@ import pyarrow as pa
 import pytest
 
 from conftest import messy_rows, sentence
-from veilspark.llm import jaccard, recompress, suffix, wordhash
+from veilspark.llm import graph, jaccard, recompress, suffix, wordhash
+from veilspark.plans.storage import LIMITS, Stored
 
 
 def plain_strings(rows, length):
@@ -266,6 +267,57 @@ def test_signatures_keep_every_link(spark, monkeypatch, long):
     assert Counter(tuple(r) for r in jaccard.near_duplicates(docs).collect()) == plain_near(rows)
 
 
+def test_components_match_plain_search_in_few_steps(spark, monkeypatch):
+    """Random links, one path, one hub and links of a node with itself, with nodes sent and shuffled."""
+    draw = random.Random(4)
+    links = [(draw.randrange(200), draw.randrange(200)) for _ in range(120)]
+    links += [(300 + i, 301 + i) for i in range(40)] + [(500, 400 + i) for i in range(60)] + [(7, 7), (999, 999)]
+    root = {x: x for pair in links for x in pair}
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    plain = {x: r for x, r in root.items() if x != 999}
+    table, stored, store = spark.createDataFrame(links, "a long, b long"), [], graph.store
+    monkeypatch.setattr(graph, "store", lambda *a, **b: stored.append(store(*a, **b)) or stored[-1])
+    alone = {x for x in plain if not any(x in (a, b) and a != b for a, b in links)}
+    for rows in (LIMITS.broadcast_rows, 10):
+        monkeypatch.setattr(LIMITS, "broadcast_rows", rows)
+        found = graph.components(table, len(links)).df.collect()
+        assert len(found) == len(plain) - len(alone)
+        assert {r.node: r.root for r in found} == {x: r for x, r in plain.items() if x not in alone}
+    stored.clear()
+    stars = spark.createDataFrame([(r.node, r.root) for r in found], "a long, b long")
+    assert {tuple(r) for r in graph.components(stars, len(found)).df.collect()} == {tuple(r) for r in found}
+    assert len(stored) == 1
+
+
+def test_small_tables_of_near_duplicates_are_few_files(spark, monkeypatch):
+    """However many partitions a shuffle has, tables of a few rows are written by few tasks."""
+    draw, stored = random.Random(6), []
+    words, rows = sentence(draw, 120).split(), []
+    for i in range(60):
+        own = list(words)
+        for _ in range(draw.randrange(0, 5)):
+            own[draw.randrange(len(own))] = f"w{draw.randrange(9)}"
+        rows.append((i, " ".join(own)))
+    for module in (graph, jaccard):
+        plain = module.store
+        monkeypatch.setattr(module, "store", lambda *a, f=plain, **b: stored.append(f(*a, **b)) or stored[-1])
+    files, drop = [], Stored.drop
+    monkeypatch.setattr(Stored, "drop", lambda self: files.append(len(self.df.inputFiles())) or drop(self))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert Counter(tuple(r) for r in jaccard.near_duplicates(docs).collect()) == plain_near(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(stored) > 10 and len(files) > 5
+    assert sum(files) <= len(files) * max(8, spark.sparkContext.defaultParallelism)
+
+
 def test_messy_rows_hold_what_they_should():
     texts = [r[1] for r in messy_rows()]
     assert None in texts and "" in texts and max(len(t or "") for t in texts) > 20_000

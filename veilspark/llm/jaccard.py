@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.skew import lookup_join
-from ..plans.storage import Scratch, Stored, store
+from ..plans.storage import LIMITS, Scratch, Stored, few_parts, store
 from .common import name, row_of
 from .graph import components
 from .wordhash import mix, small, windows, word_hashes
@@ -30,6 +30,8 @@ PIVOTS = (1, 4, 16)
 FEW_PAIRS = 4
 #: Longs of a signature, and of the part of it that goes with the tokens.
 SIGN, BRIEF = 16, 4
+#: Whole sets that a task compares, at least.
+SETS_EACH = 1 << 10
 #: Longer sets overfill a signature, so they keep prefixes under two further orders.
 LONG = 1 << 10
 
@@ -325,7 +327,8 @@ def _classified(docs: DataFrame, text: str, key: str, words: int, percent: int)
         F.count("*").alias("members"),
         *[F.first(p).alias(p) for p in ("m", "sign", "p1", "p2", "p3")],
     )
-    classes = store(grouped.withColumn("cls", F.monotonically_increasing_id()), "members")
+    classes = grouped.withColumn("cls", F.monotonically_increasing_id())
+    classes = store(classes, "members", tokens=F.sum(F.size("p1")))
     return _answer(base, classes, _connected(source, classes, words, percent))
 
 
@@ -334,6 +337,7 @@ def _shared_tokens(classes: Stored) -> Stored:
     brief = [c.alias(f"s{i}") for i, c in enumerate(_brief(F.col("sign")))]
     postings = classes.df.select("cls", "n", "m", *brief, F.explode("p1").alias("token"))
     often = postings.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
+    often = store(few_parts(often, classes.size["tokens"]), "held")
     return store(lookup_join(postings, often, ["token"], "held", ["cls"], "inner"))
 
 
@@ -344,12 +348,13 @@ def _as_other() -> list[Column]:
     return [F.col(c).alias(other) for c, other in names.items()]
 
 
-def _pivots(held: DataFrame, count: int) -> DataFrame:
-    """Per token, up to ``count`` of its classes, each the least by a hash of its own."""
+def _pivots(held: DataFrame, count: int, rows: int) -> Stored:
+    """Per token, up to ``count`` of its classes, each the least by a hash of its own; ``rows``
+    bounds the rows of ``held``."""
     row = F.struct(*_as_other())
     least = [F.min_by(row, F.xxhash64("cls", F.lit(i))) for i in range(count)]
     found = held.groupBy("token").agg(F.array_distinct(F.array(*least)).alias("pivots"), F.count("*").alias("held"))
-    return found.select("token", "held", F.inline("pivots"))
+    return store(few_parts(found.select("token", "held", F.inline("pivots")), rows), "held")
 
 
 def _connected(source: DataFrame, classes: Stored, words: int, percent: int) -> DataFrame | None:
@@ -358,65 +363,83 @@ def _connected(source: DataFrame, classes: Stored, words: int, percent: int) ->
         held = _shared_tokens(classes)
         members = held.df.select("cls").distinct()
         small_ = store(classes.df.select("cls", "n", "m", "sign", "p2", "p3").join(members, "cls"))
-        open_, links, tried, found, few = held.df.withColumn("root", F.col("cls")), [], None, None, False
+        open_, rows, cross = held.df.withColumn("root", F.col("cls")), held.rows, 0
+        tried, found, few = None, None, False
         for pivots in (*PIVOTS, None):
             last = few or pivots is None
             with Scratch(free=True) as inner:
-                pairs = inner.keep(store(_pairs(open_, None if last else pivots, tried, percent)))
-                linked = _links(source, classes, _filtered(pairs.df, small_.df, percent), words, percent)
+                met = _pairs(open_, None if last else pivots, tried, percent, rows)
+                pairs = inner.keep(store(few_parts(met, cross if last else rows * pivots)))
+                linked = _links(source, classes, _filtered(pairs, small_.df, percent), words, percent)
                 if linked is not None and linked.rows:
-                    links.append(inner.keep(linked).df)
-                    found = inner.keep(components(reduce(DataFrame.unionAll, links))).df
+                    found = inner.keep(_joined(linked, found))
                 if not last:
                     tried = pairs.df if tried is None else tried.unionAll(pairs.df)
-                    rest, cross = _open_tokens(open_, found)
-                    open_, few, last = inner.keep(rest).df, cross <= FEW_PAIRS * rest.rows, not cross
+                    rest, cross = _open_tokens(open_, found, rows)
+                    open_, rows = inner.keep(rest).df, rest.rows
+                    few, last = cross <= FEW_PAIRS * rows, not cross
             if last:
                 break
         if found is None:
             return None
-        return scratch.keep(store(found)).df
+        return scratch.keep(store(found.df)).df
 
 
-def _pairs(open_: DataFrame, pivots: int | None, tried: DataFrame | None, percent: int) -> DataFrame:
+def _joined(links: Stored, found: Stored | None) -> Stored:
+    """The components by the new links and those before, whose stars stand for all earlier links."""
+    if found is None:
+        return components(links.df, links.rows)
+    stars = found.df.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return components(links.df.unionAll(stars), links.rows + found.rows)
+
+
+def _pairs(open_: DataFrame, pivots: int | None, tried: DataFrame | None, percent: int, rows: int) -> DataFrame:
     """Pairs of classes of different components that share a token and whose sizes and signatures
-    allow a link: each class of a token with the token's pivots, or with all."""
+    allow a link: each class of a token with the token's pivots, or with all. ``rows`` bounds the
+    rows of ``open_``."""
     if pivots is None:
         other = open_.select("token", *_as_other())
         met = open_.join(other, "token").where("root < other")
     else:
-        met = lookup_join(open_, _pivots(open_, pivots), ["token"], "held", ["cls"], "inner").where("root <> other")
+        met = lookup_join(open_, _pivots(open_, pivots, rows), ["token"], "held", ["cls"], "inner").where("root <> other")
     met = met.where(100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n"))
     met = met.where(_may_link([(F.col(f"s{i}"), F.col(f"o_s{i}")) for i in range(BRIEF)], percent))
     pairs = met.select(F.least("cls", "pivot").alias("cls"), F.greatest("cls", "pivot").alias("pivot")).distinct()
     return pairs if tried is None else pairs.join(tried, ["cls", "pivot"], "left_anti")
 
 
-def _open_tokens(held: DataFrame, found: DataFrame | None) -> tuple[Stored, int]:
+def _open_tokens(held: DataFrame, found: Stored | None, rows: int) -> tuple[Stored, int]:
     """What is left of the tokens whose classes are not yet in one component, and in how many pairs
-    of classes of different components they are."""
+    of classes of different components they are. ``rows`` bounds the rows of ``held``."""
     if found is not None:
-        joined = held.drop("root").join(found, F.col("cls") == F.col("node"), "left")
+        roots = F.broadcast(found.df) if found.small else found.df
+        joined = held.drop("root").join(roots, F.col("cls") == F.col("node"), "left")
         held = joined.drop("node").withColumn("root", F.coalesce("root", "cls"))
     parts = held.groupBy("token", "root").agg(F.count("*").alias("own"))
     mixed = parts.groupBy("token").agg(
         F.sum("own").alias("held"), F.sum(F.col("own") * F.col("own")).alias("same"), F.count("*").alias("roots")
     )
     pairs = F.sum((F.col("held") * F.col("held") - F.col("same")) / 2)
-    mixed = store(mixed.where("roots > 1").select("token", "held", "same"), "held", pairs=pairs)
+    mixed = few_parts(mixed.where("roots > 1").select("token", "held", "same"), rows)
+    mixed = store(mixed, "held", pairs=pairs)
     still = Stored(mixed.df.select("token", "held"), mixed.path, mixed.size)
     return store(lookup_join(held, still, ["token"], "held", ["cls"], "inner")), int(mixed.size["pairs"])
 
 
-def _filtered(pairs: DataFrame, small_: DataFrame, percent: int) -> Stored:
+def _filtered(pairs: Stored, small_: DataFrame, percent: int) -> Stored:
     """The pairs whose whole signatures allow a link; of long sets, the prefixes must meet under the
     second and the third order, too."""
-    ends = store(pairs.select("cls").unionAll(pairs.select("pivot")).distinct())
-    known = ends.df.withColumnRenamed("cls", "end")
-    known = small_.join(F.broadcast(known) if ends.small else known, F.col("cls") == F.col("end")).drop("end")
+    ends = pairs.df.select(F.col("cls").alias("end")).unionAll(pairs.df.select("pivot")).distinct()
+    ends = store(few_parts(ends, 2 * pairs.rows))
+    longs = F.sum(F.size("sign") + F.size("p2") + F.size("p3"))
+    wanted = F.broadcast(ends.df) if ends.small else ends.df
+    known = store(small_.join(wanted, F.col("cls") == F.col("end")).drop("end"), longs=longs)
+    few = known.small and known.size["bytes"] + 8 * known.size["longs"] <= LIMITS.broadcast_bytes
+    known = known.df
     names = {"cls": "pivot", "n": "other_n", "m": "other_m"}
     other = known.select(*[F.col(c).alias(names.get(c, f"o_{c}")) for c in known.columns])
-    both = pairs.join(known, "cls").join(other, "pivot")
+    known, other = (F.broadcast(known), F.broadcast(other)) if few else (known, other)
+    both = few_parts(pairs.df.join(known, "cls").join(other, "pivot"), pairs.rows)
     short = F.least("n", "other_n") <= LONG
     meet = short | (F.arrays_overlap("p2", "o_p2") & F.arrays_overlap("p3", "o_p3"))
     signed = _may_link([(F.col("sign")[i], F.col("o_sign")[i]) for i in range(SIGN)], percent)
@@ -432,16 +455,16 @@ def _links(source: DataFrame, classes: Stored, pairs: Stored, words: int, percen
     if not pairs.rows:
         return None
     ends = pairs.df.select(F.col("cls").alias("end")).unionAll(pairs.df.select(F.col("pivot")))
-    degree = store(ends.groupBy("end").agg(F.count("*").alias("degree"))).df
+    degree = store(few_parts(ends.groupBy("end").agg(F.count("*").alias("degree")), 2 * pairs.rows))
+    degree = F.broadcast(degree.df) if degree.small else degree.df
     sided = pairs.df.join(degree.select(F.col("end").alias("cls"), F.col("degree").alias("d1")), "cls")
     sided = sided.join(degree.select(F.col("end").alias("pivot"), F.col("degree").alias("d2")), "pivot")
     turned = F.col("d1") > F.col("d2")
-    sided = store(
-        sided.select(
-            F.when(turned, F.col("pivot")).otherwise(F.col("cls")).alias("cls"),
-            F.when(turned, F.col("cls")).otherwise(F.col("pivot")).alias("hub"),
-        )
-    ).df
+    sided = sided.select(
+        F.when(turned, F.col("pivot")).otherwise(F.col("cls")).alias("cls"),
+        F.when(turned, F.col("cls")).otherwise(F.col("pivot")).alias("hub"),
+    )
+    sided = store(few_parts(sided, pairs.rows)).df
     places = sided.groupBy("hub").agg(F.ceil(F.count("*") / NEAR_PIVOT).alias("places"))
     targets = sided.join(places, "hub").select(
         "cls", F.struct("hub", F.pmod(F.xxhash64("cls"), "places").alias("place"), F.lit(1).alias("side")).alias("to")
@@ -451,14 +474,16 @@ def _links(source: DataFrame, classes: Stored, pairs: Stored, words: int, percen
     ).select("cls", F.struct(F.col("cls").alias("hub"), "place", F.lit(0).alias("side")).alias("to"))
     wanted = targets.unionAll(own).groupBy("cls").agg(F.collect_list("to").alias("to"))
     rows = classes.df.select("cls", "row.a", "row.b").join(wanted, "cls")
-    rows = store(rows.withColumn("weight", F.lit(1)), "weight")
+    rows = store(few_parts(rows.withColumn("weight", F.lit(1)), 2 * pairs.rows), "weight")
     texts = lookup_join(source, rows, ["a", "b"], "weight", ["a"], "inner").dropDuplicates(["cls"])
+    texts = few_parts(texts, rows.rows, SETS_EACH)
     sets = texts.select("cls", "body", "to").mapInArrow(
         _sets(words), "cls long, tokens binary, to array<struct<hub:long,place:long,side:int>>"
     )
     sent = sets.select("cls", "tokens", F.inline("to"))
     parts = max(1, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    met = sent.repartition(parts, "hub", "place").sortWithinPartitions("hub", "place", "side")
+    met = few_parts(sent.repartition(parts, "hub", "place"), 2 * pairs.rows, SETS_EACH)
+    met = met.sortWithinPartitions("hub", "place", "side")
     compared = met.select("hub", "place", "side", "cls", "tokens").mapInArrow(_compared(percent), "a long, b long")
     return store(compared)
 
